@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,3 +52,11 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows, since a text may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from the driver as one literal, without a Python stage; ``schema`` like ``a int, b string``."""
+    names = [f.split()[0].strip("`") for f in schema.split(", ")]
+    kind = ", ".join(f"{f.split()[0]}: {' '.join(f.split()[1:])}" for f in schema.split(", "))
+    data = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{kind}>>")))

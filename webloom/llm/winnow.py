@@ -243,3 +243,17 @@ def _unnamed(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str)
     keyed = rows.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     bad = hits(keyed.select("__key", text_col), benchmark, "__key", text_col).where(F.size("runs") > 0).select(F.col("doc_id").alias("__key")).distinct()
     return keyed.join(bad, "__key", "left_anti").select(docs.columns)
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB's SQL: every window of the items joined with every window of the documents, by its words."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {words} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, s + 1, s + n), ' ') AS g FROM (SELECT item, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM (SELECT item, w, least(len(w), {SPAN}) AS n FROM i WHERE len(w) > 0))),
+dw AS (SELECT rn, n, s, array_to_string(list_slice(w, s + 1, s + n), ' ') AS g FROM (SELECT rn, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT rn, dw.n AS n, s, item FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
+h AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT rn, s, n FROM m)) GROUP BY 1),
+k AS (SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rn, item FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.rn = h.rn LEFT JOIN k ON d.rn = k.rn"""
