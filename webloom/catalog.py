@@ -1,16 +1,757 @@
-"""The registered queries of the reference's operators, and their SQL."""
+"""The registered queries of the acquisition operators, and their SQL for DuckDB.
+
+Small fixtures are SQL ``VALUES`` that both engines read; everything else runs over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from webloom.functions import html as H
+from webloom.functions import text as T
+from webloom.functions import urls as U
+from webloom.operators import cache, crawl, encode, fetch, filters
 from webloom.session import table
+from webloom.sources import code, docs, inputs, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: The moment that ages are told from, in seconds; the events table lies before it.
+NOW = 1_800_000_000
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query under ``name``, with its SQL where there is one."""
+
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def fixture(spark: SparkSession, values: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {values}")
+
+
+def sql_text(s: str) -> str:
+    """A literal that both dialects read alike: no backslashes, line ends as chr(10)."""
+    parts = [f"'{p.replace(chr(39), chr(39) * 2)}'" for p in s.split("\n")]
+    return "(" + " || chr(10) || ".join(parts) + ")" if len(parts) > 1 else parts[0]
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    """A fixture as SQL; strings, numbers, booleans and nulls."""
+    cell = lambda x: "NULL" if x is None else sql_text(x) if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
+    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+# --- urls -----------------------------------------------------------------
+
+
+def norm_sql(url: str) -> str:
+    """normalize_url of plain urls (as the pages table has them) in DuckDB."""
+    u = f"regexp_replace({url}, '#.*$', '')"
+    q = f"CASE WHEN contains({u}, '?') THEN substr({u}, strpos({u}, '?') + 1) ELSE '' END"
+    kept = f"list_sort(list_filter(string_split({q}, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')))"
+    return f"rtrim(split_part({u}, '?', 1) || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END, '/')"
+
+
+HOST_SQL = "regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)"
+PATH_SQL = "regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query("url_normalize", f"SELECT page_id, {norm_sql('url')} AS normalized FROM pages")
+def url_normalize(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.normalize_url(F.col("url")).alias("normalized"))
+
+
+EDGE = [
+    ("https://example.com/page#section", "https://example.com/page"),
+    ("https://example.com/page?utm_source=twitter&id=1", "https://example.com/page?id=1"),
+    ("https://example.com/?utm_medium=email", "https://example.com"),
+    ("https://example.com/p?utm_source=a&utm_medium=b&utm_campaign=c&keep=1", "https://example.com/p?keep=1"),
+    ("https://example.com/page/", "https://example.com/page"),
+    ("https://example.com/page/#top", "https://example.com/page"),
+    ("https://example.com/search?q=test&page=2", "https://example.com/search?page=2&q=test"),
+    ("", ""),
+    ("https://example.com/path?key=value", "https://example.com/path?key=value"),
+    ("HTTPS://Example.com:8080/a//?b=2&a=1&b=1", "https://Example.com:8080/a//?a=1&b=2&b=1"),
+    ("https://example.com/a?x=a%20b~*&y", "https://example.com/a?x=a+b~%2A&y="),
+    ("https://example.com/%zz", ""),
+    ("https://example.com/a?", "https://example.com/a?"),
+    ("https://example.com/a?b;c=1&d=%zz&e=1", "https://example.com/a?e=1"),
+]
+EDGE_VALUES = values(EDGE, "input, want")
+
+
+@query("url_normalize_edge", f"SELECT input, want AS normalized FROM {EDGE_VALUES}")
+def url_normalize_edge(spark, sf):
+    return fixture(spark, EDGE_VALUES).select("input", U.normalize_url(F.col("input")).alias("normalized"))
+
+
+@query("url_host_rollup", f"SELECT {HOST_SQL.format(u='url')} AS host, count(*)::BIGINT AS pages, count(DISTINCT {norm_sql('url')})::BIGINT AS urls FROM pages GROUP BY 1")
+def url_host_rollup(spark, sf):
+    once = table(spark, sf, "pages").groupBy(U.url_host(F.col("url")).alias("host"), U.normalize_url(F.col("url")).alias("u")).agg(F.count("*").alias("n"))
+    return once.groupBy("host").agg(F.sum("n").alias("pages"), F.count("*").alias("urls"))
+
+
+ALLOW, DENY = ("/en/", "/de/"), (r"\.html$", "/fr/", "page=2")
+ALLOW_SQL = f"(contains({PATH_SQL.format(u='url')}, '/en/') OR contains({PATH_SQL.format(u='url')}, '/de/'))"
+DENY_SQL = "regexp_matches(url, '\\.html$|/fr/|page=2')"
+#: The host of the first page that passes the other filters.
+SEED_SQL = f"(SELECT {HOST_SQL.format(u='url')} FROM pages WHERE {ALLOW_SQL} AND NOT {DENY_SQL} ORDER BY page_id LIMIT 1)"
+
+
+def _seed_host(spark, sf) -> str:
+    p = table(spark, sf, "pages").where(filters.allowed(F.col("url"), ALLOW) & ~filters.denied(F.col("url"), DENY))
+    row = p.orderBy("page_id").select(U.url_host(F.col("url")).alias("h")).first()
+    return row["h"] if row else ""
+
+
+@query("url_same_host_filter", f"SELECT page_id, url FROM pages WHERE {HOST_SQL.format(u='url')} = {SEED_SQL}")
+def url_same_host_filter(spark, sf):
+    return table(spark, sf, "pages").where(filters.same_host(F.col("url"), _seed_host(spark, sf))).select("page_id", "url")
+
+
+@query("url_allow_filter", f"SELECT page_id FROM pages WHERE {ALLOW_SQL}")
+def url_allow_filter(spark, sf):
+    return table(spark, sf, "pages").where(filters.allowed(F.col("url"), ALLOW)).select("page_id")
+
+
+@query("url_deny_filter", f"SELECT page_id FROM pages WHERE NOT {DENY_SQL}")
+def url_deny_filter(spark, sf):
+    return table(spark, sf, "pages").where(~filters.denied(F.col("url"), DENY)).select("page_id")
+
+
+@query("url_combined_filter", f"SELECT page_id FROM pages WHERE {HOST_SQL.format(u='url')} = {SEED_SQL} AND NOT {DENY_SQL} AND {ALLOW_SQL}")
+def url_combined_filter(spark, sf):
+    return table(spark, sf, "pages").where(filters.passes_filters(F.col("url"), _seed_host(spark, sf), ALLOW, DENY)).select("page_id")
+
+
+@query(
+    "url_dedupe",
+    f"SELECT DISTINCT {norm_sql('u')} AS url FROM (SELECT url AS u FROM pages UNION ALL SELECT regexp_replace(url, '#.*$', '') || '#again' FROM pages) x WHERE {norm_sql('u')} NOT IN (SELECT {norm_sql('url')} FROM pages WHERE page_id % 7 = 0)",
+)
+def url_dedupe(spark, sf):
+    p = table(spark, sf, "pages")
+    again = p.select(F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"))
+    visited = p.where("page_id % 7 = 0").select(U.normalize_url(F.col("url")).alias("url"))
+    return crawl.new_links(p.select("url").unionByName(again), visited)
+
+
+BARE = [
+    ("https://example.com", True, "https://example.com/llms.txt"), ("https://example.com/", True, "https://example.com/llms.txt"), ("http://a.b:8080/?q=1", True, "http://a.b:8080/llms.txt"),
+    ("https://example.com/docs", False, "https://example.com/llms.txt"), ("https://example.com//", False, "https://example.com/llms.txt"),
+]
+BARE_VALUES = values(BARE, "url, bare, llms")
+
+
+@query("url_bare_domain_llms", f"SELECT url, bare, llms FROM {BARE_VALUES}")
+def url_bare_domain_llms(spark, sf):
+    u = F.col("url")
+    return fixture(spark, BARE_VALUES).select("url", U.is_bare_domain(u).alias("bare"), U.llms_url(u).alias("llms"))
+
+
+DDG = [
+    ("//duckduckgo.com/l/?uddg=https%3A%2F%2Fexample.com%2Fa%3Fb%3Dc&rut=x", "https://example.com/a?b=c"), ("https://example.com/direct", "https://example.com/direct"),
+    ("//duckduckgo.com/l/?uddg=&x=1", "//duckduckgo.com/l/?uddg=&x=1"), ("//duckduckgo.com/l/?x=1&uddg=http%3A%2F%2Fa.b%2F", "http://a.b/"),
+]
+DDG_VALUES = values(DDG, "href, want")
+
+
+@query("ddg_unwrap", f"SELECT href, want AS url FROM {DDG_VALUES}")
+def ddg_unwrap(spark, sf):
+    return fixture(spark, DDG_VALUES).select("href", U.unwrap_redirect(F.col("href")).alias("url"))
+
+
+@query("query_escape", "SELECT doc_id, replace(url_encode(text), '%20', '+') AS escaped FROM documents")
+def query_escape(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", U.query_escape(F.col("text")).alias("escaped"))
+
+
+# --- html -----------------------------------------------------------------
+
+TITLE_SQL = "replace(replace(replace(replace(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query("html_title", f"SELECT page_id, {TITLE_SQL} AS title FROM pages")
+def html_title(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.html_title(F.col("html")).alias("title"))
+
+
+LINKS_SQL = f"""SELECT page_id, pos::INTEGER AS pos, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS link FROM (
+SELECT page_id, url, unnest(h) AS href, unnest(range(len(h))) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages))"""
+
+
+@query("html_links", LINKS_SQL)
+def html_links(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.posexplode(H.extract_links(F.col("html"), F.col("url"))).alias("pos", "link"))
+
+
+@query("link_host_degree", f"SELECT {HOST_SQL.format(u='link')} AS host, count(*)::BIGINT AS links, count(DISTINCT page_id)::BIGINT AS pages FROM ({LINKS_SQL}) GROUP BY 1")
+def link_host_degree(spark, sf):
+    once = html_links(spark, sf).groupBy(U.url_host(F.col("link")).alias("host"), "page_id").agg(F.count("*").alias("n"))
+    return once.groupBy("host").agg(F.sum("n").alias("links"), F.count("*").alias("pages"))
+
+
+@query("html_visible_stats")
+def html_visible_stats(spark, sf):
+    s = table(spark, sf, "pages").select("page_id", H.html_signals(F.col("html")).alias("s"))
+    return s.select("page_id", "s.visible_bytes", "s.meaningful")
+
+
+@query("html_script_ratio", "SELECT page_id, coalesce(list_sum(list_transform(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), lambda x: strlen(x))), 0)::INTEGER AS script_bytes FROM pages")
+def html_script_ratio(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.html_signals(F.col("html"))["script_bytes"].alias("script_bytes"))
+
+
+_P = "<p>" + "Plain words of a page that says enough to be read without any script at all. " * 3 + "</p>"
+SHELLS = [
+    ("content", f"<html><body><article>{_P}</article></body></html>", "static", False, False, False),
+    ("noscript", '<html><body><noscript>You need to enable JavaScript to run this app.</noscript><div id="app"></div></body></html>', "likely_shell", False, True, True),
+    ("spa", '<html><body><div id="__next"></div><script>window.__NEXT_DATA__={}</script></body></html>', "likely_shell", True, False, False),
+    ("short", "<html><body><p>Hello.</p></body></html>", "ambiguous", False, False, False),
+    ("loading", f"<html><body><p>Loading the editor now. Please ensure JavaScript is on.</p>{_P}</body></html>", "likely_shell", False, False, True),
+    ("rendered", f'<html><body><div id="__next"><main>{_P}</main></div></body></html>', "static", True, False, False),
+    ("blocks", "<html><body><ul><li>one item of some length</li><li>two item of some length</li><li>three items of that length</li></ul><div id='app'></div></body></html>", "ambiguous", False, True, False),
+    ("scripts", "<html><body><p>Hi there</p><script>" + "x=1;" * 40 + "</script></body></html>", "likely_shell", False, False, False),
+]
+SHELL_VALUES = values(SHELLS, "name, html, label, spa, app, js")
+
+
+@query("js_detect_signals", f"SELECT name, spa, app, js FROM {SHELL_VALUES}")
+def js_detect_signals(spark, sf):
+    h = F.col("html")
+    return fixture(spark, SHELL_VALUES).select("name", H.has_spa_marker(h).alias("spa"), H.has_app_shell_marker(h).alias("app"), H.requires_javascript(h).alias("js"))
+
+
+@query("js_detect_label", f"SELECT name, label FROM {SHELL_VALUES}")
+def js_detect_label(spark, sf):
+    s = fixture(spark, SHELL_VALUES).withColumn("s", H.html_signals(F.col("html")))
+    return s.select("name", H.detect_js_shell(F.col("s"), F.col("html")).alias("label"))
+
+
+@query("js_detect_pages")
+def js_detect_pages(spark, sf):
+    s = table(spark, sf, "pages").withColumn("s", H.html_signals(F.col("html")))
+    return s.select("page_id", H.detect_js_shell(F.col("s"), F.col("html")).alias("label"))
+
+
+@query(
+    "host_shell_rate",
+    f"""SELECT host, count(*)::BIGINT AS total, sum(CASE WHEN page_id % 10 < 9 AND host LIKE '%.org' THEN 1 ELSE 0 END)::BIGINT AS shells,
+count(*) >= 10 AND sum(CASE WHEN page_id % 10 < 9 AND host LIKE '%.org' THEN 1 ELSE 0 END)::DOUBLE / count(*) > 0.8 AS force_render
+FROM (SELECT page_id, {HOST_SQL.format(u='url')} AS host FROM pages) GROUP BY 1""",
+)
+def host_shell_rate(spark, sf):
+    shell = (F.col("page_id") % 10 < 9) & U.url_host(F.col("url")).endswith(".org")
+    return crawl.host_stats(table(spark, sf, "pages").select("url", F.when(shell, "likely_shell").otherwise("static").alias("js_detection")))
+
+
+@query("extract_main")
+def extract_main(spark, sf):
+    m = table(spark, sf, "pages").select("page_id", H.extract_main(F.col("url"), F.col("html")).alias("m"))
+    return m.select("page_id", "m.title", "m.markdown", "m.error")
+
+
+@query("extract_selector")
+def extract_selector(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.extract_selector(F.col("html"), "article > h1, nav a[href]").alias("markdown"))
+
+
+@query("html_markdown")
+def html_markdown(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+# --- text -----------------------------------------------------------------
+
+
+def strip_sql(col: str) -> str:
+    """strip_markdown in DuckDB's dialect; texts with fences go through the same sentinels."""
+    fences = f"regexp_extract_all({col}, '(?s)```.*?```')"
+    out = f"list_reduce(list_prepend({col}, list_transform(range(len({fences})), lambda i: chr(1) || i::VARCHAR)), lambda s, m: regexp_replace(s, '(?s)```.*?```', m || chr(1)))"
+    for pattern, new in (
+        (r"\*\*(.+?)\*\*", r"\1"), (r"__(.+?)__", r"\1"), (r"\*([^\s*\n][^*\n]*?)\*", r"\1"), (r"_([^_\n]+?)_", r"\1"),
+        (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"(?m)^#{1,6}\s+(.+)$", r"\1"), ("`([^`]+)`", r"\1"),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    return f"list_reduce(list_prepend({out}, list_transform(range(len({fences})), lambda i: i::VARCHAR)), lambda s, i: replace(s, chr(1) || i || chr(1), {fences}[i::BIGINT + 1]))"
+
+
+@query("strip_markdown", f"SELECT doc_id, {strip_sql('text')} AS stripped FROM documents")
+def strip_markdown(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.strip_markdown(F.col("text")).alias("stripped"))
+
+
+STRIP = [
+    ("**bold**", "bold"), ("a **b** c **d**", "a b c d"), ("*it* and _al_", "it and al"), ("`x`", "x"), ("[t](http://u)", "t"), ("![alt](src) z", " z"), ("# H", "H"), ("### H **b**", "H b"),
+    ("* item * more", "* item * more"), ("- *x* y", "- x y"), ("```\n**keep** _me_\n```\n**b**", "```\n**keep** _me_\n```\nb"), ("**_n_**", "n"), ("snake_case_name", "snakecasename"), ("__u__ ![i](j)[k](l)", "u k"),
+]
+STRIP_VALUES = values(STRIP, "s, want")
+
+
+@query("strip_markdown_cases", f"SELECT s, want AS stripped FROM {STRIP_VALUES}")
+def strip_markdown_cases(spark, sf):
+    return fixture(spark, STRIP_VALUES).select("s", T.strip_markdown(F.col("s")).alias("stripped"))
+
+
+GO_NOT_SPACE = r"[^\s\x0b\x{85}\p{Z}]+"
+
+
+@query("word_count", f"SELECT doc_id, len(regexp_extract_all(text, '{GO_NOT_SPACE}'))::BIGINT AS words FROM documents")
+def word_count(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"))
+
+
+@query("normalize_whitespace", f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{GO_NOT_SPACE}'), ' ') AS squeezed FROM documents")
+def normalize_whitespace(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("squeezed"))
+
+
+@query("truncate", "SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || chr(10) || chr(10) || '[truncated]' ELSE text END AS cut FROM documents")
+def truncate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.truncate_content(F.col("text"), 120).alias("cut"))
+
+
+@query("post_process", f"SELECT doc_id, CASE WHEN length(s) > 200 THEN substr(s, 1, 200) || chr(10) || chr(10) || '[truncated]' ELSE s END AS processed FROM (SELECT doc_id, {strip_sql('text')} AS s FROM documents)")
+def post_process(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.post_process(F.col("text"), True, 200).alias("processed"))
+
+
+FIRST_SQL = "coalesce(list_filter(list_transform(string_split({t}, chr(10)), lambda l: regexp_replace(l, '^[\\s\\x0b\\x{{85}}\\p{{Z}}]+|[\\s\\x0b\\x{{85}}\\p{{Z}}]+$', '', 'g')), lambda l: l <> '')[1], '')"
+
+
+@query("first_line", f"SELECT doc_id, {FIRST_SQL.format(t='text')} AS line FROM documents")
+def first_line(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.first_line(F.col("text")).alias("line"))
+
+
+@query("content_hash", "SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents")
+def content_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
+
+
+@query("cache_key", "SELECT page_id, substr(sha256(url), 1, 16) AS key FROM pages")
+def cache_key(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.cache_key(F.col("url")).alias("key"))
+
+
+@query(
+    "matched_line",
+    "SELECT doc_id, trim(regexp_extract(substr(text, 1, o), '[^' || chr(10) || ']*$') || regexp_extract(substr(text, o + 1), '^[^' || chr(10) || ']*')) AS line FROM (SELECT doc_id, text, (length(text) * 3) // 5 AS o FROM documents)",
+)
+def matched_line(spark, sf):
+    d = table(spark, sf, "documents").withColumn("o", F.expr("cast(length(text) * 3 div 5 as int)"))
+    return d.select("doc_id", T.matched_line(F.col("text"), F.col("o")).alias("line"))
+
+
+@query(
+    "format_bytes",
+    "SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f MB', n::DOUBLE / 1048576) WHEN n >= 1024 THEN printf('%.1f KB', n::DOUBLE / 1024) ELSE n || ' B' END AS size FROM (SELECT doc_id, n_chars * (1 + doc_id % 3 * 300) AS n FROM documents)",
+)
+def format_bytes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.format_bytes(F.col("n_chars") * (1 + F.col("doc_id") % 3 * 300)).alias("size"))
+
+
+VERSIONS = [
+    ("v1.2.3", "1.2.4", -1), ("1.10.0", "v1.9.9", 1), ("v1.0.0", "1.0.0", 0), ("dev", "1.0.0", 0), ("1.2.3-rc1", "1.2.3", 0), ("1.2", "1.2.3", 0), ("2.0.0+x", "1.9.9", 1), ("a.b.c", "1.2.3", 0), (" v0.9.1 ", "0.10.0", -1),
+]
+VERSION_VALUES = values(VERSIONS, "a, b, want")
+
+
+@query("version_compare", f"SELECT a, b, want AS cmp FROM {VERSION_VALUES}")
+def version_compare(spark, sf):
+    return fixture(spark, VERSION_VALUES).select("a", "b", T.compare_versions(F.col("a"), F.col("b")).alias("cmp"))
+
+
+@query(
+    "staleness",
+    f"SELECT event_id, {NOW} - floor(epoch(ts))::BIGINT >= 86400 AND {NOW} - (floor(epoch(ts))::BIGINT + user_id) >= 21600 AS due, {NOW} - floor(epoch(ts))::BIGINT > 259200 AS expired FROM events",
+)
+def staleness(spark, sf):
+    t = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    return table(spark, sf, "events").select("event_id", T.check_is_due(F.lit(NOW), t, t + F.col("user_id")).alias("due"), T.expired(F.lit(NOW), t, 259_200).alias("expired"))
+
+
+# --- cache ----------------------------------------------------------------
+
+
+def _page_cache(spark, sf):
+    """Every third page of the table, cached at a time told by its id."""
+    p = table(spark, sf, "pages").where("page_id % 3 = 0")
+    page = F.struct("url", F.lit("").alias("title"), F.col("html").alias("markdown"), F.lit("").alias("etag"), F.lit("").alias("last_modified"), T.content_hash(F.col("html")).alias("content_hash"))
+    return p.select(T.cache_key(F.col("url")).alias("key"), (F.lit(NOW) - F.col("page_id") * 1000).alias("t"), page.alias("p"))
+
+
+@query("cache_lookup_ttl", f"SELECT page_id, url, page_id % 3 = 0 AND page_id * 1000 <= 150000 AS hit FROM pages")
+def cache_lookup_ttl(spark, sf):
+    got = cache.lookup(table(spark, sf, "pages").select("page_id", "url"), _page_cache(spark, sf), F.lit(NOW), 150_000)
+    return got.select("page_id", "url", F.col("hit").isNotNull().alias("hit"))
+
+
+@query(
+    "cache_upsert_latest",
+    "SELECT substr(sha256(event_type || user_id::VARCHAR), 1, 16) AS key, max(floor(epoch(ts))::BIGINT) AS t, count(*)::BIGINT AS writes FROM events GROUP BY 1",
+)
+def cache_upsert_latest(spark, sf):
+    e = table(spark, sf, "events").withColumn("url", F.concat("event_type", F.col("user_id").cast("string")))
+    rows = e.select(T.cache_key(F.col("url")).alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), F.struct("url").alias("p"))
+    return cache.latest(rows).select("key", "t").join(rows.groupBy("key").agg(F.count("*").alias("writes")), "key")
+
+
+@query("cache_stats", "SELECT count(*)::BIGINT AS entries, count(DISTINCT url)::BIGINT AS urls FROM pages WHERE page_id % 3 = 0")
+def cache_stats(spark, sf):
+    c = _page_cache(spark, sf)
+    return cache.stats(c).select("entries").join(c.agg(F.countDistinct("p.url").alias("urls")))
+
+
+@query(
+    "change_detect",
+    "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'new' WHEN page_id % 2 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM pages",
+)
+def change_detect(spark, sf):
+    p = table(spark, sf, "pages")
+    now = F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+    return cache.change_status(p.select("page_id", "url", T.content_hash(now).alias("content_hash")), _page_cache(spark, sf)).select("page_id", "status")
+
+
+# --- fetch and crawl --------------------------------------------------------
+
+SITE = "http://site.test"
+
+
+def _graph(spark, sf):
+    """Page i links to 2i + 1, 2i + 2 and back to i div 2; urls carry what normalisation takes away."""
+    p = table(spark, sf, "pages").select("page_id")
+    link = lambda e: F.format_string(f"{SITE}/p/%d?utm_source=x#top", e)
+    i = F.col("page_id")
+    return p.select(F.format_string(f"{SITE}/p/%d/", i).alias("url"), F.array(link(2 * i + 1), link(2 * i + 2), link(F.expr("page_id div 2"))).alias("links"))
+
+
+def _bfs_sql(depth: int, where: str = "TRUE", cached: str = "FALSE") -> str:
+    return f"""WITH RECURSIVE n AS (SELECT page_id AS i FROM pages), e AS (SELECT i AS a, unnest([2 * i + 1, 2 * i + 2, i // 2]) AS b FROM n),
+r AS (SELECT 0::BIGINT AS i, 0 AS d UNION SELECT b, d + 1 FROM r JOIN e ON r.i = e.a WHERE d < {depth} AND ({where.replace('#', 'b')}) AND NOT ({cached.replace('#', 'a')})),
+m AS (SELECT i, min(d)::INTEGER AS depth FROM r GROUP BY 1)
+SELECT '{SITE}/p/' || i AS url, depth, CASE WHEN {cached.replace('#', 'i')} THEN 'unchanged' WHEN i IN (SELECT i FROM n) THEN 'new' END AS status,
+CASE WHEN depth = 0 THEN 'seed' ELSE 'link' END AS source, CASE WHEN i NOT IN (SELECT i FROM n) THEN 'no snapshot of {SITE}/p/' || i END AS error FROM m"""
+
+
+def _crawled(spark, sf, **options):
+    return crawl.crawl(spark, [f"{SITE}/p/0/"], _graph(spark, sf), **options).drop("js_detection")
+
+
+@query("crawl_bfs", _bfs_sql(6))
+def crawl_bfs(spark, sf):
+    return _crawled(spark, sf, depth=6)
+
+
+@query("crawl_bfs_filtered", _bfs_sql(8, "NOT regexp_matches('/p/' || #, '7$|/p/5')"))
+def crawl_bfs_filtered(spark, sf):
+    return _crawled(spark, sf, depth=8, deny=("7$", "/p/5"), allow=("/p/",))
+
+
+@query("crawl_warm_cache", _bfs_sql(5, cached="# in (2, 3, 9)"))
+def crawl_warm_cache(spark, sf):
+    rows = spark.createDataFrame([(f"{SITE}/p/{i}",) for i in (2, 3, 9)], "url string")
+    held = rows.select(T.cache_key(F.col("url")).alias("key"), F.lit(NOW).cast("long").alias("t"), F.struct("url").alias("p"))
+    return _crawled(spark, sf, depth=5, cache=held, now=F.lit(NOW))
+
+
+@query("crawl_status_counters", f"SELECT count(*)::BIGINT AS pages, count(*) FILTER (status = 'new')::BIGINT AS new, 0::BIGINT AS changed, count(*) FILTER (status = 'unchanged')::BIGINT AS unchanged, count(error)::BIGINT AS errors FROM ({_bfs_sql(8)})")
+def crawl_status_counters(spark, sf):
+    return crawl.counters(_crawled(spark, sf, depth=8))
+
+
+@query("crawl_summary", f"SELECT count(*) - count(error)::BIGINT AS pages, count(*) FILTER (status = 'new')::BIGINT AS new, 0::BIGINT AS changed, 0::BIGINT AS unchanged, count(error)::BIGINT AS errors FROM ({_bfs_sql(8)})")
+def crawl_summary(spark, sf):
+    return crawl.summary(_crawled(spark, sf, depth=8))
+
+
+MAPS = [
+    (f"{SITE}/sitemap.xml", 200, f"<?xml version='1.0'?><sitemapindex><sitemap><loc>{SITE}/a.xml</loc></sitemap><sitemap><loc>{SITE}/gone.xml</loc></sitemap><sitemap><loc>{SITE}/sitemap.xml</loc></sitemap></sitemapindex>"),
+    (f"{SITE}/a.xml", 200, f"<urlset><url><loc>{SITE}/p/3</loc></url><url><loc>{SITE}/p/4/</loc><priority>1</priority></url><url><loc></loc></url><url><loc>http://other.test/x</loc></url></urlset>"),
+]
+MAP_VALUES = values(MAPS, "url, status, body")
+PAGE_OF = "'<html><body><a href=\"/p/' || (2 * page_id + 1) || '\">a</a> <a href=\"../p/' || (page_id // 2) || '#x\">b</a></body></html>'"
+
+
+@query(
+    "crawl_sitemap",
+    f"""WITH RECURSIVE n AS (SELECT page_id AS i FROM pages), e AS (SELECT i AS a, unnest([2 * i + 1, i // 2]) AS b FROM n),
+r AS (SELECT unnest([3, 4])::BIGINT AS i, 0 AS d UNION SELECT b, d + 1 FROM r JOIN e ON r.i = e.a WHERE d < 2)
+SELECT '{SITE}/p/' || i AS url, min(d)::INTEGER AS depth, CASE WHEN min(d) = 0 THEN 'sitemap' ELSE 'link' END AS source FROM r GROUP BY i""",
+)
+def crawl_sitemap(spark, sf):
+    maps = fixture(spark, MAP_VALUES).select("url", "status", "body")
+    body = F.expr(PAGE_OF.replace("//", " div "))
+    pages = table(spark, sf, "pages").select(F.format_string(f"{SITE}/p/%d", "page_id").alias("url"), F.lit(200).alias("status"), body.alias("body"))
+    return crawl.crawl_sitemap(spark, f"{SITE}/sitemap.xml", maps.unionByName(pages), depth=2).select("url", "depth", "source")
+
+
+@query("sitemap_urls", f"SELECT unnest(['{SITE}/p/3', '{SITE}/p/4/', 'http://other.test/x']) AS url")
+def sitemap_urls(spark, sf):
+    return crawl.expand_sitemap(fixture(spark, MAP_VALUES), f"{SITE}/sitemap.xml")
+
+
+@query(
+    "fetch_left_join_errors",
+    """SELECT f.url, CASE WHEN page_id IS NULL THEN 'no snapshot of ' || f.url WHEN page_id % 5 = 0 THEN 'HTTP 404 for ' || f.url END AS error, CASE WHEN page_id % 5 <> 0 THEN strlen(html) END::BIGINT AS bytes
+FROM (SELECT url FROM pages UNION ALL SELECT 'http://missing.test/' || page_id FROM pages WHERE page_id % 10 = 0) f LEFT JOIN pages p ON f.url = p.url""",
+)
+def fetch_left_join_errors(spark, sf):
+    p = table(spark, sf, "pages")
+    frontier = p.select("url").unionByName(p.where("page_id % 10 = 0").select(F.format_string("http://missing.test/%d", "page_id").alias("url")))
+    snapshot = p.select("url", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status"), F.col("html").alias("body"))
+    return fetch.fetch(frontier, snapshot).select("url", "error", F.octet_length("body").cast("long").alias("bytes"))
+
+
+@query("fetch_conditional", "SELECT url, page_id % 2 = 0 AS not_modified, CASE WHEN page_id % 2 <> 0 THEN strlen(html) END::BIGINT AS bytes FROM pages")
+def fetch_conditional(spark, sf):
+    p = table(spark, sf, "pages")
+    tag = F.concat(F.lit("e"), F.col("page_id").cast("string"))
+    asked = p.select("url", F.when(F.col("page_id") % 2 == 0, tag).otherwise(F.lit("old")).alias("etag"), F.lit("").alias("last_modified"))
+    snapshot = p.select("url", F.lit(200).alias("status"), F.col("html").alias("body"), tag.alias("etag"), F.lit("").alias("last_modified"))
+    return fetch.fetch_conditional(asked, snapshot).select("url", "not_modified", F.octet_length("body").cast("long").alias("bytes"))
+
+
+@query("render_fallback", f"SELECT name, CASE WHEN label = 'likely_shell' AND name <> 'scripts' THEN '<p>rendered ' || name || '</p>' ELSE html END AS html, label AS js_detection FROM {SHELL_VALUES}")
+def render_fallback(spark, sf):
+    p = fixture(spark, SHELL_VALUES).select("name", F.col("name").alias("url"), F.col("html").alias("body"))
+    rendered = p.where("name <> 'scripts'").select("url", F.concat(F.lit("<p>rendered "), "name", F.lit("</p>")).alias("html"))
+    return fetch.render_fallback(p, rendered).select("name", "html", "js_detection")
+
+
+LLMS = [
+    ("https://a.test", 200, "text/html", "<p>page a</p>"), ("https://a.test/llms.txt", 200, "text/plain; charset=utf-8", "# a for machines"),
+    ("https://b.test/", 200, "text/html", "<p>page b</p>"), ("https://b.test/llms.txt", 200, "text/html", "<p>not plain</p>"), ("https://c.test/x", 200, "text/html", "<h1>c</h1>"), ("https://d.test/", 500, "text/html", ""),
+]
+LLMS_VALUES = values(LLMS, "url, status, content_type, body")
+LLMS_WANT = values([("https://a.test", "llms.txt", "# a for machines", None), ("https://b.test/", "", "page b", None), ("https://c.test/x", "", "# c", None), ("https://d.test/", None, None, "HTTP 500 for https://d.test/")], "url, title, markdown, error")
+
+
+@query("scrape_llms", f"SELECT * FROM {LLMS_WANT}")
+def scrape_llms(spark, sf):
+    snapshot = fixture(spark, LLMS_VALUES)
+    asked = snapshot.where("url not like '%llms.txt'").select("url")
+    return fetch.scrape(asked, snapshot).select("url", "title", "markdown", "error")
+
+
+@query("scrape_selector", "SELECT * FROM " + values([("https://a.test", "page a", None), ("https://c.test/x", "", "no match for selector in https://c.test/x")], "url, markdown, error"))
+def scrape_selector(spark, sf):
+    snapshot = fixture(spark, LLMS_VALUES)
+    return fetch.scrape(snapshot.where("url in ('https://a.test', 'https://c.test/x')").select("url"), snapshot, selector="p").select("url", "markdown", "error")
+
+
+# --- search ---------------------------------------------------------------
+
+
+@query(
+    "search_json_topk",
+    "SELECT backend, query_id, pos::INTEGER AS pos, title, url, description FROM (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, lang AS title, 'http://d/' || doc_id AS url, substr(text, 1, 40) AS description FROM documents), (SELECT unnest(['brave', 'searxng']) AS backend) WHERE pos < 5",
+)
+def search_json_topk(spark, sf):
+    d = table(spark, sf, "documents").select("source", "doc_id", F.col("lang").alias("title"), F.format_string("http://d/%d", "doc_id").alias("url"), F.substring("text", 1, 40).alias("d"))
+    top = d.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).where("pos < 8")
+    out = None
+    for backend, field in (("brave", "description"), ("searxng", "content")):
+        hit = F.struct("title", "url", F.col("d").alias(field))
+        rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", hit.alias("h")))), lambda x: x["h"])
+        body = F.to_json(F.struct(F.struct(rows.alias("results")).alias("web")) if backend == "brave" else F.struct(rows.alias("results")))
+        payloads = top.groupBy(F.col("source").alias("query_id")).agg(body.alias("body"))
+        got = web.web_results(payloads, backend, 5).withColumn("backend", F.lit(backend))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+DDG_PAGE = (
+    "<html><body><div class='result web'><h2 class='result__title'><a class='result__a' href='//duckduckgo.com/l/?uddg=https%3A%2F%2Fone.test%2F'>One &amp; only</a></h2><a class='result__snippet'>First snippet</a></div>"
+    "<div class='result'><h2 class='result__title'><a class='result__a' href=''>No link</a></h2></div>"
+    "<div class='result'><h2 class='result__title'><a class='result__a' href='https://two.test/x'>Two</a></h2></div>"
+    "<div class='result'><h2 class='result__title'><a class='result__a' href='https://three.test/'>Three</a></h2><div class='result__snippet'>Third</div></div></body></html>"
+)
+DDG_PAYLOAD = values([(1, DDG_PAGE), (2, "<p>nothing</p>")], "query_id, body")
+DDG_WANT = values([(1, 0, "One & only", "https://one.test/", "First snippet"), (1, 1, "Two", "https://two.test/x", "")], "query_id, pos, title, url, description")
+
+
+@query("search_html_results", f"SELECT * FROM {DDG_WANT}")
+def search_html_results(spark, sf):
+    return web.web_results(fixture(spark, DDG_PAYLOAD), "ddg", 2)
+
+
+TRIES = [
+    (1, 1, 202, "wait"), (1, 2, 202, "wait"), (1, 3, 200, "ok1"), (2, 1, 200, "ok2"), (3, 1, 500, "bad"), (3, 2, 200, "late"), (4, 1, 202, "w"), (4, 2, 202, "w"), (4, 3, 202, "w"), (4, 4, 200, "too late"),
+]
+TRY_VALUES = values(TRIES, "request_id, attempt, status, body")
+TRY_WANT = values([(1, 3, 200, "ok1", None), (2, 1, 200, "ok2", None), (3, 1, 500, None, "search returned status 500"), (4, 3, 202, None, "search returned status 202")], "request_id, attempt, status, body, error")
+
+
+@query("search_retry", f"SELECT * FROM {TRY_WANT}")
+def search_retry(spark, sf):
+    return web.settle_attempts(fixture(spark, TRY_VALUES))
+
+
+def _searched(spark, sf, keep: bool):
+    p = table(spark, sf, "pages")
+    results = p.select("url", F.lit("t").alias("title")).unionByName(p.where("page_id % 4 = 0").select(F.format_string("http://gone.test/%d", "page_id").alias("url"), F.lit("t").alias("title")))
+    pages = p.where("page_id % 2 = 0").select("url", F.format_string("p%d", "page_id").alias("page_title"), F.format_string("**body** %d", "page_id").alias("markdown"))
+    return web.scrape_results(results, pages, keep, trim=True).select("url", "content")
+
+
+_SCRAPED = "SELECT r.url, CASE WHEN p.page_id IS NOT NULL THEN 'body ' || p.page_id END AS content FROM (SELECT url FROM pages UNION ALL SELECT 'http://gone.test/' || page_id FROM pages WHERE page_id % 4 = 0) r {how} JOIN (SELECT * FROM pages WHERE page_id % 2 = 0) p ON r.url = p.url"
+
+
+@query("search_scrape_left", _SCRAPED.format(how="LEFT"))
+def search_scrape_left(spark, sf):
+    return _searched(spark, sf, True)
+
+
+@query("search_scrape_inner", _SCRAPED.format(how="INNER"))
+def search_scrape_inner(spark, sf):
+    return _searched(spark, sf, False)
+
+
+def _match(repo: str, kind: str = "content", lines: str = '[{"line":"x := 1","lineNumber":7},{"line":"y","lineNumber":9}]') -> str:
+    return f'{{"type":"{kind}","repository":"{repo}","path":"a/b.go","language":"Go","repoStars":5,"lineMatches":{lines}}}'
+
+
+SSE = f"event: progress\ndata: [{_match('skip')}]\n\nevent: matches\ndata: [{_match('r1')},{_match('r2', 'path')},{_match('r3', lines='[]')}]\ndata: not json\n\ndata: [{_match('r4')}]\nevent: done\ndata: [{_match('r5')}]\nevent:matches\ndata:[{_match('r6')},{_match('r7')}]"
+SSE_VALUES = values([(1, SSE), (2, "event: matches"), (3, SSE.replace("r1", "q1"))], "response_id, body")
+SSE_WANT = values(
+    [(i, k, r, "a/b.go", 7, "x := 1", "Go", 5, f"https://sourcegraph.com/{r}/-/blob/a/b.go#L7", "sourcegraph") for i, rs in ((1, ("r1", "r4", "r6")), (3, ("q1", "r4", "r6"))) for k, r in enumerate(rs)],
+    "response_id, pos, repo, path, line, snippet, language, stars, url, source",
+)
+
+
+@query("code_sse_parse", f"SELECT * FROM {SSE_WANT}")
+def code_sse_parse(spark, sf):
+    return code.code_results(fixture(spark, SSE_VALUES), "sourcegraph", 3)
+
+
+def _item(repo: str, node: str, fragment: str | None, at: int | None) -> str:
+    m = "" if fragment is None else f',"text_matches":[{{"fragment":"{fragment}","matches":[{f"{{~indices~:[{at}]}}".replace("~", chr(34)) if at is not None else ""}]}}]'
+    return f'{{"path":"p.go","html_url":"http://h/{repo}","repository":{{"full_name":"{repo}","node_id":"{node}"}}{m}}}'
+
+
+GITHUB = '{"items":[' + ",".join([_item("a/one", "N1", "first|  second hit |third".replace("|", "\\n"), 9), _item("b/two", "N2", " | only ".replace("|", "\\n"), None), _item("c/three", "N1", None, None), _item("d/four", "N4", "x", 0)]) + "]}"
+GITHUB_ROWS = [("a/one", "second hit", 11), ("b/two", "only", 0), ("c/three", "", 11)]
+STARS_VALUES = values([("N1", 11), ("N9", 3)], "node_id, stars")
+GITHUB_WANT = values([(1, k, r, "p.go", 0, s, "", n, f"http://h/{r}", "github") for k, (r, s, n) in enumerate(GITHUB_ROWS)], "response_id, pos, repo, path, line, snippet, language, stars, url, source")
+
+
+@query("code_github_stars", f"SELECT * FROM {GITHUB_WANT}")
+def code_github_stars(spark, sf):
+    bodies = spark.createDataFrame([(1, GITHUB)], "response_id int, body string")
+    return code.code_results(bodies, "github", 3, fixture(spark, STARS_VALUES))
+
+
+@query("code_star_ids", "SELECT 1 AS response_id, 'N1,N2,N1,N4' AS ids")
+def code_star_ids(spark, sf):
+    return code.star_ids(spark.createDataFrame([(1, GITHUB)], "response_id int, body string")).select("response_id", F.array_join("ids", ",").alias("ids"))
+
+
+REWRITES = [
+    ("foo", "go", "foo lang:go archived:no fork:no", "foo language:go"), ("foo archived:yes", "", "foo archived:yes fork:no", "foo archived:yes"), ("x language:c fork:only", "rust", "x language:c fork:only lang:rust archived:no", "x language:c fork:only"),
+    ("y", None, "y archived:no fork:no", "y"),
+]
+REWRITE_VALUES = values(REWRITES, "q, lang, sg, gh")
+
+
+@query("code_query_rewrite", f"SELECT q, sg, gh FROM {REWRITE_VALUES}")
+def code_query_rewrite(spark, sf):
+    q, lang = F.col("q"), F.col("lang")
+    return fixture(spark, REWRITE_VALUES).select("q", U.build_query("sourcegraph", q, lang).alias("sg"), U.build_query("github", q, lang).alias("gh"))
+
+
+LIBS = '{"results":[{"id":"/l/one","title":"One","description":"d","totalSnippets":3,"trustScore":9.5,"versions":["v1"]},{"id":"/l/two","title":"Two"}]}'
+DOCS = '{"codeSnippets":[{"codeTitle":"T1","codeId":"c1","codeList":[{"language":"go","code":"x"},{"code":"y"}]},{"codeTitle":"T2","codeId":"c2"}],"infoSnippets":[{"breadcrumb":"A > B","pageId":"i1","content":"info"}]}'
+DOCS_VALUES = values([(1, "/l/one", DOCS), (2, "/l/two", '{"infoSnippets":[]}')], "response_id, library, body")
+DOCS_WANT = [(0, 0, "T1", "", "x", "c1"), (0, 1, "T2", "", "", "c2"), (1, 0, "A > B", "A > B", "info", "i1")]
+
+
+@query("docs_union", "SELECT * FROM " + values([(1, p, k, "/l/one", t, b, s, u, "context7") for p, k, t, b, s, u in DOCS_WANT], "response_id, part, k, library, title, breadcrumb, snippet, url, source"))
+def docs_union(spark, sf):
+    return docs.docs_results(fixture(spark, DOCS_VALUES))
+
+
+@query("docs_top_library", "SELECT * FROM " + values([(7, p, t, s) for p, _, t, _, s, _ in DOCS_WANT], "response_id, part, title, snippet"))
+def docs_top_library(spark, sf):
+    resolved = fixture(spark, values([(7, LIBS), (8, '{"results":[]}')], "response_id, body"))
+    return docs.search(resolved, fixture(spark, DOCS_VALUES).select("library", "body")).select("response_id", "part", "title", "snippet")
+
+
+# --- output ---------------------------------------------------------------
+
+WORDS_SQL = f"len(regexp_extract_all(text, '{GO_NOT_SPACE}'))"
+
+
+@query(
+    "out_frontmatter",
+    f"SELECT doc_id, concat_ws(chr(10), '---', 'url: http://d/' || doc_id, 'title: ' || source, 'words: ' || {WORDS_SQL}, 'status: new', 'source: link', '---', text) AS page FROM documents",
+)
+def out_frontmatter(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", encode.crawl_text(F.format_string("http://d/%d", "doc_id"), F.col("source"), F.col("text"), F.lit("new"), F.lit("link")).alias("page"))
+
+
+@query("out_tsv", f"SELECT doc_id, concat_ws(chr(9), 'http://d/' || doc_id, source, {FIRST_SQL.format(t='text')}) AS line FROM documents")
+def out_tsv(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", encode.code_line(F.format_string("http://d/%d", "doc_id"), F.col("source"), F.col("text")).alias("line"))
+
+
+@query("out_jsonl")
+def out_jsonl(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", encode.crawl_json(F.format_string("http://d/%d", "doc_id"), F.col("source"), F.col("text"), F.lit("new"), F.lit("seed")).alias("json"))
+
+
+@query("out_json_array")
+def out_json_array(spark, sf):
+    return encode.json_array(fixture(spark, values([(2, "b", None), (1, "<a>", None), (3, "c", "failed")], "idx, url, error")), "idx", ["url"])
+
+
+@query(
+    "out_entries",
+    "SELECT * FROM " + values([("code", "r  p  (line 3)  ★ 9\n  s\n  u\n"), ("code0", "r  p\n  u\n"), ("docs", "[B]\n  s\n  source: u\n"), ("search", "t\n  u\n  d\n"), ("summary", "---\nseed: s\npages: 2\nduration: 1.5s\n---")], "kind, entry"),
+)
+def out_entries(spark, sf):
+    x = lambda s: F.lit(s)
+    rows = {
+        "code": encode.code_entry(x("r"), x("p"), x(3), x(9), x("s"), x("u")), "code0": encode.code_entry(x("r"), x("p"), x(0), x(0), x(""), x("u")), "docs": encode.docs_entry(x("T"), x("B"), x("s"), x("u")),
+        "search": encode.search_entry(x("t"), x("u"), x("d")), "summary": encode.summary_text(x("s"), ("pages",), x(1.5)),
+    }
+    one = spark.range(1).select(F.lit(2).alias("pages"))
+    return one.select(F.explode(F.array(*[F.struct(x(k).alias("kind"), v.alias("entry")) for k, v in rows.items()])).alias("r")).select("r.*")
+
+
+@query("crawl_status_table", "SELECT 'c_1  running    http://s                                  pages=3      now' AS line")
+def crawl_status_table(spark, sf):
+    x = F.lit
+    return spark.range(1).select(encode.status_line(x("c_1"), x("running"), x("http://s"), x(3), x("now")).alias("line"))
+
+
+@query("line_list_scan", "SELECT url FROM " + values([("https://a.test",), ("https://a.test",), ("b",)], "url"))
+def line_list_scan(spark, sf):
+    return inputs.line_list(fixture(spark, values([("  https://a.test\t",), ("# no",), ("",), ("   ",), ("https://a.test",), ("b",)], "value")))
+
+
+@query("config_merge", "SELECT 'ddg' AS backend, '72h' AS cache_ttl, 9 AS lim")
+def config_merge(spark, sf):
+    user = fixture(spark, values([("ddg", None, 9)], "backend, cache_ttl, lim"))
+    default = fixture(spark, values([("brave", "72h", 5)], "backend, cache_ttl, lim"))
+    return inputs.merge_config(user, default, ("backend", "cache_ttl", "lim"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url")
+    """Host rollup of normalised page urls with titles' and pages' words."""
+    p = table(spark, sf_dir, "pages")
+    page = p.select(U.normalize_url(F.col("url")).alias("url"), H.html_signals(F.col("html")).alias("s"))
+    rows = page.select(U.url_host(F.col("url")).alias("host"), "url", T.word_count(F.col("s.title")).alias("tw"), T.word_count(F.col("s.visible")).alias("vw"))
+    return rows.groupBy("host").agg(F.count("*").alias("pages"), F.sum("tw").alias("title_words"), F.sum("vw").alias("visible_words"))
