@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.llm.common import arrow_map, bytes_column, materialize, small_batches, words_of
 from webloom.llm.quality import labelled_sample
@@ -44,20 +46,20 @@ def fit_domains(rows: list[tuple[bytes | None, str]], terms: int = TERMS) -> Dom
     names = sorted({y for _, y in rows}) or ["all"]
     sets = [set(words_of(t)) for t, _ in rows]
     y = np.array([names.index(d) for _, d in rows], np.int64)
-    counts: dict[bytes, np.ndarray] = {}
+    seen = Counter(w for s in sets for w in s)
+    counts = {w: np.zeros(len(names)) for w, n in seen.items() if n >= 3}
+    del seen
     for s, d in zip(sets, y, strict=True):
         for w in s:
-            if w not in counts:
-                counts[w] = np.zeros(len(names))
-            counts[w][d] += 1
+            if w in counts:
+                counts[w][d] += 1
     total = np.bincount(y, minlength=len(names)).astype(float)
     best = []
     if len(names) > 1:
         share = total / total.sum()
         for w, c in counts.items():
             n = c.sum()
-            if n >= 3:
-                best.append((-float((((c - n * share) ** 2) / (n * share)).sum()), w))
+            best.append((-float((((c - n * share) ** 2) / (n * share)).sum()), w))
     chosen = {w: i for i, (_, w) in enumerate(sorted(best)[:terms])}
     x = np.zeros((len(rows), len(chosen)))
     for r, s in enumerate(sets):
@@ -86,7 +88,7 @@ def _quantised(p: np.ndarray) -> np.ndarray:
     return q
 
 
-def memberships(docs: DataFrame, model: Domains) -> DataFrame:
+def memberships(docs: DataFrame, model: Domains, keep_text: bool = False) -> DataFrame:
     """Adds ``__tokens`` (words) and ``__p`` (posteriors in STEPS, array by domain): one pass, no shuffle."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -100,12 +102,13 @@ def memberships(docs: DataFrame, model: Domains) -> DataFrame:
                 words = words_of(t)
                 sizes.append(len(words))
                 ps.append(_quantised(m.posterior(words)).tolist())
-            keep = [i for i, n in enumerate(b.schema.names) if n != "text"]
+            keep = [i for i, n in enumerate(b.schema.names) if keep_text or n != "text"]
             cols = [b.column(i) for i in keep] + [pa.array(sizes, pa.int64()), pa.array(ps, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, [b.schema.names[i] for i in keep] + ["__tokens", "__p"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return arrow_map(docs, run, f"{kept}, __tokens long, __p array<bigint>")
+    fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    schema = T.StructType([*fields, T.StructField("__tokens", T.LongType()), T.StructField("__p", T.ArrayType(T.LongType()))])
+    return arrow_map(docs, run, schema)
 
 
 def _rate(steps: list[np.ndarray], floor: float) -> Column:
@@ -182,30 +185,41 @@ def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], bud
     ``budget``; repeated rows are treated alike; other columns are ignored.
     """
     model = fit_mixture(docs, labelled)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = materialize(memberships(ids, model), "mixing")
-    total = float(table.agg(F.sum("__tokens")).first()[0] or 0)
-    known = {d: weights.get(d, 0.0) for d in model.names}
-    scale = sum(known.values())
-    targets = {d: budget * total * (w / scale if scale else 1 / len(known)) for d, w in known.items()}
-    steps = fit_rates(table, model.names, targets, floor)
+    table = materialize(memberships(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model), "mixing")
+    steps = _fit(table, model, weights, budget, floor)
     out = table.withColumn("rate", _rate(steps, floor))
-    spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return out.select(
         "doc_id",
         F.col("__tokens").alias("n_tokens"),
         *[(F.col("__p")[i] / F.lit(float(STEPS))).alias(f"p_{d}") for i, d in enumerate(model.names)],
         "rate",
-        F.floor(F.col("rate") + spread).cast("int").alias("copies"),
+        _copies(F.col("rate")).alias("copies"),
     )
 
 
+def _fit(table: DataFrame, model: Domains, weights: dict[str, float], budget: float, floor: float) -> list[np.ndarray]:
+    """Steps that take ``table(__tokens, __p)`` to ``budget`` times its words, shared out by ``weights``."""
+    total = float(table.agg(F.sum("__tokens")).first()[0] or 0)
+    known = {d: weights.get(d, 0.0) for d in model.names}
+    scale = sum(known.values())
+    targets = {d: budget * total * (w / scale if scale else 1 / len(known)) for d, w in known.items()}
+    return fit_rates(table, model.names, targets, floor)
+
+
+def _copies(rate: Column) -> Column:
+    """The rate rounded up or down by a hash of the id."""
+    spread = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return F.floor(rate + spread).cast("int")
+
+
 def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float, floor: float) -> DataFrame:
     """``docs`` with each row repeated ``copies`` times: the mixture put into effect, with the columns of ``docs``.
 
-    Only documents whose count is not 1 are looked up. Rows without an id stay as they are.
+    Posteriors are worked out twice, once for the fit and once beside the texts, so that no text is
+    shuffled to meet its rate. Rows without an id take part like any other.
     """
-    mix = mixture(docs, labelled, weights, budget, floor).where("copies <> 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    mix = materialize(mix, "mixing-copies")
-    out = docs.join(mix, "doc_id", "left").withColumn("__copies", F.coalesce("__copies", F.lit(1))).where("__copies > 0")
+    model = fit_mixture(docs, labelled)
+    table = materialize(memberships(docs.select("text"), model), "mixing")
+    steps = _fit(table, model, weights, budget, floor)
+    out = memberships(docs, model, keep_text=True).withColumn("__copies", _copies(_rate(steps, floor))).where("__copies > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import arrow_map, bytes_column, small_batches
+from webloom.llm.common import arrow_map, bytes_column, inline_table, small_batches
 
 #: Word buckets, vector length, neighbours on each side, nonzeros of an index vector.
 BUCKETS, DIM, REACH, SPARSE = 1 << 15, 48, 2, 4
@@ -80,7 +80,7 @@ def word_vectors(docs: list[np.ndarray]) -> np.ndarray:
     held: list[np.ndarray] = []
     for n, d in enumerate(docs):
         held += [d // SHAPES, pad]
-        if sum(map(len, held)) > 200_000 or n == len(docs) - 1:
+        if sum(map(len, held)) > 50_000 or n == len(docs) - 1:
             b = np.concatenate(held)
             held = []
             r = np.where(b[:, None] < 0, 0, index[b])
@@ -192,21 +192,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     """At most ``rows`` labelled texts of at most ``size`` bytes in all, in the order of a hash of the id.
 
     ``labels(doc_id, <label>)``: of several labels of one id the least counts; null ids and labels
-    are left out. Sizes come first, so that the texts fetched stay within the bound.
+    are left out. Ids are chosen first, from the two id columns alone; their texts are then met by a
+    broadcast of at most ``rows`` ids, so no text is shuffled. Sizes come before texts, so that what
+    is fetched stays within the bound.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("__label"))
-    both = docs.join(one, "doc_id").select("doc_id", "text", "__label", F.xxhash64("doc_id", F.lit(1)).alias("__order"))
-    sizes = both.select("__order", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("__order", "size").limit(rows).collect()
+    order = F.xxhash64("doc_id", F.lit(1))
+    known = docs.select("doc_id").distinct().join(one, "doc_id")
+    chosen = known.orderBy(order, "doc_id").limit(rows).collect()
+    picked = inline_table(docs.sparkSession, [(r["doc_id"],) for r in chosen], "doc_id bigint")
+    label_of = {r["doc_id"]: r["__label"] for r in chosen}
+    mine = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sizes = mine.select("doc_id", order.alias("o"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("o", "doc_id").limit(rows).collect()
     last, total = None, 0
     for r in sizes:
         total += r["size"]
         if total > size:
             break
-        last = r["__order"]
+        last = r["o"]
     if last is None:
         return []
-    got = both.where(F.col("__order") <= last).select("__order", F.encode("text", "UTF-8").alias("text"), "__label").orderBy("__order", "text").limit(rows).collect()
-    return [(None if r["text"] is None else bytes(r["text"]), r["__label"]) for r in got]
+    got = mine.where(order <= last).select("doc_id", F.encode("text", "UTF-8").alias("text")).orderBy(order, "doc_id", "text").limit(rows).collect()
+    return [(None if r["text"] is None else bytes(r["text"]), label_of[r["doc_id"]]) for r in got]
 
 
 def learnable(col: str = "doc_id"):
