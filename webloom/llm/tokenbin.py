@@ -145,47 +145,31 @@ def encoder_for(json: str) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, tokenizer: str, vocab: int) -> DataFrame:
-    """``(doc_id, n, packed)``: ids of each whole text and the end id, bit-packed; one pass, no shuffle.
-
-    The driver reads the tokenizer's file (a few MB) and broadcasts it.
-    """
-    small_batches(docs.sparkSession)
-    bits = bits_for(vocab)
-    with open(tokenizer, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder_for(shared.value)
-        for b in batches:
-            sizes, packed = [], []
-            for raw in enc.encode(b.column(1).to_pylist()):
-                ids = np.frombuffer(raw + END.to_bytes(4, "little"), "<u4")
-                sizes.append(len(ids))
-                packed.append(pack(ids, bits))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "packed"])
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, packed binary")
-
-
 def write(docs: DataFrame, tokenizer: str, vocab: int, path: str) -> None:
     """Writes shards in ascending doc_id order (nulls first) as ``part, seq, first, ids, doc_ids, data``.
 
     A row of the table is one shard file's bytes with its place; a table, since only Spark's
     writers reach every store and commit only whole tasks. ``first`` counts the ids of the same
-    part before the shard; parts are ranges of doc_id in order.
+    part before the shard; parts are ranges of doc_id in order. The texts are put in order before
+    they are encoded, since ranges are found by reading their rows once more, which must not cost
+    an encoding. The driver reads the tokenizer's file (a few MB) and broadcasts it. Each id and
+    each document's end id take the vocabulary's least number of bits.
     """
+    spark = docs.sparkSession
     bits = bits_for(vocab)
-    rows = encode(docs, tokenizer, vocab).withColumn("h", F.xxhash64("packed"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "n", "h")
+    with open(tokenizer, encoding="utf-8") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+    small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("text").alias("h"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "n", "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, first = TaskContext.get().partitionId(), 0, 0
+        enc = encoder_for(shared.value)
+        part, seq, first, total = TaskContext.get().partitionId(), 0, 0, 0
         names = ["part", "seq", "first", "ids", "doc_ids", "data"]
         held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
-        total = 0
 
         def shard() -> pa.RecordBatch:
             data = write_shard(np.concatenate(held), np.array([len(x) for x in held], np.int64), bits)
@@ -193,10 +177,11 @@ def write(docs: DataFrame, tokenizer: str, vocab: int, path: str) -> None:
             return pa.RecordBatch.from_arrays([*cols, pa.array([doc_ids], pa.list_(pa.int64())), pa.array([data], pa.binary())], names)
 
         for b in batches:
-            for d, n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                held.append(unpack(p, n, bits))
+            for d, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(raw + END.to_bytes(4, "little"), "<u4")
+                held.append(ids.astype(np.uint16) if bits <= 16 else ids)
                 doc_ids.append(d)
-                total += n
+                total += len(ids)
                 if total >= SHARD_IDS:
                     yield shard()
                     seq, first, held, doc_ids, total = seq + 1, first + total, [], [], 0
@@ -236,7 +221,7 @@ def round_trip(docs: DataFrame, tokenizer: str, vocab: int = 50257) -> DataFrame
     """Writes the shards of ``docs`` into the shared folder and reads them back: ``(doc_id, start, n_tokens, ids_crc32)``.
 
     Null and empty texts are the end id alone; repeated ids follow each other in the order of
-    length and content; an empty table writes no shard and gives no row; other columns are ignored.
+    their texts' length and hash; an empty table writes no shard and gives no row; other columns are ignored.
     """
     path = f"{shared_dir(docs.sparkSession)}/tokenbin-{uuid.uuid4().hex}"
     write(docs, tokenizer, vocab, path)
