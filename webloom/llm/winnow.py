@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_map, bytes_column, materialize, small_batches, words_of
+from webloom.llm.common import arrow_map, bytes_column, small_batches, words_of
 
 #: A span of at least this many words is found: K + W - 1.
 SPAN = 10
@@ -226,23 +226,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose texts hold no benchmark window.
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``docs`` whose texts hold no benchmark window, with all their columns: a filter, no shuffle."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    at = docs.columns.index(text_col)
+    df = docs
+    for items in _blocks(benchmark, item_col, item_text, block_bytes):
+        shared = spark.sparkContext.broadcast(Index.build(items))
 
-    Hit ids are written first (few); a row without an id is judged by its text like any other.
-    """
-    named = docs.where(F.col(id_col).isNotNull())
-    bad = materialize(hits(named, benchmark, id_col, text_col).where(F.size("runs") > 0).select(F.col("doc_id").alias(id_col)).distinct(), "winnow-hit")
-    out = named.join(bad, id_col, "left_anti").select(docs.columns)
-    return out.unionByName(_unnamed(docs, benchmark, id_col, text_col))
-
-
-def _unnamed(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows without an id that hold no window: told by the text's hash instead."""
-    rows = docs.where(F.col(id_col).isNull())
-    keyed = rows.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    bad = hits(keyed.select("__key", text_col), benchmark, "__key", text_col).where(F.size("runs") > 0).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(bad, "__key", "left_anti").select(docs.columns)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for b in batches:
+                texts = b.column(at).cast(pa.binary()).to_pylist()
+                yield b.filter(pa.array([not index.search(words_of(t))[0] for t in texts], pa.bool_()))
+
+        df = arrow_map(df, run, docs.schema)
+    return df
 
 
 def oracle_sql() -> str:
