@@ -94,5 +94,7 @@ def test_hamming_links_with_refined_buckets(spark):
 
 def test_components_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    got = connected_components(edges)
-    assert got.count() == 201 and got.where("root <> 0").count() == 0
+    for piece in (500_000, 30):
+        got = connected_components(edges, piece=piece)
+        assert got.count() == 201 and got.where("root <> 0").count() == 0
+    assert connected_components(edges.where("false")).count() == 0
