@@ -75,7 +75,8 @@ def matched_line(fragment: Column, offset: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    big = lambda unit, name: F.format_string(f"%.1f {name}", n.cast("double") / F.lit(float(unit)))
+    """Bytes, KB or MB with one digit; exact halves go to the even digit."""
+    big = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(n.cast("double") / F.lit(float(unit)), 1))
     return F.when(n >= 1 << 20, big(1 << 20, "MB")).when(n >= 1 << 10, big(1 << 10, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
