@@ -106,14 +106,30 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_str(json)
         self.special = [str(x.content) for x in self.tok.get_added_tokens_decoder().values()]
+        self.line_end = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.memo: dict[str, bytes] = {}
 
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pre-tokens by the thousand as lines of one text: a line end is a pre-token of its own, whatever stands after it."""
+        lines = [w for w in new if "\n" not in w and "\r" not in w and not w.isspace()]
+        for at in range(0, len(lines), 5000):
+            some = lines[at : at + 5000]
+            ids = np.array(self.tok.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            parts = np.split(ids, np.flatnonzero(ids == self.line_end)) if len(ids) else []
+            if len(parts) != len(some):
+                continue
+            self.memo.update((w, (p if k == 0 else p[1:]).tobytes()) for k, (w, p) in enumerate(zip(some, parts, strict=True)))
+        alone = [w for w in new if w not in self.memo]
+        for at in range(0, len(alone), 5000):
+            some = alone[at : at + 5000]
+            self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         memo, parts, other = self.memo, [], []
         if len(memo) > MEMO:
             memo.clear()
-        fresh: dict[str, None] = {}
+        fresh: set[str] = set()
         for i, t in enumerate(texts):
             if t and (not _PLAIN.fullmatch(t) or any(s in t for s in self.special)):
                 other.append(i)
@@ -121,12 +137,8 @@ class Encoder:
                 continue
             pre = _PRE.findall(t) if t else []
             parts.append(pre)
-            fresh.update(dict.fromkeys(x for x in pre if x not in memo))
-        new = list(fresh)
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
+            fresh.update(set(pre).difference(memo))
+        self._learn(list(fresh))
         out = [b"".join(map(memo.__getitem__, p)) for p in parts]
         if other:
             for i, e in zip(other, self.tok.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True):
