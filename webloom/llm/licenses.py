@@ -131,7 +131,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     judged = texts.select("row", F.concat(*[p for p, _ in places]).alias("at"), held.alias("base")).join(met, "row", "left")
     none = F.array().cast("array<string>")
     judged = judged.where(F.col("met").isNotNull() | (F.size("at") > 0)).select("row", "at", "base", F.coalesce("met", none).alias("met"), "best")
-    out = base.select("doc_id", "n_words", row.alias("row")).join(judged, "row", "left")
+    plain = base.where(F.col("words").isNull()).select("doc_id", "n_words")
+    out = base.where(F.col("words").isNotNull()).select("doc_id", "n_words", row.alias("row")).join(judged, "row", "left").drop("row")
+    out = out.unionByName(plain, allowMissingColumns=True)
     listed = lambda c: F.array_join(F.array_sort(c), ",")
     return out.select(
         "doc_id",
