@@ -14,6 +14,7 @@ from webloom.functions import html as H
 from webloom.functions import text as T
 from webloom.functions import urls as U
 from webloom.operators import cache, crawl, encode, fetch, filters
+from webloom.plans import pages
 from webloom.session import table
 from webloom.sources import code, docs, inputs, web
 
@@ -749,9 +750,11 @@ def config_merge(spark, sf):
     return inputs.merge_config(user, default, ("backend", "cache_ttl", "lim"))
 
 
+@query("readable_pages")
+def readable_pages(spark, sf):
+    return pages.readable_pages(table(spark, sf, "pages"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host rollup of normalised page urls with titles' and pages' words."""
-    p = table(spark, sf_dir, "pages")
-    page = p.select(U.normalize_url(F.col("url")).alias("url"), H.html_signals(F.col("html")).alias("s"))
-    rows = page.select(U.url_host(F.col("url")).alias("host"), "url", T.word_count(F.col("s.title")).alias("tw"), T.word_count(F.col("s.visible")).alias("vw"))
-    return rows.groupBy("host").agg(F.count("*").alias("pages"), F.sum("tw").alias("title_words"), F.sum("vw").alias("visible_words"))
+    return pages.host_report(table(spark, sf_dir, "pages"))
