@@ -10,10 +10,11 @@ import sys
 from pyspark.sql import functions as F
 
 from webloom.functions.text import post_process
+from webloom.functions.urls import build_query
 from webloom.operators import crawl, encode, fetch
 from webloom.operators.cache import PageCache
 from webloom.session import get_spark, materialize
-from webloom.sources import inputs, live, web
+from webloom.sources import code, docs, inputs, live, web
 
 CONFIG = os.path.join(os.environ.get("XDG_CONFIG_HOME", os.path.expanduser("~/.config")), "webloom", "config.json")
 
@@ -42,6 +43,41 @@ def _search(spark, a) -> None:
         print(r["line"])
 
 
+def _answers(spark, a, backend: str, query: str):
+    """Settled answers of a backend as ``(response_id, body)``."""
+    options = {k: str(v) for k, v in inputs.load_config(CONFIG).items()} | {"github_token": inputs.resolve_token(inputs.load_config(CONFIG))[0]}
+    reader = spark.read.format("search_payload").options(**options).option("backend", backend).option("limit", a.limit)
+    settled = web.settle_attempts(reader.option("queries", json.dumps([query])).load())
+    return settled.where("error is null").select(F.col("request_id").alias("response_id"), "body")
+
+
+def _code(spark, a) -> None:
+    text = spark.range(1).select(build_query(a.backend, F.lit(a.query), F.lit(a.lang)).alias("q")).first()["q"]
+    results = code.code_results(_answers(spark, a, a.backend, text), a.backend, a.limit)
+    c = F.col
+    line = encode.code_line(c("url"), c("repo"), c("snippet")) if a.minimal else encode.code_entry(c("repo"), c("path"), c("line"), c("stars"), c("snippet"), c("url"))
+    for r in results.orderBy("pos").select(line.alias("line")).collect():
+        print(r["line"])
+
+
+def _docs(spark, a) -> None:
+    if a.backend == "local":
+        docs.local_search()
+    found = docs.resolve_library(_answers(spark, a, "context7", a.library or a.query))
+    if a.resolve:
+        for r in found.orderBy("pos").collect():
+            print(f"{r['id']}\t{r['title']}\t{r['description'] or ''}")
+        return
+    top = a.library or next((r["library"] for r in docs.top_library(found).collect()), None)
+    if top is None:
+        raise SystemExit(f"no library found for {a.query!r}")
+    answer = _answers(spark, a, "context7-docs", json.dumps([top, a.query, a.tokens])).withColumn("library", F.lit(top))
+    c = F.col
+    line = encode.docs_line(c("url"), c("library"), c("snippet")) if a.minimal else encode.docs_entry(c("title"), c("breadcrumb"), c("snippet"), c("url"))
+    for r in docs.docs_results(answer).orderBy("part", "k").select(line.alias("line")).collect():
+        print(r["line"])
+
+
 def _crawl(spark, a) -> None:
     """Fetches level by level: each level's urls are snapshotted, then taken into the crawl as a table."""
     known = spark.createDataFrame([], live.SNAPSHOT)
@@ -92,6 +128,22 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--limit", type=int, default=5)
     s.add_argument("--minimal", action="store_true")
     s.set_defaults(run=_search)
+    s = sub.add_parser("code")
+    s.add_argument("query")
+    s.add_argument("--backend", choices=inputs.BACKENDS["code"], default="sourcegraph")
+    s.add_argument("--lang", default="")
+    s.add_argument("--limit", type=int, default=5)
+    s.add_argument("--minimal", action="store_true")
+    s.set_defaults(run=_code)
+    s = sub.add_parser("docs")
+    s.add_argument("query")
+    s.add_argument("--backend", choices=inputs.BACKENDS["docs"], default="context7")
+    s.add_argument("--library", default="")
+    s.add_argument("--tokens", type=int, default=docs.DEFAULT_TOKENS)
+    s.add_argument("--limit", type=int, default=5)
+    s.add_argument("--resolve", action="store_true")
+    s.add_argument("--minimal", action="store_true")
+    s.set_defaults(run=_docs)
     s = sub.add_parser("crawl")
     s.add_argument("seed")
     s.add_argument("--depth", type=int, default=3)

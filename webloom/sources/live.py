@@ -86,6 +86,10 @@ def search_request(backend: str, query: str, limit: int, options: dict) -> tuple
         return f"https://api.github.com/search/code?q={q}&per_page={per_page}", {"Accept": "application/vnd.github.text-match+json", "Authorization": f"Bearer {options.get('github_token', '')}"}
     if backend == "context7":
         return f"https://context7.com/api/v2/libs/search?query={q}", {"Authorization": f"Bearer {options.get('context7_api_key', '')}"}
+    if backend == "context7-docs":
+        library, text, tokens = json.loads(query)
+        about = urllib.parse.urlencode({"libraryId": library, "query": text, "type": "json", "tokens": tokens})
+        return f"https://context7.com/api/v2/context?{about}", {"Authorization": f"Bearer {options.get('context7_api_key', '')}"}
     raise ValueError(f"unknown backend {backend!r}")
 
 
