@@ -16,8 +16,8 @@ from webloom.llm.common import arrow_map, bytes_column, small_batches
 SHIFT = 2.7
 #: Scores are whole numbers of this part of a nat, so that sums and ties are exact.
 UNIT = 1_000_000
-#: Trie nodes and remembered pre-tokens of a worker; beyond either it starts anew (results stay the same).
-NODES, MEMO = 400_000, 400_000
+#: Trie nodes and remembered pre-tokens of a worker (about 0.4 GB); beyond its bound either starts anew (results stay the same).
+NODES, MEMO = 1_200_000, 600_000
 #: Pre-tokens longer than this many bytes are scored on their own path, which the trie doesn't keep.
 LONG = 64
 
@@ -83,20 +83,31 @@ class ForwardTrie:
         return state[-1][1], state[-1][0]
 
 
+#: A pre-token's pieces and score as one number: pieces << SHIFT_BITS, less the score, which is never above 0.
+SHIFT_BITS = 80
+
+
 class Counts(dict):
-    """pre-token -> (pieces, score) from the trie, each different pre-token once."""
+    """pre-token -> pieces and score (one number, so that a document is one sum) from the trie, each different pre-token once."""
 
     def __init__(self, scores: dict[bytes, int]) -> None:
         super().__init__()
         self.trie = ForwardTrie(scores)
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= MEMO or len(self.trie.best) >= NODES:
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
             self.clear()
+        if len(self.trie.best) >= NODES:
             self.trie.clear()
-        got = self[word] = self.trie.insert(b" " + word)
+        pieces, score = self.trie.insert(b" " + word)
+        got = self[word] = (pieces << SHIFT_BITS) - score
         return got
 
+    def of(self, words: list[bytes]) -> tuple[int, int]:
+        """(pieces, score) of all words; the scores of a text stay far below 2 ** SHIFT_BITS."""
+        total = sum(map(self.__getitem__, words))
+        return total >> SHIFT_BITS, -(total & ((1 << SHIFT_BITS) - 1))
+
 
 def pre_tokens(text: bytes | None) -> list[bytes]:
     """Runs of anything but ASCII white space; each is scored with one leading space."""
@@ -120,10 +131,11 @@ def token_counts(docs: DataFrame, scores: dict[bytes, int], id_col: str = "doc_i
         for b in batches:
             sizes, tokens, total = [], [], []
             for t in bytes_column(b, "text"):
-                got = [known[w] for w in pre_tokens(t)]
-                sizes.append(len(got))
-                tokens.append(sum([x[0] for x in got]))
-                total.append(sum([x[1] for x in got]))
+                words = pre_tokens(t)
+                pieces, score = known.of(words)
+                sizes.append(len(words))
+                tokens.append(pieces)
+                total.append(score)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (sizes, tokens, total))], ["doc_id", "n_pretokens", "n_tokens", "score"])
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_pretokens long, n_tokens long, score long")
