@@ -190,3 +190,14 @@ def test_misc_text(spark):
         text.rate_limit_message(x(1060), x(1000)).alias("r"), text.matched_line(x("\n a \nb"), x(-1)).alias("m"),
     ).first()
     assert (got.d, got.i, got.u, got.m) == ("a, b (default)", "homebrew", "unknown", "a") and got.r.startswith("rate limited; resets in 60s")
+
+
+def test_written_tables_are_cleared(spark):
+    from webloom import session
+
+    df = session.materialize(spark.range(3).toDF("x"), "test")
+    path = session._written[-1]
+    assert df.count() == 3
+    assert session.clear_written(spark) > 0
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
