@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.session import shared_dir, ship_package
+from webloom.session import materialize, ship_package
+
+__all__ = ["arrow_map", "ascii_lower", "bytes_column", "inline_table", "materialize", "small_batches", "words_of"]
 
 #: Word rule of the contracts on bytes: A-Z become a-z; 0-9, a-z and every byte from 0x80 stay; the rest separates.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -29,14 +30,6 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bytes_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes."""
     col = batch.column(batch.schema.get_field_index(name))
