@@ -59,7 +59,8 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     all pages is as small as its variety. The tree is then walked from the root: at each depth
     the children of a node are one row each; children of a variable node (many children, few pages
     each) and siblings whose labels don't differ from their parent's go to the wildcard branch, and
-    the next depth counts below the merged branches. Sums are all partial; nothing is collected.
+    the next depth counts below the merged branches. Sums are all partial; the driver
+    sees the two totals that the prior is made of.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
     tagged = pages.join(one, pages["page_id"] == one["doc_id"], "left")
@@ -79,9 +80,10 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
         kept = child.join(node, ["host", "template"]).where(~(variable | similar)).select("host", "template", "seg", F.lit(True).alias("own"))
         branch = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("own"), F.col("seg")).otherwise(F.lit(WILD))))
         level = materialize(there.join(kept, ["host", "template", "seg"], "left").withColumn("template", branch).drop("seg", "own"), "urls-level")
-    total = level.agg(((F.sum("good") + 1.0) / (F.sum("labelled") + 2.0)).alias("base"))
-    hosts = level.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("labelled").alias("hl")).join(F.broadcast(total))
-    hosts = hosts.select("host", ((F.col("hg") + PRIOR * F.col("base")) / (F.col("hl") + PRIOR)).alias("lean"))
+    good, labelled = level.agg(F.sum("good"), F.sum("labelled")).first()
+    base = ((good or 0) + 1.0) / ((labelled or 0) + 2.0)
+    hosts = level.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("labelled").alias("hl"))
+    hosts = hosts.select("host", ((F.col("hg") + F.lit(PRIOR * base)) / (F.col("hl") + PRIOR)).alias("lean"))
     leaves = level.groupBy("host", "template").agg(F.sum("good").alias("tg"), F.sum("labelled").alias("tl")).join(hosts, "host")
     leaves = leaves.select("host", "template", "tg", "tl", ((F.col("tg") + PRIOR * F.col("lean")) / (F.col("tl") + PRIOR)).alias("purity"))
     return level.select("host", "shape", "template").join(leaves, ["host", "template"]).select("host", "shape", "template", F.col("tg").alias("good"), F.col("tl").alias("labelled"), "purity")
