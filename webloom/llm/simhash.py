@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm import setsim
 from webloom.llm.common import arrow_map, bytes_column, materialize, small_batches
 from webloom.llm.components import connected_components
 
@@ -164,12 +166,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = setsim.SHINGLE, similarity: Fraction = setsim.SIMILARITY) -> DataFrame:
     """Keeps the row whose id is its component's id; of repeated rows of that id, one for each text.
 
-    A row without an id cannot be named as a group's kept row and passes as it is.
+    Texts link at Jaccard ``similarity`` or more of their sets of ``shingle`` words, not by op 9's
+    fingerprints. A row without an id cannot be named as a group's kept row and passes as it is.
     """
-    near = materialize(near_duplicates(docs, id_col, text_col), "simhash-near")
+    near = setsim.near_duplicates(docs, id_col, text_col, shingle, similarity)
     kept = near.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     once = kept.where("count = 1").select(F.col("doc_id").alias(id_col))
     many = kept.where("count > 1").select(F.col("doc_id").alias(id_col))
