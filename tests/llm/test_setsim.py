@@ -91,3 +91,18 @@ def test_prefixes_of_similar_sets_meet(similarity):
         assert np.bitwise_count(setsim.sketch(a) ^ setsim.sketch(b)).sum() <= differ
         if both >= similarity * len(np.union1d(a, b)):
             assert np.isin(setsim.prefix(a, common, common + 1, similarity), setsim.prefix(b, common, common + 1, similarity)).any()
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null and repeated ids: the row decides, not its id."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [
+        (None, a, "en"), (None, a, "en"), (None, a + " more", None), (7, b, "en"), (7, b + " more", "en"), (7, b + " more", "en"), (9, b, "de"),
+        (3, "alone with an id of two groups", None), (3, b + " and more", "en"), (None, "alone without an id", None), (None, None, "en"), (None, None, "en"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [tuple(r) for r in simhash.dedup(docs).collect()]
+    assert len(kept) == 5 and set(kept) <= set(rows)
+    assert sorted(r for r in kept if r[0] is not None) == [(3, "alone with an id of two groups", None), (3, b + " and more", "en")]
+    assert sum(r[0] is None and (r[1] or "").startswith("a0") for r in kept) == 1
+    assert (None, "alone without an id", None) in kept and (None, None, "en") in kept

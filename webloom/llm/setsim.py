@@ -75,14 +75,22 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, sig)``: one row for each row of ``docs``."""
+    """``(doc_id, row, row2, sig)``: one row for each row of ``docs``, row and row2 as in ``row_keys``."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_keys(docs.columns), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs = [signature(shingle_set(t, shingle)) for t in bytes_column(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64())], ["doc_id", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sigs, pa.int64())], ["doc_id", "row", "row2", "sig"])
+
+    return arrow_map(texts, run, "doc_id long, row long, row2 long, sig long")
+
 
-    return arrow_map(_texts(docs, id_col, text_col), run, "doc_id long, sig long")
+def row_keys(columns: list[str]) -> list:
+    """Two hashes that name a row by all its columns; nulls count, which the hash alone passes over."""
+    parts = [x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return [F.xxhash64(*parts).alias("row"), F.xxhash64(F.lit(SEED), *parts).alias("row2")]
 
 
 def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,10 +270,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     return connected_components(found.unionByName(materialize(more, "setsim-more")), "setsim-edges")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """``(doc_id, component_id)``, written: one row for each row of ``docs``; the least doc_id of its component."""
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """``(row, row2, n)``, written: the one row of each component that stays, n its equal copies; the least doc_id, null last, then the least key."""
     named = materialize(signatures(docs, id_col, text_col, shingle), "setsim-named")
     roots = links(docs, id_col, text_col, shingle, similarity)
-    rows = named.join(roots, named["sig"] == roots["node"], "left").select("doc_id", F.coalesce("root", "sig").alias("root"))
-    rows = materialize(rows, "setsim-rows")
-    return materialize(rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id"), "setsim-near")
+    rows = named.groupBy("sig", "row", "row2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    rows = rows.join(roots, rows["sig"] == roots["node"], "left").withColumn("root", F.coalesce("root", "sig"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "row2", "n")).alias("x"))
+    return materialize(least.select("x.row", "x.row2", "x.n"), "setsim-kept")

@@ -167,16 +167,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = setsim.SHINGLE, similarity: Fraction = setsim.SIMILARITY) -> DataFrame:
-    """Keeps the row whose id is its component's id; of repeated rows of that id, one for each text.
+    """Keeps one row of each group: the least id's, null ids last; among rows of one id the least key of the whole row.
 
     Texts link at Jaccard ``similarity`` or more of their sets of ``shingle`` words, not by op 9's
-    fingerprints. A row without an id cannot be named as a group's kept row and passes as it is.
+    fingerprints. Of rows that are equal in all columns one stays.
     """
-    near = setsim.near_duplicates(docs, id_col, text_col, shingle, similarity)
-    kept = near.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    once = kept.where("count = 1").select(F.col("doc_id").alias(id_col))
-    many = kept.where("count > 1").select(F.col("doc_id").alias(id_col))
-    out = docs.join(once, id_col, "left_semi").select(docs.columns)
+    kept = setsim.kept_rows(docs, id_col, text_col, shingle, similarity)
+    keyed = docs.select("*", *(k.alias(f"__{n}") for n, k in zip(("row", "row2"), setsim.row_keys(docs.columns), strict=True)))
+    keys = ["__row", "__row2"]
+    once, many = (kept.where(c).select(F.col("row").alias("__row"), F.col("row2").alias("__row2")) for c in ("n = 1", "n > 1"))
+    out = keyed.join(once, keys, "left_semi").select(docs.columns)
     if not many.isEmpty():
-        out = out.unionByName(docs.join(many, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col]))
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+        out = out.unionByName(keyed.join(many, keys, "left_semi").dropDuplicates(keys).select(docs.columns))
+    return out
