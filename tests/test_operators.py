@@ -196,7 +196,7 @@ def test_written_tables_are_cleared(spark):
     from webloom import session
 
     df = session.materialize(spark.range(3).toDF("x"), "test")
-    path = session._written[-1]
+    path = session._written[spark.sparkContext.applicationId][-1]
     assert df.count() == 3
     assert session.clear_written(spark) > 0
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -51,38 +51,46 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a local one is made.
+    It is read from ``spark.checkpoint.dir``; only where that is unset and the master is local
+    (tests, a laptop) one is made here. On a cluster without it this is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if found is None and sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc._jsc.sc().getCheckpointDir().get()
     if found is None:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="webloom-shared-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A place for a written table in the shared folder, which :func:`clear_written` of the same application deletes."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables that this process has written into the shared folder.
-_written: list[str] = []
+#: Tables written into the shared folder, by application.
+_written: dict[str, list[str]] = {}
 
 
 def clear_written(spark: SparkSession) -> int:
-    """Deletes the tables that :func:`materialize` has written so far, for when no result that reads them is needed any more."""
+    """Deletes the tables that this application has written so far, for when no result that reads them is needed any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    n = len(_written)
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    return len(paths)
