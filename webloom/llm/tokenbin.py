@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm.common import arrow_map, bytes_column, small_batches
-from webloom.session import shared_dir
+from webloom.session import new_path
 
 MAGIC = b"WLTB1\0\0\0"
 #: magic, bits, ids in a block, ids, documents
@@ -174,7 +173,7 @@ def write(docs: DataFrame, tokenizer: str, vocab: int, path: str) -> None:
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("text").alias("h"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "n", "h").select("doc_id", "text")
+    rows = rows.repartitionByRange(n, "doc_id", "n", "h").sortWithinPartitions("doc_id", "n", "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_for(shared.value)
@@ -225,7 +224,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(every[x:y]) for x, y in zip(s.starts[:-1], s.starts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s.starts[:-1] + base[part] + first), pa.array(s.counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    small_batches(spark, 4)
+    small_batches(spark)
     return arrow_map(shards.select("part", "first", "doc_ids", "data"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -235,6 +234,6 @@ def round_trip(docs: DataFrame, tokenizer: str, vocab: int = 50257) -> DataFrame
     Null and empty texts are the end id alone; repeated ids follow each other in the order of
     their texts' length and hash; an empty table writes no shard and gives no row; other columns are ignored.
     """
-    path = f"{shared_dir(docs.sparkSession)}/tokenbin-{uuid.uuid4().hex}"
+    path = new_path(docs.sparkSession, "tokenbin")
     write(docs, tokenizer, vocab, path)
     return read(docs.sparkSession, path)
