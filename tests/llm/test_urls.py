@@ -20,16 +20,19 @@ def test_rules_and_parts(spark):
         "http://example.com/de/", "http://example.com/de", "http://example.community/de/", "HTTP://É.ORG/fr/\nx", "://", "http://a.example.com/DE/1/2/3/4/5/6/7",
     ]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(some)] + [(None, None, None)], "page_id long, url string, html string")
-    labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, quality int")
-    rows = {r.page_id: r for r in urls.judge(pages, labels).collect()}
-    assert len(rows) == len(some) + 1
-    for i, u in enumerate(some):
-        host, path, rule, verdict = plain(u)
-        r = rows[i]
-        assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
-    assert urls.judge(pages.where("false"), labels).count() == 0
-    assert urls.judge(pages, labels.where("false")).where("rule is null and verdict = 'block'").count() == 0
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "page_id long, quality int")
+    wide = pages.withColumn("host", pages["html"]).withColumn("shape", pages["html"]).withColumn("n", pages["page_id"]).unionByName(pages.limit(1), True)
+    for got in (urls.judge(pages), urls.judge(pages, labels=labels), urls.judge(wide)):
+        rows = {r.page_id: r for r in got.collect()}
+        assert len(rows) == len(some) + 1
+        for i, u in enumerate(some):
+            host, path, rule, verdict = plain(u)
+            r = rows[i]
+            assert (r.host, r.path, r.rule) == (host, path, rule)
+            assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
+    assert urls.judge(wide).count() == len(some) + 2
+    assert urls.judge(pages.where("false")).count() == 0
+    assert urls.judge(pages, rules=()).where("verdict = 'block'").count() == 0
 
 
 def test_templates(spark):
@@ -40,7 +43,27 @@ def test_templates(spark):
         rows.append((i, f"http://x.test/{branch}/item-{i}-{'abcdefgh'[i % 8]}"))
         labels.append((i, 0 if branch == "bad" else 1))
     pages = spark.createDataFrame(rows + [(1000, "http://x.test/bad/new"), (1001, "http://x.test/good/new"), (1002, "http://y.test/7/8")], "page_id long, url string")
-    out = {r.page_id: r for r in urls.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    out = {r.page_id: r for r in urls.judge(pages, labels=spark.createDataFrame(labels, "page_id long, quality int")).collect()}
     assert out[1000].template == "/bad/*" and out[1000].verdict == "block"
     assert out[1001].template == "/good/*" and out[1001].verdict == "allow"
-    assert out[1002].template == "/*/*"
+    assert out[1002].template == "/*/*" and out[1002].verdict == "allow"
+
+
+def test_rules_teach_the_templates(spark):
+    """Pages that a rule fits are the labels: the blocked branch of a host is a template of its own, siblings without a label are let alone."""
+    rows = [(i, f"http://a.example.com/{'de' if i % 2 else 'en'}/{i}") for i in range(60)] + [(100, "http://a.example.com/*/1"), (101, "http://b.test/x"), (102, "http://b.test/1/2/3/4/5/6/abc/7")]
+    rows += [(200 + i, f"http://c.example.com/{'/'.join(['d'] * 6)}/{i}.html") for i in range(5)] + [(300, "http://d.test/" + "very/" * 3000 + "long")]
+    out = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (out[1].template, out[1].verdict, out[0].template, out[0].verdict) == ("/de/*", "block", "/en/*", "allow")
+    assert out[1].purity < 0.5 and out[100].template == "/%2A/*" and out[100].verdict == "allow"
+    assert {out[200 + i].template for i in range(5)} == {"/d/d/d/d/d/d/*"} and out[102].template == "/*/*/*/*/*/*/abc/*"
+    assert out[300].verdict == "allow"
+
+
+def test_no_hot_key_is_shuffled(spark, monkeypatch):
+    """Shapes with many pages and shapes with few give the same rows, whichever join they go by."""
+    rows = [(i, f"http://a.example.com/de/{i}") for i in range(300)] + [(1000 + i, f"http://h{i}.example.net/s{i}/t") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    want = sorted(map(tuple, urls.judge(pages).collect()))
+    monkeypatch.setattr(urls, "HOT", 20)
+    assert sorted(map(tuple, urls.judge(pages).collect())) == want

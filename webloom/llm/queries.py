@@ -29,7 +29,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

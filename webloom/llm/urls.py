@@ -10,7 +10,7 @@ from webloom.llm.common import ascii_lower, materialize
 #: (action, host, path): a rule fits its host and all subdomains, under paths that start with its own.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Path segments that have a place in the tree; what follows is one last segment.
+#: Levels of the tree; the segments below the last level, each generalised like any other, are one child together.
 DEPTH = 4
 #: A branching node with more different children than this, each met less than CROWD times on average, is a variable.
 CHILDREN, CROWD = 8, 3.0
@@ -18,7 +18,9 @@ CHILDREN, CROWD = 8, 3.0
 Z = 1.96
 #: Pseudo-counts of the prior: a template leans on its host, a host on all pages. A template below PURITY is rejected.
 PRIOR, PURITY = 4.0, 0.5
-WILD = "*"
+#: Path shapes with more than one in so many of all pages are joined by a broadcast, of which there are fewer than this.
+HOT = 10_000
+WILD, STAR = "*", "%2A"
 
 
 def url_host(url: Column) -> Column:
@@ -40,44 +42,51 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def action_of(rule: Column, rules=RULES) -> Column:
+    """What the rule says, or null."""
+    out = F.lit(None).cast("string")
+    for a, h, p in rules:
+        out = F.when(rule == h + p, F.lit(a)).otherwise(out)
+    return out
+
+
 def _general(segment: Column) -> Column:
-    """Segments that are variables by their form: numbers, with or without an ending, and long hex ids."""
-    return F.when(segment.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$") | segment.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit(WILD)).otherwise(segment)
+    """Segments that are variables by their form: numbers, with or without an ending, and long hex ids. A segment that is the wildcard's sign is written otherwise."""
+    variable = segment.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$") | segment.rlike(r"^[0-9a-fA-F-]{16,}$")
+    return F.when(variable, F.lit(WILD)).when(segment == WILD, F.lit(STAR)).otherwise(segment)
 
 
 def _segments(path: Column) -> Column:
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.slice(parts, 1, DEPTH)
-    tail = F.when(F.size(parts) > DEPTH, F.array(F.array_join(F.slice(parts, DEPTH + 1, 1 << 20), "/"))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.concat(head, tail), _general)
+    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _general)
+    tail = F.when(F.size(parts) > DEPTH, F.array(F.array_join(F.slice(parts, F.lit(DEPTH + 1), F.greatest(F.size(parts) - DEPTH, F.lit(0))), "/")))
+    return F.concat(F.slice(parts, 1, DEPTH), F.coalesce(tail, F.array().cast("array<string>")))
 
 
-def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(host, shape, template, good, labelled, purity)`` for every distinct path shape of every host.
+def templates(pages: DataFrame) -> DataFrame:
+    """``(host, shape, n, template, good, labelled, purity)`` for every distinct path shape of every host, written.
 
-    ``pages(page_id, host, path)`` are first summed to path shapes, so that a host with a third of
-    all pages is as small as its variety. The tree is then walked from the root: at each depth
-    the children of a node are one row each; children of a variable node (many children, few pages
-    each) and siblings whose labels don't differ from their parent's go to the wildcard branch, and
-    the next depth counts below the merged branches. Sums are all partial; the driver
-    sees the two totals that the prior is made of.
+    ``pages(host, path, q)``, q 1 for good, 0 for bad, null for unknown, are first summed to path shapes, so that a
+    host with a third of all pages is as small as its variety. The tree is then walked from the root: at
+    each depth the children of a node are one row each; children of a variable node (many children, few pages
+    each) and labelled siblings whose labels don't differ from their parent's go to the wildcard branch, and
+    the next depth counts below the merged branches. A child without labels is not similar to a labelled
+    one; where no child has any, all are alike. Sums are all partial; the driver sees the two totals
+    that the prior is made of.
     """
-    one = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
-    tagged = pages.join(one, pages["page_id"] == one["doc_id"], "left")
-    shapes = tagged.select("host", _segments(F.col("path")).alias("shape"), "q").groupBy("host", "shape")
+    shapes = pages.select("host", _segments(F.col("path")).alias("shape"), "q").groupBy("host", "shape")
     shapes = shapes.agg(F.count("*").alias("n"), F.count("q").alias("labelled"), F.sum(F.when(F.col("q") > 0, 1).otherwise(0)).alias("good"))
     level = materialize(shapes.withColumn("template", F.lit("")), "urls-shapes")
     for d in range(1, DEPTH + 2):
         seg = F.try_element_at("shape", F.lit(d))
         there = level.withColumn("seg", seg)
         child = there.where(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-        node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"))
+        node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.count_if(F.col("labelled") > 0).alias("told"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"))
         p = F.try_divide(F.col("all_good").cast("double"), F.col("all_labelled").cast("double"))
         expect = F.col("labelled") * p
         error = F.sqrt(F.col("labelled") * p * (1 - p))
         variable = (F.col("kids") > CHILDREN) & (F.col("all_n") / F.col("kids") < CROWD)
-        similar = (F.col("kids") > 1) & F.coalesce(F.abs(F.col("good") - expect) <= Z * error, F.lit(True))
-        kept = child.join(node, ["host", "template"]).where(~(variable | similar)).select("host", "template", "seg", F.lit(True).alias("own"))
+        alike = F.when(F.col("told") == 0, True).otherwise((F.col("told") > 1) & (F.col("labelled") > 0) & (F.abs(F.col("good") - expect) <= Z * error))
+        kept = child.join(node, ["host", "template"]).where(~(variable | ((F.col("kids") > 1) & alike))).select("host", "template", "seg", F.lit(True).alias("own"))
         branch = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("own"), F.col("seg")).otherwise(F.lit(WILD))))
         level = materialize(there.join(kept, ["host", "template", "seg"], "left").withColumn("template", branch).drop("seg", "own"), "urls-level")
     good, labelled = level.agg(F.sum("good"), F.sum("labelled")).first()
@@ -86,34 +95,44 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     hosts = hosts.select("host", ((F.col("hg") + F.lit(PRIOR * base)) / (F.col("hl") + PRIOR)).alias("lean"))
     leaves = level.groupBy("host", "template").agg(F.sum("good").alias("tg"), F.sum("labelled").alias("tl")).join(hosts, "host")
     leaves = leaves.select("host", "template", "tg", "tl", ((F.col("tg") + PRIOR * F.col("lean")) / (F.col("tl") + PRIOR)).alias("purity"))
-    return level.select("host", "shape", "template").join(leaves, ["host", "template"]).select("host", "shape", "template", F.col("tg").alias("good"), F.col("tl").alias("labelled"), "purity")
+    out = level.select("host", "shape", "n", "template").join(leaves, ["host", "template"])
+    return materialize(out.select("host", "shape", "n", "template", F.col("tg").alias("good"), F.col("tl").alias("labelled"), "purity"), "urls-templates")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict, template, purity)``, one row for each row of ``pages``.
 
-    A page's label is the quality of the labelled id equal to its page_id (the least of several).
-    Rules win over templates; a template is blocked below PURITY. Null urls and urls without
+    A page that a rule fits is labelled by it: block 0, allow 1; ``labels(page_id, quality)``, if given, label the other pages
+    (the least of several). Rules win over templates; a template that holds labelled pages is
+    blocked if its purity is below PURITY, any other is allowed. Null urls and urls without
     ``://`` have an empty host and path and share one template; repeated rows are judged alike;
-    without labels every purity is one half, which passes; an empty table gives no row; other
-    columns are ignored.
+    without labelled pages all pass; an empty table gives no row; other columns are ignored.
+
+    A shape with a large share of all pages (see HOT) meets its template by a broadcast, so the
+    shuffled join has no hot key.
     """
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    known = templates(rows, labels)
+    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    action = action_of(F.col("rule"), rules)
+    told = rows.withColumn("q", F.when(action == "allow", 1).when(action == "block", 0))
+    if labels is not None:
+        one = labels.where(F.col("page_id").isNotNull()).groupBy("page_id").agg((F.min("quality") > 0).cast("int").alias("given"))
+        told = told.join(one, "page_id", "left").withColumn("q", F.coalesce("q", "given"))
+    known = templates(told.select("host", "path", "q"))
+    total = known.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
     keyed = rows.withColumn("shape", _segments(F.col("path")))
-    out = keyed.join(known, ["host", "shape"], "left")
-    rule = rule_of(F.col("host"), F.col("path"), rules)
-    action = F.lit(None).cast("string")
-    for a, h, p in rules:
-        action = F.when(F.col("rule") == h + p, F.lit(a)).otherwise(action)
-    learned = F.when(F.col("purity") < PURITY, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("rule", rule).select("page_id", "host", "path", "rule", F.coalesce(action, learned).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
+    keys = ["host", "shape"]
+    often, seldom = known.where(hot).drop("n"), known.where(~hot).drop("n")
+    out = keyed.join(F.broadcast(often), keys).unionByName(keyed.join(F.broadcast(often.select(keys)), keys, "left_anti").join(seldom, keys))
+    learned = F.when((F.col("labelled") > 0) & (F.col("purity") < PURITY), F.lit("block")).otherwise(F.lit("allow"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce(action, learned).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
 
 
 def _sql_segments(path: str) -> str:
-    gen = f"CASE WHEN regexp_matches(s, '^[0-9]+(\\.[A-Za-z0-9]+)?$') OR regexp_matches(s, '^[0-9a-fA-F-]{{16,}}$') THEN '{WILD}' ELSE s END"
-    parts = f"list_filter(string_split({path}, '/'), lambda s: s <> '')"
-    return f"list_transform(list_concat(list_slice({parts}, 1, {DEPTH}), CASE WHEN len({parts}) > {DEPTH} THEN [array_to_string(list_slice({parts}, {DEPTH + 1}, len({parts})), '/')] ELSE [] END), lambda s: {gen})"
+    gen = f"CASE WHEN regexp_matches(s, '^[0-9]+(\\.[A-Za-z0-9]+)?$') OR regexp_matches(s, '^[0-9a-fA-F-]{{16,}}$') THEN '{WILD}' WHEN s = '{WILD}' THEN '{STAR}' ELSE s END"
+    parts = f"list_transform(list_filter(string_split({path}, '/'), lambda s: s <> ''), lambda s: {gen})"
+    return f"list_concat(list_slice({parts}, 1, {DEPTH}), CASE WHEN len({parts}) > {DEPTH} THEN [array_to_string(list_slice({parts}, {DEPTH + 1}, len({parts})), '/')] ELSE [] END)"
 
 
 def oracle_sql(rules=RULES) -> str:
@@ -124,22 +143,22 @@ def oracle_sql(rules=RULES) -> str:
         action = f"CASE WHEN rule = '{h}{p}' THEN '{a}' ELSE {action} END"
     ctes = [
         "p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
-        f"k AS (SELECT *, {_sql_segments('path')} AS shape FROM p)",
-        "q AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1)",
-        "l0 AS (SELECT host, shape, count(*)::BIGINT AS n, count(q)::BIGINT AS labelled, coalesce(sum(CASE WHEN q > 0 THEN 1 ELSE 0 END), 0)::BIGINT AS good, '' AS template FROM k LEFT JOIN q ON k.page_id = q.doc_id GROUP BY 1, 2)",
+        f"r AS (SELECT *, {rule} AS rule FROM p)",
+        f"k AS (SELECT *, {action} AS said, {_sql_segments('path')} AS shape FROM r)",
+        "l0 AS (SELECT host, shape, count(*)::BIGINT AS n, count(said)::BIGINT AS labelled, coalesce(sum(CASE WHEN said = 'allow' THEN 1 ELSE 0 END), 0)::BIGINT AS good, '' AS template FROM k GROUP BY 1, 2)",
     ]
     for d in range(1, DEPTH + 2):
         ctes += [
             f"c{d} AS (SELECT host, template, shape[{d}] AS seg, sum(n) AS n, sum(labelled)::DOUBLE AS labelled, sum(good)::DOUBLE AS good FROM l{d - 1} WHERE shape[{d}] IS NOT NULL GROUP BY 1, 2, 3)",
-            f"n{d} AS (SELECT host, template, count(*) AS kids, sum(n)::DOUBLE AS all_n, sum(labelled) AS al, sum(good) AS ag FROM c{d} GROUP BY 1, 2)",
-            f"o{d} AS (SELECT c.host, c.template, c.seg FROM c{d} c JOIN n{d} n ON c.host = n.host AND c.template = n.template WHERE kids = 1 OR NOT ((kids > {CHILDREN} AND all_n / kids < {CROWD}) OR CASE WHEN al = 0 THEN TRUE ELSE abs(good - labelled * (ag / al)) <= {Z} * sqrt(labelled * (ag / al) * (1 - ag / al)) END))",
+            f"n{d} AS (SELECT host, template, count(*) AS kids, count(*) FILTER (labelled > 0) AS told, sum(n)::DOUBLE AS all_n, sum(labelled) AS al, sum(good) AS ag FROM c{d} GROUP BY 1, 2)",
+            f"o{d} AS (SELECT c.host, c.template, c.seg FROM c{d} c JOIN n{d} n ON c.host = n.host AND c.template = n.template WHERE NOT (kids > {CHILDREN} AND all_n / kids < {CROWD}) AND (kids = 1 OR told = 1 OR told > 1 AND (labelled = 0 OR abs(good - labelled * (ag / al)) > {Z} * sqrt(labelled * (ag / al) * (1 - ag / al)))))",
             f"l{d} AS (SELECT l.host, l.shape, l.n, l.labelled, l.good, CASE WHEN l.shape[{d}] IS NULL THEN l.template ELSE l.template || '/' || CASE WHEN o.seg IS NOT NULL THEN o.seg ELSE '{WILD}' END END AS template FROM l{d - 1} l LEFT JOIN o{d} o ON l.host = o.host AND l.template = o.template AND l.shape[{d}] = o.seg)",
         ]
     last = f"l{DEPTH + 1}"
     ctes += [
         f"b AS (SELECT (sum(good) + 1.0)::DOUBLE / (sum(labelled) + 2.0) AS base FROM {last})",
         f"h AS (SELECT host, (sum(good) + {PRIOR} * max(base)) / (sum(labelled) + {PRIOR}) AS lean FROM {last}, b GROUP BY 1)",
-        f"t AS (SELECT x.host, template, (sum(good) + {PRIOR} * max(lean)) / (sum(labelled) + {PRIOR}) AS purity FROM {last} x JOIN h ON x.host = h.host GROUP BY 1, 2)",
-        f"j AS (SELECT k.page_id, k.host, k.path, {rule.replace('host', 'k.host').replace('path', 'k.path')} AS rule, x.template, t.purity FROM k JOIN {last} x ON k.host = x.host AND k.shape = x.shape JOIN t ON t.host = x.host AND t.template = x.template)",
+        f"t AS (SELECT x.host, template, sum(labelled) AS tl, (sum(good) + {PRIOR} * max(lean)) / (sum(labelled) + {PRIOR}) AS purity FROM {last} x JOIN h ON x.host = h.host GROUP BY 1, 2)",
+        f"j AS (SELECT k.page_id, k.host, k.path, k.rule, k.said, x.template, t.tl, t.purity FROM k JOIN {last} x ON k.host = x.host AND k.shape = x.shape JOIN t ON t.host = x.host AND t.template = x.template)",
     ]
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, host, path, rule, coalesce({action}, CASE WHEN purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity FROM j"
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, host, path, rule, coalesce(said, CASE WHEN tl > 0 AND purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity FROM j"
