@@ -18,10 +18,14 @@ def plain(text):
         base |= {label} if found else set()
     met, best = set(), 0.0
     for label, t in licenses.TEMPLATES:
-        tw = set(WORD.findall(t.lower()))
-        for s in range(0, max(len(w), 1), licenses.STEP):
-            both = len(tw & set(w[s : s + licenses.BLOCK]))
-            if both >= math.ceil(licenses.THRESHOLD * len(tw) - 1e-9):
+        every = WORD.findall(t.lower())
+        tw, half = set(every), 32
+        while half < len(every):
+            half *= 2
+        stands = len(tw) >= 20 or f" {' '.join(every)} " in f" {' '.join(w)} "
+        for s in range(0, max(len(w), 1), half):
+            both = len(tw & set(w[s : s + 2 * half]))
+            if stands and both >= (len(tw) if len(tw) < 20 else math.ceil(licenses.THRESHOLD * len(tw) - 1e-9)):
                 met.add(label)
                 best = max(best, both / len(tw))
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | met)), 1.0 if at else best
@@ -44,10 +48,28 @@ def test_edges(spark, edge_docs, empty_docs):
         (20, "MIT License mit-license APACHE  license, general public license general public"), (21, "licensed under GNU general public v3 this work license is"),
         (22, ("pad " * 40) + "Released UNDER the MIT " + "License"), (23, "permission " * 70 + "all rights reserved"), (24, "mit"), (25, "License"), (25, "License"),
     ]
+    mit = dict(licenses.TEMPLATES)["text:mit"]
+    more += [
+        (30, "pad " * 333 + mit + " pad" * 500), (31, mit.upper().replace("SOFTWARE", "PROGRAM").replace("PERMISSION", "leave")), (32, " ".join(mit.split()[::2])),
+        (33, "released under the BSD license"), (34, "Released under the Apache License, Version 2.0"), (35, "all of the guests reserved a room and the rights went to the owner"),
+        (36, "All rights  RESERVED."), (37, " ".join(reversed(mit.split()))), (38, dict(licenses.TEMPLATES)["text:gpl-notice"] + " " + dict(licenses.TEMPLATES)["text:zlib"]),
+    ]
     docs = edge_docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     rows = licenses.scan(docs.withColumn("words", docs["text"]).withColumn("label", docs["text"])).collect()
     assert len(rows) == docs.count()
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in rows:
         assert same(r, plain(texts[r.doc_id])), r
+    labels = {r.doc_id: r.labels for r in rows}
+    assert labels[30] == labels[31] == "text:mit" and "text:mit" not in labels[32]
+    assert (labels[33], labels[34], labels[35], labels[36]) == ("", "apache", "", "notice:reserved")
+    assert labels[38] == "gpl,text:gpl-notice,text:zlib"
     assert licenses.scan(empty_docs).count() == 0
+
+
+def test_any_template(spark):
+    """Templates of any length and number: one of thousands of words, and many short ones."""
+    long = " ".join(f"clause{i} of the agreement" for i in range(400))
+    given = [("long", long), ("none", " ,. "), *((f"s{i}", f"grant {i} stands") for i in range(60))]
+    docs = spark.createDataFrame([(1, "x " * 700 + long), (2, " ".join(long.split()[: int(len(long.split()) * 0.7)])), (3, "the grant 17 stands, grant 18 falls"), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(docs, given).collect()} == {1: "long", 2: "", 3: "s17", 4: ""}

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,41 +16,100 @@ from webloom.llm.common import LOWER, UPPER, WORD_PATTERN, ascii_lower, inline_t
 #: (phrase, label): base labels stand wherever a phrase's words stand consecutively.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Notice sentences of public licenses and the labels of this method. Fixed values.
+#: Texts and notices of public licenses and the labels of this method. Fixed values.
 TEMPLATES = (
-    ("notice:mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("notice:mit-short", "Released under the MIT License"),
+    ("text:mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS
+BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("text:bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("text:isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE
+AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE
+OF THIS SOFTWARE."""),
+    ("text:apache-2.0-notice", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed
+to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("text:gpl-notice", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program
+is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public
+License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("text:mpl-notice", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("text:unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment
+of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to
+this software under copyright law."""),
+    ("text:zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. This notice may not be removed or altered from any source distribution."""),
+    ("notice:mit", "Released under the MIT License"),
     ("notice:apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("notice:gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("notice:lgpl", "licensed under the terms of the GNU Lesser General Public License"),
-    ("notice:bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("notice:gpl-3", "This work is licensed under the GNU General Public License, version 3"),
     ("notice:cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("notice:mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("notice:unlicense", "This is free and unencumbered software released into the public domain"),
+    ("notice:cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("notice:reserved", "All rights reserved"),
 )
-#: Words of a block and the step from one block to the next: every run of STEP words lies whole in some block.
-BLOCK, STEP = 64, 32
+#: A template of fewer different words than this must stand word for word: a few words of a sentence can be met together by chance.
+SHORT = 20
+#: Least half length of a block. A template's half is the power of two that holds all its words; its blocks are two halves long, one half apart, so that every run of one half lies whole in some block.
+HALF = 32
 #: Containment that a template's words must reach in a block.
 THRESHOLD = 0.8
-#: Templates that a run takes; they are inlined or broadcast.
-MAX_TEMPLATES = 2000
 #: A word in text whose case is as it was.
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _template_words(templates) -> list[tuple[str, list[str]]]:
-    """Distinct words of each template, in order of first appearance."""
+@dataclass(frozen=True)
+class Template:
+    """A template's words in order of first appearance, how many a block must hold, the half length of its blocks, and its whole wording if it is short."""
+
+    label: str
+    words: tuple[str, ...]
+    need: int
+    half: int
+    phrase: str | None
+
+
+def known_templates(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
+    """Templates without words are left out."""
     out = []
     for label, text in templates:
-        words = re.findall(WORD_PATTERN, text.translate(str.maketrans(UPPER, LOWER)))
+        every = re.findall(WORD_PATTERN, text.translate(str.maketrans(UPPER, LOWER)))
+        words = tuple(dict.fromkeys(every))
         if words:
-            out.append((label, list(dict.fromkeys(words))))
-    if len(out) > MAX_TEMPLATES or any(len(w) > STEP for _, w in out):
-        raise ValueError(f"at most {MAX_TEMPLATES} templates of at most {STEP} words")
+            short = len(words) < SHORT
+            need = len(words) if short else math.ceil(threshold * len(words) - 1e-9)
+            out.append(Template(label, words, need, max(HALF, 1 << (len(every) - 1).bit_length()), " ".join(every) if short else None))
     return out
 
 
+def _literal(words: Iterable[str]) -> Column:
+    """Words as one array literal, which Catalyst folds; no word holds a space."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
 def words_col(text: Column) -> Column:
     """Words of a text: A-Z lower-cased, runs of digits, letters and every character beyond ASCII."""
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
@@ -65,53 +127,61 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), last).otherwise(F.array().cast("array<int>"))
 
 
-def blocks(worded: DataFrame) -> DataFrame:
-    """``(row, block array<string>)``: distinct words of each window of BLOCK words, STEP apart."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STEP))
-    return worded.select("row", F.explode(F.transform(starts, lambda s: F.array_distinct(F.slice("words", s + 1, BLOCK)))).alias("block"))
+def blocks(worded: DataFrame, halves: list[int]) -> DataFrame:
+    """``(row, half, block array<string>)``: distinct words of each window of two halves, one half apart, for each of the lengths."""
+    def starts(half: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(half)), lambda s: F.struct(F.lit(half).alias("half"), s.alias("s")))
+
+    places = worded.select("row", "words", F.explode(F.concat(*map(starts, halves))).alias("at"))
+    return places.select("row", "at.half", F.array_distinct(F.slice("words", F.col("at.s") + 1, 2 * F.col("at.half"))).alias("block"))
 
 
-def similar(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``(row, label, score)``: every block and template with |words in both| / |template's words| >= threshold.
+def similar(blocks: DataFrame, known: list[Template]) -> DataFrame:
+    """``(row, label, phrase, score)``: every block and template of one half length with as many common words as the template needs.
 
     Words are ordered by their frequency over all blocks, rarest first (ties by the word). A template of n words that
-    needs o = ceil(threshold * n) must share one of its n - o + 1 rarest: the prefix index, joined with
+    needs o must share one of its n - o + 1 rarest: the prefix index, joined with
     the blocks' words. A block of fewer than o words is out by length. Met first at template position i
     and block position j (among the block's words that any template knows, in the same order), a pair can
     reach 1 + min(n - i - 1, m - j - 1) words: out by position if that is too few. Survivors are
-    counted exactly. The template side is bounded by MAX_TEMPLATES and is broadcast.
+    counted exactly. The template side has the size of the given texts and is broadcast.
     """
     spark = blocks.sparkSession
-    known = _template_words(templates)
-    vocab = sorted({w for _, ws in known for w in ws})
-    vocab_rows = inline_table(spark, [(w,) for w in vocab], "word string")
-    words = F.array(*[F.lit(w) for w in vocab])
+    vocab = sorted({w for t in known for w in t.words})
+    words = _literal(vocab)
     counted = blocks.select(F.explode(F.array_intersect("block", words)).alias("word")).groupBy("word").count()
-    ranked = vocab_rows.join(counted, "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("n")).orderBy("n", "word").collect()
-    rank = {r["word"]: i for i, r in enumerate(ranked)}
+    ranked = inline_table(spark, [(w,) for w in vocab], "word string").join(counted, "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("n"))
+    rank = {r["word"]: i for i, r in enumerate(ranked.orderBy("n", "word").collect())}
     index, full = [], []
-    for t, (label, ws) in enumerate(known):
-        order = sorted(ws, key=rank.__getitem__)
-        need = math.ceil(threshold * len(ws) - 1e-9)
-        full.append((t, label, order, need))
-        index += [(w, t, i) for i, w in enumerate(order[: len(ws) - need + 1])]
-    prefix = inline_table(spark, index, "word string, t int, i int")
-    whole = inline_table(spark, full, "t int, label string, tokens array<string>, need int")
-    ordered = F.array(*[F.lit(w) for w in rank])
-    first = F.array(*[F.lit(w) for w in dict.fromkeys(w for w, _, _ in index)])
-    mine = blocks.where(F.arrays_overlap("block", first)).select("row", F.array_intersect(ordered, F.col("block")).alias("block"))
-    keyed = mine.select("row", "block", F.posexplode("block").alias("j", "word"))
-    found = keyed.join(F.broadcast(prefix), "word").join(F.broadcast(whole), "t")
+    for n, t in enumerate(known):
+        order = sorted(t.words, key=rank.__getitem__)
+        full.append((n, t.label, t.phrase, order, t.need))
+        index += [(w, t.half, n, i) for i, w in enumerate(order[: len(order) - t.need + 1])]
+    prefix = inline_table(spark, index, "word string, half int, t int, i int")
+    whole = inline_table(spark, full, "t int, label string, phrase string, tokens array<string>, need int")
+    ordered, first = _literal(rank), _literal(dict.fromkeys(w for w, *_ in index))
+    mine = blocks.where(F.arrays_overlap("block", first)).select("row", "half", F.array_intersect(ordered, F.col("block")).alias("block"))
+    keyed = mine.select("row", "half", "block", F.posexplode("block").alias("j", "word"))
+    found = keyed.join(F.broadcast(prefix), ["word", "half"]).join(F.broadcast(whole), "t")
     found = found.where((F.size("block") >= F.col("need")) & (1 + F.least(F.size("tokens") - F.col("i") - 1, F.size("block") - F.col("j") - 1) >= F.col("need")))
     both = F.size(F.array_intersect("block", "tokens"))
-    return found.where(both >= F.col("need")).select("row", "label", (both / F.size("tokens")).alias("score"))
+    return found.where(both >= F.col("need")).select("row", "label", "phrase", (both / F.size("tokens")).alias("score"))
+
+
+def matches(texts: DataFrame, known: list[Template]) -> DataFrame:
+    """``(row, met, best)``: labels and the greatest containment for the rows of ``texts(row, words)`` that meet a template; short ones must also stand word for word."""
+    found = materialize(similar(blocks(texts, sorted({t.half for t in known})), known).groupBy("row", "label", "phrase").agg(F.max("score").alias("score")), "licenses-found")
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    whole = found.where("phrase is null").select("row", "label", "score")
+    short = found.where("phrase is not null").join(texts, "row").where(F.contains(spaced(F.array_join("words", " ")), spaced(F.col("phrase")))).select("row", "label", "score")
+    return whole.unionByName(short).groupBy("row").agg(F.collect_set("label").alias("met"), F.max("score").alias("best"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)``, one row for each row of ``docs``.
 
     Only texts that could hold a phrase or a template are cut into words and blocks (see
-    :func:`_worthy`), each distinct text once. ``score`` is the greatest containment that meets
+    :func:`needles`), each distinct text once. ``score`` is the greatest containment that meets
     the threshold, 1 where a base phrase stands, else 0.
 
     Null and empty texts have no words and no labels; repeated rows come out alike, as often as
@@ -119,13 +189,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.when(_worthy(text, templates, threshold), words_col(text))
+    known = known_templates(templates, threshold)
+    words = F.when(_worthy(text, known), words_col(text))
     base = docs.select("doc_id", F.regexp_count(text, F.lit(ANY_CASE)).cast("long").alias("n_words"), words.alias("words"), F.xxhash64(text).alias("h"), F.crc32(text).alias("c"))
     base = materialize(base, "licenses-words")
     row = F.when(F.col("words").isNotNull(), F.struct("h", "c", "n_words"))
     texts = base.where(F.col("words").isNotNull()).select(row.alias("row"), "words").groupBy("row").agg(F.first("words").alias("words"))
     texts = materialize(texts, "licenses-texts")
-    met = similar(blocks(texts), templates, threshold).groupBy("row").agg(F.collect_set("label").alias("met"), F.max("score").alias("best"))
+    met = matches(texts, known)
     places = [(_places(F.col("words"), p), label) for p, label in PHRASES]
     held = F.array_compact(F.array(*[F.when(F.size(p) > 0, F.lit(label)) for p, label in places]))
     judged = texts.select("row", F.concat(*[p for p, _ in places]).alias("at"), held.alias("base")).join(met, "row", "left")
@@ -147,20 +218,23 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     )
 
 
-def _worthy(text: Column, templates, threshold: float) -> Column:
-    """Whether a text could hold a phrase or reach a template: a test by substrings that lets too many pass, never too few.
+def needles(known: list[Template]) -> list[str]:
+    """Words of which a text that holds a phrase or meets a template has one as a substring.
 
-    A template of n words that needs o shares at least one of any n - o + 1 of its words; the
-    longest are asked for. The text is lower-cased for this test alone.
+    A template of n words that needs o shares at least one of any n - o + 1 of its words; long
+    words are asked for, and of these the ones that many templates hold.
     """
-    needles = {p.split()[-1] for p, _ in PHRASES}
-    for _, ws in _template_words(templates):
-        need = math.ceil(threshold * len(ws) - 1e-9)
-        needles.update(sorted(ws, key=lambda w: (-len(w), w))[: len(ws) - need + 1])
-    lowered, out = F.lower(text), F.lit(False)
-    for w in sorted(needles):
-        out = out | F.contains(lowered, F.lit(w))
-    return out
+    held = Counter(w for t in known for w in t.words)
+    out = {p.split()[-1] for p, _ in PHRASES}
+    for t in known:
+        out.update(sorted(t.words, key=lambda w: (-min(len(w), 8), -held[w], w))[: len(t.words) - t.need + 1])
+    return sorted(out)
+
+
+def _worthy(text: Column, known: list[Template]) -> Column:
+    """Whether a text could hold a phrase or reach a template: a test by substrings that lets too many pass, never too few. The text is lower-cased for this test alone."""
+    lowered = F.array(F.lower(text))
+    return F.transform(lowered, lambda low: F.exists(_literal(needles(known)), lambda w: F.contains(low, w)))[0]
 
 
 def oracle_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
@@ -173,14 +247,16 @@ def oracle_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
         found = f"list_filter(range(0, greatest(len(w) - {len(parts) - 1}, 0)), lambda i: {fits})"
         at.append(found)
         base.append(f"CASE WHEN len({found}) > 0 THEN '{label}' END")
-    rows = ", ".join(f"({i}, '{label}', {ws!r})" for i, (label, ws) in enumerate(_template_words(templates)))
-    known = ", ".join(repr(w) for w in sorted({w for _, ws in _template_words(templates) for w in ws}))
+    known = known_templates(templates, threshold)
+    rows = ", ".join(f"('{t.label}', {list(t.words)!r}, {t.need}, {t.half}, {'NULL' if t.phrase is None else repr(t.phrase)})" for t in known)
+    vocab = ", ".join(repr(w) for w in sorted({w for t in known for w in t.words}))
+    halves = ", ".join(f"({h})" for h in sorted({t.half for t in known}))
     return f"""WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {low} AS w FROM documents),
-t AS (SELECT * FROM (VALUES {rows}) v(t, label, ws)),
-s AS (SELECT rn, w, unnest(range(0, greatest(len(w), 1), {STEP})) AS s FROM d WHERE len(list_intersect(w, [{known}])) > 0),
-b AS (SELECT rn, list_distinct(list_slice(w, s + 1, s + {BLOCK})) AS b FROM s),
-m AS (SELECT rn, label, len(list_intersect(b, ws))::DOUBLE / len(ws) AS score, len(list_intersect(b, ws)) AS o, ceil({threshold} * len(ws) - 1e-9) AS need FROM b, t),
-g AS (SELECT rn, list_distinct(list(label)) AS met, max(score) AS best FROM m WHERE o >= need GROUP BY 1),
+t AS (SELECT * FROM (VALUES {rows}) v(label, ws, need, half, phrase)),
+s AS (SELECT rn, w, half, unnest(range(0, greatest(len(w), 1), half)) AS s FROM d, (VALUES {halves}) h(half) WHERE len(list_intersect(w, [{vocab}])) > 0),
+b AS (SELECT rn, w, half, list_distinct(list_slice(w, s + 1, s + 2 * half)) AS b FROM s),
+m AS (SELECT rn, label, len(list_intersect(b, ws)) AS o, len(ws) AS n, need, phrase, w FROM b JOIN t ON b.half = t.half),
+g AS (SELECT rn, list_distinct(list(label)) AS met, max(o::DOUBLE / n) AS best FROM m WHERE o >= need AND (phrase IS NULL OR contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ')) GROUP BY 1),
 p AS (SELECT d.rn, doc_id, len(w) AS n_words, list_concat(list_concat({at[0]}, {at[1]}), {at[2]}) AS places, list_filter([{', '.join(base)}], lambda x: x IS NOT NULL) AS base FROM d)
 SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
 array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(met, [])))), ',') AS labels,
