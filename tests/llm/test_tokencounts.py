@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -58,3 +59,13 @@ def test_edges(edge_docs, empty_docs):
     by = {r.doc_id: r for r in rows}
     assert by[0].n_tokens == by[1].n_tokens == by[2].n_tokens == 0 and by[3].n_pretokens == 60_000
     assert tokencounts.token_counts(empty_docs, VOCAB).count() == 0
+
+
+def test_vocabularies_do_not_share_a_memory(spark):
+    """Two vocabularies of one size and one sum of scores give each its own counts; one without a byte is refused."""
+    base = {bytes([b]): -100 for b in range(256)}
+    one, two = {**base, b" ab": -10, b" cd": -400}, {**base, b" ab": -400, b" cd": -10}
+    docs = spark.createDataFrame([(1, "ab cd ab")], "doc_id long, text string")
+    assert [tokencounts.token_counts(docs, v).first().n_tokens for v in (one, two)] == [1 + 3 + 1, 3 + 1 + 3]
+    with pytest.raises(ValueError, match="lacks"):
+        tokencounts.token_counts(docs, {b"a": -1})

@@ -16,9 +16,9 @@ from webloom.llm.common import arrow_map, bytes_column, small_batches
 SHIFT = 2.7
 #: Scores are whole numbers of this part of a nat, so that sums and ties are exact.
 UNIT = 1_000_000
-#: Trie nodes and remembered pre-tokens of a worker (about 0.4 GB); beyond its bound either starts anew (results stay the same).
+#: Trie nodes and remembered pre-tokens (none longer than LONG) of a worker (about 0.4 GB); beyond its bound either starts anew (results stay the same).
 NODES, MEMO = 1_200_000, 600_000
-#: Pre-tokens longer than this many bytes are scored on their own path, which the trie doesn't keep.
+#: Pre-tokens longer than this many bytes are scored on their own path, which neither the trie nor the memory keeps.
 LONG = 64
 
 
@@ -100,7 +100,9 @@ class Counts(dict):
         if len(self.trie.best) >= NODES:
             self.trie.clear()
         pieces, score = self.trie.insert(b" " + word)
-        got = self[word] = (pieces << SHIFT_BITS) - score
+        got = (pieces << SHIFT_BITS) - score
+        if len(word) <= LONG:
+            self[word] = got
         return got
 
     def of(self, words: list[bytes]) -> tuple[int, int]:
@@ -120,8 +122,12 @@ def token_counts(docs: DataFrame, scores: dict[bytes, int], id_col: str = "doc_i
     A document's count is the sum of its pre-tokens' terminal counts. One pass, no shuffle; the
     vocabulary is broadcast (its file's size) and the trie is bounded. Null and empty texts have no
     pre-tokens and score 0; of equal scores the fewest pieces count; repeated rows come out alike,
-    as often as they came in; an empty table gives no row; other columns are ignored.
+    as often as they came in; an empty table gives no row; other columns are ignored. A vocabulary
+    without one of the 256 bytes is refused, since some text would have no path.
     """
+    missing = [b for b in range(256) if bytes([b]) not in scores]
+    if missing:
+        raise ValueError(f"the vocabulary lacks single bytes: {missing[:8]}")
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(scores)
@@ -141,12 +147,11 @@ def token_counts(docs: DataFrame, scores: dict[bytes, int], id_col: str = "doc_i
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_pretokens long, n_tokens long, score long")
 
 
-_counts: dict[int, Counts] = {}
+_counts: list[Counts] = []
 
 
 def counts_for(scores: dict[bytes, int]) -> Counts:
-    """One memory for each worker process and vocabulary, shared by its tasks."""
-    key = hash((len(scores), sum(scores.values())))
-    if key not in _counts:
-        _counts[key] = Counts(scores)
-    return _counts[key]
+    """One memory for each worker process and vocabulary, shared by its tasks; a process keeps that of the vocabulary it met last."""
+    if not _counts or _counts[0].trie.scores != scores:
+        _counts[:] = [Counts(scores)]
+    return _counts[0]
