@@ -23,8 +23,8 @@ HEADER = struct.Struct("<8sHHQQ")
 #: Ids in a block (each block starts at a byte) and in a shard, which ends with the document that reaches it.
 BLOCK, SHARD_IDS = 1024, 2_000_000
 END = 0
-#: Different pre-tokens that a worker remembers.
-MEMO = 600_000
+#: Different pre-tokens, and bytes of them, that a worker remembers.
+MEMO, MEMO_BYTES = 600_000, 64 << 20
 
 
 def bits_for(vocab: int) -> int:
@@ -107,6 +107,7 @@ class Encoder:
         self.special = [str(x.content) for x in self.tok.get_added_tokens_decoder().values()]
         self.line_end = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, new: list[str]) -> None:
         """Encodes pre-tokens by the thousand as lines of one text: a line end is a pre-token of its own, whatever stands after it."""
@@ -126,8 +127,9 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         memo, parts, other = self.memo, [], []
-        if len(memo) > MEMO:
+        if len(memo) > MEMO or self.held > MEMO_BYTES:
             memo.clear()
+            self.held = 0
         fresh: set[str] = set()
         for i, t in enumerate(texts):
             if t and (not _PLAIN.fullmatch(t) or any(s in t for s in self.special)):
@@ -138,6 +140,7 @@ class Encoder:
             parts.append(pre)
             fresh.update(set(pre).difference(memo))
         self._learn(list(fresh))
+        self.held += sum(map(len, fresh))
         out = [b"".join(map(memo.__getitem__, p)) for p in parts]
         if other:
             for i, e in zip(other, self.tok.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True):
@@ -145,15 +148,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def encoder_for(json: str) -> Encoder:
     """One encoder for each worker process, so that tasks share what it remembers."""
-    key = hash(json)
-    if key not in _encoders:
-        _encoders[key] = Encoder(json)
-    return _encoders[key]
+    if json not in _encoders:
+        _encoders[json] = Encoder(json)
+    return _encoders[json]
 
 
 def write(docs: DataFrame, tokenizer: str, vocab: int, path: str) -> None:
