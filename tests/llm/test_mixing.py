@@ -28,7 +28,7 @@ def test_least_squares_against_plain_gradient(spark):
     n = [10, 20, 30, 5]
     table = spark.createDataFrame([(i, n[i], p[i]) for i in range(4)], "doc_id long, __tokens long, __p array<bigint>")
     goal = {"a": 40.0, "b": -5.0, "c": 0.0}
-    steps = mixing.fit_rates(table, ["a", "b", "c"], goal, rounds=80)
+    steps = mixing.fit_rates(table, ["a", "b", "c"], goal)
     got = {r.doc_id: r.r for r in table.select("doc_id", mixing._rate(steps, 0.0).alias("r")).collect()}
     m = np.array(p) / 1000 * np.array(n)[:, None]
     t = np.array([40.0, -5.0, 0.0])
@@ -46,5 +46,7 @@ def test_edges(spark, edge_docs, empty_docs):
     assert mixing.mixture(empty_docs, labels, WEIGHTS).count() == 0
     one = mixing.mixture(edge_docs, labels.where("false"), WEIGHTS).collect()
     assert all(abs(r.rate - 1) < 1e-6 for r in one)
-    out = mixing.resample(edge_docs, labels, WEIGHTS, 2.0, 1.0)
-    assert out.columns == edge_docs.columns and out.count() >= edge_docs.count()
+    wide = edge_docs.withColumn("__tokens", edge_docs["lang"]).withColumn("__p", edge_docs["lang"]).withColumn("__copy", edge_docs["lang"])
+    out = mixing.resample(wide, labels, WEIGHTS, 2.0, 1.0)
+    assert out.columns == wide.columns and out.count() >= wide.count()
+    assert mixing.resample(empty_docs, labels, WEIGHTS, 2.0, 1.0).count() == 0

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from webloom.llm import quality
 
@@ -44,3 +45,16 @@ def test_temperature_and_vectors_are_repeatable():
     assert a.temperature == b.temperature and (a.w1 == b.w1).all()
     x = np.stack([quality.pooled(*d, a.vectors) for d in docs]).astype(float)
     assert ((a.score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_sample_passes_over_long_texts_and_repeats(spark):
+    """A text beyond the budget costs its own place only; an id takes one place, however often it is repeated; nothing that fits is an error."""
+    rows = [(i, "short text") for i in range(20)] + [(i, "x" * 5000) for i in range(20, 40)] + [(7, "short text")] * 50 + [(7, "another longer one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = quality.labelled_sample(docs, labels, "quality", 40, 4000)
+    assert sorted(got) == sorted((b"short text", i % 2) for i in range(20))
+    assert len(quality.labelled_sample(docs, labels, "quality", 40, 20 * 10 + 5000)) == 21
+    with pytest.raises(ValueError, match="fits"):
+        quality.labelled_sample(docs.where("doc_id >= 20"), labels, "quality", 40, 4000)
+    assert quality.labelled_sample(docs, labels.where("false"), "quality", 40, 4000) == []

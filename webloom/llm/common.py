@@ -6,12 +6,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.session import materialize, ship_package
 
-__all__ = ["arrow_map", "ascii_lower", "bytes_column", "inline_table", "materialize", "small_batches", "words_of"]
+__all__ = ["arrow_map", "aside", "ascii_lower", "bytes_column", "inline_table", "materialize", "small_batches", "words_of"]
 
 #: Word rule of the contracts on bytes: A-Z become a-z; 0-9, a-z and every byte from 0x80 stay; the rest separates.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -51,6 +51,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with columns called like ``names`` renamed, and the selection that gives its own columns back."""
+    new = {}
+    for c in df.columns:
+        new[c] = c
+        while new[c] in names or (new[c] != c and new[c] in df.columns):
+            new[c] += "_"
+    return df.withColumnsRenamed(new), [F.col(f"`{n}`").alias(c) for c, n in new.items()]
+
+
 def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from the driver as one literal, without a Python stage; ``schema`` like ``a int, b string``."""
     names = [f.split()[0].strip("`") for f in schema.split(", ")]

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import arrow_map, bytes_column, materialize, small_batches, words_of
+from webloom.llm.common import arrow_map, aside, bytes_column, materialize, small_batches, words_of
 from webloom.llm.quality import labelled_sample
 
 #: Bound of the labelled sample that the classifier is fitted on.
@@ -22,7 +23,8 @@ TERMS = 400
 EPOCHS, RATE, DECAY = 300, 0.05, 1e-3
 #: Posteriors are kept to this many steps, so that sums over documents are exact integers.
 STEPS = 1000
-ROUNDS, TOLERANCE = 30, 1e-6
+#: Rounds of the projected gradient at most, and the residual (of the targets' length) and the gain of a round at which it ends.
+ROUNDS, TOLERANCE, GAIN = 300, 1e-6, 1e-7
 
 
 @dataclass
@@ -42,28 +44,30 @@ class Domains:
 
 
 def fit_domains(rows: list[tuple[bytes | None, str]], terms: int = TERMS) -> Domains:
-    """Words by their chi-square against the domains (ties by the word), then full-batch Adam. Domains in order of name."""
+    """Words by their chi-square against the domains (ties by the word's hash), then full-batch Adam. Domains in order of name.
+
+    Words are counted by their hashes, 8 bytes each, so the driver holds a few times the sample's size at most.
+    """
     names = sorted({y for _, y in rows}) or ["all"]
-    sets = [set(words_of(t)) for t, _ in rows]
     y = np.array([names.index(d) for _, d in rows], np.int64)
-    seen = Counter(w for s in sets for w in s)
-    counts = {w: np.zeros(len(names)) for w, n in seen.items() if n >= 3}
-    del seen
-    for s, d in zip(sets, y, strict=True):
-        for w in s:
-            if w in counts:
-                counts[w][d] += 1
+    sets = [np.array([xxhash.xxh64_intdigest(w) for w in set(words_of(t))], np.uint64) for t, _ in rows]
     total = np.bincount(y, minlength=len(names)).astype(float)
-    best = []
-    if len(names) > 1:
-        share = total / total.sum()
-        for w, c in counts.items():
-            n = c.sum()
-            best.append((-float((((c - n * share) ** 2) / (n * share)).sum()), w))
-    chosen = {w: i for i, (_, w) in enumerate(sorted(best)[:terms])}
+    held, at = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    counts = np.bincount(at * len(names) + np.repeat(y, [len(s) for s in sets]), minlength=len(held) * len(names)).reshape(-1, len(names)).astype(float)
+    del at
+    n, share = counts.sum(axis=1, keepdims=True), total / max(total.sum(), 1)
+    chi = np.where(n[:, 0] >= 3, ((counts - n * share) ** 2 / np.maximum(n * share, 1e-9)).sum(axis=1), -1.0) if len(names) > 1 else np.full(len(held), -1.0)
+    best = np.lexsort((held, -chi))[:terms]
+    best = np.sort(held[best[chi[best] >= 0]])
+    wanted = set(best.tolist())
+    word_of = {h: w for t, _ in rows for w in set(words_of(t)) if (h := xxhash.xxh64_intdigest(w)) in wanted} if wanted else {}
+    chosen = {word_of[int(h)]: i for i, h in enumerate(best)}
     x = np.zeros((len(rows), len(chosen)))
     for r, s in enumerate(sets):
-        x[r, [chosen[w] for w in s if w in chosen]] = 1
+        found = np.searchsorted(best, s)
+        found[found == len(best)] = 0
+        x[r, found[best[found] == s] if len(best) else []] = 1
+    del sets, held, counts
     weight, bias = np.zeros((len(chosen), len(names))), np.log((total + 1) / (total.sum() + len(names))) if len(rows) else np.zeros(1)
     if len(names) > 1 and len(chosen):
         hot = np.eye(len(names))[y]
@@ -128,7 +132,8 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], f
     it: domain totals and, over the rows that the clip leaves free, the second moments that scale
     the step. The driver sees K + K*K numbers a round. Where the scaled step lessens the residual by
     less than a tenth, the plain gradient step (one over the greatest curvature) is taken, which
-    always descends; so targets that cannot be met end at the least squares.
+    always descends; so targets that cannot be met end at the least squares. Rounds end when the
+    residual or the gain of a round is small; the limit of rounds, if it comes first, gives a warning.
     """
     k = len(domains)
     goal = np.array([float(targets.get(d, 0.0)) for d in domains])
@@ -157,10 +162,12 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], f
         if np.linalg.norm(goal - then) > 0.9 * size:
             step = left * plain
             then, moved = totals([*steps, step])
-            if np.linalg.norm(goal - then) > size * (1 - 1e-9):
+            if np.linalg.norm(goal - then) > size * (1 - GAIN):
                 break
         steps.append(step)
         now, moment = then, moved
+    else:
+        warnings.warn(f"rates after {rounds} rounds are {np.linalg.norm(goal - now):.3g} words off their targets and still moving", stacklevel=2)
     return steps
 
 
@@ -216,10 +223,13 @@ def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], bu
     """``docs`` with each row repeated ``copies`` times: the mixture put into effect, with the columns of ``docs``.
 
     Posteriors are worked out twice, once for the fit and once beside the texts, so that no text is
-    shuffled to meet its rate. Rows without an id take part like any other.
+    shuffled to meet its rate. Rows without an id take part like any other; null and empty texts
+    have the prior's posterior; repeated rows are copied alike; without labels there is one domain
+    with rate ``budget``; an empty table stays empty; other columns pass, whatever their names.
     """
     model = fit_mixture(docs, labelled)
     table = materialize(memberships(docs.select("text"), model), "mixing")
     steps = _fit(table, model, weights, budget, floor)
-    out = memberships(docs, model, keep_text=True).withColumn("__copies", _copies(_rate(steps, floor))).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    renamed, back = aside(docs, "__tokens", "__p", "__copies", "__copy")
+    out = memberships(renamed, model, keep_text=True).withColumn("__copies", _copies(_rate(steps, floor))).where("__copies > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(back)

@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import arrow_map, bytes_column, inline_table, small_batches
+from webloom.llm.common import arrow_map, aside, bytes_column, inline_table, small_batches
 
 #: Word buckets, vector length, neighbours on each side, nonzeros of an index vector.
 BUCKETS, DIM, REACH, SPARSE = 1 << 15, 48, 2, 4
 #: Labelled rows and bytes of text that the fit takes at most, in the order of a hash of the id. Whole texts only.
 FIT_ROWS, FIT_BYTES = 6000, 48 << 20
 HIDDEN, EPOCHS, RATE, DECAY = 24, 250, 0.01, 1e-4
-#: Different tokens that a worker remembers; beyond that it forgets them all (results stay the same).
-MEMO = 400_000
+#: Different tokens of at most LONG bytes that a worker remembers; beyond that many it forgets them all (results stay the same).
+MEMO, LONG = 400_000, 64
 
 _SPACE = bytes(32 if b in (9, 10, 11, 12, 13, 32) else b for b in range(256))
 _ALNUM = [48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)]
@@ -47,9 +47,11 @@ class Codes(dict):
     """token -> bucket * SHAPES + shape, worked out once for each different token."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        code = self[token] = (zlib.crc32(token) % BUCKETS) * SHAPES + _shape(token)
+        code = (zlib.crc32(token) % BUCKETS) * SHAPES + _shape(token)
+        if len(token) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[token] = code
         return code
 
 
@@ -192,28 +194,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     """At most ``rows`` labelled texts of at most ``size`` bytes in all, in the order of a hash of the id.
 
     ``labels(doc_id, <label>)``: of several labels of one id the least counts; null ids and labels
-    are left out. Ids are chosen first, from the two id columns alone; their texts are then met by a
-    broadcast of at most ``rows`` ids, so no text is shuffled. Sizes come before texts, so that what
-    is fetched stays within the bound.
+    are left out; of several texts of one id the shortest counts (ties by hash). Ids are chosen
+    first, from the two id columns alone; their texts are then met by a broadcast of at most
+    ``rows`` ids, so no text is shuffled. Sizes come before texts: a text that doesn't fit what is
+    left of ``size`` is passed over for the next. If none fits, that is an error and no empty sample.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("__label"))
     order = F.xxhash64("doc_id", F.lit(1))
     known = docs.select("doc_id").distinct().join(one, "doc_id")
-    chosen = known.orderBy(order, "doc_id").limit(rows).collect()
-    picked = inline_table(docs.sparkSession, [(r["doc_id"],) for r in chosen], "doc_id bigint")
-    label_of = {r["doc_id"]: r["__label"] for r in chosen}
-    mine = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    sizes = mine.select("doc_id", order.alias("o"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("o", "doc_id").limit(rows).collect()
-    last, total = None, 0
+    label_of = {r["doc_id"]: r["__label"] for r in known.orderBy(order, "doc_id").limit(rows).collect()}
+    ids = inline_table(docs.sparkSession, [(d,) for d in label_of], "doc_id bigint")
+    mine = docs.select("doc_id", "text", F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("h")).alias("x"))
+    sizes = mine.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy(order, "doc_id").select("doc_id", "x.size", "x.h").collect()
+    picked, total = [], 0
     for r in sizes:
-        total += r["size"]
-        if total > size:
-            break
-        last = r["o"]
-    if last is None:
-        return []
-    got = mine.where(order <= last).select("doc_id", F.encode("text", "UTF-8").alias("text")).orderBy(order, "doc_id", "text").limit(rows).collect()
-    return [(None if r["text"] is None else bytes(r["text"]), label_of[r["doc_id"]]) for r in got]
+        if total + r["size"] <= size:
+            total += r["size"]
+            picked.append((r["doc_id"], r["h"]))
+    if sizes and not picked:
+        raise ValueError(f"none of {len(sizes)} labelled texts fits into {size} bytes")
+    texts = mine.select("doc_id", "x.h", F.encode("text", "UTF-8").alias("text"))
+    got = texts.join(F.broadcast(inline_table(docs.sparkSession, picked, "doc_id bigint, h bigint")), ["doc_id", "h"]).dropDuplicates(["doc_id"])
+    return [(None if r["text"] is None else bytes(r["text"]), label_of[r["doc_id"]]) for r in got.orderBy(order, "doc_id").collect()]
 
 
 def learnable(col: str = "doc_id"):
@@ -264,6 +266,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """Rows whose score is at least one half, with the columns of ``docs``."""
-    renamed = docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs
-    kept = score(renamed, fit(docs, labels, label)).where(F.col("score") >= 0.5).drop("score")
-    return kept.withColumnRenamed("__score", "score").select(docs.columns)
+    renamed, back = aside(docs, "score")
+    return score(renamed, fit(docs, labels, label)).where(F.col("score") >= 0.5).select(back)

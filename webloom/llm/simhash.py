@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import setsim
-from webloom.llm.common import arrow_map, bytes_column, materialize, small_batches
+from webloom.llm.common import arrow_map, aside, bytes_column, materialize, small_batches
 from webloom.llm.components import connected_components
 
 SEED = 42
@@ -173,10 +173,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     fingerprints. Of rows that are equal in all columns one stays.
     """
     kept = setsim.kept_rows(docs, id_col, text_col, shingle, similarity)
-    keyed = docs.select("*", *(k.alias(f"__{n}") for n, k in zip(("row", "row2"), setsim.row_keys(docs.columns), strict=True)))
+    renamed, back = aside(docs, "__row", "__row2")
+    keyed = renamed.select("*", *(k.alias(f"__{n}") for n, k in zip(("row", "row2"), setsim.row_keys(renamed.columns), strict=True)))
     keys = ["__row", "__row2"]
     once, many = (kept.where(c).select(F.col("row").alias("__row"), F.col("row2").alias("__row2")) for c in ("n = 1", "n > 1"))
-    out = keyed.join(once, keys, "left_semi").select(docs.columns)
+    out = keyed.join(once, keys, "left_semi").select(back)
     if not many.isEmpty():
-        out = out.unionByName(keyed.join(many, keys, "left_semi").dropDuplicates(keys).select(docs.columns))
+        out = out.unionByName(keyed.join(many, keys, "left_semi").dropDuplicates(keys).select(back))
     return out
