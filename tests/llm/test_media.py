@@ -36,7 +36,7 @@ def test_payloads(data):
     p = media.payload_of(data)
     assert len(p) % 192 == 0 and p.rstrip(b" ") == data.rstrip(b" ")
     m = media.store(p)
-    assert media.pixels(m).tobytes() == p
+    assert (media.pixels(m)[:, :, 1] == media.pixels(m)[:, :, 2]).all() and media.pixels(m)[:, :, 0].tobytes() == p
     with pytest.raises((ValueError, IndexError)):
         media.pixels(m[: len(m) // 2])
 
@@ -71,11 +71,47 @@ def test_query_and_edges(spark, sf, edge_docs, empty_docs):
         assert feature.setdefault(r.text or "", (got.feature, got.media_sha256)) == (got.feature, got.media_sha256)
     assert media.digest(media.encode_column(empty_docs)).count() == 0
     arrays = media.decode_column(media.encode_column(edge_docs.where("doc_id = 3"))).first()
-    assert arrays.width == 64 and bytes(arrays.samples).startswith(b"word0 filler")
+    assert arrays.width == 192 and bytes(arrays.samples)[::3].startswith(b"word0 filler")
 
 
 def test_tall_payloads_are_several_files(monkeypatch):
     monkeypatch.setattr(media, "TILE", 4)
     p = media.payload_of(b"abc def " * 300)
     m = media.store(p)
-    assert len(webp.files(m)) > 1 and media.pixels(m).tobytes() == p
+    assert len(webp.files(m)) > 1 and media.pixels(m)[:, :, 0].tobytes() == p
+
+
+def test_stored_columns_use_the_format(monkeypatch):
+    """Stored texts have a transform, references and codes of several lengths; windows of any size read the same."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(2, 9, 200)]
+    text = b" ".join(words[i] for i in rng.integers(0, 200, 3000)) + b"ab" * 5000 + bytes(range(256))
+    p = media.payload_of(text)
+    m = media.store(p)
+    assert len(m) < 0.5 * len(p) and (media.pixels(m)[:, :, 0].tobytes() == p)
+    found = webp._references(np.frombuffer(p, np.uint8))
+    assert len(found) > 100 and any(d < n for _, n, d in found) and max(n for _, n, _ in found) <= 4096
+    monkeypatch.setattr(webp, "WINDOW", 40)
+    assert media.pixels(m)[:, :, 0].tobytes() == p
+
+
+def test_extended_container():
+    img = np.random.default_rng(4).integers(0, 256, (5, 7, 3)).astype(np.uint8)
+    body = webp.encode(img)[12:]
+    chunks = b"VP8X" + (10).to_bytes(4, "little") + bytes(10) + b"ICCP" + (3).to_bytes(4, "little") + b"abc\0" + body
+    whole = b"RIFF" + (4 + len(chunks)).to_bytes(4, "little") + b"WEBP" + chunks
+    assert (webp.decode(whole)[:, :, :3] == img).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2000), min_size=1, max_size=280), st.sampled_from([7, 9, 15]))
+def test_prefix_codes(counts, limit):
+    """Lengths are those of a complete code within the limit, and its code words are read back."""
+    counts = np.array(counts[: 1 << limit])
+    lengths = webp.code_lengths(counts, limit)
+    used = np.flatnonzero(counts)
+    assert (np.flatnonzero(lengths) == used).all() and lengths.max(initial=0) <= limit
+    if len(used) > 1:
+        assert sum(2.0 ** -int(lengths[s]) for s in used) == 1
+        words, code = webp.code_words(lengths), webp.Prefix(lengths)
+        assert all(code.array[words[s]] == s * 16 + lengths[s] for s in used)

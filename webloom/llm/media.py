@@ -14,25 +14,24 @@ from pyspark.sql import functions as F
 from webloom.llm import webp
 from webloom.llm.common import arrow_map, bytes_column, small_batches
 
-#: Pixels of a row; a row holds ROW_BYTES samples. Taller payloads are a sequence of files of TILE rows.
-WIDTH, TILE = 64, 16384
-ROW_BYTES = WIDTH * 3
+#: Samples of a row. Taller payloads are a sequence of files of TILE rows.
+WIDTH, TILE = 192, 1024
 
 
 def payload_of(text: bytes | None) -> bytes:
-    """The text's bytes, filled up with spaces to a positive multiple of ROW_BYTES."""
+    """The text's bytes, filled up with spaces to a positive multiple of WIDTH."""
     data = text or b""
-    return data.ljust(max(1, -(-len(data) // ROW_BYTES)) * ROW_BYTES, b" ")
+    return data.ljust(max(1, -(-len(data) // WIDTH)) * WIDTH, b" ")
 
 
 def store(payload: bytes) -> bytes:
-    """The payload as red, green and blue samples of one WebP file, or of several."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
-    return b"".join(webp.encode_flat(rows[i : i + TILE]) for i in range(0, len(rows), TILE))
+    """The payload as the grey samples of one WebP file, or of several."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    return b"".join(webp.encode_grey(rows[i : i + TILE]) for i in range(0, len(rows), TILE))
 
 
 def pixels(media: bytes) -> np.ndarray:
-    """Samples (rows, WIDTH, 3) of the stored bytes."""
+    """Pixels (rows, WIDTH, 3) of the stored bytes; a grey sample stands in each channel."""
     return np.concatenate([webp.decode(f)[:, :, :3] for f in webp.files(media)])
 
 
@@ -89,7 +88,7 @@ def digest(media: DataFrame) -> DataFrame:
             rows = []
             for m in b.column(2).to_pylist():
                 rgb = pixels(m)
-                p = rgb.tobytes()
+                p = rgb[:, :, 0].tobytes()
                 rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(rgb)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]

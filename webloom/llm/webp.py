@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 import struct
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 
@@ -35,30 +34,52 @@ class Bits:
         return int.from_bytes(self.data[a >> 3 : (a + n + 7) >> 3], "little") >> (a & 7) & ((1 << n) - 1)
 
 
+#: The 16 bits of a number in reverse.
+REVERSED = (np.packbits(np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, ::-1], axis=1).view(">u2").ravel()).astype(np.int64)
+
+
+def code_words(lengths: np.ndarray) -> np.ndarray:
+    """The canonical code of each symbol (by length, then symbol), its first bit lowest, as the stream holds it."""
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    own = lengths[order]
+    out = np.zeros(len(lengths), np.int64)
+    # Each code follows the one before it, counted in units of the longest code's bits.
+    out[order] = REVERSED[np.cumsum(1 << (16 - own)) - (1 << (16 - own))] if len(order) else 0
+    return out
+
+
 class Prefix:
     """A canonical prefix code; its table by the next ``width`` bits gives symbol * 16 + length and is made on first use."""
 
-    def __init__(self, lengths: np.ndarray) -> None:
-        self.lengths, self.used = lengths, np.flatnonzero(lengths)
+    def __init__(self, lengths: np.ndarray | None, lone: int | None = None) -> None:
+        self.lengths = lengths
+        self.used = np.flatnonzero(lengths) if lone is None else [lone]
         if len(self.used) == 0:
             raise ValueError("an empty prefix code")
-        own = lengths[self.used]
-        self.width = int(own.max()) if len(self.used) > 1 else 0
-        if self.width and int((1 << (self.width - own)).sum()) != 1 << self.width:
-            raise ValueError("a prefix code that isn't complete")
-        #: The length shared by all symbols (0 for a single one), or None.
-        self.uniform = self.width if not self.width or int(own.min()) == self.width else None
-        self.table: list[int] = []
+        self.width = 0
+        if len(self.used) > 1:
+            own = lengths[self.used]
+            self.width = int(own.max())
+            if int((1 << (self.width - own)).sum()) != 1 << self.width:
+                raise ValueError("a prefix code that isn't complete")
+
+    @cached_property
+    def array(self) -> np.ndarray:
+        if not self.width:
+            return np.array([int(self.used[0]) * 16], np.int64)
+        used = self.used[np.argsort(self.lengths[self.used], kind="stable")]
+        own = self.lengths[used]
+        by_code = np.repeat(used * 16 + own, 1 << (self.width - own))
+        return by_code[REVERSED[: 1 << self.width] >> (16 - self.width)]
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.array.tolist()
 
     def read(self, bits: Bits) -> int:
         if not self.width:
             return int(self.used[0])
-        if not self.table:
-            self.table = [0] * (1 << self.width)
-            for symbol, code in canonical(self.lengths).items():
-                n = int(self.lengths[symbol])
-                first = reverse(code, n)
-                self.table[first :: 1 << n] = [symbol * 16 + n] * (1 << (self.width - n))
         a = bits.at
         entry = self.table[int.from_bytes(bits.data[a >> 3 : (a >> 3) + 3], "little") >> (a & 7) & ((1 << self.width) - 1)]
         bits.at = a + (entry & 15)
@@ -67,31 +88,17 @@ class Prefix:
         return entry >> 4
 
 
-@lru_cache(maxsize=1 << 16)
-def reverse(code: int, n: int) -> int:
-    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
-
-
-def canonical(lengths: np.ndarray) -> dict[int, int]:
-    """symbol -> code, by length and then by symbol."""
-    out, code, last = {}, 0, 0
-    for s in sorted(np.flatnonzero(lengths), key=lambda s: (lengths[s], s)):
-        code <<= int(lengths[s]) - last
-        last = int(lengths[s])
-        out[int(s)] = code
-        code += 1
-    return out
-
-
 def read_prefix(bits: Bits, size: int) -> Prefix:
     """One prefix code over ``size`` symbols: a simple one or one with coded lengths."""
-    lengths = np.zeros(size, np.int64)
     if bits.read(1):
         two = bits.read(1)
         symbols = [bits.read(8 if bits.read(1) else 1)]
         symbols += [bits.read(8)] if two else []
         if max(symbols) >= size:
             raise ValueError("a symbol beyond its alphabet")
+        if len(set(symbols)) == 1:
+            return Prefix(None, symbols[0])
+        lengths = np.zeros(size, np.int64)
         lengths[symbols] = 1
         return Prefix(lengths)
     outer = np.zeros(19, np.int64)
@@ -99,19 +106,29 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
         outer[CODE_LENGTH_ORDER[k]] = bits.read(3)
     code = Prefix(outer)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
+    # All of the coded lengths lie in the next 14 bits a symbol.
+    held, at = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 2 * size + 8], "little"), bits.at & 7
+    start, table, mask = bits.at - at, code.table, (1 << code.width) - 1
     found: list[int] = []
     before = 8
     while len(found) < size and left:
         left -= 1
-        s = code.read(bits)
-        if s < 16:
-            found.append(s)
-            before = s or before
+        entry = table[held >> at & mask]
+        at += entry & 15
+        symbol = entry >> 4
+        if symbol < 16:
+            found.append(symbol)
+            before = symbol or before
             continue
-        value, n = (before, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        found += [value] * n
+        value, least, k = ((before, 3, 2), (0, 3, 3), (0, 11, 7))[symbol - 16]
+        found += [value] * (least + (held >> at & ((1 << k) - 1)))
+        at += k
+    bits.at = start + at
+    if bits.at > bits.end:
+        raise ValueError("the stream ends early")
     if len(found) > size:
         raise ValueError("code lengths beyond the alphabet")
+    lengths = np.zeros(size, np.int64)
     lengths[: len(found)] = found
     return Prefix(lengths)
 
@@ -124,25 +141,114 @@ def _amount(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def _literals(bits: Bits, codes: list[Prefix], n: int) -> np.ndarray | None:
-    """All pixels at once if green, red, blue and alpha have codes of one length each and only literals."""
-    widths = [c.uniform for c in codes[:4]]
-    if None in widths or codes[0].used[-1] > 255:
-        return None
-    total = sum(widths)
-    at = bits.at
-    if at + n * total > bits.end:
-        raise ValueError("the stream ends early")
-    raw = np.unpackbits(np.frombuffer(bits.data, np.uint8)[at >> 3 : (at + n * total + 7) >> 3], bitorder="little")[at & 7 :][: n * total].reshape(n, total)
-    bits.at = at + n * total
-    out, k = np.zeros((n, 4), np.uint8), 0
-    for code, w, channel in zip(codes, widths, (1, 2, 0, 3), strict=False):
-        if w > 8:
+#: Bytes of a stream whose bit positions are worked out together.
+WINDOW = 1 << 17
+
+
+def _vector(bits: Bits, codes: list[Prefix], n: int, width: int) -> np.ndarray | None:
+    """``n`` pixels of one group without a colour cache: every bit position's symbol and successor at once, then the chain from the first.
+
+    At each bit position of a window the green code's table gives a symbol; for a literal the other
+    channels' tables are asked where it ends, for a back-reference length, distance code and
+    extra bits are read behind it. So the successor of every position is known before the real
+    chain of symbols is followed, which is then a walk over integers. None if the green code has one
+    symbol that takes no bits and isn't a literal.
+    """
+    rest = [c for c in (codes[1], codes[2], codes[3]) if c.width]
+    if not codes[0].width and not rest:
+        if codes[0].used[0] > 255:
             return None
-        index = np.packbits(raw[:, k : k + w], axis=1)[:, 0] >> (8 - w) if w else 0
-        out[:, channel] = code.used.astype(np.uint8)[index]
-        k += w
-    return out.view("<u4").ravel()
+        return _filled(codes, np.zeros(n, np.int64) + codes[0].used[0], [None] * 3)
+    raw = np.frombuffer(bits.data, np.uint8)
+    out, done = bytearray(4 * n), 0
+    while done < n:
+        base = bits.at >> 3
+        part = raw[base : base + WINDOW + 16]
+        size = len(part)
+        b = np.concatenate([part, np.zeros(8, np.uint8)]).astype(np.uint32)
+        word = b[: size + 4] | b[1 : size + 5] << 8 | b[2 : size + 6] << 16 | b[3 : size + 7] << 24
+
+        def peek(at: np.ndarray, k: np.ndarray | int, word: np.ndarray = word) -> np.ndarray:
+            return (word[at >> 3] >> (at & 7).astype(np.uint32) & ((1 << k) - 1 if isinstance(k, int) else (np.uint32(1) << k.astype(np.uint32)) - np.uint32(1))).astype(np.int64)
+
+        last = size * 8
+        every = (word[:size, None] >> np.arange(8, dtype=np.uint32)).ravel()
+        entry = codes[0].array[every & np.uint32((1 << codes[0].width) - 1)]
+        symbol, step = entry >> 4, entry & 15
+        length = np.ones(last, np.int64)
+        to = np.arange(last) + step
+        for c in rest:
+            to += c.array[peek(np.minimum(to, last), c.width)] & 15
+        ref = np.flatnonzero((symbol > 255) & (np.arange(last) + step < last))
+        where, distance = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(ref):
+            k = symbol[ref] - 256
+            e = np.where(k < 4, 0, (k - 2) >> 1)
+            at = ref + step[ref]
+            length[ref] = np.where(k < 4, k + 1, ((2 + (k & 1)) << e) + peek(at, e) + 1)
+            at = np.minimum(at + e, last)
+            d = codes[4].array[peek(at, codes[4].width)]
+            at = np.minimum(at + (d & 15), last)
+            d >>= 4
+            e = np.where(d < 4, 0, (d - 2) >> 1)
+            where, distance = ref, np.where(d < 4, d + 1, ((2 + (d & 1)) << e) + peek(at, e) + 1)
+            to[ref] = at + e
+        stop = last if base + size >= len(raw) else WINDOW * 8
+        one = np.minimum(np.append(to, last), last)
+        two = one[one]
+        four, at, hops = memoryview(two[two]), bits.at & 7, []
+        while at < stop:  # the walk takes four symbols a step; those between are filled in after it
+            hops.append(at)
+            at = four[at]
+        hops = np.array(hops, np.int64)
+        path = np.stack([hops, one[hops], two[hops], one[two[hops]]], 1).ravel()
+        path = path[: int(np.searchsorted(path, stop))]
+        p = int(to[path[-1]]) if len(path) else bits.at & 7
+        ends = np.cumsum(length[path]) if len(path) else path
+        m = int(np.searchsorted(ends, n - done)) + 1
+        if m <= len(path):
+            path, ends, p = path[:m], ends[:m], int(to[path[m - 1]])
+            if ends[-1] != n - done:
+                raise ValueError("a reference outside the image")
+        elif stop == last:
+            raise ValueError("the stream ends early")
+        if p > last:
+            raise ValueError("the stream ends early")
+        begin = done + ends - length[path]
+        plain = symbol[path] < 256
+        first, at = begin[plain] * 4, path[plain] + step[path[plain]]
+        values = []
+        for c in codes[1:4]:
+            if c.width:
+                got = c.array[peek(at, c.width)]
+                values.append(got >> 4)
+                at = at + (got & 15)
+            else:
+                values.append(None)
+        if len(first):
+            pixel = _filled(codes, symbol[path[plain]], values)
+            np.frombuffer(out, "<u4")[first >> 2] = pixel
+        jumps = path[~plain]
+        if len(jumps):
+            far = distance[np.searchsorted(where, jumps)]
+            near = far <= 120
+            if near.any():
+                x, y = np.array(NEAR)[far[near] - 1].T
+                far[near] = np.maximum(1, x + y * width)
+            far[~near] -= 120
+            if (far > begin[~plain]).any():
+                raise ValueError("a reference outside the image")
+            for a, l, d in zip((begin[~plain] * 4).tolist(), (length[jumps] * 4).tolist(), (far * 4).tolist(), strict=True):
+                out[a : a + l] = out[a - d : a - d + l] if d >= l else (out[a - d : a] * (l // d + 1))[:l]
+        done += int(ends[-1]) if len(ends) else 0
+        bits.at = base * 8 + p
+    return np.frombuffer(out, "<u4").copy()
+
+
+def _filled(codes: list[Prefix], green: np.ndarray, values: list) -> np.ndarray:
+    """Pixels of green values and of red, blue and alpha ones, where a code without bits stands for its one symbol."""
+    red, blue, alpha = (np.int64(c.used[0]) if v is None else v for c, v in zip(codes[1:4], values, strict=True))
+    return (green << 8 | red << 16 | blue | alpha << 24).astype("<u4")
 
 
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -159,7 +265,7 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + 24 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
     groups = [[read_prefix(bits, s) for s in sizes] for _ in range(n_groups)]
     n = width * height
-    if not cache_bits and groups_of is None and (fast := _literals(bits, groups[0], n)) is not None:
+    if not cache_bits and groups_of is None and (fast := _vector(bits, groups[0], n, width)) is not None:
         return fast
     out = [0] * n
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
@@ -200,7 +306,7 @@ def _planes(argb: np.ndarray) -> np.ndarray:
 
 
 def predict(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarray, top_left: np.ndarray) -> np.ndarray:
-    """One of the 14 predictors on channel values."""
+    """One of the 14 predictors on channel values; the two numbers left over are black, like 0."""
     l, t, r, c = (x.astype(np.int32) for x in (left, top, top_right, top_left))
     mean = lambda a, b: (a + b) >> 1
     if mode == 11:
@@ -212,7 +318,7 @@ def predict(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarray,
         d = a - c
         return np.clip(a + np.where(d < 0, -(-d >> 1), d >> 1), 0, 255)
     return {
-        0: lambda: np.array([0, 0, 0, 255]), 1: lambda: l, 2: lambda: t, 3: lambda: r, 4: lambda: c, 5: lambda: mean(mean(l, r), t), 6: lambda: mean(l, c),
+        14: lambda: np.array([0, 0, 0, 255]), 15: lambda: np.array([0, 0, 0, 255]), 0: lambda: np.array([0, 0, 0, 255]), 1: lambda: l, 2: lambda: t, 3: lambda: r, 4: lambda: c, 5: lambda: mean(mean(l, r), t), 6: lambda: mean(l, c),
         7: lambda: mean(l, t), 8: lambda: mean(c, t), 9: lambda: mean(t, r), 10: lambda: mean(mean(l, c), mean(t, r)),
     }[mode]()
 
@@ -263,12 +369,22 @@ def _pack_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
+def _stream(data: bytes) -> bytes:
+    """The VP8L chunk of a simple or an extended file."""
+    if len(data) < 20 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("not a WebP")
+    at = 12
+    while at + 8 <= len(data):
+        size = struct.unpack_from("<I", data, at + 4)[0]
+        if data[at : at + 4] == b"VP8L":
+            return data[at + 8 : at + 8 + size]
+        at += 8 + size + (size & 1)
+    raise ValueError("not a lossless WebP")
+
+
 def decode(data: bytes) -> np.ndarray:
     """Pixels (height, width, 4) as red, green, blue, alpha."""
-    if len(data) < 20 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
-        raise ValueError("not a lossless WebP")
-    size = struct.unpack_from("<I", data, 16)[0]
-    bits = Bits(data[20 : 20 + size])
+    bits = Bits(_stream(data))
     if bits.read(8) != SIGNATURE:
         raise ValueError("no VP8L signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -328,9 +444,10 @@ class Writer:
             self.parts.append(np.unpackbits(raw, count=self.size, bitorder="little"))
             self.held, self.size = 0, 0
 
-    def bits(self, raw: np.ndarray) -> None:
+    def words(self, raw: np.ndarray, size: int) -> None:
+        """The first ``size`` bits of 64-bit words."""
         self.flush()
-        self.parts.append(raw)
+        self.parts.append(np.unpackbits(raw.astype("<u8").view(np.uint8), count=size, bitorder="little"))
 
     def done(self) -> bytes:
         self.flush()
@@ -346,15 +463,27 @@ def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
         lengths[used] = 1
         return lengths
     while True:
-        heap = [(int(counts[s]), int(s), (int(s),)) for s in used]
-        heapq.heapify(heap)
-        lengths[:] = 0
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            both = a[2] + b[2]
-            lengths[list(both)] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), both))
-        if lengths.max() <= limit:
+        # Leaves by weight, then inner nodes as they are made: both are in order, so the two least are at the two fronts.
+        leaves = used[np.argsort(counts[used], kind="stable")]
+        weight = counts[leaves].tolist()
+        n, i = len(weight), 0
+        j = n
+        parent = [0] * (2 * n - 1)
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if i < n and (j >= node or weight[i] <= weight[j]):
+                    k, i = i, i + 1
+                else:
+                    k, j = j, j + 1
+                total += weight[k]
+                parent[k] = node
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= limit:
+            lengths[leaves] = depth[:n]
             return lengths
         counts = np.where(counts > 0, (counts + 1) // 2, 0)
 
@@ -371,51 +500,41 @@ def put_prefix(w: Writer, lengths: np.ndarray) -> None:
             w.put(s, 8)
         return
     tokens: list[tuple[int, int, int]] = []
-    end = int(used[-1]) + 1
-    at = 0
-    while at < end:
-        if lengths[at]:
-            n = next((i for i in range(at, end) if lengths[i] != lengths[at]), end) - at
-            tokens.append((int(lengths[at]), 0, 0))
-            at += n
-            n -= 1
-            while n >= 3:
-                tokens.append((16, min(n, 6) - 3, 2))
-                n -= min(n, 6)
-            tokens += [(int(lengths[at - 1]), 0, 0)] * n
-            continue
-        run = int(used[np.searchsorted(used, at)]) - at
-        at += run
-        while run >= 11:
-            n = min(run, 138)
-            tokens.append((18, n - 11, 7))
+    known = lengths[: int(used[-1]) + 1]
+    edge = np.flatnonzero(np.diff(known, prepend=-1))
+    for value, run in zip(known[edge].tolist(), np.diff(edge, append=len(known)).tolist(), strict=True):
+        if value:
+            tokens.append((value, 0, 0))
+            run -= 1
+        while run >= (3 if value else 11):
+            n = min(run, 6 if value else 138)
+            tokens.append((16, n - 3, 2) if value else (18, n - 11, 7))
             run -= n
         if run >= 3:
             tokens.append((17, run - 3, 3))
             run = 0
-        tokens += [(0, 0, 0)] * run
-    counts = np.bincount([t[0] for t in tokens], minlength=19)
-    outer = code_lengths(counts, 7)
-    codes = canonical(outer)
-    lone = (outer > 0).sum() == 1
+        tokens += [(value, 0, 0)] * run
+    outer = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
+    codes, size_of = code_words(outer).tolist(), outer.tolist()
+    if np.count_nonzero(outer) == 1:
+        size_of = [0] * 19
     w.put(0, 1)
-    n = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if outer[s]) + 1
-    n = max(4, n)
+    n = max(4, max(k for k, s in enumerate(CODE_LENGTH_ORDER) if outer[s]) + 1)
     w.put(n - 4, 4)
     for s in CODE_LENGTH_ORDER[:n]:
         w.put(int(outer[s]), 3)
     w.put(1, 1)
-    size = max(2, (len(tokens) - 2).bit_length() if len(tokens) > 2 else 2)
+    if len(tokens) < 2:
+        tokens.append(tokens[0])
+    size = max(2, (len(tokens) - 2).bit_length())
     size += size & 1
     w.put((size - 2) // 2, 3)
-    if len(tokens) < 2:
-        tokens.append((0, 0, 0) if not lone else tokens[0])
     w.put(len(tokens) - 2, size)
+    held = at = 0
     for s, extra, k in tokens:
-        if not lone:
-            w.put(reverse(codes[s], int(outer[s])), int(outer[s]))
-        if k:
-            w.put(extra, k)
+        held |= (codes[s] if size_of[s] else 0) << at | extra << (at + size_of[s])
+        at += size_of[s] + k
+    w.put(held, at)
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -465,7 +584,7 @@ def _put_image(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits:
             counts[0][256 + t[1][0]] += 1
             counts[4][t[2][0]] += 1
     lengths = [code_lengths(c, 15) for c in counts]
-    codes = [canonical(x) for x in lengths]
+    codes, lone = [code_words(x).tolist() for x in lengths], [np.count_nonzero(x) < 2 for x in lengths]
     w.put(int(bool(cache_bits)), 1)
     if cache_bits:
         w.put(cache_bits, 4)
@@ -475,8 +594,8 @@ def _put_image(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits:
         put_prefix(w, x)
 
     def put(k: int, s: int) -> None:
-        if len(codes[k]) > 1:
-            w.put(reverse(codes[k][s], int(lengths[k][s])), int(lengths[k][s]))
+        if not lone[k]:
+            w.put(codes[k][s], int(lengths[k][s]))
 
     for t in tokens:
         if t[0] == "pixel":
@@ -544,41 +663,92 @@ def encode(rgb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, referen
     return _container(w.done())
 
 
-@lru_cache(maxsize=4096)
-def _flat_codes(present: bytes, n: int) -> np.ndarray:
-    """Bits of the five codes of :func:`encode_flat`, the same for the three channels."""
-    w = Writer()
-    lengths = np.zeros(280, np.int64)
-    lengths[:256] = np.frombuffer(present, np.uint8).astype(np.int64) * max(n, 1)
-    for _ in range(3):
-        put_prefix(w, lengths)
-    for symbol in (255, 0):
-        lengths = np.zeros(256, np.int64)
-        lengths[symbol] = 1
-        put_prefix(w, lengths)
-    w.flush()
-    return np.concatenate(w.parts)
-
-
-def encode_flat(rgb: np.ndarray) -> bytes:
-    """Lossless WebP whose prefix codes have one length, packed and later read without a loop over pixels.
-
-    The code has the least length that numbers the image's different samples; unused samples fill
-    it up, as a prefix code must be complete.
+#: Least bytes of a back-reference, and most of one and of its distance.
+MATCH, MATCH_MOST, FAR = 6, 4096, 1_000_000
+
+
+def _references(v: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy (start, length, distance) of what repeats: runs of positions whose MATCH bytes last stood the same distance before."""
+    n = len(v) - MATCH + 1
+    if n < 2:
+        return []
+    key = v[:n].astype(np.uint64)
+    for i in range(1, MATCH):
+        key |= v[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    back = np.zeros(n, np.int64)
+    back[order[again + 1]] = order[again + 1] - order[again]
+    back[back > FAR] = 0
+    edge = np.flatnonzero(np.diff(back, prepend=-1))
+    runs = np.stack([edge, np.append(edge[1:], n), back[edge]], 1)
+    out, at = [], 0
+    for s, e, d in runs[runs[:, 2] > 0].tolist():
+        s = max(s, at)
+        if s < e:
+            at = e + MATCH - 1
+            out += [(x, min(MATCH_MOST, at - x), d) for x in range(s, at, MATCH_MOST)]
+    return out
+
+
+def _prefixes_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix, extra value and extra bits of lengths or distances."""
+    v = value - 1
+    k = np.maximum(np.frexp(v.astype(float))[1] - 2, 0)
+    small = v < 4
+    k[small] = 0
+    return np.where(small, v, 2 * k + 2 + (v >> k & 1)), np.where(small, 0, v & ((1 << k) - 1)), k
+
+
+def _packed(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Values of ``size`` bits each (64 at most, some above 0), lowest bit first, as 64-bit words with zeros behind."""
+    keep = size > 0
+    value, size = value[keep].astype(np.uint64), size[keep]
+    ends = np.cumsum(size)
+    start = ends - size
+    shift = (start & 63).astype(np.uint64)
+    at = start >> 6
+    out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out[at[first]] = np.bitwise_or.reduceat(value << shift, first)
+    final = np.append(first[1:], len(at)) - 1
+    over = shift[final] > 0
+    out[at[final][over] + 1] |= value[final][over] >> (np.uint64(64) - shift[final][over])
+    return out
+
+
+def encode_grey(samples: np.ndarray) -> bytes:
+    """Lossless WebP of (height, width) grey samples: subtract-green, back-references and Huffman codes.
+
+    Red and blue equal green, so the transform leaves zeros, whose codes take no bits; what is coded
+    is one symbol a sample or reference.
     """
-    height, width = rgb.shape[:2]
+    height, width = samples.shape
+    v = samples.ravel()
     w = Writer()
     _header(w, width, height)
-    w.put(0, 3)  # no transform, no cache, one group
-    present = np.zeros(256, np.uint8)
-    present[rgb.ravel()] = 1
-    used = int(present.sum())
-    n = (used - 1).bit_length()
-    present[np.flatnonzero(present == 0)[: (1 << n) - used]] = 1
-    w.bits(_flat_codes(present.tobytes(), n))
-    if n:
-        index = (np.cumsum(present, dtype=np.int64) - 1).astype(np.uint8)[rgb[:, :, [1, 0, 2]].ravel()]
-        w.bits(np.unpackbits(index[:, None], axis=1)[:, 8 - n :].ravel())
+    for value, k in ((1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)):  # one transform, no more, no cache, one group
+        w.put(value, k)
+    found = np.array(_references(v), np.int64).reshape(-1, 3)
+    covered = np.zeros(len(v) + 1, np.int64)
+    np.add.at(covered, found[:, 0], 1)
+    np.add.at(covered, found[:, 0] + found[:, 1], -1)
+    alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    lp, lx, lk = _prefixes_of(found[:, 1])
+    dp, dx, dk = _prefixes_of(found[:, 2] + 120)
+    counts = [np.bincount(v[alone], minlength=280) + np.bincount(lp + 256, minlength=280), *(np.zeros(256, np.int64) for _ in range(3)), np.bincount(dp, minlength=40)]
+    counts[1][0] = counts[2][0] = counts[3][255] = 1
+    lengths = [code_lengths(c, 15) for c in counts]
+    for x in lengths:
+        put_prefix(w, x)
+    bits_of = [x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in lengths]
+    green, far = code_words(lengths[0]) * (bits_of[0] > 0), code_words(lengths[4]) * (bits_of[4] > 0)
+    a, b = bits_of[0][lp + 256], bits_of[4][dp]
+    value = green[lp + 256] | lx << a | far[dp] << (a + lk) | dx << (a + lk + b)
+    at = np.argsort(np.append(alone, found[:, 0]), kind="stable")
+    value, size = np.append(green[v[alone]], value)[at], np.append(bits_of[0][v[alone]], a + lk + b + dk)[at]
+    if size.any():
+        w.words(_packed(value, size), int(size.sum()))
     return _container(w.done())
 
 
