@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from bisect import insort
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +14,16 @@ from webloom.llm.common import inline_table, materialize
 
 #: Bytes that every row has beside its text.
 OVERHEAD = 16
-#: Grid of the dimensions: steps of log2 size per doubling, and buckets of a categorical value.
-SIZE_STEPS, LANG_BUCKETS, WIDTH_STEPS = 4, 16, 16
+#: Grid of the dimensions: steps of log2 size per doubling, steps of the bytes that a character takes (logarithmic from 1 to 4).
+SIZE_STEPS, WIDTH_STEPS = 4, 16
 #: Order of a cut cell's rows: two digits of the text's hash, then one of the id's, each of SLABS values.
 DIGITS, SLABS = ("slab", "slab2", "fine"), 512
 #: What straddles a cut and weighs more than this share of a shard is divided by the next digit.
 FINE = 0.01
+#: Sizes are evened out until the largest and the smallest shard lie this close to the mean, by this many moves at most.
+EVEN, MOVES = 0.005, 5000
+#: Rows of a shard's block, in whose order slots are dealt.
+BLOCK_ROWS = 500_000
 DIMS = ("d_size", "d_lang", "d_width")
 
 
@@ -25,17 +32,28 @@ def text_size(col: str = "text") -> Column:
     return (F.coalesce(F.octet_length(col), F.lit(0)) + F.lit(OVERHEAD)).cast("long")
 
 
+def _letter(col: Column, at: int, step: int) -> Column:
+    """Place of a letter in the alphabet from 1, ``step`` letters to a place; 0 for anything else."""
+    code = F.ascii(F.lower(F.substring(col, at, 1)))
+    return F.when(code.between(97, 122), F.floor((code - 97) / step) + 1).otherwise(0).cast("int")
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """Metadata, sizes and hashes of each row; coordinates depend on the text and language alone, so copies share a cell."""
+    """Metadata, sizes and hashes of each row; coordinates depend on the text and language alone, so copies share a cell.
+
+    Coordinates: size, the language's name in the order of its first two letters, and bytes a character.
+    """
     size = text_size()
-    chars = F.coalesce(F.length("text"), F.lit(0))
+    chars = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1))
+    wide = F.greatest((size - OVERHEAD) / chars - 1, F.lit(0.0))
+    lang = F.coalesce("lang", F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         F.floor(F.log2(size.cast("double")) * SIZE_STEPS).cast("int").alias("d_size"),
-        F.pmod(F.xxhash64(F.coalesce("lang", F.lit(""))), F.lit(LANG_BUCKETS)).cast("int").alias("d_lang"),
-        F.floor((size - OVERHEAD) * WIDTH_STEPS / F.greatest(chars, F.lit(1)) / 4).cast("int").alias("d_width"),
+        (_letter(lang, 1, 1) * 4 + _letter(lang, 2, 9)).alias("d_lang"),
+        F.floor(F.log1p(wide * 20) * (WIDTH_STEPS / math.log(61))).cast("int").alias("d_width"),
         F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(SLABS)).cast("int").alias("slab"),
         F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(2)), F.lit(SLABS)).cast("int").alias("slab2"),
         F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SLABS)).cast("int").alias("fine"),
@@ -51,9 +69,13 @@ class Span:
     hi: int
 
 
-def _halve(spans: list[Span], share: float) -> tuple[list[Span], list[Span]]:
-    """Splits at the weighted quantile ``share`` along the dimension whose values lie widest apart (in grid steps)."""
-    ranges = [max(s.cell[d] for s in spans) - min(s.cell[d] for s in spans) for d in range(len(DIMS))]
+def _range(spans: list[Span], d: int) -> int:
+    return max(s.cell[d] for s in spans) - min(s.cell[d] for s in spans)
+
+
+def _halve(spans: list[Span], share: float, scale: list[int]) -> tuple[list[Span], list[Span]]:
+    """Splits at the weighted quantile ``share`` along the dimension whose values lie widest apart, measured by ``scale``, the range of all rows."""
+    ranges = [_range(spans, d) / max(scale[d], 1) for d in range(len(DIMS))]
     wide = max(range(len(DIMS)), key=lambda d: (ranges[d], -d))
     order = sorted(spans, key=lambda s: (s.cell[wide], s.cell, s.lo))
     goal = share * sum(s.hi - s.lo for s in spans)
@@ -80,10 +102,57 @@ def build_tree(cells: list[tuple[tuple[int, ...], int]], shards: int) -> list[li
     def split(spans: list[Span], k: int) -> list[list[Span]]:
         if k == 1 or not spans:
             return [spans] + [[] for _ in range(k - 1)]
-        a, b = _halve(spans, (k // 2) / k)
+        a, b = _halve(spans, (k // 2) / k, scale)
         return split(a, k // 2) + split(b, k - k // 2)
 
-    return split([Span(c, 0, w) for c, w in cells], shards)
+    every = [Span(c, 0, w) for c, w in cells]
+    scale = [_range(every, d) for d in range(len(DIMS))] if every else []
+    return split(every, shards)
+
+
+def evened(weights: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
+    """Moves ``(shard, slab) -> shard`` that bring the sums of ``weights`` close together.
+
+    The fullest shard gives to the emptiest one what lies closest to half of their difference: a slab, or a
+    slab in exchange for one; if that doesn't bring the pair closer to the mean, the next emptiest, and so on.
+    It ends when all lie within EVEN of the mean or neither the fullest nor the emptiest finds a partner.
+    """
+    held: list[list[tuple[int, int, int]]] = [[] for _ in range(shards)]
+    for (n, slab), w in sorted(weights.items()):
+        held[n].append((w, n, slab))
+    for h in held:
+        h.sort()
+    size = np.array([sum(w for w, *_ in h) for h in held], np.int64)
+    mean = size.sum() / shards
+
+    def exchange(a: int, b: int) -> tuple[float, int, int]:
+        """The lesser greatest distance from the mean of shards a and b, and the places in their slabs that give it (one past the end: none)."""
+        give, take = (np.array([w for w, *_ in held[x]] + [0], np.int64) for x in (a, b))
+        order = np.argsort(take, kind="stable")
+        at = np.clip(np.searchsorted(take[order], give - (size[a] - size[b]) / 2), 1, max(len(take) - 1, 1))
+        near = np.stack([order[at - 1], order[np.minimum(at, len(take) - 1)]])
+        net = give[None, :] - take[near]
+        left = np.maximum(np.abs(size[a] - net - mean), np.abs(size[b] + net - mean))
+        k, i = np.unravel_index(int(left.argmin()), left.shape)
+        return float(left[k, i]), int(i), int(near[k, i])
+
+    for _ in range(MOVES):
+        order = np.argsort(size, kind="stable").tolist()
+        if max(size[order[-1]] - mean, mean - size[order[0]]) <= EVEN * mean:
+            break
+        for a, b in [(order[-1], x) for x in order[:-1]] + [(x, order[0]) for x in reversed(order[1:-1])]:
+            found, i, j = exchange(a, b)
+            if found < max(abs(size[a] - mean), abs(size[b] - mean)):
+                break
+        else:
+            break
+        moved = [(a, b, held[a].pop(i))] if i < len(held[a]) else []
+        moved += [(b, a, held[b].pop(j))] if j < len(held[b]) else []
+        for source, target, item in moved:
+            insort(held[target], item)
+            size[source] -= item[0]
+            size[target] += item[0]
+    return {(n, slab): x for x in range(shards) for _, n, slab in held[x] if n != x}
 
 
 def _assign(table: DataFrame, leaves: list[list[Span]], weights: dict[tuple[int, ...], int], target: float) -> DataFrame:
@@ -128,16 +197,18 @@ def _assign(table: DataFrame, leaves: list[list[Span]], weights: dict[tuple[int,
     return out
 
 
-def shard(docs: DataFrame, shards: int = 40, blocks: int = 64) -> DataFrame:
-    """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)``, one row for each row of ``docs``; law ``bytes``.
+def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """``(doc_id, size, text_crc32, law, shard, slot, grown_shard, leaf)``, one row for each row of ``docs``; law ``bytes``.
 
-    The grid sums (cells of metadata, at most 128 * 16 * 17 of them, whatever the corpus) go to the
+    The grid sums (cells of metadata, at most 128 * 108 * 17 of them, whatever the corpus) go to the
     driver, which lays the k-d tree: each node is split at the weighted quantile of its widest
     dimension until the leaves hold one shard's bytes. A cell that a median cuts is divided by
     text hash, so equal texts stay together unless their copies alone outweigh FINE of a shard;
     those are divided by id. At most shards - 1 cells are cut, so the sums by digit are bounded too.
-    Slots number a shard's rows from 0 without gaps: rows are dealt to ``blocks`` blocks of a
-    shard by id hash, and each block starts after the ones before it.
+    What the rows' own sizes leave uneven is evened out by moves of slabs (a text hash's rows in a leaf, at
+    most SLABS a shard, see :func:`evened`); ``leaf`` is the shard before the moves.
+    Slots number a shard's rows from 0 without gaps: rows are dealt to blocks of about BLOCK_ROWS
+    by id hash, and each block starts after the ones before it.
 
     Null and empty texts weigh OVERHEAD; null ids and languages have a place of their own; repeated
     rows and equal texts are rows like any other; an empty table gives no row; other columns are
@@ -145,12 +216,17 @@ def shard(docs: DataFrame, shards: int = 40, blocks: int = 64) -> DataFrame:
     """
     table = materialize(features(docs), "shards-features")
     spark = docs.sparkSession
-    cells = [(tuple(r[d] for d in DIMS), r["w"]) for r in table.groupBy(*DIMS).agg(F.sum("size").alias("w")).orderBy(*DIMS).collect()]
+    grid = table.groupBy(*DIMS).agg(F.sum("size").alias("w"), F.count("*").alias("n")).orderBy(*DIMS).collect()
+    cells = [(tuple(r[d] for d in DIMS), r["w"]) for r in grid]
     weights = dict(cells)
     leaves = build_tree(cells, shards)
-    placed = _assign(table, leaves, weights, sum(weights.values()) / shards)
+    placed = _assign(table, leaves, weights, sum(weights.values()) / shards).withColumnRenamed("shard", "leaf")
+    blocks = -(-sum(r["n"] for r in grid) // (shards * BLOCK_ROWS)) + 1
     block = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(9)), F.lit(blocks)).cast("int")
-    placed = materialize(placed.select("doc_id", "size", "text_crc32", "shard", block.alias("block")), "shards-placed")
+    placed = materialize(placed.select("doc_id", "size", "text_crc32", "leaf", "slab", block.alias("block")), "shards-placed")
+    by_slab = placed.groupBy("leaf", "slab").agg(F.sum("size").alias("w")).collect()
+    moves = inline_table(spark, [(*k, v) for k, v in sorted(evened({(r["leaf"], r["slab"]): r["w"] for r in by_slab}, shards).items())], "leaf int, slab int, moved int")
+    placed = placed.join(F.broadcast(moves), ["leaf", "slab"], "left").withColumn("shard", F.coalesce("moved", "leaf"))
     counts = placed.groupBy("shard", "block").count().orderBy("shard", "block").collect()
     rows, last, at = [], None, 0
     for r in counts:
@@ -162,5 +238,5 @@ def shard(docs: DataFrame, shards: int = 40, blocks: int = 64) -> DataFrame:
     order = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32")
     numbered = placed.withColumn("n", F.row_number().over(order)).join(F.broadcast(first), ["shard", "block"])
     return numbered.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "leaf"
     )
