@@ -43,7 +43,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
