@@ -114,7 +114,7 @@ def resolve(base: str, href: str) -> str:
 
 
 def resolve_url(base: Column, href: Column) -> Column:
-    """Native for absolute and root-relative links on a plain base; the rest by the standard library."""
+    """By the standard library, in Arrow batches; what can't be resolved is empty without a call."""
 
     def run(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
         return pd.Series([resolve(b or "", h or "") for b, h in zip(bases, hrefs, strict=True)])

@@ -28,25 +28,26 @@ def utrim(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Runs of anything but Unicode white space."""
-    return F.regexp_count(text, F.lit(f"{NO_SPACE}+"))
+    """Runs of anything but Unicode white space; a text of ASCII alone is asked for ASCII spaces, which costs a fraction."""
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, F.regexp_count(text, F.lit(r"[^\t-\r ]+"))).otherwise(F.regexp_count(text, F.lit(f"{NO_SPACE}+")))
 
 
 def normalize_whitespace(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(text, F.lit(f"({NO_SPACE}+)"), F.lit(1)), " ")
 
 
+def _unmarked(text: Column) -> Column:
+    for pattern, new in RULES:
+        text = F.regexp_replace(text, pattern, new)
+    return text
+
+
 def strip_markdown(text: Column) -> Column:
-    """Markdown to plain text; fenced blocks stay. Fences are held by numbered sentinels while the rules run."""
-    mark = lambda i: F.concat(F.lit("\0FC"), i.cast("string"), F.lit("\0"))
-    outside = F.split(text, FENCE, -1)
+    """Markdown to plain text. Fenced blocks stay; the rules run on what lies before, between and after them, part by part."""
     fences = F.regexp_extract_all(text, F.lit(FENCE), F.lit(0))
-    glued = F.array_join(F.transform(outside, lambda p, i: F.when(i == 0, p).otherwise(F.concat(mark(i - 1), p))), "")
-    out = F.when(F.contains(text, F.lit("```")), glued).otherwise(text)
-    for pattern, new in RULES:
-        out = F.regexp_replace(out, pattern, new)
-    held = F.aggregate(F.transform(fences, lambda f, i: F.struct(f.alias("f"), i.alias("i"))), out, lambda acc, x: F.replace(acc, mark(x["i"]), x["f"]))
-    return F.when(F.contains(text, F.lit("```")), held).otherwise(out)
+    parts = F.zip_with(F.split(text, FENCE, -1), fences, lambda p, f: F.concat(_unmarked(p), F.coalesce(f, F.lit(""))))
+    return F.when(F.contains(text, F.lit("```")), F.array_join(parts, "")).otherwise(_unmarked(text))
 
 
 def truncate_content(text: Column, n: int) -> Column:
@@ -111,15 +112,15 @@ def check_is_due(now: Column, checked: Column, failed: Column) -> Column:
     return F.coalesce(now - checked >= 86_400, F.lit(True)) & F.coalesce(now - failed >= 21_600, F.lit(True))
 
 
-def install_type(path: Column) -> Column:
-    """How a binary was installed, by its path."""
-    low = F.lower(path)
-    return (
-        F.when(F.coalesce(path, F.lit("")) == "", "unknown")
-        .when(low.contains("/cellar/") | low.contains("/homebrew/"), "homebrew")
-        .when(low.contains("/go/bin/"), "go")
-        .otherwise("manual")
-    )
+def install_type(path: Column, binary: str = "webloom", forced: Column | None = None) -> Column:
+    """How a binary was installed: as ``forced`` says if that is a known way, else by its path; what isn't the tool's own binary is unknown."""
+    low = F.lower(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")))
+    own = lambda folder: F.endswith(low, F.lit(f"{folder}/{binary}")) | F.endswith(low, F.lit(f"{folder}/{binary}.exe"))
+    found = F.when(low.contains("/cellar/") | low.contains("/homebrew/"), "homebrew").when(own("/go/bin"), "go").when(own(""), "manual").otherwise("unknown")
+    if forced is None:
+        return found
+    said = F.lower(F.trim(forced))
+    return F.when(said.isin("homebrew", "go", "manual"), said).otherwise(found)
 
 
 def rate_limit_message(reset: Column, now: Column) -> Column:

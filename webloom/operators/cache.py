@@ -1,4 +1,4 @@
-"""Page cache as a versioned table: point reads with a time to live, last write wins."""
+"""Page cache as a table of batches: point reads with a time to live, last write wins."""
 
 from __future__ import annotations
 
@@ -19,8 +19,9 @@ def latest(entries: DataFrame) -> DataFrame:
 
 
 def lookup(frontier: DataFrame, entries: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
-    """``frontier(url, ...)`` with ``hit`` (the page, or null): entries older than the ttl are misses."""
+    """``frontier(url, ...)`` with ``hit`` (the page, or null): entries older than the ttl are misses. A short frontier filters the entries beside their scan."""
     e = entries.select(F.col("key").alias("__key"), F.col("t").alias("__t"), F.col("p").alias("hit"))
+    e = e.join(frontier.select(cache_key(F.col("url")).alias("__key")).distinct(), "__key", "left_semi")
     fresh = (cache_key(F.col("url")) == F.col("__key")) & ~expired(now, F.col("__t"), ttl_seconds)
     return frontier.join(e, fresh, "left").drop("__key", "__t")
 
@@ -39,25 +40,36 @@ def change_status(pages: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 class PageCache:
-    """A cache at a path of any store. Each upsert writes a new version; a pointer table names the current one."""
+    """A cache at a path of any store: ``<epoch>/batch-*`` tables and a table of epochs, of which the last counts.
+
+    An upsert adds a batch and rewrites nothing, so writers don't disturb each other; reading takes the
+    last entry of each key. Clearing and compacting start a new epoch (not beside a writer: its batch goes to the old one).
+    """
 
     def __init__(self, spark: SparkSession, path: str, ttl_seconds: int = 72 * 3600) -> None:
         self.spark, self.path, self.ttl = spark, path.rstrip("/"), ttl_seconds
 
-    def _current(self) -> str | None:
-        try:
-            row = self.spark.read.parquet(f"{self.path}/pointer").orderBy(F.desc("n")).first()
-        except Exception:  # no pointer yet: an empty cache
-            return None
-        return row["version"] if row else None
-
-    def _point(self, version: str) -> None:
+    def _listed(self, path: str) -> list[str]:
+        """Written tables under ``path``; none if there is no such folder. Any other failure is one."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return []
+        done = [s.getPath() for s in fs.listStatus(where) if s.isDirectory()]
+        return sorted(p.toString() for p in done if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _epoch(self) -> str:
+        points = self._listed(f"{self.path}/epochs")
+        row = self.spark.read.schema("epoch string, n bigint").parquet(*points).orderBy(F.desc("n"), "epoch").first() if points else None
+        return row["epoch"] if row else "e-0"
+
+    def _begin(self, epoch: str) -> None:
         stamp = F.unix_micros(F.current_timestamp())
-        self.spark.range(1).select(F.lit(version).alias("version"), stamp.alias("n")).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+        self.spark.range(1).select(F.lit(epoch).alias("epoch"), stamp.alias("n")).coalesce(1).write.parquet(f"{self.path}/epochs/{epoch}")
 
     def entries(self) -> DataFrame:
-        version = self._current()
-        return self.spark.createDataFrame([], SCHEMA) if version is None else self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{version}")
+        batches = self._listed(f"{self.path}/{self._epoch()}")
+        return latest(self.spark.read.schema(SCHEMA).parquet(*batches)) if batches else self.spark.createDataFrame([], SCHEMA)
 
     def lookup(self, frontier: DataFrame, now: Column | None = None) -> DataFrame:
         return lookup(frontier, self.entries(), F.unix_timestamp() if now is None else now, self.ttl)
@@ -66,14 +78,16 @@ class PageCache:
         """``pages(url, title, markdown, etag, last_modified, content_hash)``; time is now, in whole seconds."""
         p = F.struct("url", "title", "markdown", "etag", "last_modified", "content_hash").cast(PAGE)
         fresh = pages.select(cache_key(F.col("url")).alias("key"), (F.unix_timestamp() if now is None else now).cast("bigint").alias("t"), p.alias("p"))
-        version = f"v-{uuid.uuid4().hex}"
-        latest(self.entries().unionByName(fresh)).write.parquet(f"{self.path}/{version}")
-        self._point(version)
+        latest(fresh).write.parquet(f"{self.path}/{self._epoch()}/batch-{uuid.uuid4().hex}")
+
+    def compact(self) -> None:
+        """One batch of the last entries, in a new epoch."""
+        epoch = f"e-{uuid.uuid4().hex}"
+        self.entries().write.parquet(f"{self.path}/{epoch}/batch-{uuid.uuid4().hex}")
+        self._begin(epoch)
 
     def clear(self) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([], SCHEMA).write.parquet(f"{self.path}/{version}")
-        self._point(version)
+        self._begin(f"e-{uuid.uuid4().hex}")
 
     def stats(self) -> DataFrame:
         return stats(self.entries())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from webloom.functions import html as H
 from webloom.functions.urls import normalize_url, url_host
 from webloom.operators.cache import lookup
-from webloom.operators.fetch import fetch, render_fallback
+from webloom.operators.fetch import fetch, one_snapshot, render_fallback
 from webloom.operators.filters import passes_filters
 from webloom.session import materialize
 
@@ -59,7 +59,8 @@ def crawl(
 ) -> DataFrame:
     """``(url, depth, status, source, error, js_detection)``: all pages within ``depth`` links, each once, at its least depth.
 
-    ``web`` is ``(url, status, body)``, or ``(url, links array<string>)`` where links are known. Seeds
+    ``web`` is ``(url, status, body)``, or ``(url, links array<string>)`` where links are known; of several snapshots of one
+    normalised url one counts. A level's frontier is written first, so that Spark knows its size when it joins ``web``. Seeds
     pass the filters like any link. A fresh cache entry gives ``unchanged`` and isn't expanded
     unless ``expand_cached``. With ``rendered``, shells are taken from there, and hosts that were
     shells on earlier levels are rendered throughout. ``stop`` ends the crawl between levels with
@@ -86,7 +87,7 @@ def crawl(
         else:
             work = work.withColumn("cached", F.lit(False))
         if known_links:
-            got = work.join(web.select("url", "links", F.lit(True).alias("__known")), "url", "left")
+            got = work.join(one_snapshot(web.select("url", "links"), frontier).withColumn("__known", F.lit(True)), "url", "left")
             error = F.when(F.col("__known").isNull() & ~F.col("cached"), F.concat(F.lit("no snapshot of "), F.col("url")))
             got = got.withColumn("error", error).withColumn("js_detection", F.lit(None).cast("string"))
         else:

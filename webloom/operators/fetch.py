@@ -18,12 +18,31 @@ def capped(body: Column) -> Column:
     return F.when(F.octet_length(body) > BODY_CAP, F.decode(F.substring(F.encode(body, "UTF-8"), 1, BODY_CAP), "UTF-8")).otherwise(body)
 
 
+def asked_for(big: DataFrame, urls: DataFrame, key: str = "url") -> DataFrame:
+    """The rows of ``big`` that ``urls(url)`` asks for.
+
+    A left join keeps its left side, so Spark could only broadcast ``big`` there. This semi join can broadcast the urls,
+    where Spark finds them small enough, so that a short frontier filters ``big`` beside its scan and nothing else is shuffled.
+    """
+    return big.join(urls.select(F.col("url").alias(key)).distinct(), key, "left_semi")
+
+
+def one_snapshot(web: DataFrame, urls: DataFrame) -> DataFrame:
+    """For each of ``urls(url)`` that ``web`` knows one row: of several a good status first, then the least status and columns in the order of ``web``."""
+    rest = [c for c in web.columns if c != "url"]
+    bad = (F.coalesce("status", F.lit(0)) != 200) if "status" in rest else F.lit(False)
+    rest.sort(key=lambda c: c != "status")
+    best = asked_for(web, urls).groupBy("url").agg(F.min(F.struct(bad.alias("__bad"), *rest)).alias("__w"))
+    return best.select("url", *[F.col(f"__w.{c}").alias(c) for c in rest])
+
+
 def fetch(frontier: DataFrame, web: DataFrame) -> DataFrame:
     """``frontier(url, ...)`` with ``body`` and ``error`` from ``web(url, status, body)``.
 
-    A status other than 200 and a url that ``web`` doesn't know are error rows, never lost rows.
+    A status other than 200 and a url that ``web`` doesn't know are error rows, never lost rows; several
+    snapshots of a url are one, see :func:`one_snapshot`.
     """
-    got = frontier.join(web.select("url", "status", "body"), "url", "left")
+    got = frontier.join(one_snapshot(web.select("url", "status", "body"), frontier), "url", "left")
     error = (
         F.when(F.col("status").isNull(), F.concat(F.lit("no snapshot of "), F.col("url")))
         .when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(" for "), F.col("url")))
@@ -33,7 +52,7 @@ def fetch(frontier: DataFrame, web: DataFrame) -> DataFrame:
 
 def fetch_conditional(requests: DataFrame, web: DataFrame) -> DataFrame:
     """``requests(url, etag, last_modified)``: ``not_modified`` where a validator that was sent still holds; its body isn't read."""
-    w = web.select("url", "status", "body", F.col("etag").alias("new_etag"), F.col("last_modified").alias("new_last_modified"))
+    w = one_snapshot(web.select("url", "status", "body", F.col("etag").alias("new_etag"), F.col("last_modified").alias("new_last_modified")), requests)
     got = requests.join(w, "url", "left")
     sent = lambda a, b: (F.coalesce(F.col(a), F.lit("")) != "") & F.col(a).eqNullSafe(F.col(b))
     got = got.withColumn("not_modified", sent("etag", "new_etag") | sent("last_modified", "new_last_modified"))
@@ -49,7 +68,7 @@ def render_fallback(pages: DataFrame, rendered: DataFrame, forced: Column | None
     found = signals.withColumn("js_detection", F.when(F.col("body").isNotNull(), H.detect_js_shell(F.col("__signals"), F.col("body")))).drop("__signals")
     want = F.col("js_detection") == "likely_shell"
     want = want if forced is None else want | forced
-    out = found.join(rendered.select("url", F.col("html").alias("__rendered")), "url", "left")
+    out = found.join(one_snapshot(rendered.select("url", F.col("html").alias("__rendered")), pages), "url", "left")
     return out.withColumn("html", F.when(want, F.coalesce("__rendered", "body")).otherwise(F.col("body"))).drop("__rendered")
 
 
@@ -80,4 +99,5 @@ def llms_pages(frontier: DataFrame, web: DataFrame) -> DataFrame:
     """``(url, llms_markdown)`` for bare domains whose llms.txt is plain text and answers 200."""
     bare = frontier.where(is_bare_domain(F.col("url"))).select("url", llms_url(F.col("url")).alias("__llms"))
     have = web.where((F.col("status") == 200) & F.contains(F.coalesce("content_type", F.lit("")), F.lit("text/plain")))
+    have = one_snapshot(have.select("url", "body"), bare.select(F.col("__llms").alias("url")))
     return bare.join(have.select(F.col("url").alias("__llms"), capped(F.col("body")).alias("llms_markdown")), "__llms").select("url", "llms_markdown")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,12 +20,13 @@ def same_host(url: Column, host: str) -> Column:
 
 
 def validate_deny(patterns: Sequence[str]) -> None:
-    """Raises for a pattern that can't be compiled, or that needs what linear-time engines lack."""
+    """Raises for a pattern that Java, which matches it, can't compile, or that needs what linear-time engines lack."""
+    jvm = SparkContext._active_spark_context._jvm
     for p in patterns:
         try:
-            re.compile(p)
-        except re.error as e:
-            raise ValueError(f"invalid deny pattern {p!r}: {e}") from e
+            jvm.java.util.regex.Pattern.compile(p)
+        except (Py4JJavaError, PySparkException) as e:
+            raise ValueError(f"invalid deny pattern {p!r}: {str(e).splitlines()[0]}") from e
         if re.search(r"\(\?[=!<](?!P)|\\[1-9]", p):
             raise ValueError(f"invalid deny pattern {p!r}: no look-around and no back-references")
 

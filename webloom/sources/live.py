@@ -71,7 +71,10 @@ class HttpSnapshot(DataSource):
 
 
 def search_request(backend: str, query: str, limit: int, options: dict) -> tuple[str, dict[str, str]]:
-    """(url, headers) of a backend's search; limits go to those backends that take them."""
+    """(url, headers) of a backend's search; limits go to those backends that take them.
+
+    Fixed values: the services' addresses, parameters and headers.
+    """
     q = urllib.parse.quote_plus(query, safe="~")
     if backend == "brave":
         return f"https://api.search.brave.com/res/v1/web/search?q={q}&count={limit}", {"Accept": "application/json", "X-Subscription-Token": options.get("brave_api_key", "")}
@@ -99,15 +102,15 @@ class _SearchReader(DataSourceReader):
         self.queries = json.loads(options.get("queries", "[]"))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part([q]) for q in self.queries] or [_Part([])]
+        return [_Part([(i, q)]) for i, q in enumerate(self.queries)] or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         backend, limit = self.options.get("backend", "brave"), int(self.options.get("limit", 5))
-        for q in partition.urls:
+        for request, q in partition.urls:
             url, headers = search_request(backend, q, limit, self.options)
             for attempt in range(1, 4):
                 _, status, _, _, _, body = get(url, headers)
-                yield self.queries.index(q), attempt, status, body
+                yield request, attempt, status, body
                 if backend != "ddg" or status != 202:
                     break
                 sleep(0.5)
