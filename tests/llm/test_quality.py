@@ -41,7 +41,11 @@ def test_temperature_and_vectors_are_repeatable():
     memo = quality.Codes()
     docs = [quality.codes_of(f"good text number {i} the of and".encode() if i % 2 else f"BAD!! {i} !!".encode(), memo) for i in range(60)]
     y = np.array([i % 2 for i in range(60)])
-    a, b = quality.fit_network(docs, y), quality.fit_network(docs, y)
+    sums = quality.Contexts()
+    for d in docs:
+        sums.add(*d)
+    vectors = quality.word_vectors(sums.done())
+    a, b = quality.fit_network(docs, y, vectors), quality.fit_network(docs, y, vectors)
     assert a.temperature == b.temperature and (a.w1 == b.w1).all()
     x = np.stack([quality.pooled(*d, a.vectors) for d in docs]).astype(float)
     assert ((a.score(x) > 0.5) == y).mean() > 0.95
@@ -58,3 +62,29 @@ def test_sample_passes_over_long_texts_and_repeats(spark):
     with pytest.raises(ValueError, match="fits"):
         quality.labelled_sample(docs.where("doc_id >= 20"), labels, "quality", 40, 4000)
     assert quality.labelled_sample(docs, labels.where("false"), "quality", 40, 4000) == []
+
+
+def test_context_sums_of_all_texts(spark, edge_docs, empty_docs, monkeypatch):
+    """Neighbours within the reach, words and marks apart, over all rows, whatever the chunks and partitions."""
+    rows = edge_docs.select("text").collect()
+    index = quality.index_vectors().astype(int)
+    want = np.zeros((quality.BUCKETS, quality.DIM), int)
+    for r in rows:
+        for run in quality.codes_of(None if r.text is None else r.text.encode(), quality.Codes()):
+            b = run // quality.SHAPES
+            for o in range(1, quality.REACH + 1):
+                np.add.at(want, b[o:], index[b[:-o]])
+                np.add.at(want, b[:-o], index[b[o:]])
+    assert (quality.context_sums(edge_docs.repartition(3)) == want).all()
+    assert not quality.context_sums(empty_docs).any()
+    for chunk in (7, 1000):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        sums = quality.Contexts()
+        for r in rows:
+            sums.add(*quality.codes_of((r.text or "")[:20_000].encode(), quality.Codes()))
+        small = sums.done().copy()
+        monkeypatch.setattr(quality, "CHUNK", 50_000)
+        whole = quality.Contexts()
+        for r in rows:
+            whole.add(*quality.codes_of((r.text or "")[:20_000].encode(), quality.Codes()))
+        assert (small == whole.done()).all()

@@ -18,6 +18,8 @@ from webloom.llm.common import arrow_map, aside, bytes_column, inline_table, sma
 BUCKETS, DIM, REACH, SPARSE = 1 << 15, 48, 2, 4
 #: Labelled rows and bytes of text that the fit takes at most, in the order of a hash of the id. Whole texts only.
 FIT_ROWS, FIT_BYTES = 6000, 48 << 20
+#: Words whose vectors are summed at a time, and ranges of buckets in which the tasks' sums meet.
+CHUNK, PARTS = 50_000, 64
 HIDDEN, EPOCHS, RATE, DECAY = 24, 250, 0.01, 1e-4
 #: Different tokens of at most LONG bytes that a worker remembers; beyond that many it forgets them all (results stay the same).
 MEMO, LONG = 400_000, 64
@@ -65,39 +67,96 @@ def codes_of(text: bytes | None, memo: Codes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index_vectors(seed: int = 7) -> np.ndarray:
-    """A sparse ternary vector for each bucket, by the seed alone."""
+    """A sparse vector of small whole numbers for each bucket, by the seed alone."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((BUCKETS, DIM), np.float32)
+    out = np.zeros((BUCKETS, DIM), np.int8)
     at = rng.integers(0, DIM, (BUCKETS, SPARSE))
-    sign = rng.choice(np.array([-1, 1], np.float32), (BUCKETS, SPARSE))
+    sign = rng.choice(np.array([-1, 1], np.int8), (BUCKETS, SPARSE))
     np.add.at(out, (np.arange(BUCKETS)[:, None], at), sign)
     return out
 
 
-def word_vectors(docs: list[np.ndarray]) -> np.ndarray:
+class Contexts:
+    """Sums of the index vectors of each bucket's neighbours: whole numbers, the same in whatever order texts come."""
+
+    def __init__(self) -> None:
+        # The last row stands for the gap between texts: no bucket, no vector.
+        self.index = np.vstack([index_vectors(), np.zeros((1, DIM), np.int8)])
+        self.sums = np.zeros((BUCKETS + 1, DIM), np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, *runs: np.ndarray) -> None:
+        """Takes the codes of a text, words and marks each as a run of their own."""
+        for codes in runs:
+            for at in range(0, len(codes), CHUNK):
+                # Runs of CHUNK overlap by the reach on each side, which is taken as neighbours only.
+                lo, hi = max(0, at - REACH), min(len(codes), at + CHUNK + REACH)
+                part = (codes[lo:hi] // SHAPES).astype(np.uint16)
+                self.held.append((part, at - lo, min(len(codes), at + CHUNK) - lo))
+                self.size += hi - lo + REACH
+                if self.size > CHUNK:
+                    self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        gap = np.full(REACH, BUCKETS, np.uint16)
+        b = np.concatenate([x for part, _, _ in self.held for x in (part, gap)])
+        own = np.zeros(len(b), bool)
+        at = 0
+        for part, lo, hi in self.held:
+            own[at + lo : at + hi] = True
+            at += len(part) + REACH
+        r = self.index[b]
+        near = np.zeros_like(r)
+        for o in range(1, REACH + 1):
+            near[o:] += r[:-o]
+            near[:-o] += r[o:]
+        places = np.flatnonzero(own)
+        order = places[np.argsort(b[places], kind="stable")]
+        keys = b[order]
+        start = np.flatnonzero(np.diff(keys.astype(np.int32), prepend=-1))
+        self.sums[keys[start]] += np.add.reduceat(near[order], start, axis=0, dtype=np.int32)
+        self.held, self.size = [], 0
+
+    def done(self) -> np.ndarray:
+        self.flush()
+        return self.sums[:BUCKETS]
+
+
+def context_sums(docs: DataFrame) -> np.ndarray:
+    """:class:`Contexts` over all rows of ``docs(text)``: one pass; a task sends BUCKETS * DIM numbers at most, packed, in PARTS ranges of buckets that are summed apart."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, memo = Contexts(), Codes()
+        for b in batches:
+            for t in bytes_column(b, "text"):
+                sums.add(*codes_of(t, memo))
+        parts = np.split(sums.done(), PARTS)
+        full = [i for i, x in enumerate(parts) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(parts[i].astype("<i8").tobytes(), 1) for i in full], pa.binary())], ["part", "data"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(data), "<i8")
+                found[part] = found[part] + x if part in found else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["part", "data"])
+
+    sent = arrow_map(docs.select("text"), run, "part int, data binary").repartition(PARTS, "part")
+    out = np.zeros((PARTS, BUCKETS // PARTS * DIM), np.int64)
+    for r in arrow_map(sent, total, "part int, data binary").collect():
+        out[r["part"]] = np.frombuffer(r["data"], "<i8")
+    return out.reshape(BUCKETS, DIM)
+
+
+def word_vectors(sums: np.ndarray) -> np.ndarray:
     """Each bucket's own index vector plus the sum of its neighbours', both scaled to length one."""
-    index = index_vectors()
-    sums = np.zeros_like(index)
-    pad = np.full(REACH, -1, np.int64)
-    held: list[np.ndarray] = []
-    for n, d in enumerate(docs):
-        held += [d // SHAPES, pad]
-        if sum(map(len, held)) > 50_000 or n == len(docs) - 1:
-            b = np.concatenate(held)
-            held = []
-            r = np.where(b[:, None] < 0, 0, index[b])
-            near = np.zeros_like(r)
-            for o in range(1, REACH + 1):
-                near[o:] += r[:-o]
-                near[:-o] += r[o:]
-            order = np.argsort(b, kind="stable")
-            order = order[np.searchsorted(b[order], 0) :]
-            if len(order):
-                keys = b[order]
-                start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                sums[keys[start]] += np.add.reduceat(near[order], start, axis=0)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-6)
-    return (unit(sums) + unit(index)).astype(np.float32)
+    return (unit(sums.astype(np.float64)) + unit(index_vectors().astype(np.float64))).astype(np.float32)
 
 
 FEATURES = 2 * DIM + SHAPES + 4
@@ -150,9 +209,8 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, z) - y * z))
 
 
-def fit_network(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 11) -> Network:
+def fit_network(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, vectors: np.ndarray, seed: int = 11) -> Network:
     """Adam on four fifths of the rows; the temperature by golden section on the other fifth."""
-    vectors = word_vectors([np.concatenate(d) for d in docs]) if docs else index_vectors()
     x = np.stack([pooled(*d, vectors) for d in docs]).astype(np.float64) if docs else np.zeros((0, FEATURES))
     y = y.astype(np.float64)
     rng = np.random.default_rng(seed)
@@ -224,10 +282,10 @@ def learnable(col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Network:
-    """Fits on a bounded sample of ``labels`` (ids of crc32 mod 3 = 1 are held out); the only part that isn't over all rows."""
+    """Word vectors from all texts; the network from a bounded sample of ``labels`` (ids of crc32 mod 3 = 1 are held out), the only part that isn't over all rows."""
     sample = labelled_sample(docs.select("doc_id", "text"), labels.where(learnable()), label, rows, size)
     memo = Codes()
-    return fit_network([codes_of(t, memo) for t, _ in sample], np.array([float(y > 0) for _, y in sample]))
+    return fit_network([codes_of(t, memo) for t, _ in sample], np.array([float(y > 0) for _, y in sample]), word_vectors(context_sums(docs)))
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
