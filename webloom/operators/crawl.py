@@ -7,6 +7,7 @@ import datetime as dt
 import json
 import os
 import secrets
+import signal
 import tempfile
 import threading
 from collections.abc import Callable, Sequence
@@ -42,7 +43,7 @@ def new_links(links: DataFrame, visited: DataFrame) -> DataFrame:
 def crawl(
     spark: SparkSession,
     seeds: Sequence[str] | DataFrame,
-    web: DataFrame,
+    web: DataFrame | Callable[[DataFrame], DataFrame],
     *,
     seed_host: str | None = None,
     depth: int = 3,
@@ -60,19 +61,20 @@ def crawl(
     """``(url, depth, status, source, error, js_detection)``: all pages within ``depth`` links, each once, at its least depth.
 
     ``web`` is ``(url, status, body)``, or ``(url, links array<string>)`` where links are known; of several snapshots of one
-    normalised url one counts. A level's frontier is written first, so that Spark knows its size when it joins ``web``. Seeds
+    normalised url one counts. It may also be a function that fetches a level's ``(url)``, see ``live.fetch_all``. A level's frontier is written first, so that Spark knows its size when it joins ``web``. Seeds
     pass the filters like any link. A fresh cache entry gives ``unchanged`` and isn't expanded
     unless ``expand_cached``. With ``rendered``, shells are taken from there, and hosts that were
     shells on earlier levels are rendered throughout. ``stop`` ends the crawl between levels with
     what was found; ``on_level`` sees each level as it is done. Bodies and links never leave their
     level's plan; a level's join key is the url, so a host with a third of all pages is no hot key.
     """
-    known_links = "links" in web.columns
+    live = callable(web)
+    known_links = not live and "links" in web.columns
     first = seeds.select("url") if isinstance(seeds, DataFrame) else spark.createDataFrame([(s,) for s in seeds], "url string")
     if seed_host is None:
         row = first.select(url_host(F.col("url")).alias("h")).first()
         seed_host = row["h"] if row else ""
-    web = web.withColumn("url", normalize_url(F.col("url")))
+    known = None if live else web.withColumn("url", normalize_url(F.col("url")))
     fits = passes_filters(F.col("url"), seed_host, allow, deny)
     frontier = first.select(normalize_url(F.col("url")).alias("url")).where("url <> ''").distinct().where(fits)
     frontier = materialize(frontier.withColumn("depth", F.lit(0)).withColumn("source", F.lit(source)), "crawl-frontier")
@@ -87,11 +89,12 @@ def crawl(
         else:
             work = work.withColumn("cached", F.lit(False))
         if known_links:
-            got = work.join(one_snapshot(web.select("url", "links"), frontier).withColumn("__known", F.lit(True)), "url", "left")
+            got = work.join(one_snapshot(known.select("url", "links"), frontier).withColumn("__known", F.lit(True)), "url", "left")
             error = F.when(F.col("__known").isNull() & ~F.col("cached"), F.concat(F.lit("no snapshot of "), F.col("url")))
             got = got.withColumn("error", error).withColumn("js_detection", F.lit(None).cast("string"))
         else:
-            got = fetch(work, web).withColumn("error", F.when(~F.col("cached"), F.col("error")))
+            here = materialize(web(work.where("not cached").select("url")), "crawl-fetched") if live else known
+            got = fetch(work, here).withColumn("error", F.when(~F.col("cached"), F.col("error")))
             if rendered is not None:
                 if seen_pages is not None:
                     hosts = host_stats(seen_pages).where("force_render").select("host")
@@ -136,13 +139,13 @@ def sitemap_locs(bodies: DataFrame) -> DataFrame:
     return page.unionByName(child).where("loc is not null and loc <> ''")
 
 
-def expand_sitemap(web: DataFrame, url: str, max_depth: int = 5) -> DataFrame:
+def expand_sitemap(web: DataFrame | Callable[[DataFrame], DataFrame], url: str, max_depth: int = 5, spark: SparkSession | None = None) -> DataFrame:
     """``(url)`` of all pages of a sitemap and its children, repeats kept; failing children are skipped, each child is read once."""
-    spark = web.sparkSession
+    spark = spark or SparkSession.active()
     frontier = spark.createDataFrame([(url,)], "url string")
     seen, pages = frontier, spark.createDataFrame([], "url string")
     for _ in range(max_depth):
-        bodies = fetch(frontier, web).where("error is null").select("url", "body")
+        bodies = fetch(frontier, materialize(web(frontier), "crawl-fetched") if callable(web) else web).where("error is null").select("url", "body")
         locs = materialize(sitemap_locs(bodies), "crawl-sitemap")
         pages = pages.unionByName(locs.where("kind = 'page'").select(F.col("loc").alias("url")))
         frontier = locs.where("kind = 'child'").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti")
@@ -152,7 +155,7 @@ def expand_sitemap(web: DataFrame, url: str, max_depth: int = 5) -> DataFrame:
     return pages
 
 
-def crawl_sitemap(spark: SparkSession, url: str, web: DataFrame, **options) -> DataFrame:
+def crawl_sitemap(spark: SparkSession, url: str, web: DataFrame | Callable[[DataFrame], DataFrame], **options) -> DataFrame:
     """All pages of a sitemap at depth 0, source ``sitemap``, filtered by the sitemap's own host; links are followed from there."""
     host = spark.range(1).select(url_host(F.lit(url)).alias("h")).first()["h"]
     return crawl(spark, expand_sitemap(web, url), web, seed_host=host, source="sitemap", **options)
@@ -184,11 +187,16 @@ class CrawlJobs:
             json.dump(status, f)
         os.replace(tmp, f"{self.path}/{status['id']}.json")
 
-    def start(self, seed: str, web: DataFrame, **options) -> str:
-        """Starts a crawl in a thread of its own and gives its id."""
+    def announce(self, seed: str) -> str:
+        """A new job's id, with a status file that says it is starting."""
         job = f"c_{secrets.token_hex(4)}"
-        status = {"id": job, "pid": os.getpid(), "seed": seed, "status": "starting", "pages": 0, "new": 0, "changed": 0, "unchanged": 0, "errors": 0, "started_at": dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), "error": ""}
-        self._write(status)
+        self._write({"id": job, "pid": os.getpid(), "seed": seed, "status": "starting", "pages": 0, "new": 0, "changed": 0, "unchanged": 0, "errors": 0, "started_at": dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), "error": ""})
+        return job
+
+    def start(self, seed: str, web: DataFrame | Callable[[DataFrame], DataFrame], job: str | None = None, sitemap: bool = False, **options) -> str:
+        """Starts a crawl in a thread of its own (under an announced id, if given) and gives its id."""
+        job = job or self.announce(seed)
+        status = self.status(job) | {"pid": os.getpid()}
         stop = threading.Event()
 
         def level(_: int, rows: DataFrame) -> None:
@@ -201,7 +209,8 @@ class CrawlJobs:
             status["status"] = "running"
             self._write(status)
             try:
-                crawl(self.spark, [seed], web, on_level=level, stop=stop, **options)
+                begin = crawl_sitemap if sitemap else crawl
+                begin(self.spark, seed if sitemap else [seed], web, on_level=level, stop=stop, **options)
                 status["status"] = "stopped" if stop.is_set() else "completed"
             except Exception as e:
                 status["status"], status["error"] = ("stopped", "") if stop.is_set() else ("failed", str(e).splitlines()[0])
@@ -230,8 +239,12 @@ class CrawlJobs:
         return self.status(job)
 
     def stop(self, job: str) -> None:
-        """Only a running crawl can be stopped."""
-        if self.status(job)["status"] not in ("starting", "running"):
+        """Only a running crawl can be stopped; one of another process is told by a signal."""
+        found = self.status(job)
+        if found["status"] not in ("starting", "running"):
             raise ValueError(f"crawl {job} is not running")
+        if job not in self._running:
+            os.kill(found["pid"], signal.SIGTERM)
+            return
         self._running[job][1].set()
         self.spark.sparkContext.cancelJobGroup(job)

@@ -72,7 +72,7 @@ def render_fallback(pages: DataFrame, rendered: DataFrame, forced: Column | None
     return out.withColumn("html", F.when(want, F.coalesce("__rendered", "body")).otherwise(F.col("body"))).drop("__rendered")
 
 
-def scrape(frontier: DataFrame, web: DataFrame, rendered: DataFrame | None = None, selector: str | None = None) -> DataFrame:
+def scrape(frontier: DataFrame, web: DataFrame, rendered: DataFrame | None = None, selector: str | None = None, llms: bool = True) -> DataFrame:
     """``(url, title, markdown, content_hash, error)``: fetch, render if a shell, extract.
 
     Precedence: a selector wins over llms.txt, that over the page. A selector that meets nothing is an error.
@@ -87,8 +87,8 @@ def scrape(frontier: DataFrame, web: DataFrame, rendered: DataFrame | None = Non
     else:
         pages = pages.withColumn("__main", F.when(F.col("error").isNull(), H.extract_main(F.col("url"), F.col("html"))))
         pages = pages.withColumn("title", F.col("__main.title")).withColumn("markdown", F.col("__main.markdown")).withColumn("error", F.coalesce("error", F.col("__main.error")))
-        llms = llms_pages(frontier.select("url").distinct(), web)
-        pages = pages.join(llms, "url", "left")
+        found = llms_pages(frontier.select("url").distinct(), web) if llms else frontier.select("url").distinct().withColumn("llms_markdown", F.lit(None).cast("string"))
+        pages = pages.join(found, "url", "left")
         hit = F.col("llms_markdown").isNotNull()
         pages = pages.withColumn("title", F.when(hit, F.lit("llms.txt")).otherwise(F.col("title"))).withColumn("markdown", F.coalesce("llms_markdown", "markdown"))
         pages = pages.withColumn("error", F.when(~hit, F.col("error")))

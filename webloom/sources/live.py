@@ -14,11 +14,16 @@ import urllib.request
 from collections.abc import Iterator
 from time import sleep
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from webloom.session import ship_package
+
 TIMEOUT, PROBE_TIMEOUT, BODY_CAP = 30, 5, 20 << 20
 AGENT = "webloom/0.1"
 SNAPSHOT = "url string, status int, content_type string, etag string, last_modified string, body string"
+_ARROW = pa.schema([(f.split()[0], pa.int32() if f.endswith(" int") else pa.string()) for f in SNAPSHOT.split(", ")])
 
 
 def get(url: str, headers: dict[str, str] | None = None, timeout: float = TIMEOUT) -> tuple:
@@ -34,6 +39,21 @@ def get(url: str, headers: dict[str, str] | None = None, timeout: float = TIMEOU
         return url, 0, None, None, None, str(e)
 
 
+def fetch_all(urls: DataFrame, concurrency: int = 8, headers: dict[str, str] | None = None) -> DataFrame:
+    """Snapshot rows of ``urls(url)``, fetched on the executors by ``concurrency`` tasks; nothing passes the driver."""
+    if concurrency < 1:
+        raise ValueError("concurrency must be at least 1")
+    ship_package(urls.sparkSession)
+    names = [f.split()[0] for f in SNAPSHOT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for u in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_pylist([dict(zip(names, get(u, headers), strict=True))], schema=_ARROW)
+
+    return urls.select("url").repartition(concurrency).mapInArrow(run, SNAPSHOT)
+
+
 class _Part(InputPartition):
     def __init__(self, urls: list[str]) -> None:
         self.urls = urls
