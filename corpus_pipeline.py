@@ -1,4 +1,8 @@
-"""From raw documents to token shards: every stage works on all that the one before it kept."""
+"""From raw documents to token shards: every stage works on all that the one before it kept.
+
+All stages take nulls in any column, empty and long texts, repeated rows and extra columns of any name. An empty
+``documents`` passes through every stage and gives no row.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +18,27 @@ WEIGHTS, BUDGET, FLOOR = {"good": 0.94, "poor": 0.03, "toxic": 0.03}, 1.1, 0.0
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects (score under one half)."""
+    """Drops the documents that the classifier rejects (score under one half). Null and empty texts are scored like any; without labels all stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of every near-duplicate group."""
+    """Keeps one row of every near-duplicate group (Jaccard 0.8 of five-word shingles): the least doc_id, null last; all texts without words are one group."""
     return simhash.dedup(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark window."""
+    """Drops the documents that hold a benchmark window. Null and empty texts hold none; without a benchmark all stay."""
     return winnow.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or thins documents by their fitted rates."""
+    """Repeats or thins documents by their fitted rates: whole rows, copies with equal ids. Without labels there is one domain with rate BUDGET."""
     return mixing.resample(docs, mixing.domain_of_labels(table(spark, sf_dir, "labels")), WEIGHTS, BUDGET, FLOOR)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token shards and returns their digest read back."""
+    """Writes the token shards and returns their digest read back; null and empty texts are the end id alone."""
     return tokenbin.round_trip(docs, tokenizer_path())
 
 
@@ -46,7 +50,7 @@ STAGES = [
     ("token_output", token_stage),
 ]
 
-#: No SQL: the network, the fingerprints and the tokenizer are not SQL; tests hold the stages against brute force.
+#: No SQL: the network, the fingerprints and the tokenizer are not SQL; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
