@@ -1,4 +1,4 @@
-from webloom.llm import urls
+from webloom.llm import common, urls
 
 
 def plain(url):
@@ -65,5 +65,5 @@ def test_no_hot_key_is_shuffled(spark, monkeypatch):
     rows = [(i, f"http://a.example.com/de/{i}") for i in range(300)] + [(1000 + i, f"http://h{i}.example.net/s{i}/t") for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     want = sorted(map(tuple, urls.judge(pages).collect()))
-    monkeypatch.setattr(urls, "HOT", 20)
+    monkeypatch.setattr(common, "HOT", 20)
     assert sorted(map(tuple, urls.judge(pages).collect())) == want

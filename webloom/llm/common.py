@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from webloom.session import materialize, ship_package
 
-__all__ = ["arrow_map", "aside", "ascii_lower", "bytes_column", "inline_table", "materialize", "small_batches", "words_of"]
+__all__ = ["arrow_map", "aside", "ascii_lower", "bytes_column", "inline_table", "join_counted", "materialize", "small_batches", "words_of"]
 
 #: Word rule of the contracts on bytes: A-Z become a-z; 0-9, a-z and every byte from 0x80 stay; the rest separates.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -61,6 +61,21 @@ def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
     return df.withColumnsRenamed(new), [F.col(f"`{n}`").alias(c) for c, n in new.items()]
 
 
+#: Keys that more than one in so many of all rows have are joined by a broadcast; there are fewer than this.
+HOT = 10_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n", hot: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key and, in ``n``, how many of ``rows`` have it (the column is dropped).
+
+    Keys with a large share of all rows go by a broadcast of at most HOT rows, the rest by a shuffle without a hot key.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) * (hot or HOT) > total
+    few, many = table.where(often).drop(n), table.where(~often).drop(n)
+    return rows.join(F.broadcast(few), keys).unionByName(rows.join(F.broadcast(few.select(keys)), keys, "left_anti").join(many, keys))
+
+
 def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from the driver as one literal, without a Python stage; ``schema`` like ``a int, b string``."""
     names = [f.split()[0].strip("`") for f in schema.split(", ")]

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import LOWER, UPPER, WORD_PATTERN, ascii_lower, inline_table, materialize
+from webloom.llm.common import LOWER, UPPER, WORD_PATTERN, ascii_lower, inline_table, join_counted, materialize
 
 #: (phrase, label): base labels stand wherever a phrase's words stand consecutively.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -182,7 +182,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
     Only texts that could hold a phrase or a template are cut into words and blocks (see
     :func:`needles`), each distinct text once. ``score`` is the greatest containment that meets
-    the threshold, 1 where a base phrase stands, else 0.
+    the threshold, 1 where a base phrase stands, else 0. A text that a large share of all rows has is no hot key, see
+    :func:`join_counted`.
 
     Null and empty texts have no words and no labels; repeated rows come out alike, as often as
     they came in; a null id is an id like any other; an empty table gives no row; other columns
@@ -194,16 +195,15 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     base = docs.select("doc_id", F.regexp_count(text, F.lit(ANY_CASE)).cast("long").alias("n_words"), words.alias("words"), F.xxhash64(text).alias("h"), F.crc32(text).alias("c"))
     base = materialize(base, "licenses-words")
     row = F.when(F.col("words").isNotNull(), F.struct("h", "c", "n_words"))
-    texts = base.where(F.col("words").isNotNull()).select(row.alias("row"), "words").groupBy("row").agg(F.first("words").alias("words"))
+    texts = base.where(F.col("words").isNotNull()).select(row.alias("row"), "words").groupBy("row").agg(F.first("words").alias("words"), F.count("*").alias("n"))
     texts = materialize(texts, "licenses-texts")
     met = matches(texts, known)
     places = [(_places(F.col("words"), p), label) for p, label in PHRASES]
     held = F.array_compact(F.array(*[F.when(F.size(p) > 0, F.lit(label)) for p, label in places]))
-    judged = texts.select("row", F.concat(*[p for p, _ in places]).alias("at"), held.alias("base")).join(met, "row", "left")
-    none = F.array().cast("array<string>")
-    judged = judged.where(F.col("met").isNotNull() | (F.size("at") > 0)).select("row", "at", "base", F.coalesce("met", none).alias("met"), "best")
+    judged = texts.select("row", "n", F.concat(*[p for p, _ in places]).alias("at"), held.alias("base")).join(met, "row", "left")
+    judged = judged.select("row", "n", "at", "base", F.coalesce("met", F.array().cast("array<string>")).alias("met"), "best")
     plain = base.where(F.col("words").isNull()).select("doc_id", "n_words")
-    out = base.where(F.col("words").isNotNull()).select("doc_id", "n_words", row.alias("row")).join(judged, "row", "left").drop("row")
+    out = join_counted(base.where(F.col("words").isNotNull()).select("doc_id", "n_words", row.alias("row")), materialize(judged, "licenses-judged"), ["row"]).drop("row")
     out = out.unionByName(plain, allowMissingColumns=True)
     listed = lambda c: F.array_join(F.array_sort(c), ",")
     return out.select(

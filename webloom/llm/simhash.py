@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import setsim
-from webloom.llm.common import arrow_map, aside, bytes_column, materialize, small_batches
+from webloom.llm.common import arrow_map, aside, bytes_column, join_counted, materialize, small_batches
 from webloom.llm.components import connected_components
 
 SEED = 42
@@ -129,7 +129,7 @@ def hamming_edges(distinct: DataFrame, distance: int = 2, bucket: int = BUCKET)
     level = distinct.select("fp", F.lit(0).cast("long").alias("bucket"), F.col("fp").alias("rest"))
     parts = []
     for width in (64, 32, 16):
-        level = _ring(level, width)
+        level = materialize(_ring(level, width), "simhash-ring")
         if width > 16:
             heavy = level.groupBy("bucket").count().where(F.col("count") > bucket).select("bucket")
             heavy = materialize(heavy, "simhash-heavy")
@@ -153,16 +153,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal fingerprints are one node; nodes link at ``distance`` or fewer differing bits;
     ``component_id`` is the least doc_id reachable. Null and empty texts have fingerprint zero and
     link like any other; a null doc_id never is a component's id unless nothing else is in it;
-    repeated rows come out as often as they came in; other columns are ignored.
+    repeated rows come out as often as they came in; other columns are ignored. A fingerprint that a
+    large share of all rows has (copies, empty texts) is no hot key, see :func:`join_counted`.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     roots = connected_components(hamming_edges(distinct.select("fp"), distance), "simhash-edges")
-    nodes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    nodes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
     nodes = materialize(nodes, "simhash-nodes")
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "root").select("fp", "component_id")
-    out = fps.join(named, "fp")
+    named = nodes.join(least, "root").select("fp", "component_id", "n")
+    out = join_counted(fps, materialize(named, "simhash-named"), ["fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

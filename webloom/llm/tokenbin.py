@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_map, bytes_column, small_batches
+from webloom.llm.common import arrow_map, small_batches
 from webloom.session import new_path
 
 MAGIC = b"WLTB1\0\0\0"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import ascii_lower, materialize
+from webloom.llm.common import ascii_lower, join_counted, materialize
 
 #: (action, host, path): a rule fits its host and all subdomains, under paths that start with its own.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -18,8 +18,6 @@ CHILDREN, CROWD = 8, 3.0
 Z = 1.96
 #: Pseudo-counts of the prior: a template leans on its host, a host on all pages. A template below PURITY is rejected.
 PRIOR, PURITY = 4.0, 0.5
-#: Path shapes with more than one in so many of all pages are joined by a broadcast, of which there are fewer than this.
-HOT = 10_000
 WILD, STAR = "*", "%2A"
 
 
@@ -108,7 +106,7 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
     ``://`` have an empty host and path and share one template; repeated rows are judged alike;
     without labelled pages all pass; an empty table gives no row; other columns are ignored.
 
-    A shape with a large share of all pages (see HOT) meets its template by a broadcast, so the
+    A shape with a large share of all pages (see :func:`join_counted`) meets its template by a broadcast, so the
     shuffled join has no hot key.
     """
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
@@ -119,12 +117,7 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
         one = labels.where(F.col("page_id").isNotNull()).groupBy("page_id").agg((F.min("quality") > 0).cast("int").alias("given"))
         told = told.join(one, "page_id", "left").withColumn("q", F.coalesce("q", "given"))
     known = templates(told.select("host", "path", "q"))
-    total = known.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT > total
-    keyed = rows.withColumn("shape", _segments(F.col("path")))
-    keys = ["host", "shape"]
-    often, seldom = known.where(hot).drop("n"), known.where(~hot).drop("n")
-    out = keyed.join(F.broadcast(often), keys).unionByName(keyed.join(F.broadcast(often.select(keys)), keys, "left_anti").join(seldom, keys))
+    out = join_counted(rows.withColumn("shape", _segments(F.col("path"))), known, ["host", "shape"])
     learned = F.when((F.col("labelled") > 0) & (F.col("purity") < PURITY), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce(action, learned).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
 
