@@ -32,7 +32,8 @@ def store(payload: bytes) -> bytes:
 
 def pixels(media: bytes) -> np.ndarray:
     """Pixels (rows, WIDTH, 3) of the stored bytes; a grey sample stands in each channel."""
-    return np.concatenate([webp.decode(f)[:, :, :3] for f in webp.files(media)])
+    parts = [webp.decode(f)[:, :, :3] for f in webp.files(media)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def feature_of(rgb: np.ndarray) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from itertools import groupby
 from functools import cached_property
 
 import numpy as np
@@ -143,6 +144,7 @@ def _amount(bits: Bits, prefix: int) -> int:
 
 #: Bytes of a stream whose bit positions are worked out together.
 WINDOW = 1 << 17
+EIGHT, PLACES = np.arange(8), np.arange((WINDOW + 16) * 8)
 
 
 def _vector(bits: Bits, codes: list[Prefix], n: int, width: int) -> np.ndarray | None:
@@ -165,36 +167,37 @@ def _vector(bits: Bits, codes: list[Prefix], n: int, width: int) -> np.ndarray |
         base = bits.at >> 3
         part = raw[base : base + WINDOW + 16]
         size = len(part)
-        b = np.concatenate([part, np.zeros(8, np.uint8)]).astype(np.uint32)
+        b = np.concatenate([part, np.zeros(8, np.uint8)]).astype(np.int64)
         word = b[: size + 4] | b[1 : size + 5] << 8 | b[2 : size + 6] << 16 | b[3 : size + 7] << 24
 
         def peek(at: np.ndarray, k: np.ndarray | int, word: np.ndarray = word) -> np.ndarray:
-            return (word[at >> 3] >> (at & 7).astype(np.uint32) & ((1 << k) - 1 if isinstance(k, int) else (np.uint32(1) << k.astype(np.uint32)) - np.uint32(1))).astype(np.int64)
+            return word[at >> 3] >> (at & 7) & ((1 << k) - 1)
 
         last = size * 8
-        every = (word[:size, None] >> np.arange(8, dtype=np.uint32)).ravel()
-        entry = codes[0].array[every & np.uint32((1 << codes[0].width) - 1)]
-        symbol, step = entry >> 4, entry & 15
-        length = np.ones(last, np.int64)
-        to = np.arange(last) + step
+        every = word[:size, None] >> EIGHT
+        every &= (1 << codes[0].width) - 1
+        entry = codes[0].array[every.ravel()]
+        to = entry & 15
+        to += PLACES[:last]
         for c in rest:
             to += c.array[peek(np.minimum(to, last), c.width)] & 15
-        ref = np.flatnonzero((symbol > 255) & (np.arange(last) + step < last))
-        where, distance = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ref = np.flatnonzero(entry > 4095)
+        far_of, long_of = ref, ref
         if len(ref):
-            k = symbol[ref] - 256
-            e = np.where(k < 4, 0, (k - 2) >> 1)
-            at = ref + step[ref]
-            length[ref] = np.where(k < 4, k + 1, ((2 + (k & 1)) << e) + peek(at, e) + 1)
+            k = (entry[ref] >> 4) - 256
+            e = np.maximum((k - 2) >> 1, 0)
+            at = np.minimum(ref + (entry[ref] & 15), last)
+            long_of = np.where(k < 4, k, (2 + (k & 1)) << e) + peek(at, e) + 1
             at = np.minimum(at + e, last)
             d = codes[4].array[peek(at, codes[4].width)]
             at = np.minimum(at + (d & 15), last)
             d >>= 4
-            e = np.where(d < 4, 0, (d - 2) >> 1)
-            where, distance = ref, np.where(d < 4, d + 1, ((2 + (d & 1)) << e) + peek(at, e) + 1)
+            e = np.maximum((d - 2) >> 1, 0)
+            far_of = np.where(d < 4, d, (2 + (d & 1)) << e) + peek(at, e) + 1
             to[ref] = at + e
         stop = last if base + size >= len(raw) else WINDOW * 8
-        one = np.minimum(np.append(to, last), last)
+        one = np.append(to, last)
+        np.minimum(one, last, out=one)
         two = one[one]
         four, at, hops = memoryview(two[two]), bits.at & 7, []
         while at < stop:  # the walk takes four symbols a step; those between are filled in after it
@@ -204,20 +207,25 @@ def _vector(bits: Bits, codes: list[Prefix], n: int, width: int) -> np.ndarray |
         path = np.stack([hops, one[hops], two[hops], one[two[hops]]], 1).ravel()
         path = path[: int(np.searchsorted(path, stop))]
         p = int(to[path[-1]]) if len(path) else bits.at & 7
-        ends = np.cumsum(length[path]) if len(path) else path
+        met = entry[path]
+        jump = met > 4095
+        length = np.ones(len(path), np.int64)
+        which = np.searchsorted(ref, path[jump])
+        length[jump] = long_of[which]
+        ends = np.cumsum(length)
         m = int(np.searchsorted(ends, n - done)) + 1
         if m <= len(path):
-            path, ends, p = path[:m], ends[:m], int(to[path[m - 1]])
+            path, ends, p, met, jump, length = path[:m], ends[:m], int(to[path[m - 1]]), met[:m], jump[:m], length[:m]
+            which = which[: int(jump.sum())]
             if ends[-1] != n - done:
                 raise ValueError("a reference outside the image")
         elif stop == last:
             raise ValueError("the stream ends early")
         if p > last:
             raise ValueError("the stream ends early")
-        begin = done + ends - length[path]
-        plain = symbol[path] < 256
-        first, at = begin[plain] * 4, path[plain] + step[path[plain]]
-        values = []
+        begin = done + ends - length
+        plain = ~jump
+        values, at = [], path[plain] + (met[plain] & 15) if rest else None
         for c in codes[1:4]:
             if c.width:
                 got = c.array[peek(at, c.width)]
@@ -225,20 +233,17 @@ def _vector(bits: Bits, codes: list[Prefix], n: int, width: int) -> np.ndarray |
                 at = at + (got & 15)
             else:
                 values.append(None)
-        if len(first):
-            pixel = _filled(codes, symbol[path[plain]], values)
-            np.frombuffer(out, "<u4")[first >> 2] = pixel
-        jumps = path[~plain]
-        if len(jumps):
-            far = distance[np.searchsorted(where, jumps)]
+        np.frombuffer(out, "<u4")[begin[plain]] = _filled(codes, met[plain] >> 4, values)
+        if len(which):
+            far, start = far_of[which], begin[jump]
             near = far <= 120
             if near.any():
                 x, y = np.array(NEAR)[far[near] - 1].T
                 far[near] = np.maximum(1, x + y * width)
             far[~near] -= 120
-            if (far > begin[~plain]).any():
+            if (far > start).any():
                 raise ValueError("a reference outside the image")
-            for a, l, d in zip((begin[~plain] * 4).tolist(), (length[jumps] * 4).tolist(), (far * 4).tolist(), strict=True):
+            for a, l, d in zip((start * 4).tolist(), (length[jump] * 4).tolist(), (far * 4).tolist(), strict=True):
                 out[a : a + l] = out[a - d : a - d + l] if d >= l else (out[a - d : a] * (l // d + 1))[:l]
         done += int(ends[-1]) if len(ends) else 0
         bits.at = base * 8 + p
@@ -359,9 +364,10 @@ def _crossed(values: np.ndarray, elements: np.ndarray, width: int, height: int,
 
 
 def _greened(values: np.ndarray, sign: int) -> np.ndarray:
+    """Adds (sign 1) or takes away (-1) green from red and blue, in bytes that wrap around."""
     out = values.copy()
     for c in (0, 2):
-        out[:, c] = (values[:, c].astype(np.int32) + sign * values[:, 1].astype(np.int32)) & 255
+        out[:, c] = values[:, c] + values[:, 1] if sign > 0 else values[:, c] - values[:, 1]
     return out
 
 
@@ -501,8 +507,8 @@ def put_prefix(w: Writer, lengths: np.ndarray) -> None:
         return
     tokens: list[tuple[int, int, int]] = []
     known = lengths[: int(used[-1]) + 1]
-    edge = np.flatnonzero(np.diff(known, prepend=-1))
-    for value, run in zip(known[edge].tolist(), np.diff(edge, append=len(known)).tolist(), strict=True):
+    for value, same in groupby(known.tolist()):
+        run = len(list(same))
         if value:
             tokens.append((value, 0, 0))
             run -= 1
@@ -672,22 +678,27 @@ def _references(v: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(v) - MATCH + 1
     if n < 2:
         return []
-    key = v[:n].astype(np.uint64)
-    for i in range(1, MATCH):
-        key |= v[i : i + n].astype(np.uint64) << np.uint64(8 * i)
-    order = np.argsort(key, kind="stable")
+    padded = np.concatenate([v, np.zeros(8, np.uint8)])
+    key = np.ndarray((n,), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * MATCH) - 1)
+    # Short inputs are sorted by a 16-bit hash, which numpy does by radix; equal hashes of other bytes only cost a match.
+    order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16) if n < 1 << 14 else key, kind="stable")
     again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     back = np.zeros(n, np.int64)
     back[order[again + 1]] = order[again + 1] - order[again]
     back[back > FAR] = 0
-    edge = np.flatnonzero(np.diff(back, prepend=-1))
-    runs = np.stack([edge, np.append(edge[1:], n), back[edge]], 1)
+    edge = np.concatenate([[0], np.flatnonzero(back[1:] != back[:-1]) + 1, [n]])
+    far = back[edge[:-1]]
+    some = far > 0
     out, at = [], 0
-    for s, e, d in runs[runs[:, 2] > 0].tolist():
-        s = max(s, at)
+    for s, e, d in zip(edge[:-1][some].tolist(), edge[1:][some].tolist(), far[some].tolist(), strict=True):
+        if s < at:
+            s = at
         if s < e:
             at = e + MATCH - 1
-            out += [(x, min(MATCH_MOST, at - x), d) for x in range(s, at, MATCH_MOST)]
+            if at - s <= MATCH_MOST:
+                out.append((s, at - s, d))
+            else:
+                out += [(x, min(MATCH_MOST, at - x), d) for x in range(s, at, MATCH_MOST)]
     return out
 
 
@@ -709,7 +720,7 @@ def _packed(value: np.ndarray, size: np.ndarray) -> np.ndarray:
     shift = (start & 63).astype(np.uint64)
     at = start >> 6
     out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
+    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     out[at[first]] = np.bitwise_or.reduceat(value << shift, first)
     final = np.append(first[1:], len(at)) - 1
     over = shift[final] > 0
@@ -736,17 +747,20 @@ def encode_grey(samples: np.ndarray) -> bytes:
     alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
     lp, lx, lk = _prefixes_of(found[:, 1])
     dp, dx, dk = _prefixes_of(found[:, 2] + 120)
-    counts = [np.bincount(v[alone], minlength=280) + np.bincount(lp + 256, minlength=280), *(np.zeros(256, np.int64) for _ in range(3)), np.bincount(dp, minlength=40)]
-    counts[1][0] = counts[2][0] = counts[3][255] = 1
-    lengths = [code_lengths(c, 15) for c in counts]
-    for x in lengths:
-        put_prefix(w, x)
-    bits_of = [x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in lengths]
-    green, far = code_words(lengths[0]) * (bits_of[0] > 0), code_words(lengths[4]) * (bits_of[4] > 0)
-    a, b = bits_of[0][lp + 256], bits_of[4][dp]
+    counts = np.bincount(v[alone], minlength=280) + np.bincount(lp + 256, minlength=280), np.bincount(dp, minlength=40)
+    main, far_bits = (code_lengths(c, 15) for c in counts)
+    put_prefix(w, main)
+    for symbol in (0, 0, 255):  # red, blue and alpha: simple codes of one symbol
+        w.put(0b101 | symbol << 3, 11)
+    put_prefix(w, far_bits)
+    green, far = code_words(main), code_words(far_bits)
+    for lengths, words in ((main, green), (far_bits, far)):
+        if np.count_nonzero(lengths) < 2:  # a lone symbol takes no bits
+            lengths[:] = words[:] = 0
+    a, b = main[lp + 256], far_bits[dp]
     value = green[lp + 256] | lx << a | far[dp] << (a + lk) | dx << (a + lk + b)
     at = np.argsort(np.append(alone, found[:, 0]), kind="stable")
-    value, size = np.append(green[v[alone]], value)[at], np.append(bits_of[0][v[alone]], a + lk + b + dk)[at]
+    value, size = np.append(green[v[alone]], value)[at], np.append(main[v[alone]], a + lk + b + dk)[at]
     if size.any():
         w.words(_packed(value, size), int(size.sum()))
     return _container(w.done())
