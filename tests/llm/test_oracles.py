@@ -16,7 +16,7 @@ def rows(columns, data):
 def test_oracle(spark, name):
     base = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, base)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import kdshards, licenses, media, mixing, quality, simhash, tokenbin, tokencounts, urls, winnow
+from webloom.llm import kdshards, licenses, media, mixing, quality, resample, simhash, tokenbin, tokencounts, topk, urls, whitening, winnow
 from webloom.session import table
 
 #: Mixture of the op8 query: shares of the corpus's words.
@@ -65,6 +65,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_importance_resampling": op13_importance_resampling,
     "pipeline": pipeline,
 }
 
@@ -90,4 +105,6 @@ ORACLES: dict[str, str] = {
     "op2_url_filters": urls.oracle_sql(),
     "op5_benchmark_decontamination": winnow.oracle_sql(),
     "op10_license_scan": licenses.oracle_sql(),
+    "op12_exact_topk": topk.oracle_sql(),
+    "op13_importance_resampling": resample.oracle_sql(),
 }
