@@ -87,6 +87,9 @@ def test_crawl(run, server):
     rows = {r["url"].removeprefix(base): r for r in map(json.loads, out.out.splitlines())}
     assert {k: (r["depth"], r["status"]) for k, r in rows.items()} == {"": (0, "new"), "/a": (1, "new"), "/b": (1, "new"), "/gone": (2, None)}
     assert "pages: 3" in out.err and sorted(asked) == ["/", "/a", "/b", "/gone"]
+    asked.clear()
+    kept = [{r["url"].removeprefix(base): r["status"] for r in map(json.loads, run("crawl", f"{base}/", "--depth", 1).out.splitlines())} for _ in range(2)]
+    assert kept == [{"": "new", "/a": "new", "/b": "new"}, {"": "unchanged"}] and sorted(asked) == ["/", "/a", "/b"]
     mapped = run("crawl", f"{base}/map.xml", "--sitemap", "--depth", 0)
     assert [json.loads(x)["source"] for x in mapped.out.splitlines()] == ["sitemap"]
 

@@ -61,3 +61,22 @@ def test_signals_count_nested_text_again():
     s = html.signals_of("<main><p>hello world, this is long enough</p></main><script>ab</script>")
     assert s["visible"] == "hello world, this is long enough " * 1 + "hello world, this is long enough"
     assert (s["meaningful"], s["script_bytes"]) == (1, 2)
+
+
+def test_one_parse_a_page(spark, monkeypatch):
+    """Signals, links and content of a page come from one tree."""
+    from pyspark.sql import functions as F
+
+    seen = []
+    real = html.parse
+    monkeypatch.setattr(html, "parse", lambda p: seen.append(p) or real(p))
+    monkeypatch.setattr(markdown, "parse", lambda p: seen.append(p) or real(p))
+    pages = [PAGE, "<p>x", "", None]
+    got = [html.page_of(p, "http://h/", ("signals", "links", "main")) for p in pages]
+    assert seen == pages[:3]
+    assert got[0]["links"] == ["http://h/n", "http://h/x"] and (got[0]["title"], got[0]["markdown"]) == markdown.extract_main(PAGE) and got[3] == {}
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    rows = df.select("i", html.read_page(F.lit("http://h/"), F.col("html"), "links", "main", "signals").alias("p"), html.html_signals(F.col("html")).alias("s")).orderBy("i").collect()
+    assert rows[3].p is None and [r.p.links for r in rows[:3]] == [["http://h/n", "http://h/x"], [], []]
+    assert all(r.p.markdown == markdown.extract_main(p)[1] and all(r.p[k] == r.s[k] for k in r.s.asDict()) for r, p in zip(rows, pages[:3], strict=False))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from webloom.functions import html, sqlfuncs, text, urls
-from webloom.operators import crawl, encode, fetch, filters
+from webloom.operators import cache, crawl, encode, fetch, filters
 from webloom.operators.cache import PageCache
 from webloom.sources import code, docs, inputs, live, web
 
@@ -19,10 +19,9 @@ def pages(spark, graph):
     return spark.createDataFrame(rows, "url string, status int, body string")
 
 
-def test_complete_graph_visits_each_page_once(spark):
-    names = ["/", "/a", "/b", "/c", "/d"]
-    out = crawl.crawl(spark, ["http://s.test/"], pages(spark, {n: names for n in names}), depth=5).collect()
-    assert sorted(r.url for r in out) == ["http://s.test", "http://s.test/a", "http://s.test/b", "http://s.test/c", "http://s.test/d"]
+def test_two_rings_visit_each_page_once(spark):
+    out = crawl.crawl(spark, ["http://s.test/l4#x"], pages(spark, _two_rings()), depth=20).collect()
+    assert sorted(r.url for r in out) == sorted(f"http://s.test{p}" for p in _two_rings())
     assert {r.status for r in out} == {"new"} and {r.source for r in out if r.depth == 0} == {"seed"}
 
 
@@ -43,9 +42,9 @@ def test_crawl_is_reachability(graph, depth):
 
 def test_seed_that_fails_its_filters(spark):
     web_ = pages(spark, {"/": ["/a"]})
-    assert crawl.crawl(spark, ["http://s.test/"], web_, allow=("/docs",)).count() == 0
+    assert crawl.crawl(spark, ["http://s.test/"], web_, allow=("/shop/",)).count() == 0
     with pytest.raises(ValueError, match="invalid deny"):
-        crawl.crawl(spark, ["http://s.test/"], web_, deny=("[invalid",))
+        crawl.crawl(spark, ["http://s.test/"], web_, deny=("(open",))
     for p in ("(?=x)", "(?<!x)", r"(a)\1"):
         with pytest.raises(ValueError, match="look-around"):
             filters.validate_deny([p])
@@ -201,3 +200,113 @@ def test_written_tables_are_cleared(spark):
     assert session.clear_written(spark) > 0
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="0123456789abcdef", min_size=1, max_size=16), max_size=60), st.lists(st.text(alphabet="0123456789abcdef", min_size=1, max_size=16), min_size=1, max_size=20))
+def test_bloom(keys, asked):
+    found = cache.may_hold(cache.bloom(keys), cache._hashes(asked))
+    assert all(f for f, k in zip(found, asked, strict=True) if k in keys)
+
+
+def test_cache_opens_only_files_that_can_hold_a_key(spark, tmp_path):
+    """Eight batches of a thousand pages in files of fifty: ten keys open about ten files a batch that has them, not 160."""
+    c = PageCache(spark, str(tmp_path / "cache"), ttl_seconds=100, file_rows=50)
+    page = lambda lo, hi, md: spark.range(lo, hi).select(F.format_string("http://h/%d", "id").alias("url"), F.lit("t").alias("title"), F.lit(md).alias("markdown"), F.lit("").alias("etag"), F.lit("").alias("last_modified"), F.lit(md).alias("content_hash"))
+    for i in range(8):
+        c.upsert(page(1000 * i, 1000 * i + 1000, f"m{i}"), F.lit(1000 + i))
+    c.upsert(page(10, 15, "again"), F.lit(1050))
+    assert c.index().count() >= 160
+    asked = [*range(10, 18), 3500, 9999]
+    ask = spark.createDataFrame([(f"http://h/{i}",) for i in asked], "url string")
+    keys = [r[0] for r in ask.select(text.cache_key(F.col("url"))).collect()]
+    opened = c.candidates(keys)
+    holds = {r.file for r in spark.read.schema(cache.SCHEMA).parquet(*[r.file for r in c.index().select("file").collect()]).where(F.col("key").isin(keys)).select(F.col("_metadata.file_path").alias("file")).distinct().collect()}
+    assert holds <= set(opened) and len(opened) <= len(holds) + 4 and len(holds) <= 10
+    assert {f.replace("file:///", "file:/") for f in c.point(keys).inputFiles()} == {f.replace("file:///", "file:/") for f in opened}
+    got = {int(r.url.rsplit("/", 1)[1]): r.hit and r.hit.markdown for r in c.lookup(ask, F.lit(1060)).collect()}
+    want = {i: "again" if i < 15 else "m0" for i in range(10, 18)} | {3500: "m3", 9999: None}
+    assert got == want
+    assert c.candidates(["zz"]) == [] and c.point([]).count() == 0
+    before = sorted(map(str, c.entries().collect()))
+    assert c.compact(4) >= 1 and len(c._batches()) < 4
+    assert sorted(map(str, c.entries().collect())) == before and len(before) == 8000
+    assert {int(r.url.rsplit("/", 1)[1]): r.hit and r.hit.markdown for r in c.lookup(ask, F.lit(1060)).collect()} == want
+    c.compact(1)
+    assert len(c._batches()) == 1 and c.entries().count() == 8000
+    c.clear()
+    assert c.entries().count() == 0
+
+
+def test_cache_ignores_a_batch_without_index(spark, tmp_path):
+    """A writer that is lost before its index is written leaves a batch that doesn't count."""
+    c = PageCache(spark, str(tmp_path / "cache"))
+    blank = [F.lit("").alias(x) for x in ("title", "markdown", "etag", "last_modified", "content_hash")]
+    c.upsert(spark.createDataFrame([("http://a",)], "url string").select("url", *blank))
+    spark.createDataFrame([("k", 1, None)], cache.SCHEMA).write.parquet(f"{c.path}/e-0/batch-lost/data")
+    assert [r.p.url for r in c.entries().collect()] == ["http://a"]
+
+
+def _two_rings(n=6):
+    """Two rings of pages with a bridge from the first to the second."""
+    ring = lambda side, i: f"/{side}{i % n}"
+    graph = {ring(s, i): [ring(s, i + 1)] for s in "lr" for i in range(n)}
+    graph["/l2"].append("/r0?utm_source=bridge")
+    return graph
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_levels_move_only_their_own_urls(spark, monkeypatch, few):
+    """A level's plan exchanges new links and neither the store nor the visited urls, and reads no content."""
+    plans = []
+    real = crawl.Bucketed.append
+
+    def append(self, rows, /, **metrics):
+        if metrics:
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return real(self, rows, **metrics)
+
+    monkeypatch.setattr(crawl.Bucketed, "append", append)
+    monkeypatch.setattr(crawl, "FEW", few)
+    store = crawl.PageStore.build(pages(spark, _two_rings()))
+    got = {r.url.removeprefix("http://s.test/"): r.depth for r in crawl.crawl(spark, ["http://s.test/l0"], store, depth=5).collect()}
+    assert got == {"l0": 0, "l1": 1, "l2": 2, "l3": 3, "r0": 3, "l4": 4, "r1": 4, "l5": 5, "r2": 5}
+    scans = [line for p in plans for line in p.splitlines() if store.table.name in line and "FileScan" in line]
+    assert len(scans) == 6 and not any("markdown" in x.split("ReadSchema")[1] for x in scans)
+    if not few:
+        for p in plans[1:]:
+            above = p[: p.index(f"{store.table.name}[")].splitlines()
+            depth = len(above[-1]) - len(above[-1].lstrip(" :+-"))
+            path = [x for x in above if len(x) - len(x.lstrip(" :+-")) < depth]
+            chain, least = [], depth
+            for x in reversed(path):
+                d = len(x) - len(x.lstrip(" :+-"))
+                if d < least:
+                    chain, least = [*chain, x], d
+            assert "SortMergeJoin" in "".join(chain) and not any("Exchange" in x for x in chain)
+            assert p.count("Exchange hashpartitioning") <= 2
+    else:
+        assert all("SelectedBucketsCount: 4" not in x for x in scans[1:])
+
+
+def test_store_is_opened_again(spark, tmp_path):
+    path = str(tmp_path / "store")
+    made = crawl.PageStore.build(pages(spark, _two_rings()), path)
+    made.table.detach()
+    again = crawl.PageStore.open(spark, path, made.table.n)
+    assert crawl.crawl(spark, ["http://s.test/r0"], again, depth=9).count() == 6
+    assert [r.links for r in again.rows(["http://s.test/l2"]).collect()] == [["http://s.test/l3", "http://s.test/r0"]]
+
+
+def test_crawl_fills_the_cache(spark, tmp_path):
+    """A second crawl finds what the first one kept; what has run out is asked again and told by its hash."""
+    c = PageCache(spark, str(tmp_path / "cache"), ttl_seconds=50)
+    site = _two_rings(3)
+    run = lambda snapshot, now, **kw: {r.url.removeprefix("http://s.test/"): r.status for r in crawl.crawl(spark, ["http://s.test/l0"], snapshot, cache=c, now=F.lit(now), **kw).collect()}
+    assert run(pages(spark, site), 1000, depth=2) == {"l0": "new", "l1": "new", "l2": "new"}
+    assert c.entries().count() == 3
+    assert run(pages(spark, site), 1050, depth=9) == {"l0": "unchanged"}
+    assert run(pages(spark, site), 1050, depth=9, expand_cached=True) == {"l0": "unchanged"}
+    later = pages(spark, site).withColumn("body", F.when(F.col("url").endswith("l1"), F.concat("body", F.lit("<p>more"))).otherwise(F.col("body")))
+    assert run(later, 1051, depth=4) == {"l0": "unchanged", "l1": "changed", "l2": "unchanged", "r0": "new", "r1": "new"}
+    assert {r.p.url.rsplit("/", 1)[1]: r.t for r in c.entries().collect()} == dict.fromkeys(("l0", "l1", "l2", "r0", "r1"), 1051)

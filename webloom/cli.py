@@ -49,6 +49,7 @@ def _pages(spark, rows, a):
     found = materialize(fetch.scrape(missing, _fetched(missing, a), llms=not a.no_llms_txt), "cli-scraped")
     blank = [F.lit("").alias(c) for c in ("etag", "last_modified")]
     cache.upsert(found.where("error is null").select("url", "title", "markdown", *blank, "content_hash"))
+    cache.compact()
     held = known.where("hit is not null").select("url", "hit.title", "hit.markdown", F.lit(None).cast("string").alias("error"))
     return held.unionByName(found.select("url", "title", "markdown", "error"))
 
@@ -144,8 +145,7 @@ def _crawl(spark, a) -> None:
     get = lambda urls: live.fetch_all(urls, a.concurrency)
     options = {"depth": a.depth, "allow": a.allow, "deny": a.deny}
     if not a.no_cache:
-        cache = _page_cache(spark, inputs.load_config(CONFIG))
-        options |= {"cache": cache.entries(), "ttl_seconds": cache.ttl}
+        options["cache"] = _page_cache(spark, inputs.load_config(CONFIG))
     if job := os.environ.get(WORKER):
         jobs.start(a.seed, get, job, a.sitemap, **options)
         signal.signal(signal.SIGTERM, lambda *_: jobs.stop(job))

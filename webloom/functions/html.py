@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Sequence
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -23,12 +24,16 @@ SPA_MARKERS = (
 #: How a page says that it needs JavaScript.
 NEEDS_JS = ("enable javascript", "requires javascript", "ensure javascript", "javascript is required", "javascript is disabled")
 
-SIGNALS = "visible string, visible_bytes int, meaningful int, noscript_js boolean, body_text string, script_bytes int, title string"
+SIGNALS = "visible_bytes int, meaningful int, noscript_js boolean, needs_js boolean, loading boolean, script_bytes int, title string"
 
 
-def signals_of(html: str) -> dict:
+def _tree(page: str | Node) -> Node:
+    return page if isinstance(page, Node) else parse(page)
+
+
+def signals_of(page: str | Node) -> dict:
     """Everything that detection asks of a page's tree; nested elements count again, as each match does."""
-    root = parse(html)
+    root = _tree(page)
     visible, meaningful, scripts, noscript = [], 0, 0, False
     body: Node | None = None
     for n in root.walk():
@@ -44,8 +49,17 @@ def signals_of(html: str) -> dict:
         elif n.tag == "body":
             body = n
     text = " ".join(visible)
-    outside = body if body is not None else root
-    return {"visible": text, "visible_bytes": len(text.encode()), "meaningful": meaningful, "noscript_js": noscript, "body_text": outside.text(), "script_bytes": scripts, "title": title_of(root)}
+    outside = (body if body is not None else root).text().lower()
+    needs = lambda low: any(phrase in low for phrase in NEEDS_JS)
+    return {
+        "visible": text, "visible_bytes": len(text.encode()), "meaningful": meaningful, "noscript_js": noscript, "needs_js": needs(outside),
+        "loading": "loading" in text.lower() and needs(text.lower()), "script_bytes": scripts, "title": title_of(root),
+    }
+
+
+def signal_rows(pages: Iterable[str | None]) -> pd.DataFrame:
+    """The columns of SIGNALS: sizes and yes or no, no texts."""
+    return pd.DataFrame([signals_of(p or "") for p in pages], columns=[f.split()[0] for f in SIGNALS.split(", ")])
 
 
 def _udf(fn, kind: str):
@@ -57,7 +71,7 @@ def html_signals(html: Column) -> Column:
     """Struct of raw signals; null in, null out."""
 
     def run(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([signals_of(p or "") for p in pages], columns=[f.split()[0] for f in SIGNALS.split(", ")])
+        return signal_rows(pages)
 
     return F.when(html.isNotNull(), _udf(run, SIGNALS)(html))
 
@@ -88,9 +102,9 @@ def high_script_ratio(signals: Column) -> Column:
 
 def detect_js_shell(signals: Column, html: Column) -> Column:
     """``static``, ``likely_shell`` or ``ambiguous``; the order of the decisions is the rule."""
-    corroborated = signals["noscript_js"] | requires_javascript(signals["body_text"]) | has_spa_marker(html) | has_app_shell_marker(html) | high_script_ratio(signals)
+    corroborated = signals["noscript_js"] | signals["needs_js"] | has_spa_marker(html) | has_app_shell_marker(html) | high_script_ratio(signals)
     return (
-        F.when(signals["visible_bytes"] >= 200, F.when(is_loading_page(signals["visible"]), "likely_shell").otherwise("static"))
+        F.when(signals["visible_bytes"] >= 200, F.when(signals["loading"], "likely_shell").otherwise("static"))
         .when(signals["meaningful"] > 2, "ambiguous")
         .when(corroborated, "likely_shell")
         .otherwise("ambiguous")
@@ -125,10 +139,10 @@ def resolve_url(base: Column, href: Column) -> Column:
 _SKIP = ("javascript:", "mailto:", "tel:", "#")
 
 
-def links_of(html: str, base: str) -> list[str]:
+def links_of(page: str | Node, base: str) -> list[str]:
     """Resolved targets of all ``a[href]`` in order, repeats and other hosts too."""
     out = []
-    for n in parse(html).walk():
+    for n in _tree(page).walk():
         href = n.attrs.get("href") if n.tag == "a" else None
         if href and not href.startswith(_SKIP) and (full := resolve(base, href)):
             out.append(full)
@@ -144,6 +158,36 @@ def extract_links(html: Column, base: Column) -> Column:
     return _udf(run, "array<string>")(html, base)
 
 
+#: What can be asked of a page, with the fields that it gives.
+READ = {"signals": SIGNALS, "links": "links array<string>", "main": "title string, markdown string"}
+
+
+def page_of(page: str | None, base: str, want: Sequence[str]) -> dict:
+    """The fields of what is wanted of a page, from one tree; nothing of a page that isn't there."""
+    if page is None:
+        return {}
+    root, out = parse(page), {}
+    if "signals" in want:
+        out |= signals_of(root)
+    if "links" in want:
+        out["links"] = links_of(root, base)
+    if "main" in want:
+        out["title"], out["markdown"] = markdown.extract_main(root)
+    return out
+
+
+def read_page(url: Column, html: Column, *want: str) -> Column:
+    """Struct of the fields of READ that a plan wants of a page (any of ``signals``, ``links``, ``main``): each page is parsed once. A null page gives null."""
+    kind = ", ".join(dict.fromkeys(f for w in READ if w in want for f in READ[w].split(", ")))
+    names = [f.split()[0] for f in kind.split(", ")]
+
+    def run(urls: pd.Series, pages: pd.Series) -> pd.DataFrame:
+        rows = [page_of(p, u or "", want) for u, p in zip(urls, pages, strict=True)]
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+
+    return F.when(html.isNotNull(), _udf(run, kind)(url, html))
+
+
 def html_to_markdown(html: Column) -> Column:
     def run(pages: pd.Series) -> pd.Series:
         return pd.Series([markdown.to_markdown(parse(p or "")) for p in pages])

@@ -149,9 +149,9 @@ def _without(n: Node) -> Node:
     return out
 
 
-def extract_main(html: str) -> tuple[str, str]:
-    """(title, markdown) of a page: its main content, or all of it where none is found."""
-    root = parse(html)
+def extract_main(page: str | Node) -> tuple[str, str]:
+    """(title, markdown) of a page (or its tree): its main content, or all of it where none is found."""
+    root = page if isinstance(page, Node) else parse(page)
     title = title_of(root)
     best = main_content(root)
     if best is not None:

@@ -49,4 +49,4 @@ def _markdowns(s: pd.Series) -> pd.Series:
 
 
 def _signals(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([html.signals_of(x or "") for x in s])
+    return html.signal_rows(s)

@@ -15,16 +15,16 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions import html as H
 from webloom.functions.urls import normalize_url, url_host
-from webloom.operators.cache import lookup
-from webloom.operators.fetch import fetch, one_snapshot, render_fallback
+from webloom.operators.cache import PageCache, fresh, with_entries
+from webloom.operators.fetch import capped, fetch, one_snapshot, read_pages
 from webloom.operators.filters import passes_filters
-from webloom.session import materialize
+from webloom.operators.store import Bucketed, PageStore, page_columns
+from webloom.session import materialize, new_path
 
 #: A host is rendered throughout once this many pages were seen and more than this share were shells.
 HOST_PAGES, HOST_SHARE = 10, 0.8
-RESULT = "url string, depth int, status string, source string, error string, js_detection string"
+RESULT_COLUMNS = ("url", "depth", "status", "source", "error", "js_detection")
 
 
 def host_stats(pages: DataFrame) -> DataFrame:
@@ -40,89 +40,127 @@ def new_links(links: DataFrame, visited: DataFrame) -> DataFrame:
     return once.join(visited.select("url"), "url", "left_anti")
 
 
+#: A crawl's own table: what it returns, what the next level and the cache need, a part for each level.
+LOG = "url string, source string, status string, error string, js_detection string, content_hash string, title string, markdown string, links array<string>, depth int"
+#: A level of at most so many links is looked up by its urls; a longer one meets the store bucket by bucket.
+FEW = 1000
+
+
 def crawl(
     spark: SparkSession,
     seeds: Sequence[str] | DataFrame,
-    web: DataFrame | Callable[[DataFrame], DataFrame],
+    web: PageStore | DataFrame | Callable[[DataFrame], DataFrame],
     *,
     seed_host: str | None = None,
     depth: int = 3,
     allow: Sequence[str] = (),
     deny: Sequence[str] = (),
     source: str = "seed",
-    cache: DataFrame | None = None,
+    cache: PageCache | DataFrame | None = None,
     now: Column | None = None,
     ttl_seconds: int = 72 * 3600,
     expand_cached: bool = False,
     rendered: DataFrame | None = None,
+    content: bool = False,
     on_level: Callable[[int, DataFrame], None] | None = None,
     stop: threading.Event | None = None,
 ) -> DataFrame:
     """``(url, depth, status, source, error, js_detection)``: all pages within ``depth`` links, each once, at its least depth.
 
-    ``web`` is ``(url, status, body)``, or ``(url, links array<string>)`` where links are known; of several snapshots of one
-    normalised url one counts. It may also be a function that fetches a level's ``(url)``, see ``live.fetch_all``. A level's frontier is written first, so that Spark knows its size when it joins ``web``. Seeds
-    pass the filters like any link. A fresh cache entry gives ``unchanged`` and isn't expanded
-    unless ``expand_cached``. With ``rendered``, shells are taken from there, and hosts that were
-    shells on earlier levels are rendered throughout. ``stop`` ends the crawl between levels with
-    what was found; ``on_level`` sees each level as it is done. Bodies and links never leave their
-    level's plan; a level's join key is the url, so a host with a third of all pages is no hot key.
+    ``web`` is a :class:`PageStore`, which many crawls can share; or ``(url, status, body)``, or ``(url, links array<string>)`` where
+    links are known, of which those that pass the filters are laid out as a store first; or a function that fetches a level's ``(url)``, see
+    ``live.fetch_all``. Of several snapshots of one normalised url one counts. Seeds pass the filters like any link.
+
+    A level is one job that writes its pages, their links too, into the crawl's own table, bucketed by url as the
+    store is: new links, each once, are all that is exchanged; they meet the table (visited urls) and the store where those lie.
+    The write counts what it writes, so the end needs no job. Links to a hot page are made one before the exchange, and a host with a third of
+    all pages is no hot key. With ``rendered``, shells are taken from there, and hosts that were shells on earlier levels are rendered throughout.
+
+    With a ``cache``, a fresh entry gives ``unchanged`` and isn't expanded unless ``expand_cached``; an expired one is fetched, and is
+    ``unchanged`` or ``changed`` by its content hash. A :class:`PageCache` gets each level's fetched pages as the level
+    is done (its own ttl holds). ``content`` adds title, markdown and content hash of fetched pages. ``stop`` ends the crawl between levels
+    with what was found; ``on_level`` sees each level as it is done.
     """
     live = callable(web)
-    known_links = not live and "links" in web.columns
+    keeps = isinstance(cache, PageCache)
+    ttl_seconds = cache.ttl if keeps else ttl_seconds
+    now = F.unix_timestamp() if now is None else now
     first = seeds.select("url") if isinstance(seeds, DataFrame) else spark.createDataFrame([(s,) for s in seeds], "url string")
     if seed_host is None:
         row = first.select(url_host(F.col("url")).alias("h")).first()
         seed_host = row["h"] if row else ""
-    known = None if live else web.withColumn("url", normalize_url(F.col("url")))
     fits = passes_filters(F.col("url"), seed_host, allow, deny)
-    frontier = first.select(normalize_url(F.col("url")).alias("url")).where("url <> ''").distinct().where(fits)
-    frontier = materialize(frontier.withColumn("depth", F.lit(0)).withColumn("source", F.lit(source)), "crawl-frontier")
-    levels: list[DataFrame] = []
-    visited, seen_pages = frontier.select("url"), None
-    for level in range(depth + 1):
-        if frontier.isEmpty() or (stop is not None and stop.is_set()):
-            break
-        work = frontier
-        if cache is not None:
-            work = lookup(work, cache, F.unix_timestamp() if now is None else now, ttl_seconds).withColumn("cached", F.col("hit").isNotNull()).drop("hit")
-        else:
-            work = work.withColumn("cached", F.lit(False))
-        if known_links:
-            got = work.join(one_snapshot(known.select("url", "links"), frontier).withColumn("__known", F.lit(True)), "url", "left")
-            error = F.when(F.col("__known").isNull() & ~F.col("cached"), F.concat(F.lit("no snapshot of "), F.col("url")))
-            got = got.withColumn("error", error).withColumn("js_detection", F.lit(None).cast("string"))
-        else:
-            here = materialize(web(work.where("not cached").select("url")), "crawl-fetched") if live else known
-            got = fetch(work, here).withColumn("error", F.when(~F.col("cached"), F.col("error")))
-            if rendered is not None:
-                if seen_pages is not None:
-                    hosts = host_stats(seen_pages).where("force_render").select("host")
-                    got = got.withColumn("host", url_host(F.col("url"))).join(hosts.withColumn("__force", F.lit(True)), "host", "left").drop("host")
-                else:
-                    got = got.withColumn("__force", F.lit(None).cast("boolean"))
-                got = render_fallback(got, rendered, F.coalesce("__force", F.lit(False)))
-                got = got.withColumn("js_detection", F.when(F.coalesce("__force", F.lit(False)), F.lit(None)).otherwise(F.col("js_detection")))
+    store = web if isinstance(web, PageStore) else None if live else PageStore.build(web, keep=fits, read=False)
+    wants = ("links", "main") if content or cache is not None else ("links",)
+    log = Bucketed(spark, new_path(spark, "crawl"), store.table.n if store else None, part="depth")
+    front = first.select(normalize_url(F.col("url")).alias("url")).where("url <> ''").distinct().where(fits)
+    few: list[str] | None = None
+    try:
+        for level in range(depth + 1):
+            if stop is not None and stop.is_set():
+                break
+            work = front.withColumn("source", F.lit(source if level == 0 else "link"))
+            if cache is None:
+                work = work.withColumn("entry", F.lit(None).cast("struct<t:bigint,p:struct<content_hash:string>>"))
+            else:
+                work = with_entries(work, cache.entries_for(front) if keeps else cache)
+            work = work.withColumn("cached", fresh(F.col("entry"), now, ttl_seconds))
+            if live:
+                work = materialize(work, "crawl-frontier")
+                known = one_snapshot(materialize(web(work.where("not cached").select("url")), "crawl-fetched").select("url", "status", "body"))
             else:
-                got = got.withColumn("html", F.col("body")).withColumn("js_detection", F.lit(None).cast("string"))
-            got = got.withColumn("links", F.when(F.col("html").isNotNull(), H.extract_links(F.col("html"), F.col("url"))))
-        status = F.when(F.col("cached"), "unchanged").when(F.col("error").isNull(), "new").otherwise(F.lit(None))
-        expand = F.lit(level < depth) & F.col("error").isNull() & (F.lit(True) if expand_cached else ~F.col("cached"))
-        got = got.withColumn("status", status).withColumn("links", F.when(expand, F.col("links")))
-        done = materialize(got.select("url", "depth", "status", "source", "error", "js_detection", "links"), "crawl-level")
-        result = done.drop("links")
-        levels.append(result)
-        if on_level is not None:
-            on_level(level, result)
-        plain = result.where("status = 'new' and js_detection is not null")
-        seen_pages = plain if seen_pages is None else seen_pages.unionByName(plain)
-        nxt = new_links(done.select(F.explode("links").alias("url")), visited).where(fits)
-        frontier = materialize(nxt.withColumn("depth", F.lit(level + 1)).withColumn("source", F.lit("link")), "crawl-frontier")
-        visited = visited.unionByName(frontier.select("url"))
-    out = spark.createDataFrame([], RESULT)
-    for r in levels:
-        out = out.unionByName(r)
-    return out
+                known = store.rows(few)
+            got = work.join(known if few is not None or live else known.hint("merge"), "url", "left")
+            reason = F.when(F.col("status").isNull(), "no snapshot of ").when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(" for ")))
+            got = got.withColumn("error", F.when(~F.col("cached"), F.concat(reason, F.col("url"))))
+            if live or not store.read:
+                forced = None
+                if rendered is not None and level:
+                    hosts = host_stats(log.rows().where("status = 'new' and js_detection is not null")).where("force_render").select("host", F.lit(True).alias("__force"))
+                    got = got.withColumn("host", url_host(F.col("url"))).join(hosts, "host", "left").drop("host")
+                    forced = F.col("__force")
+                got = got.withColumn("body", F.when(~F.col("cached") & F.col("error").isNull(), capped(F.col("body"))))
+                got = read_pages(got, *wants, rendered=rendered, forced=forced)
+                if forced is not None:
+                    got = got.withColumn("js_detection", F.when(F.coalesce(forced, F.lit(False)), F.lit(None)).otherwise(F.col("js_detection")))
+                got = got.select("url", "source", "cached", "entry", "error", *page_columns(F.col("page"), "main" in wants))
+            fetched = ~F.col("cached") & F.col("error").isNull()
+            old = F.col("entry.p.content_hash") if cache is None or keeps or "content_hash" in cache.schema["p"].dataType.names else F.lit(None).cast("string")
+            again = F.when(old == F.col("content_hash"), "unchanged").when(old.isNotNull() & F.col("content_hash").isNotNull(), "changed").otherwise("new")
+            status = F.when(F.col("cached"), "unchanged").when(fetched, F.when(F.col("entry").isNotNull(), again).otherwise("new"))
+            expand = F.lit(level < depth) & F.col("error").isNull() & (F.lit(True) if expand_cached else ~F.col("cached"))
+            kept = [F.when(fetched, F.col(c)).alias(c) if "main" in wants else F.lit(None).cast("string").alias(c) for c in ("content_hash", "title", "markdown")]
+            rows = got.select("url", "source", status.alias("status"), "error", "js_detection", *kept, F.when(expand, F.col("links")).alias("links"), F.lit(level).alias("depth"))
+            done = log.append(rows, rows=F.count(F.lit(1)), links=F.sum(F.when(F.col("links").isNotNull(), F.size("links"))))
+            if not done["rows"]:
+                break
+            here = log.rows().where(F.col("depth") == level)
+            if keeps:
+                blank = [F.lit("").alias(c) for c in ("etag", "last_modified")]
+                cache.upsert(here.where("markdown is not null").select("url", "title", "markdown", *blank, "content_hash"), now)
+            if on_level is not None:
+                on_level(level, here.select(*RESULT_COLUMNS))
+            if not done["links"]:
+                break
+            front = here.select(F.explode("links").alias("url")).where("url <> ''").where(fits).distinct().repartition(log.n, "url")
+            front = front.join(log.rows().select("url"), "url", "left_anti")
+            few = None
+            if done["links"] <= FEW:
+                few = [r["url"] for r in front.collect()]
+                if not few:
+                    break
+                front = spark.createDataFrame([(u,) for u in few], "url string")
+        columns = [*RESULT_COLUMNS, *(("title", "markdown", "content_hash") if content else ())]
+        return spark.read.schema(LOG).parquet(log.path).select(*columns) if _written(spark, log.path) else spark.createDataFrame([], LOG).select(*columns)
+    finally:
+        log.detach()
+        if store is not None and store is not web:
+            store.table.detach()
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 URLSET = "url ARRAY<STRUCT<loc: STRING>>"

@@ -27,12 +27,12 @@ def asked_for(big: DataFrame, urls: DataFrame, key: str = "url") -> DataFrame:
     return big.join(urls.select(F.col("url").alias(key)).distinct(), key, "left_semi")
 
 
-def one_snapshot(web: DataFrame, urls: DataFrame) -> DataFrame:
-    """For each of ``urls(url)`` that ``web`` knows one row: of several a good status first, then the least status and columns in the order of ``web``."""
+def one_snapshot(web: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """For each url (of ``urls(url)``, if given) that ``web`` knows one row: of several a good status first, then the least status and columns in the order of ``web``."""
     rest = [c for c in web.columns if c != "url"]
     bad = (F.coalesce("status", F.lit(0)) != 200) if "status" in rest else F.lit(False)
     rest.sort(key=lambda c: c != "status")
-    best = asked_for(web, urls).groupBy("url").agg(F.min(F.struct(bad.alias("__bad"), *rest)).alias("__w"))
+    best = (web if urls is None else asked_for(web, urls)).groupBy("url").agg(F.min(F.struct(bad.alias("__bad"), *rest)).alias("__w"))
     return best.select("url", *[F.col(f"__w.{c}").alias(c) for c in rest])
 
 
@@ -72,21 +72,42 @@ def render_fallback(pages: DataFrame, rendered: DataFrame, forced: Column | None
     return out.withColumn("html", F.when(want, F.coalesce("__rendered", "body")).otherwise(F.col("body"))).drop("__rendered")
 
 
+def read_pages(pages: DataFrame, *want: str, rendered: DataFrame | None = None, forced: Column | None = None) -> DataFrame:
+    """``pages(url, body, ...)`` with ``page`` (the fields of ``html.read_page`` that are wanted) and ``js_detection``.
+
+    A fetched page is parsed once, for its signals and whatever else is wanted. A rendering is parsed
+    only where it takes the page's place: where detection says shell or ``forced`` does; then a forced page
+    isn't parsed at all if there is a rendering. Without ``rendered`` nothing is detected.
+    """
+    if rendered is None:
+        return pages.withColumn("page", H.read_page(F.col("url"), F.col("body"), *want)).withColumn("js_detection", F.lit(None).cast("string"))
+    held = pages.join(one_snapshot(rendered.select("url", F.col("html").alias("__rendered")), pages), "url", "left")
+    force = (F.lit(False) if forced is None else F.coalesce(forced, F.lit(False))) & F.col("__rendered").isNotNull()
+    held = held.withColumn("__first", H.read_page(F.col("url"), F.when(~force, F.col("body")), "signals", *want))
+    held = held.withColumn("js_detection", F.when(F.col("__first").isNotNull(), H.detect_js_shell(F.col("__first"), F.col("body"))))
+    again = (force | (F.col("js_detection") == "likely_shell")) & F.col("body").isNotNull()
+    held = held.withColumn("__again", H.read_page(F.col("url"), F.when(again, F.col("__rendered")), *want))
+    fields = [f.split()[0] for w in H.READ if w in want for f in H.READ[w].split(", ")]
+    page = F.struct(*[F.coalesce(F.col(f"__again.{f}"), F.col(f"__first.{f}")).alias(f) for f in fields])
+    return held.withColumn("page", F.when(F.col("__again").isNotNull() | F.col("__first").isNotNull(), page)).drop("__rendered", "__first", "__again")
+
+
 def scrape(frontier: DataFrame, web: DataFrame, rendered: DataFrame | None = None, selector: str | None = None, llms: bool = True) -> DataFrame:
     """``(url, title, markdown, content_hash, error)``: fetch, render if a shell, extract.
 
     Precedence: a selector wins over llms.txt, that over the page. A selector that meets nothing is an error.
     """
     got = fetch(frontier, web)
-    pages = got.withColumn("html", F.col("body")) if rendered is None else render_fallback(got, rendered)
     if selector:
+        pages = got.withColumn("html", F.col("body")) if rendered is None else render_fallback(got, rendered)
         md = F.when(F.col("error").isNull(), H.extract_selector(F.col("html"), selector))
         pages = pages.withColumn("title", F.lit("")).withColumn("markdown", md)
         missed = F.when(F.col("markdown") == "", F.concat(F.lit("no match for selector in "), F.col("url")))
         pages = pages.withColumn("error", F.coalesce("error", missed))
     else:
-        pages = pages.withColumn("__main", F.when(F.col("error").isNull(), H.extract_main(F.col("url"), F.col("html"))))
-        pages = pages.withColumn("title", F.col("__main.title")).withColumn("markdown", F.col("__main.markdown")).withColumn("error", F.coalesce("error", F.col("__main.error")))
+        bad = F.when(F.coalesce(F.col("url").rlike(r"[\x00-\x1f\x7f]"), F.lit(True)), F.concat(F.lit("invalid url: "), F.coalesce("url", F.lit("None"))))
+        pages = read_pages(got.withColumn("error", F.coalesce("error", bad)), "main", rendered=rendered)
+        pages = pages.withColumn("title", F.when(F.col("error").isNull(), F.col("page.title"))).withColumn("markdown", F.when(F.col("error").isNull(), F.col("page.markdown")))
         found = llms_pages(frontier.select("url").distinct(), web) if llms else frontier.select("url").distinct().withColumn("llms_markdown", F.lit(None).cast("string"))
         pages = pages.join(found, "url", "left")
         hit = F.col("llms_markdown").isNotNull()
