@@ -19,6 +19,7 @@ from webloom.operators.store import PageStore
 from webloom.plans import pages
 from webloom.session import new_path, table
 from webloom.sources import code, docs, inputs, web
+from webloom.streaming import state, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -900,6 +901,89 @@ def install_type(spark, sf):
     return fixture(spark, PLACE_VALUES).select("path", "forced", T.install_type(F.col("path"), forced=F.col("forced")).alias("kind"))
 
 
+# --- streams ----------------------------------------------------------------
+
+
+def _streamed(spark, parts: list[DataFrame], form) -> tuple[str, str]:
+    """Runs a streaming form over parts of a table, the query started anew for each; the paths of its results and its checkpoint."""
+    src, out, checkpoint = (new_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        state.run(form(spark.readStream.schema(part.schema).parquet(src)), out, checkpoint)
+    return out, checkpoint
+
+
+@query("stream_host_state", ORACLES["host_shell_rate"])
+def stream_host_state(spark, sf):
+    """Hosts' counters as the keyed state has them after all pages, in two runs."""
+    p = table(spark, sf, "pages").withColumn("host", U.url_host(F.col("url"))).select("page_id", "url", F.expr(SHELL_OF.format(host="host")).alias("html"))
+    form = lambda df: state.host_states(df.select("url", H.detect_js_shell(H.html_signals(F.col("html")), F.col("html")).alias("js_detection")))
+    _, checkpoint = _streamed(spark, [p.where("page_id % 2 = 0"), p.where("page_id % 2 = 1")], form)
+    kept = state.held(spark, checkpoint, "counts").select("key.host", "value.total", "value.shells")
+    return kept.withColumn("force_render", (F.col("total") >= crawl.HOST_PAGES) & (F.col("shells") / F.col("total") > crawl.HOST_SHARE))
+
+
+CACHE_DAYS = 2
+
+
+@query(
+    "stream_cache_traffic",
+    f"""WITH RECURSIVE e AS (SELECT event_type || user_id AS k, epoch_us(ts) AS t FROM events), w AS (SELECT (max(t) // 1000 - 86400000) * 1000 AS until FROM e),
+d AS (SELECT k, t FROM e, w WHERE t < until), s AS (SELECT DISTINCT k, t FROM d),
+m AS (SELECT k, min(t) AS t FROM s GROUP BY 1 UNION ALL SELECT m.k, min(s.t) FROM m JOIN s ON s.k = m.k AND s.t > m.t + {CACHE_DAYS} * 86400000000 GROUP BY 1)
+SELECT k AS key, t AS "at", 'miss' AS kind FROM m UNION ALL SELECT k, t + {CACHE_DAYS} * 86400000000, 'evict' FROM m, w WHERE t + {CACHE_DAYS} * 86400000000 < until
+UNION ALL SELECT n.k, n.t, 'hit' FROM (SELECT k, t, row_number() OVER (PARTITION BY k, t) AS nth FROM d) n LEFT JOIN m ON m.k = n.k AND m.t = n.t WHERE nth > 1 OR m.k IS NULL""",
+)
+def stream_cache_traffic(spark, sf):
+    """Hits, misses and evictions of a cache that all events ask, a week a run; the last day waits for its watermark."""
+    e = table(spark, sf, "events").select(F.concat("event_type", F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    week = F.floor((F.unix_timestamp("ts") - 1_704_067_200) / (7 * 86400))
+    parts = [e.where(week == k) for k in range(4)] + [e.where(week > 3)]
+    out, _ = _streamed(spark, parts, lambda df: state.cache_traffic(df, CACHE_DAYS * 86400))
+    return spark.read.schema(state.EXPIRY).parquet(out)
+
+
+#: Bytes of a piece of an event stream; results a response.
+PIECE, LIMIT = 1000, 3
+
+
+def _event_bodies(spark, sf):
+    """An event stream a document: each of its lines is a match, every third of another type, half of them in a second event."""
+    d = table(spark, sf, "documents").where("text is not null")
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda x, i: F.struct(
+            F.when(i % 3 == 1, "path").otherwise("content").alias("type"), F.col("source").alias("repository"), F.format_string("d/%d.txt", "doc_id").alias("path"), F.col("lang").alias("language"),
+            i.alias("repoStars"), F.array(F.struct(x.alias("line"), (i + 1).alias("lineNumber"))).alias("lineMatches"),
+        ),
+    )
+    part = lambda k: F.concat(F.lit("data: "), F.to_json(F.filter("lines", lambda x: x["repoStars"] % 2 == k)))
+    text = F.concat_ws("\n", F.lit("event: progress"), F.lit("data: {}"), F.lit("event: matches"), part(0), F.lit(""), part(1), F.lit("event: done"), F.lit("data: []"))
+    return d.withColumn("lines", lines).select(F.col("doc_id").alias("response_id"), text.alias("body"))
+
+
+@query(
+    "stream_code_events",
+    f"""SELECT response_id, (row_number() OVER (PARTITION BY response_id ORDER BY i % 2, i) - 1)::INTEGER AS pos, repo, 'd/' || response_id || '.txt' AS path, (i + 1)::INTEGER AS line, x AS snippet, lang AS language, i::INTEGER AS stars
+FROM (SELECT doc_id AS response_id, source AS repo, lang, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL) WHERE i % 3 <> 1 QUALIFY pos < {LIMIT}""",
+)
+def stream_code_events(spark, sf):
+    """The first results of event streams that come in pieces of PIECE bytes, in two runs."""
+    raw = _event_bodies(spark, sf).withColumn("raw", F.encode("body", "UTF-8")).withColumn("n", F.ceil(F.octet_length("raw") / PIECE))
+    cut = raw.select("response_id", "raw", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("seq"))
+    pieces = cut.select("response_id", "seq", F.substring("raw", (F.col("seq") * PIECE + 1).cast("int"), F.lit(PIECE)).alias("piece"), (F.col("seq") == F.col("n") - 1).alias("last"))
+    out, _ = _streamed(spark, [pieces.where("seq % 2 = 1"), pieces.where("seq % 2 = 0")], lambda df: state.code_events(df, LIMIT, "https://sourcegraph.com"))
+    return spark.read.parquet(out).select("response_id", "pos", "repo", "path", "line", "snippet", "language", "stars")
+
+
+@query("stream_first_visits", f"SELECT DISTINCT {norm_sql('url')} AS url FROM pages")
+def stream_first_visits(spark, sf):
+    """Each normalised url of the pages once, in two runs that share what was visited."""
+    p = table(spark, sf, "pages").select("url", "page_id")
+    out, _ = _streamed(spark, [p.where("page_id % 2 = 0").select("url"), p.select("url")], streams.first_visits)
+    return spark.read.schema("url string").parquet(out).where("url <> ''")
+
+
 @query("rate_limit_message", "SELECT event_id, 'rate limited; resets in ' || (user_id + 1) || 's at ' || strftime(to_timestamp(1700000000 + event_id + user_id + 1) AT TIME ZONE 'UTC', '%H:%M:%S') AS message FROM events")
 def rate_limit_message(spark, sf):
     now = F.lit(1_700_000_000) + F.col("event_id")
