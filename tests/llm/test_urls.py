@@ -50,14 +50,33 @@ def test_templates(spark):
 
 
 def test_rules_teach_the_templates(spark):
-    """Pages that a rule fits are the labels: the blocked branch of a host is a template of its own, siblings without a label are let alone."""
-    rows = [(i, f"http://a.example.com/{'de' if i % 2 else 'en'}/{i}") for i in range(60)] + [(100, "http://a.example.com/*/1"), (101, "http://b.test/x"), (102, "http://b.test/1/2/3/4/5/6/abc/7")]
+    """Pages that a rule fits are the labels; branches that go on alike share them, so a page that no rule fits is blocked by its neighbours."""
+    rows = [(i, f"http://a.example.com/{'de' if i % 2 else 'en'}/{i}") for i in range(60)] + [(100, "http://a.example.com/*/about"), (101, "http://b.test/x"), (102, "http://b.test/1/2/3/4/5/6/abc/7")]
     rows += [(200 + i, f"http://c.example.com/{'/'.join(['d'] * 6)}/{i}.html") for i in range(5)] + [(300, "http://d.test/" + "very/" * 3000 + "long")]
+    rows += [(400 + i, f"http://e.example.com/{x}/{i}") for i, x in enumerate(("de", "en"))] + [(500 + i, f"http://f.org/{x}/{i}") for i, x in enumerate(("fr", "fr", "en"))]
     out = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert (out[1].template, out[1].verdict, out[0].template, out[0].verdict) == ("/de/*", "block", "/en/*", "allow")
-    assert out[1].purity < 0.5 and out[100].template == "/%2A/*" and out[100].verdict == "allow"
+    assert (out[1].template, out[1].verdict, out[0].template, out[0].rule, out[0].verdict) == ("/*/*", "block", "/*/*", None, "block")
+    assert out[1].purity < 0.01 and (out[100].template, out[100].verdict) == ("/%2A/about", "block")
     assert {out[200 + i].template for i in range(5)} == {"/d/d/d/d/d/d/*"} and out[102].template == "/*/*/*/*/*/*/abc/*"
-    assert out[300].verdict == "allow"
+    assert out[400].verdict == "block" and [out[k].verdict for k in (101, 102, 200, 300, 401, 502)] == ["allow"] * 6
+    assert out[502].purity > 0.5 and out[401].purity > urls.PURITY and out[101].purity == 0.5
+
+
+def test_a_good_branch_is_kept_on_a_bad_host(spark):
+    """Labels that differ keep branches apart, and a branch's own good labels outweigh its host."""
+    rows = [(i, f"http://s.example.net/{'en' if i % 5 == 0 else 'xx'}/{i}") for i in range(200)] + [(900, "http://s.example.net/en/more"), (901, "http://s.example.com/xx/1")]
+    out = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (out[0].template, out[1].template) == ("/en/*", "/xx/*") and out[0].purity > 0.8 and out[1].purity < 0.1
+    assert [out[k].verdict for k in (0, 1, 900, 901)] == ["allow", "block", "allow", "allow"]
+
+
+def test_a_third_of_all_paths_under_one_node(spark):
+    """Slugs that no form shows as variables: one node with most children, judged as one branch."""
+    rows = [(i, f"http://big.example.com/article/slug-{chr(97 + i % 26)}{i}x") for i in range(500)] + [(600 + i, f"http://big.example.com/de/{i}") for i in range(9)]
+    rows += [(1000 + i, f"http://h{i}.test/a/b{i}") for i in range(900)]
+    out = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(out) == 1409 and len({out[i].template for i in range(500)}) == 1 and {out[i].verdict for i in range(500)} == {"block"}
+    assert {out[1000 + i].verdict for i in range(900)} == {"allow"}
 
 
 def test_no_hot_key_is_shuffled(spark, monkeypatch):

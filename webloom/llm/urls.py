@@ -14,10 +14,10 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 DEPTH = 4
 #: A branching node with more different children than this, each met less than CROWD times on average, is a variable.
 CHILDREN, CROWD = 8, 3.0
-#: Siblings whose share of bad labels lies within this many standard errors of their parent's are merged.
+#: Siblings whose share of good labels (without labels: of variable children) lies within this many standard errors of their parent's are merged.
 Z = 1.96
-#: Pseudo-counts of the prior: a template leans on its host, a host on all pages. A template below PURITY is rejected.
-PRIOR, PURITY = 4.0, 0.5
+#: Pseudo-counts: a template leans on its host, a host on NEUTRAL. A template below PURITY is rejected; two bad labels of its own (or three of its host) and no good one do that.
+PRIOR, NEUTRAL, PURITY = 4.0, 0.5, 0.3
 WILD, STAR = "*", "%2A"
 
 
@@ -60,16 +60,22 @@ def _segments(path: Column) -> Column:
     return F.concat(F.slice(parts, 1, DEPTH), F.coalesce(tail, F.array().cast("array<string>")))
 
 
+def _near(part: str, whole: str) -> Column:
+    """A child's ``part`` of its ``whole`` lies within Z standard errors of what its parent's share would give."""
+    p = F.try_divide(F.col(f"all_{part}").cast("double"), F.col(f"all_{whole}").cast("double"))
+    return F.abs(F.col(part) - F.col(whole) * p) <= Z * F.sqrt(F.col(whole) * p * (1 - p))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """``(host, shape, n, template, good, labelled, purity)`` for every distinct path shape of every host, written.
 
     ``pages(host, path, q)``, q 1 for good, 0 for bad, null for unknown, are first summed to path shapes, so that a
     host with a third of all pages is as small as its variety. The tree is then walked from the root: at
     each depth the children of a node are one row each; children of a variable node (many children, few pages
-    each) and labelled siblings whose labels don't differ from their parent's go to the wildcard branch, and
-    the next depth counts below the merged branches. A child without labels is not similar to a labelled
-    one; where no child has any, all are alike. Sums are all partial; the driver sees the two totals
-    that the prior is made of.
+    each) and siblings that are alike go to the wildcard branch, and the next depth counts below the merged branches. Labelled
+    siblings are alike if their labels don't differ from their parent's. A child without labels is like its siblings, and
+    shares their labels, if the share of its pages that go on with a variable segment doesn't differ from its parent's; where no child has
+    any labels, all are alike. Sums are all partial; a node with many children is a hot key of joins only, which AQE splits.
     """
     shapes = pages.select("host", _segments(F.col("path")).alias("shape"), "q").groupBy("host", "shape")
     shapes = shapes.agg(F.count("*").alias("n"), F.count("q").alias("labelled"), F.sum(F.when(F.col("q") > 0, 1).otherwise(0)).alias("good"))
@@ -77,20 +83,16 @@ def templates(pages: DataFrame) -> DataFrame:
     for d in range(1, DEPTH + 2):
         seg = F.try_element_at("shape", F.lit(d))
         there = level.withColumn("seg", seg)
-        child = there.where(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-        node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.count_if(F.col("labelled") > 0).alias("told"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"))
-        p = F.try_divide(F.col("all_good").cast("double"), F.col("all_labelled").cast("double"))
-        expect = F.col("labelled") * p
-        error = F.sqrt(F.col("labelled") * p * (1 - p))
+        goes_on = F.when(F.try_element_at("shape", F.lit(d + 1)) == WILD, F.col("n")).otherwise(0)
+        child = there.where(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"), F.sum(goes_on).alias("wild"))
+        node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.count_if(F.col("labelled") > 0).alias("told"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "good", "wild")])
         variable = (F.col("kids") > CHILDREN) & (F.col("all_n") / F.col("kids") < CROWD)
-        alike = F.when(F.col("told") == 0, True).otherwise((F.col("told") > 1) & (F.col("labelled") > 0) & (F.abs(F.col("good") - expect) <= Z * error))
+        alike = F.when(F.col("told") == 0, True).when(F.col("labelled") > 0, _near("good", "labelled")).otherwise(_near("wild", "n"))
         kept = child.join(node, ["host", "template"]).where(~(variable | ((F.col("kids") > 1) & alike))).select("host", "template", "seg", F.lit(True).alias("own"))
         branch = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("own"), F.col("seg")).otherwise(F.lit(WILD))))
         level = materialize(there.join(kept, ["host", "template", "seg"], "left").withColumn("template", branch).drop("seg", "own"), "urls-level")
-    good, labelled = level.agg(F.sum("good"), F.sum("labelled")).first()
-    base = ((good or 0) + 1.0) / ((labelled or 0) + 2.0)
     hosts = level.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("labelled").alias("hl"))
-    hosts = hosts.select("host", ((F.col("hg") + F.lit(PRIOR * base)) / (F.col("hl") + PRIOR)).alias("lean"))
+    hosts = hosts.select("host", ((F.col("hg") + F.lit(PRIOR * NEUTRAL)) / (F.col("hl") + PRIOR)).alias("lean"))
     leaves = level.groupBy("host", "template").agg(F.sum("good").alias("tg"), F.sum("labelled").alias("tl")).join(hosts, "host")
     leaves = leaves.select("host", "template", "tg", "tl", ((F.col("tg") + PRIOR * F.col("lean")) / (F.col("tl") + PRIOR)).alias("purity"))
     out = level.select("host", "shape", "n", "template").join(leaves, ["host", "template"])
@@ -101,10 +103,10 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
     """``(page_id, host, path, rule, verdict, template, purity)``, one row for each row of ``pages``.
 
     A page that a rule fits is labelled by it: block 0, allow 1; ``labels(page_id, quality)``, if given, label the other pages
-    (the least of several). Rules win over templates; a template that holds labelled pages is
-    blocked if its purity is below PURITY, any other is allowed. Null urls and urls without
+    (the least of several). Rules win over templates; a template is blocked if its purity is below
+    PURITY, its own labels and those of its host counted. Null urls and urls without
     ``://`` have an empty host and path and share one template; repeated rows are judged alike;
-    without labelled pages all pass; an empty table gives no row; other columns are ignored.
+    hosts without labelled pages all pass; an empty table gives no row; other columns are ignored.
 
     A shape with a large share of all pages (see :func:`join_counted`) meets its template by a broadcast, so the
     shuffled join has no hot key.
@@ -118,7 +120,7 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
         told = told.join(one, "page_id", "left").withColumn("q", F.coalesce("q", "given"))
     known = templates(told.select("host", "path", "q"))
     out = join_counted(rows.withColumn("shape", _segments(F.col("path"))), known, ["host", "shape"])
-    learned = F.when((F.col("labelled") > 0) & (F.col("purity") < PURITY), F.lit("block")).otherwise(F.lit("allow"))
+    learned = F.when(F.col("purity") < PURITY, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce(action, learned).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
 
 
@@ -142,16 +144,15 @@ def oracle_sql(rules=RULES) -> str:
     ]
     for d in range(1, DEPTH + 2):
         ctes += [
-            f"c{d} AS (SELECT host, template, shape[{d}] AS seg, sum(n) AS n, sum(labelled)::DOUBLE AS labelled, sum(good)::DOUBLE AS good FROM l{d - 1} WHERE shape[{d}] IS NOT NULL GROUP BY 1, 2, 3)",
-            f"n{d} AS (SELECT host, template, count(*) AS kids, count(*) FILTER (labelled > 0) AS told, sum(n)::DOUBLE AS all_n, sum(labelled) AS al, sum(good) AS ag FROM c{d} GROUP BY 1, 2)",
-            f"o{d} AS (SELECT c.host, c.template, c.seg FROM c{d} c JOIN n{d} n ON c.host = n.host AND c.template = n.template WHERE NOT (kids > {CHILDREN} AND all_n / kids < {CROWD}) AND (kids = 1 OR told = 1 OR told > 1 AND (labelled = 0 OR abs(good - labelled * (ag / al)) > {Z} * sqrt(labelled * (ag / al) * (1 - ag / al)))))",
+            f"c{d} AS (SELECT host, template, shape[{d}] AS seg, sum(n)::DOUBLE AS n, sum(labelled)::DOUBLE AS labelled, sum(good)::DOUBLE AS good, sum(CASE WHEN shape[{d + 1}] = '{WILD}' THEN n ELSE 0 END)::DOUBLE AS wild FROM l{d - 1} WHERE shape[{d}] IS NOT NULL GROUP BY 1, 2, 3)",
+            f"n{d} AS (SELECT host, template, count(*) AS kids, count(*) FILTER (labelled > 0) AS told, sum(n) AS an, sum(labelled) AS al, sum(good) AS ag, sum(wild) AS aw FROM c{d} GROUP BY 1, 2)",
+            f"o{d} AS (SELECT c.host, c.template, c.seg FROM c{d} c JOIN n{d} p ON c.host = p.host AND c.template = p.template WHERE NOT (kids > {CHILDREN} AND an / kids < {CROWD}) AND (kids = 1 OR told > 0 AND CASE WHEN labelled > 0 THEN abs(good - labelled * (ag / al)) > {Z} * sqrt(labelled * (ag / al) * (1 - ag / al)) ELSE abs(wild - n * (aw / an)) > {Z} * sqrt(n * (aw / an) * (1 - aw / an)) END))",
             f"l{d} AS (SELECT l.host, l.shape, l.n, l.labelled, l.good, CASE WHEN l.shape[{d}] IS NULL THEN l.template ELSE l.template || '/' || CASE WHEN o.seg IS NOT NULL THEN o.seg ELSE '{WILD}' END END AS template FROM l{d - 1} l LEFT JOIN o{d} o ON l.host = o.host AND l.template = o.template AND l.shape[{d}] = o.seg)",
         ]
     last = f"l{DEPTH + 1}"
     ctes += [
-        f"b AS (SELECT (sum(good) + 1.0)::DOUBLE / (sum(labelled) + 2.0) AS base FROM {last})",
-        f"h AS (SELECT host, (sum(good) + {PRIOR} * max(base)) / (sum(labelled) + {PRIOR}) AS lean FROM {last}, b GROUP BY 1)",
+        f"h AS (SELECT host, (sum(good) + {PRIOR * NEUTRAL})::DOUBLE / (sum(labelled) + {PRIOR}) AS lean FROM {last} GROUP BY 1)",
         f"t AS (SELECT x.host, template, sum(labelled) AS tl, (sum(good) + {PRIOR} * max(lean)) / (sum(labelled) + {PRIOR}) AS purity FROM {last} x JOIN h ON x.host = h.host GROUP BY 1, 2)",
         f"j AS (SELECT k.page_id, k.host, k.path, k.rule, k.said, x.template, t.tl, t.purity FROM k JOIN {last} x ON k.host = x.host AND k.shape = x.shape JOIN t ON t.host = x.host AND t.template = x.template)",
     ]
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, host, path, rule, coalesce(said, CASE WHEN tl > 0 AND purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity FROM j"
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity FROM j"
