@@ -8,7 +8,7 @@ import pytest
 from webloom.catalog import ORACLES, QUERIES, flagship
 
 BASE = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark", "labels", "events", "conversations")
+TABLES = ("documents", "pages", "benchmark", "labels", "events", "conversations", "customer")
 
 
 def rows(columns, data):

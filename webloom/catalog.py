@@ -1,6 +1,7 @@
 """The registered queries of the acquisition operators, and their SQL for DuckDB.
 
-Small fixtures are SQL ``VALUES`` that both engines read; everything else runs over whole tables.
+Every query runs over whole tables. Payloads of backends, sitemaps and odd urls are made of a table's rows by the query; its SQL
+says what must come of them and never reads the payload.
 """
 
 from __future__ import annotations
@@ -56,6 +57,11 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
 
 
+def pick(by: str, cells: list[str]) -> str:
+    """One of the SQL expressions by the remainder of ``by``, in both dialects."""
+    return f"CASE {by} % {len(cells)} " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cells)) + " END"
+
+
 # --- urls -----------------------------------------------------------------
 
 
@@ -76,25 +82,25 @@ def url_normalize(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.normalize_url(F.col("url")).alias("normalized"))
 
 
+#: Urls with all that normalisation is about, a kind a page, and what is left of them.
 EDGE = [
-    ("http://docs.test/guide#install", "http://docs.test/guide"),
-    ("http://docs.test/guide/?utm_campaign=x#top", "http://docs.test/guide"),
-    ("http://docs.test?utm_term=a&utm_content=b", "http://docs.test"),
-    ("http://docs.test/s?z=1&utm_id=7&a=2&m=", "http://docs.test/s?a=2&m=&z=1"),
-    ("http://docs.test/q?utmost=1", "http://docs.test/q?utmost=1"),
-    ("", ""),
-    ("HTTPS://Shop.test:8080/a//?b=2&a=1&b=1", "https://Shop.test:8080/a//?a=1&b=2&b=1"),
-    ("https://shop.test/a?x=a%20b~*&y", "https://shop.test/a?x=a+b~%2A&y="),
-    ("https://shop.test/%zz", ""),
-    ("https://shop.test/a?", "https://shop.test/a?"),
-    ("https://shop.test/a?b;c=1&d=%zz&e=1", "https://shop.test/a?e=1"),
+    ("'http://docs.test/g' || page_id || '#install'", "'http://docs.test/g' || page_id"),
+    ("'http://docs.test/g' || page_id || '/?utm_campaign=x#top'", "'http://docs.test/g' || page_id"),
+    ("'http://docs' || page_id || '.test?utm_term=a&utm_content=b'", "'http://docs' || page_id || '.test'"),
+    ("'http://docs.test/s?z=' || page_id || '&utm_id=7&a=2&m='", "'http://docs.test/s?a=2&m=&z=' || page_id"),
+    ("'http://docs.test/q?utmost=' || page_id", "'http://docs.test/q?utmost=' || page_id"),
+    ("'HTTPS://Shop' || page_id || '.test:8080/a//?b=2&a=1&b=1'", "'https://Shop' || page_id || '.test:8080/a//?a=1&b=2&b=1'"),
+    ("'https://shop.test/a?x=a%20b~*&y' || page_id", "'https://shop.test/a?x=a+b~%2A&y' || page_id || '='"),
+    ("'https://shop.test/%zz' || page_id", "''"),
+    ("'https://shop.test/' || page_id || '?'", "'https://shop.test/' || page_id || '?'"),
+    ("'https://shop.test/a?b;c=1&d=%zz&e=' || page_id", "'https://shop.test/a?e=' || page_id"),
 ]
-EDGE_VALUES = values(EDGE, "input, want")
 
 
-@query("url_normalize_edge", f"SELECT input, want AS normalized FROM {EDGE_VALUES}")
+@query("url_normalize_edge", f"SELECT page_id, {pick('page_id', [w for _, w in EDGE])} AS normalized FROM pages")
 def url_normalize_edge(spark, sf):
-    return fixture(spark, EDGE_VALUES).select("input", U.normalize_url(F.col("input")).alias("normalized"))
+    u = F.expr(pick("page_id", [u for u, _ in EDGE]))
+    return table(spark, sf, "pages").select("page_id", U.normalize_url(u).alias("normalized"))
 
 
 @query("url_host_rollup", f"SELECT {HOST_SQL.format(u='url')} AS host, count(*)::BIGINT AS pages, count(DISTINCT {norm_sql('url')})::BIGINT AS urls FROM pages GROUP BY 1")
@@ -147,29 +153,25 @@ def url_dedupe(spark, sf):
     return crawl.new_links(p.select("url").unionByName(again), visited)
 
 
-BARE = [
-    ("https://example.com", True, "https://example.com/llms.txt"), ("https://example.com/", True, "https://example.com/llms.txt"), ("http://a.b:8080/?q=1", True, "http://a.b:8080/llms.txt"),
-    ("https://example.com/docs", False, "https://example.com/llms.txt"), ("https://example.com//", False, "https://example.com/llms.txt"),
-]
-BARE_VALUES = values(BARE, "url, bare, llms")
+BARE = [("'https://e' || page_id || '.test'", True), ("'https://e' || page_id || '.test/'", True), ("'http://e' || page_id || '.test:8080/?q=1'", True), ("'https://e' || page_id || '.test/docs'", False), ("'https://e' || page_id || '.test//'", False)]
 
 
-@query("url_bare_domain_llms", f"SELECT url, bare, llms FROM {BARE_VALUES}")
+@query(
+    "url_bare_domain_llms",
+    f"SELECT page_id, {pick('page_id', [str(b).lower() for _, b in BARE])} AS bare, CASE WHEN page_id % 5 = 2 THEN 'http://e' || page_id || '.test:8080/llms.txt' ELSE 'https://e' || page_id || '.test/llms.txt' END AS llms FROM pages",
+)
 def url_bare_domain_llms(spark, sf):
-    u = F.col("url")
-    return fixture(spark, BARE_VALUES).select("url", U.is_bare_domain(u).alias("bare"), U.llms_url(u).alias("llms"))
+    u = F.expr(pick("page_id", [u for u, _ in BARE]))
+    return table(spark, sf, "pages").select("page_id", U.is_bare_domain(u).alias("bare"), U.llms_url(u).alias("llms"))
 
 
-DDG = [
-    ("//duckduckgo.com/l/?uddg=https%3A%2F%2Fexample.com%2Fa%3Fb%3Dc&rut=x", "https://example.com/a?b=c"), ("https://example.com/direct", "https://example.com/direct"),
-    ("//duckduckgo.com/l/?uddg=&x=1", "//duckduckgo.com/l/?uddg=&x=1"), ("//duckduckgo.com/l/?x=1&uddg=http%3A%2F%2Fa.b%2F", "http://a.b/"),
-]
-DDG_VALUES = values(DDG, "href, want")
+#: Result links of a page: wrapped in two ways, plain, and wrapped around nothing.
+WRAPPED = ["'//duckduckgo.com/l/?uddg=' || url_encode(url) || '&rut=x'", "url", "'//duckduckgo.com/l/?uddg=&x=' || page_id", "'//duckduckgo.com/l/?x=1&uddg=' || url_encode(url)"]
 
 
-@query("ddg_unwrap", f"SELECT href, want AS url FROM {DDG_VALUES}")
+@query("ddg_unwrap", f"SELECT page_id, CASE WHEN page_id % 4 = 2 THEN '//duckduckgo.com/l/?uddg=&x=' || page_id ELSE url END AS url FROM pages")
 def ddg_unwrap(spark, sf):
-    return fixture(spark, DDG_VALUES).select("href", U.unwrap_redirect(F.col("href")).alias("url"))
+    return table(spark, sf, "pages").select("page_id", U.unwrap_redirect(F.expr(pick("page_id", WRAPPED))).alias("url"))
 
 
 @query("query_escape", "SELECT doc_id, replace(url_encode(text), '%20', '+') AS escaped FROM documents")
@@ -240,29 +242,31 @@ def html_script_ratio(spark, sf):
 
 
 _P = "<p>" + "Plain words of a page that says enough to be read without any script at all. " * 3 + "</p>"
+#: Bodies of pages and how they are told: label, framework marker, application shell, asks for JavaScript.
 SHELLS = [
-    ("content", f"<html><body><article>{_P}</article></body></html>", "static", False, False, False),
-    ("noscript", '<html><body><noscript>You need to enable JavaScript to run this app.</noscript><div id="app"></div></body></html>', "likely_shell", False, True, True),
-    ("spa", '<html><body><div id="__next"></div><script>window.__NEXT_DATA__={}</script></body></html>', "likely_shell", True, False, False),
-    ("short", "<html><body><p>Hello.</p></body></html>", "ambiguous", False, False, False),
-    ("loading", f"<html><body><p>Loading the editor now. Please ensure JavaScript is on.</p>{_P}</body></html>", "likely_shell", False, False, True),
-    ("rendered", f'<html><body><div id="__next"><main>{_P}</main></div></body></html>', "static", True, False, False),
-    ("blocks", "<html><body><ul><li>one item of some length</li><li>two item of some length</li><li>three items of that length</li></ul><div id='app'></div></body></html>", "ambiguous", False, True, False),
-    ("scripts", "<html><body><p>Hi there</p><script>" + "x=1;" * 40 + "</script></body></html>", "likely_shell", False, False, False),
+    (f"<article>{_P}</article>", "static", False, False, False),
+    ('<noscript>You need to enable JavaScript to run this app.</noscript><div id="app"></div>', "likely_shell", False, True, True),
+    ('<div id="__next"></div><script>window.__NEXT_DATA__={}</script>', "likely_shell", True, False, False),
+    ("<p>Hello.</p>", "ambiguous", False, False, False),
+    (f"<p>Loading the editor now. Please ensure JavaScript is on.</p>{_P}", "likely_shell", False, False, True),
+    (f'<div id="__next"><main>{_P}</main></div>', "static", True, False, False),
+    ("<ul><li>one item of some length</li><li>two item of some length</li><li>three items of that length</li></ul><div id='app'></div>", "ambiguous", False, True, False),
+    ("<p>Hi there</p><script>" + "x=1;" * 40 + "</script>", "likely_shell", False, False, False),
 ]
-SHELL_VALUES = values(SHELLS, "name, html, label, spa, app, js")
+#: Every page under its own title with such a body.
+SHELL_PAGE = f"'<html><head><title>' || regexp_extract(html, '<title>([^<]*)', 1) || '</title></head><body>' || {pick('page_id', [sql_text(b) for b, *_ in SHELLS])} || '</body></html>'"
 
 
-@query("js_detect_signals", f"SELECT name, spa, app, js FROM {SHELL_VALUES}")
+@query("js_detect_signals", f"SELECT page_id, {', '.join(f'{pick("page_id", [str(x[k]).lower() for x in SHELLS])} AS {c}' for k, c in ((2, 'spa'), (3, 'app'), (4, 'js')))} FROM pages")
 def js_detect_signals(spark, sf):
-    h = F.col("html")
-    return fixture(spark, SHELL_VALUES).select("name", H.has_spa_marker(h).alias("spa"), H.has_app_shell_marker(h).alias("app"), H.requires_javascript(h).alias("js"))
+    h = F.expr(SHELL_PAGE)
+    return table(spark, sf, "pages").select("page_id", H.has_spa_marker(h).alias("spa"), H.has_app_shell_marker(h).alias("app"), H.requires_javascript(h).alias("js"))
 
 
-@query("js_detect_label", f"SELECT name, label FROM {SHELL_VALUES}")
+@query("js_detect_label", f"SELECT page_id, {pick('page_id', [sql_text(x[1]) for x in SHELLS])} AS label FROM pages")
 def js_detect_label(spark, sf):
-    s = fixture(spark, SHELL_VALUES).withColumn("s", H.html_signals(F.col("html")))
-    return s.select("name", H.detect_js_shell(F.col("s"), F.col("html")).alias("label"))
+    h = table(spark, sf, "pages").select("page_id", F.expr(SHELL_PAGE).alias("html")).withColumn("s", H.html_signals(F.col("html")))
+    return h.select("page_id", H.detect_js_shell(F.col("s"), F.col("html")).alias("label"))
 
 
 @query(
@@ -331,12 +335,14 @@ STRIP = [
     ("**bold**", "bold"), ("a **b** c **d**", "a b c d"), ("*it* and _al_", "it and al"), ("`x`", "x"), ("[t](http://u)", "t"), ("![alt](src) z", " z"), ("# H", "H"), ("### H **b**", "H b"),
     ("* item * more", "* item * more"), ("- *x* y", "- x y"), ("```\n**keep** _me_\n```\n**b**", "```\n**keep** _me_\n```\nb"), ("**_n_**", "n"), ("snake_case_name", "snakecasename"), ("`a` ```x\n*y*``` `b` ```z``` *c", "a ```x\n*y*``` b ```z``` *c"), ("__u__ ![i](j)[k](l)", "u k"),
 ]
-STRIP_VALUES = values(STRIP, "s, want")
+#: The first plain word of a document.
+WORD = "coalesce(nullif(regexp_extract(text, '[a-z]{3,}', 0), ''), 'none')"
 
 
-@query("strip_markdown_cases", f"SELECT s, want AS stripped FROM {STRIP_VALUES}")
+@query("strip_markdown_cases", f"SELECT doc_id, {pick('doc_id', [sql_text(w) for _, w in STRIP])} || chr(10) || {WORD} AS stripped FROM documents")
 def strip_markdown_cases(spark, sf):
-    return fixture(spark, STRIP_VALUES).select("s", T.strip_markdown(F.col("s")).alias("stripped"))
+    marked = F.expr(f"{pick('doc_id', [sql_text(s) for s, _ in STRIP])} || chr(10) || {WORD}")
+    return table(spark, sf, "documents").select("doc_id", T.strip_markdown(marked).alias("stripped"))
 
 
 GO_NOT_SPACE = r"[^\s\x0b\x{85}\p{Z}]+"
@@ -397,15 +403,16 @@ def format_bytes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.format_bytes(F.col("n_chars") * (1 + F.col("doc_id") % 3 * 300)).alias("size"))
 
 
-VERSIONS = [
-    ("v1.2.3", "1.2.4", -1), ("1.10.0", "v1.9.9", 1), ("v1.0.0", "1.0.0", 0), ("dev", "1.0.0", 0), ("1.2.3-rc1", "1.2.3", 0), ("1.2", "1.2.3", 0), ("2.0.0+x", "1.9.9", 1), ("a.b.c", "1.2.3", 0), (" v0.9.1 ", "0.10.0", -1),
-]
-VERSION_VALUES = values(VERSIONS, "a, b, want")
-
-
-@query("version_compare", f"SELECT a, b, want AS cmp FROM {VERSION_VALUES}")
+@query(
+    "version_compare",
+    """SELECT event_id, CASE WHEN event_id % 6 = 0 OR event_id % 11 = 0 THEN 0 WHEN x < y THEN -1 WHEN x > y THEN 1 ELSE 0 END::INTEGER AS cmp
+FROM (SELECT event_id, [event_id % 3, user_id % 4, event_id % 5] AS x, [event_id % 2, user_id % 12, event_id % 7] AS y FROM events)""",
+)
 def version_compare(spark, sf):
-    return fixture(spark, VERSION_VALUES).select("a", "b", T.compare_versions(F.col("a"), F.col("b")).alias("cmp"))
+    """Releases with and without ``v``, blanks, suffixes; every sixth isn't a version, every eleventh has two parts."""
+    a = F.expr("CASE WHEN event_id % 6 = 0 THEN 'dev' ELSE ' v' || event_id % 3 || '.' || user_id % 4 || '.' || event_id % 5 || CASE WHEN user_id % 2 = 0 THEN '-rc' || user_id ELSE ' ' END END")
+    b = F.expr("CASE WHEN event_id % 11 = 0 THEN '1.' || user_id ELSE event_id % 2 || '.' || user_id % 12 || '.' || event_id % 7 || CASE WHEN user_id % 3 = 0 THEN '+b.1' ELSE '' END END")
+    return table(spark, sf, "events").select("event_id", T.compare_versions(a, b).alias("cmp"))
 
 
 @query(
@@ -600,9 +607,26 @@ def crawl_sitemap(spark, sf):
     return crawl.crawl_sitemap(spark, f"{SITE}/sitemap.xml", maps.unionByName(pages), depth=2).select("url", "depth", "source")
 
 
-@query("sitemap_urls", f"SELECT unnest(['{SITE}/p/3', '{SITE}/p/4/', 'http://other.test/x']) AS url")
+#: Urls of a sitemap, and sitemaps of an index.
+IN_MAP = 1000
+
+
+@query("sitemap_urls", "SELECT url FROM pages")
 def sitemap_urls(spark, sf):
-    return crawl.expand_sitemap(fixture(spark, MAP_VALUES), f"{SITE}/sitemap.xml")
+    """All pages by sitemaps of a thousand, under indexes of a thousand, under one index; one child of each index is gone."""
+    text = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    entry = F.concat(F.lit("<url><loc>"), text, F.lit("</loc><priority>1</priority></url>"))
+    part = F.expr(f"page_id div {IN_MAP}")
+    maps = table(spark, sf, "pages").groupBy(part.alias("k")).agg(F.array_join(F.collect_list(entry), "").alias("x"))
+    body = lambda root: F.concat(F.lit(f"<?xml version='1.0'?><{root}>"), "x", F.lit(f"</{root}>"))
+    child = lambda tag: F.concat(F.lit(f"<sitemap><loc>{SITE}/{tag}"), F.col("k").cast("string"), F.lit(".xml</loc></sitemap>"))
+    gone = F.lit(f"<sitemap><loc>{SITE}/gone.xml</loc></sitemap>")
+    some = maps.groupBy(F.expr(f"k div {IN_MAP}").alias("j")).agg(F.array_join(F.collect_list(child("m")), "").alias("x")).select(F.col("j").alias("k"), F.concat("x", gone).alias("x"))
+    top = some.groupBy(F.lit(0).alias("j")).agg(F.array_join(F.collect_list(child("i")), "").alias("x"))
+    named = lambda df, name, root: df.select(F.concat(F.lit(f"{SITE}/"), name, F.lit(".xml")).alias("url"), F.lit(200).alias("status"), body(root).alias("body"))
+    k = F.col("k").cast("string")
+    snapshot = named(maps, F.concat(F.lit("m"), k), "urlset").unionByName(named(some, F.concat(F.lit("i"), k), "sitemapindex")).unionByName(named(top, F.lit("sitemap"), "sitemapindex"))
+    return crawl.expand_sitemap(snapshot, f"{SITE}/sitemap.xml")
 
 
 @query(
@@ -626,11 +650,14 @@ def fetch_conditional(spark, sf):
     return fetch.fetch_conditional(asked, snapshot).select("url", "not_modified", F.octet_length("body").cast("long").alias("bytes"))
 
 
-@query("render_fallback", f"SELECT name, CASE WHEN label = 'likely_shell' AND name <> 'scripts' THEN '<p>rendered ' || name || '</p>' ELSE html END AS html, label AS js_detection FROM {SHELL_VALUES}")
+@query(
+    "render_fallback",
+    f"SELECT page_id, CASE WHEN label = 'likely_shell' AND page_id % 8 <> 7 THEN '<p>rendered ' || page_id || '</p>' ELSE page END AS html, label AS js_detection FROM (SELECT page_id, {SHELL_PAGE} AS page, {pick('page_id', [sql_text(x[1]) for x in SHELLS])} AS label FROM pages)",
+)
 def render_fallback(spark, sf):
-    p = fixture(spark, SHELL_VALUES).select("name", F.col("name").alias("url"), F.col("html").alias("body"))
-    rendered = p.where("name <> 'scripts'").select("url", F.concat(F.lit("<p>rendered "), "name", F.lit("</p>")).alias("html"))
-    return fetch.render_fallback(p, rendered).select("name", "html", "js_detection")
+    p = table(spark, sf, "pages").select("page_id", F.format_string("%d", "page_id").alias("url"), F.expr(SHELL_PAGE).alias("body"))
+    rendered = p.where("page_id % 8 <> 7").select("url", F.concat(F.lit("<p>rendered "), "url", F.lit("</p>")).alias("html"))
+    return fetch.render_fallback(p, rendered).select("page_id", "html", "js_detection")
 
 
 @query(
@@ -650,25 +677,35 @@ def render_forced_hosts(spark, sf):
     return got.select("page_id", F.when(F.startswith("html", F.lit("rendered")), F.col("html")).otherwise(F.substring("html", 1, 20)).alias("html"))
 
 
-LLMS = [
-    ("https://a.test", 200, "text/html", "<p>page a</p>"), ("https://a.test/llms.txt", 200, "text/plain; charset=utf-8", "# a for machines"),
-    ("https://b.test/", 200, "text/html", "<p>page b</p>"), ("https://b.test/llms.txt", 200, "text/html", "<p>not plain</p>"), ("https://c.test/x", 200, "text/html", "<h1>c</h1>"), ("https://d.test/", 500, "text/html", ""),
-]
-LLMS_VALUES = values(LLMS, "url, status, content_type, body")
-LLMS_WANT = values([("https://a.test", "llms.txt", "# a for machines", None), ("https://b.test/", "", "page b", None), ("https://c.test/x", "", "# c", None), ("https://d.test/", None, None, "HTTP 500 for https://d.test/")], "url, title, markdown, error")
+#: A site a page: with an llms.txt, with one that is no plain text, asked for a deep page, and out of order.
+LLMS_URL = pick("page_id", ["'https://a' || page_id || '.test'", "'https://a' || page_id || '.test/'", "'https://a' || page_id || '.test/x'", "'https://a' || page_id || '.test/'"])
+LLMS_PAGE = pick("page_id", ["'<p>page ' || page_id || '</p>'", "'<p>page ' || page_id || '</p>'", "'<h1>head ' || page_id || '</h1>'", "''"])
+
+
+def _llms(spark, sf) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf, "pages")
+    site = p.select(F.expr(LLMS_URL).alias("url"), F.expr("CASE WHEN page_id % 4 = 3 THEN 500 ELSE 200 END").alias("status"), F.lit("text/html").alias("content_type"), F.expr(LLMS_PAGE).alias("body"))
+    kind = F.expr("CASE WHEN page_id % 4 = 1 THEN 'text/html' ELSE 'text/plain; charset=utf-8' END")
+    text = p.where("page_id % 4 < 3").select(F.expr("'https://a' || page_id || '.test/llms.txt'").alias("url"), F.lit(200).alias("status"), kind.alias("content_type"), F.expr("'# ' || page_id || ' for machines'").alias("body"))
+    return site.select("url"), site.unionByName(text)
 
 
-@query("scrape_llms", f"SELECT * FROM {LLMS_WANT}")
+@query(
+    "scrape_llms",
+    f"SELECT {LLMS_URL} AS url, {pick('page_id', [sql_text('llms.txt'), sql_text(''), sql_text(''), 'NULL'])} AS title, {pick('page_id', ["'# ' || page_id || ' for machines'", "'page ' || page_id", "'# head ' || page_id", 'NULL'])} AS markdown, CASE WHEN page_id % 4 = 3 THEN 'HTTP 500 for ' || {LLMS_URL} END AS error FROM pages",
+)
 def scrape_llms(spark, sf):
-    snapshot = fixture(spark, LLMS_VALUES)
-    asked = snapshot.where("url not like '%llms.txt'").select("url")
+    asked, snapshot = _llms(spark, sf)
     return fetch.scrape(asked, snapshot).select("url", "title", "markdown", "error")
 
 
-@query("scrape_selector", "SELECT * FROM " + values([("https://a.test", "page a", None), ("https://c.test/x", "", "no match for selector in https://c.test/x")], "url, markdown, error"))
+@query(
+    "scrape_selector",
+    f"SELECT {LLMS_URL} AS url, {pick('page_id', ["'page ' || page_id", "'page ' || page_id", "''", 'NULL'])} AS markdown, CASE page_id % 4 WHEN 2 THEN 'no match for selector in ' || {LLMS_URL} WHEN 3 THEN 'HTTP 500 for ' || {LLMS_URL} END AS error FROM pages",
+)
 def scrape_selector(spark, sf):
-    snapshot = fixture(spark, LLMS_VALUES)
-    return fetch.scrape(snapshot.where("url in ('https://a.test', 'https://c.test/x')").select("url"), snapshot, selector="p").select("url", "markdown", "error")
+    asked, snapshot = _llms(spark, sf)
+    return fetch.scrape(asked, snapshot, selector="p").select("url", "markdown", "error")
 
 
 # --- search ---------------------------------------------------------------
@@ -692,31 +729,40 @@ def search_json_topk(spark, sf):
     return out
 
 
-DDG_PAGE = (
-    "<html><body><div class='result web'><h2 class='result__title'><a class='result__a' href='//duckduckgo.com/l/?uddg=https%3A%2F%2Fone.test%2F'>One &amp; only</a></h2><a class='result__snippet'>First snippet</a></div>"
-    "<div class='result'><h2 class='result__title'><a class='result__a' href=''>No link</a></h2></div>"
-    "<div class='result'><h2 class='result__title'><a class='result__a' href='https://two.test/x'>Two</a></h2></div>"
-    "<div class='result'><h2 class='result__title'><a class='result__a' href='https://three.test/'>Three</a></h2><div class='result__snippet'>Third</div></div></body></html>"
+#: A hit of a result page: with a wrapped link, without a link, with a plain one and no snippet.
+HIT = pick(
+    "page_id",
+    [
+        "'<div class=\"result web\"><h2 class=\"result__title\"><a class=\"result__a\" href=\"//duckduckgo.com/l/?uddg=' || url_encode(url) || '\">Page ' || page_id || ' &amp; more</a></h2><a class=\"result__snippet\">About ' || page_id || '</a></div>'",
+        "'<div class=\"result\"><h2 class=\"result__title\"><a class=\"result__a\" href=\"\">Page ' || page_id || '</a></h2></div>'",
+        "'<div class=\"result\"><h2 class=\"result__title\"><a class=\"result__a\" href=\"https://plain.test/' || page_id || '\">Page ' || page_id || '</a></h2></div>'",
+    ],
 )
-DDG_PAYLOAD = values([(1, DDG_PAGE), (2, "<p>nothing</p>")], "query_id, body")
-DDG_WANT = values([(1, 0, "One & only", "https://one.test/", "First snippet"), (1, 1, "Two", "https://two.test/x", "")], "query_id, pos, title, url, description")
 
 
-@query("search_html_results", f"SELECT * FROM {DDG_WANT}")
+@query(
+    "search_html_results",
+    """SELECT query_id, pos::INTEGER AS pos, title, url, description FROM (SELECT page_id // 10 AS query_id, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS pos, 'Page ' || page_id || CASE page_id % 3 WHEN 0 THEN ' & more' ELSE '' END AS title,
+CASE page_id % 3 WHEN 0 THEN url ELSE 'https://plain.test/' || page_id END AS url, CASE page_id % 3 WHEN 0 THEN 'About ' || page_id ELSE '' END AS description FROM pages WHERE page_id % 3 <> 1) WHERE pos < 5""",
+)
 def search_html_results(spark, sf):
-    return web.web_results(fixture(spark, DDG_PAYLOAD), "ddg", 2)
+    """Result pages of ten hits."""
+    hits = F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.expr(HIT).alias("h")))), lambda x: x["h"])
+    body = F.concat(F.lit("<html><body>"), F.array_join(hits, ""), F.lit("</body></html>"))
+    return web.web_results(table(spark, sf, "pages").groupBy(F.expr("page_id div 10").alias("query_id")).agg(body.alias("body")), "ddg", 5)
 
 
-TRIES = [
-    (1, 1, 202, "wait"), (1, 2, 202, "wait"), (1, 3, 200, "ok1"), (2, 1, 200, "ok2"), (3, 1, 500, "bad"), (3, 2, 200, "late"), (4, 1, 202, "w"), (4, 2, 202, "w"), (4, 3, 202, "w"), (4, 4, 200, "too late"),
-]
-TRY_VALUES = values(TRIES, "request_id, attempt, status, body")
-TRY_WANT = values([(1, 3, 200, "ok1", None), (2, 1, 200, "ok2", None), (3, 1, 500, None, "search returned status 500"), (4, 3, 202, None, "search returned status 202")], "request_id, attempt, status, body, error")
-
-
-@query("search_retry", f"SELECT * FROM {TRY_WANT}")
+@query(
+    "search_retry",
+    """SELECT request_id, attempt::INTEGER AS attempt, status, CASE WHEN status = 200 THEN event_type END AS body, CASE WHEN status <> 200 THEN 'search returned status ' || status END AS error
+FROM (SELECT event_id // 4 AS request_id, event_id % 4 + 1 AS attempt, CASE user_id % 5 WHEN 3 THEN 200 WHEN 4 THEN 500 ELSE 202 END AS status, event_type FROM events)
+WHERE attempt <= 3 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY status = 202, CASE WHEN status = 202 THEN -attempt ELSE attempt END) = 1""",
+)
 def search_retry(spark, sf):
-    return web.settle_attempts(fixture(spark, TRY_VALUES))
+    """Four answers a request, as events have them; the fourth is never asked for."""
+    status = F.expr("CASE user_id % 5 WHEN 3 THEN 200 WHEN 4 THEN 500 ELSE 202 END")
+    tries = table(spark, sf, "events").select(F.expr("event_id div 4").alias("request_id"), (F.col("event_id") % 4 + 1).cast("int").alias("attempt"), status.alias("status"), F.col("event_type").alias("body"))
+    return web.settle_attempts(tries)
 
 
 def _searched(spark, sf, keep: bool):
@@ -739,73 +785,94 @@ def search_scrape_inner(spark, sf):
     return _searched(spark, sf, False)
 
 
-def _match(repo: str, kind: str = "content", lines: str = '[{"line":"x := 1","lineNumber":7},{"line":"y","lineNumber":9}]') -> str:
-    return f'{{"type":"{kind}","repository":"{repo}","path":"a/b.go","language":"Go","repoStars":5,"lineMatches":{lines}}}'
+#: Results that are asked for of an event stream of a document, see _event_bodies.
+LIMIT = 3
+EVENTS_SQL = f"""SELECT response_id, (row_number() OVER (PARTITION BY response_id ORDER BY i % 2, i) - 1)::INTEGER AS pos, repo, 'd/' || response_id || '.txt' AS path, (i + 1)::INTEGER AS line, x AS snippet, lang AS language, i::INTEGER AS stars
+FROM (SELECT doc_id AS response_id, source AS repo, lang, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL) WHERE i % 3 <> 1 QUALIFY pos < {LIMIT}"""
 
 
-SSE = f"event: progress\ndata: [{_match('skip')}]\n\nevent: matches\ndata: [{_match('r1')},{_match('r2', 'path')},{_match('r3', lines='[]')}]\ndata: not json\n\ndata: [{_match('r4')}]\nevent: done\ndata: [{_match('r5')}]\nevent:matches\ndata:[{_match('r6')},{_match('r7')}]"
-SSE_VALUES = values([(1, SSE), (2, "event: matches"), (3, SSE.replace("r1", "q1"))], "response_id, body")
-SSE_WANT = values(
-    [(i, k, r, "a/b.go", 7, "x := 1", "Go", 5, f"https://sourcegraph.com/{r}/-/blob/a/b.go#L7", "sourcegraph") for i, rs in ((1, ("r1", "r4", "r6")), (3, ("q1", "r4", "r6"))) for k, r in enumerate(rs)],
-    "response_id, pos, repo, path, line, snippet, language, stars, url, source",
-)
-
-
-@query("code_sse_parse", f"SELECT * FROM {SSE_WANT}")
+@query("code_sse_parse", f"SELECT *, 'https://sourcegraph.com/' || repo || '/-/blob/' || path || '#L' || line AS url, 'sourcegraph' AS source FROM ({EVENTS_SQL})")
 def code_sse_parse(spark, sf):
-    return code.code_results(fixture(spark, SSE_VALUES), "sourcegraph", 3)
-
+    return code.code_results(_event_bodies(spark, sf), "sourcegraph", LIMIT)
 
-def _item(repo: str, node: str, fragment: str | None, at: int | None) -> str:
-    m = "" if fragment is None else f',"text_matches":[{{"fragment":"{fragment}","matches":[{f"{{~indices~:[{at}]}}".replace("~", chr(34)) if at is not None else ""}]}}]'
-    return f'{{"path":"p.go","html_url":"http://h/{repo}","repository":{{"full_name":"{repo}","node_id":"{node}"}}{m}}}'
 
-
-GITHUB = '{"items":[' + ",".join([_item("a/one", "N1", "first|  second hit |third".replace("|", "\\n"), 9), _item("b/two", "N2", " | only ".replace("|", "\\n"), None), _item("c/three", "N1", None, None), _item("d/four", "N4", "x", 0)]) + "]}"
-GITHUB_ROWS = [("a/one", "second hit", 11), ("b/two", "only", 0), ("c/three", "", 11)]
-STARS_VALUES = values([("N1", 11), ("N9", 3)], "node_id, stars")
-GITHUB_WANT = values([(1, k, r, "p.go", 0, s, "", n, f"http://h/{r}", "github") for k, (r, s, n) in enumerate(GITHUB_ROWS)], "response_id, pos, repo, path, line, snippet, language, stars, url, source")
+def _items(spark, sf):
+    """Answers of five items, an item a document: with a matched fragment, with one that tells no place, without any."""
+    d = table(spark, sf, "documents")
+    fragment = F.struct(
+        F.substring("text", 1, 60).alias("fragment"),
+        F.when(F.col("doc_id") % 5 != 1, F.array(F.struct(F.array(F.lit(5)).alias("indices")))).alias("matches"),
+    )
+    item = F.struct(
+        F.format_string("d/%d", "doc_id").alias("path"), F.format_string("http://h/%d", "doc_id").alias("html_url"),
+        F.struct(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("full_name"), F.concat(F.lit("N"), (F.col("doc_id") % 7).cast("string")).alias("node_id")).alias("repository"),
+        F.when(F.col("doc_id") % 5 != 2, F.array(fragment)).alias("text_matches"),
+    )
+    items = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.to_json(item).alias("i")))), lambda x: x["i"])
+    return d.groupBy(F.expr("doc_id div 5").alias("response_id")).agg(F.concat(F.lit('{"items":['), F.array_join(items, ","), F.lit("]}")).alias("body"))
 
 
-@query("code_github_stars", f"SELECT * FROM {GITHUB_WANT}")
+@query(
+    "code_github_stars",
+    f"""SELECT response_id, pos::INTEGER AS pos, repo, path, 0 AS line, snippet, '' AS language, stars::INTEGER AS stars, url, 'github' AS source FROM (
+SELECT doc_id // 5 AS response_id, row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) - 1 AS pos, source || '/' || doc_id AS repo, 'd/' || doc_id AS path,
+CASE doc_id % 5 WHEN 2 THEN '' WHEN 1 THEN {FIRST_SQL.format(t='f')} ELSE CASE WHEN length(f) > 5 THEN trim(regexp_extract(substr(f, 1, 5), '[^' || chr(10) || ']*$') || regexp_extract(substr(f, 6), '^[^' || chr(10) || ']*')) ELSE {FIRST_SQL.format(t='f')} END END AS snippet,
+CASE WHEN doc_id % 7 < 5 THEN doc_id % 7 * 10 ELSE 0 END AS stars, 'http://h/' || doc_id AS url FROM (SELECT doc_id, source, substr(text, 1, 60) AS f FROM documents)) WHERE pos < 3""",
+)
 def code_github_stars(spark, sf):
-    bodies = spark.createDataFrame([(1, GITHUB)], "response_id int, body string")
-    return code.code_results(bodies, "github", 3, fixture(spark, STARS_VALUES))
+    stars = table(spark, sf, "documents").select((F.col("doc_id") % 7).alias("k")).distinct().where("k < 5").select(F.concat(F.lit("N"), F.col("k").cast("string")).alias("node_id"), (F.col("k") * 10).cast("int").alias("stars"))
+    return code.code_results(_items(spark, sf), "github", 3, stars)
 
 
-@query("code_star_ids", "SELECT 1 AS response_id, 'N1,N2,N1,N4' AS ids")
+@query("code_star_ids", "SELECT doc_id // 5 AS response_id, string_agg('N' || doc_id % 7, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1")
 def code_star_ids(spark, sf):
-    return code.star_ids(spark.createDataFrame([(1, GITHUB)], "response_id int, body string")).select("response_id", F.array_join("ids", ",").alias("ids"))
+    return code.star_ids(_items(spark, sf)).select("response_id", F.array_join("ids", ",").alias("ids"))
 
 
+#: A word of a document as a query, plain and with what it may say itself; then what the two backends make of it.
 REWRITES = [
-    ("foo", "go", "foo lang:go archived:no fork:no", "foo language:go"), ("foo archived:yes", "", "foo archived:yes fork:no", "foo archived:yes"), ("x language:c fork:only", "rust", "x language:c fork:only lang:rust archived:no", "x language:c fork:only"),
-    ("y", None, "y archived:no fork:no", "y"),
-]
-REWRITE_VALUES = values(REWRITES, "q, lang, sg, gh")
+    ("w", "lang", "w || ' lang:' || lang || ' archived:no fork:no'", "w || ' language:' || lang"),
+    ("w || ' archived:yes'", "''", "w || ' archived:yes fork:no'", "w || ' archived:yes'"),
+    ("w || ' language:c fork:only'", "lang", "w || ' language:c fork:only lang:' || lang || ' archived:no'", "w || ' language:c fork:only'"),
+    ("w", "NULL", "w || ' archived:no fork:no'", "w"),
+]
 
 
-@query("code_query_rewrite", f"SELECT q, sg, gh FROM {REWRITE_VALUES}")
+@query("code_query_rewrite", f"SELECT doc_id, {pick('doc_id', [x[2] for x in REWRITES])} AS sg, {pick('doc_id', [x[3] for x in REWRITES])} AS gh FROM (SELECT doc_id, lang, {WORD} AS w FROM documents)")
 def code_query_rewrite(spark, sf):
-    q, lang = F.col("q"), F.col("lang")
-    return fixture(spark, REWRITE_VALUES).select("q", U.build_query("sourcegraph", q, lang).alias("sg"), U.build_query("github", q, lang).alias("gh"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.expr(WORD).alias("w"))
+    q, lang = F.expr(pick("doc_id", [x[0] for x in REWRITES])), F.expr(pick("doc_id", [x[1] for x in REWRITES]))
+    return d.select("doc_id", U.build_query("sourcegraph", q, lang).alias("sg"), U.build_query("github", q, lang).alias("gh"))
+
+
+def _doc_answers(spark, sf):
+    """A library of four documents each: two as code snippets (one without code), two as texts."""
+    d = table(spark, sf, "documents")
+    i = F.col("doc_id")
+    snippet = F.struct(F.format_string("T%d", i).alias("codeTitle"), F.format_string("c%d", i).alias("codeId"), F.when(i % 4 == 0, F.array(F.struct(F.col("lang").alias("language"), F.substring("text", 1, 30).alias("code")), F.struct(F.lit(None).cast("string").alias("language"), F.lit("y").alias("code")))).alias("codeList"))
+    info = F.struct(F.concat("source", F.lit(" > "), i.cast("string")).alias("breadcrumb"), F.format_string("i%d", i).alias("pageId"), F.substring("text", 1, 30).alias("content"))
+    listed = lambda x, of: F.transform(F.array_sort(F.collect_list(F.when(of, F.struct(i, x.alias("x"))))), lambda v: v["x"])
+    body = F.to_json(F.struct(listed(snippet, i % 4 < 2).alias("codeSnippets"), listed(info, i % 4 >= 2).alias("infoSnippets")))
+    return d.groupBy(F.expr("doc_id div 4").alias("response_id")).agg(body.alias("body")).withColumn("library", F.format_string("/l/%d", "response_id"))
 
 
-LIBS = '{"results":[{"id":"/l/one","title":"One","description":"d","totalSnippets":3,"trustScore":9.5,"versions":["v1"]},{"id":"/l/two","title":"Two"}]}'
-DOCS = '{"codeSnippets":[{"codeTitle":"T1","codeId":"c1","codeList":[{"language":"go","code":"x"},{"code":"y"}]},{"codeTitle":"T2","codeId":"c2"}],"infoSnippets":[{"breadcrumb":"A > B","pageId":"i1","content":"info"}]}'
-DOCS_VALUES = values([(1, "/l/one", DOCS), (2, "/l/two", '{"infoSnippets":[]}')], "response_id, library, body")
-DOCS_WANT = [(0, 0, "T1", "", "x", "c1"), (0, 1, "T2", "", "", "c2"), (1, 0, "A > B", "A > B", "info", "i1")]
+DOCS_SQL = """SELECT doc_id // 4 AS response_id, (doc_id % 4 // 2)::INTEGER AS part, (row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) - 1)::INTEGER AS k, '/l/' || doc_id // 4 AS library,
+CASE WHEN doc_id % 4 < 2 THEN 'T' || doc_id ELSE source || ' > ' || doc_id END AS title, CASE WHEN doc_id % 4 < 2 THEN '' ELSE source || ' > ' || doc_id END AS breadcrumb,
+CASE WHEN doc_id % 4 = 1 THEN '' ELSE substr(text, 1, 30) END AS snippet, CASE WHEN doc_id % 4 < 2 THEN 'c' ELSE 'i' END || doc_id AS url, 'context7' AS source FROM documents"""
 
 
-@query("docs_union", "SELECT * FROM " + values([(1, p, k, "/l/one", t, b, s, u, "context7") for p, k, t, b, s, u in DOCS_WANT], "response_id, part, k, library, title, breadcrumb, snippet, url, source"))
+@query("docs_union", DOCS_SQL)
 def docs_union(spark, sf):
-    return docs.docs_results(fixture(spark, DOCS_VALUES))
+    return docs.docs_results(_doc_answers(spark, sf))
 
 
-@query("docs_top_library", "SELECT * FROM " + values([(7, p, t, s) for p, _, t, _, s, _ in DOCS_WANT], "response_id, part, title, snippet"))
+@query("docs_top_library", f"SELECT response_id, part, title, snippet FROM ({DOCS_SQL}) WHERE response_id % 5 <> 0")
 def docs_top_library(spark, sf):
-    resolved = fixture(spark, values([(7, LIBS), (8, '{"results":[]}')], "response_id, body"))
-    return docs.search(resolved, fixture(spark, DOCS_VALUES).select("library", "body")).select("response_id", "part", "title", "snippet")
+    """Every fifth resolution finds no library; the others find a second one, which doesn't count."""
+    answers = _doc_answers(spark, sf)
+    found = F.concat(F.lit('{"results":[{"id":"'), "library", F.lit('","title":"One","totalSnippets":3,"trustScore":9.5,"versions":["v1"]},{"id":"/l/other","title":"Two"}]}'))
+    resolved = answers.select("response_id", F.when(F.col("response_id") % 5 == 0, F.lit('{"results":[]}')).otherwise(found).alias("body"))
+    return docs.search(resolved, answers.select("library", "body")).select("response_id", "part", "title", "snippet")
 
 
 # --- output ---------------------------------------------------------------
@@ -839,12 +906,14 @@ def out_jsonl(spark, sf):
     return d.select("doc_id", encode.crawl_json(F.format_string("http://d/%d", "doc_id"), F.col("source"), F.col("text"), F.lit("new"), F.lit("seed")).alias("json"))
 
 
-ARRAY_VALUES = values([(2, "b", None), (1, "<a>", None), (3, "c", "failed")], "idx, url, error")
-
-
-@query("out_json_array", "SELECT '[{\"url\":\"\\u003ca\\u003e\"},{\"url\":\"b\"}]' AS json")
+@query(
+    "out_json_array",
+    """SELECT page_id // 20 AS batch, '[' || string_agg(replace('{"page_id":' || page_id || ',"url":' || to_json(url)::VARCHAR || '}', '&', '\\u0026'), ',' ORDER BY page_id) || ']' AS json FROM pages WHERE page_id % 3 <> 0 GROUP BY 1""",
+)
 def out_json_array(spark, sf):
-    return encode.json_array(fixture(spark, ARRAY_VALUES), "idx", ["url"])
+    """An array for each batch of twenty inputs, without those that failed."""
+    p = table(spark, sf, "pages").select("page_id", "url", F.expr("page_id div 20").alias("batch"), F.when(F.col("page_id") % 3 == 0, "failed").alias("error"))
+    return encode.json_array(p, "page_id", ["page_id", "url"], by="batch")
 
 
 @query(
@@ -859,48 +928,70 @@ def out_json_array_lines(spark, sf):
     return lines.select((F.row_number().over(Window.orderBy(part, at)) - 1).cast("long").alias("pos"), "line")
 
 
-@query(
-    "out_entries",
-    "SELECT * FROM " + values([("code", "r  p  (line 3)  ★ 9\n  s\n  u\n"), ("code0", "r  p\n  u\n"), ("docs", "[B]\n  s\n  source: u\n"), ("search", "t\n  u\n  d\n"), ("summary", "---\nseed: s\npages: 2\nduration: 1.5s\n---")], "kind, entry"),
-)
+#: Entries of results, of a document's values, as text.
+ENTRIES = {
+    "code": "source || '  d/' || doc_id || '  (line ' || (doc_id + 1) || ')  ★ ' || (doc_id + 9) || chr(10) || '  ' || w || chr(10) || '  http://d/' || doc_id || chr(10)",
+    "code0": "source || '  d/' || doc_id || chr(10) || '  http://d/' || doc_id || chr(10)",
+    "docs": "'[' || w || ']' || chr(10) || '  ' || lang || chr(10) || '  source: http://d/' || doc_id || chr(10)",
+    "docs0": "'[' || source || ']' || chr(10) || '  ' || lang || chr(10) || '  source: http://d/' || doc_id || chr(10)",
+    "search": "source || chr(10) || '  http://d/' || doc_id || chr(10) || '  ' || w || chr(10)",
+    "summary": "'---' || chr(10) || 'seed: http://d/' || doc_id || chr(10) || 'pages: ' || (doc_id + 2) || chr(10) || 'duration: ' || (doc_id % 100) || '.5s' || chr(10) || '---'",
+    "header": "'---' || chr(10) || 'query: ' || w || chr(10) || 'results: ' || (doc_id % 9) || chr(10) || '---'",
+}
+
+
+@query("out_entries", "SELECT doc_id, kind, entry FROM (SELECT doc_id, unnest([" + ", ".join(sql_text(k) for k in ENTRIES) + "]) AS kind, unnest([" + ", ".join(ENTRIES.values()) + f"]) AS entry FROM (SELECT doc_id, source, lang, {WORD} AS w FROM documents))")
 def out_entries(spark, sf):
-    x = lambda s: F.lit(s)
+    x, i = F.lit, F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", F.expr(WORD).alias("w"), (i + 2).alias("pages"))
+    path, url, none = F.format_string("d/%d", i), F.format_string("http://d/%d", i), x("")
     rows = {
-        "code": encode.code_entry(x("r"), x("p"), x(3), x(9), x("s"), x("u")), "code0": encode.code_entry(x("r"), x("p"), x(0), x(0), x(""), x("u")), "docs": encode.docs_entry(x("T"), x("B"), x("s"), x("u")),
-        "search": encode.search_entry(x("t"), x("u"), x("d")), "summary": encode.summary_text(x("s"), ("pages",), x(1.5)),
+        "code": encode.code_entry(F.col("source"), path, i + 1, i + 9, F.col("w"), url), "code0": encode.code_entry(F.col("source"), path, x(0), x(0), none, url),
+        "docs": encode.docs_entry(F.col("source"), F.col("w"), F.col("lang"), url), "docs0": encode.docs_entry(F.col("source"), none, F.col("lang"), url),
+        "search": encode.search_entry(F.col("source"), url, F.col("w")), "summary": encode.summary_text(url, ("pages",), (i % 100 + 0.5).cast("double")),
+        "header": encode.header([("query", F.col("w")), ("backend", x(None).cast("string")), ("results", i % 9)]),
     }
-    one = spark.range(1).select(F.lit(2).alias("pages"))
-    return one.select(F.explode(F.array(*[F.struct(x(k).alias("kind"), v.alias("entry")) for k, v in rows.items()])).alias("r")).select("r.*")
+    return d.select("doc_id", F.explode(F.array(*[F.struct(x(k).alias("kind"), v.alias("entry")) for k, v in rows.items()])).alias("r")).select("doc_id", "r.*")
 
 
-@query("crawl_status_table", "SELECT 'c_1  running    http://s                                  pages=3      now' AS line")
+@query("crawl_status_table", "SELECT event_id, printf('%s  %-9s  %-40s  pages=%-5d  %s', 'c_' || event_id, event_type, 'http://s' || user_id || '.test', user_id, strftime(ts, '%H:%M:%S')) AS line FROM events")
 def crawl_status_table(spark, sf):
-    x = F.lit
-    return spark.range(1).select(encode.status_line(x("c_1"), x("running"), x("http://s"), x(3), x("now")).alias("line"))
+    updated = F.date_format(F.col("ts").cast("timestamp"), "HH:mm:ss")
+    line = encode.status_line(F.format_string("c_%d", "event_id"), F.col("event_type"), F.format_string("http://s%d.test", "user_id"), F.col("user_id"), updated)
+    return table(spark, sf, "events").select("event_id", line.alias("line"))
+
 
+_TRIM = "regexp_replace({x}, '^[\\s\\x0b\\x{{85}}\\p{{Z}}]+|[\\s\\x0b\\x{{85}}\\p{{Z}}]+$', '', 'g')"
 
-@query("line_list_scan", "SELECT url FROM " + values([("https://a.test",), ("https://a.test",), ("b",)], "url"))
+
+@query("line_list_scan", f"SELECT url FROM (SELECT {_TRIM.format(x='x')} AS url FROM (SELECT unnest(string_split(text, chr(10)) || ['# ' || doc_id, '  ', '  http://d/' || doc_id || chr(9)]) AS x FROM documents)) WHERE url <> '' AND NOT starts_with(url, '#')")
 def line_list_scan(spark, sf):
-    return inputs.line_list(fixture(spark, values([("  https://a.test\t",), ("# no",), ("",), ("   ",), ("https://a.test",), ("b",)], "value")))
+    """All lines of the documents as a list, with comments and blanks among them."""
+    more = F.array(F.format_string("# %d", "doc_id"), F.lit("  "), F.format_string("  http://d/%d\t", "doc_id"))
+    return inputs.line_list(table(spark, sf, "documents").select(F.explode(F.concat(F.split("text", "\n"), more)).alias("value")))
 
 
-@query("config_merge", "SELECT 'ddg' AS backend, '72h' AS cache_ttl, 9 AS lim")
+@query(
+    "config_merge",
+    "SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'brave' WHEN 1 THEN 'ddg' ELSE 'searxng' END AS backend, CASE WHEN c_nationkey % 2 = 0 THEN '72h' ELSE c_nationkey || 'h' END AS cache_ttl, CASE WHEN c_custkey % 5 = 0 THEN 5 ELSE c_nationkey END AS lim FROM customer",
+)
 def config_merge(spark, sf):
-    user = fixture(spark, values([("ddg", None, 9)], "backend, cache_ttl, lim"))
-    default = fixture(spark, values([("brave", "72h", 5)], "backend, cache_ttl, lim"))
-    return inputs.merge_config(user, default, ("backend", "cache_ttl", "lim"))
+    """Customers' settings over the built-in ones; a setting that wasn't made is null."""
+    c = F.col("c_custkey")
+    user = table(spark, sf, "customer").select(c.alias("k"), F.when(c % 3 == 1, "ddg").when(c % 3 == 2, "searxng").alias("backend"), F.when(F.col("c_nationkey") % 2 == 1, F.format_string("%dh", "c_nationkey")).alias("cache_ttl"), F.when(c % 5 != 0, F.col("c_nationkey")).alias("lim"))
+    return inputs.merge_config(user, fixture(spark, values([("brave", "72h", 5)], "backend, cache_ttl, lim")), ("backend", "cache_ttl", "lim"), ("k",))
 
 
 PLACES = [
-    ("/opt/homebrew/bin/webloom", None, "homebrew"), ("/usr/local/Cellar/w/1/bin/x", None, "homebrew"), ("/home/u/go/bin/webloom", None, "go"), ("C:/u/go/bin/webloom.exe", None, "go"), ("/usr/bin/webloom", None, "manual"),
-    ("/usr/bin/other", None, "unknown"), ("", None, "unknown"), (None, None, "unknown"), ("/usr/bin/webloom", " Homebrew", "homebrew"), ("/usr/bin/webloom", "snap", "manual"), ("/home/u/go/bin/other", None, "unknown"),
+    ("'/opt/homebrew/' || page_id || '/bin/webloom'", None, "homebrew"), ("'/usr/local/Cellar/w/' || page_id || '/bin/x'", None, "homebrew"), ("'/home/u' || page_id || '/go/bin/webloom'", None, "go"), ("'C:/u' || page_id || '/go/bin/webloom.exe'", None, "go"),
+    ("'/usr/' || page_id || '/bin/webloom'", None, "manual"), ("'/usr/bin/other' || page_id", None, "unknown"), ("''", None, "unknown"), ("NULL", None, "unknown"), ("'/usr/bin' || page_id || '/webloom'", " Homebrew", "homebrew"), ("'/usr/bin' || page_id || '/webloom'", "snap", "manual"), ("'/home/u/go/bin/other' || page_id", None, "unknown"),
 ]
-PLACE_VALUES = values(PLACES, "path, forced, want")
 
 
-@query("install_type", f"SELECT path, forced, want AS kind FROM {PLACE_VALUES}")
+@query("install_type", f"SELECT page_id, {pick('page_id', [sql_text(k) for _, _, k in PLACES])} AS kind FROM pages")
 def install_type(spark, sf):
-    return fixture(spark, PLACE_VALUES).select("path", "forced", T.install_type(F.col("path"), forced=F.col("forced")).alias("kind"))
+    path, forced = (F.expr(pick("page_id", x)) for x in ([u for u, _, _ in PLACES], ["CAST(NULL AS STRING)" if f is None else sql_text(f) for _, f, _ in PLACES]))
+    return table(spark, sf, "pages").select("page_id", T.install_type(path, forced=forced).alias("kind"))
 
 
 # --- streams ----------------------------------------------------------------
@@ -937,16 +1028,16 @@ SELECT k AS key, t AS "at", 'miss' AS kind FROM m UNION ALL SELECT k, t + {CACHE
 UNION ALL SELECT n.k, n.t, 'hit' FROM (SELECT k, t, row_number() OVER (PARTITION BY k, t) AS nth FROM d) n LEFT JOIN m ON m.k = n.k AND m.t = n.t WHERE nth > 1 OR m.k IS NULL""",
 )
 def stream_cache_traffic(spark, sf):
-    """Hits, misses and evictions of a cache that all events ask, a week a run; the last day waits for its watermark."""
+    """Hits, misses and evictions of a cache that all events ask, in two runs by their time; the last day waits for its watermark."""
     e = table(spark, sf, "events").select(F.concat("event_type", F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    week = F.floor((F.unix_timestamp("ts") - 1_704_067_200) / (7 * 86400))
-    parts = [e.where(week == k) for k in range(4)] + [e.where(week > 3)]
+    half = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    parts = [e.where(half), e.where(~half)]
     out, _ = _streamed(spark, parts, lambda df: state.cache_traffic(df, CACHE_DAYS * 86400))
     return spark.read.schema(state.EXPIRY).parquet(out)
 
 
-#: Bytes of a piece of an event stream; results a response.
-PIECE, LIMIT = 1000, 3
+#: Bytes of a piece of an event stream.
+PIECE = 4000
 
 
 def _event_bodies(spark, sf):
@@ -960,21 +1051,19 @@ def _event_bodies(spark, sf):
         ),
     )
     part = lambda k: F.concat(F.lit("data: "), F.to_json(F.filter("lines", lambda x: x["repoStars"] % 2 == k)))
-    text = F.concat_ws("\n", F.lit("event: progress"), F.lit("data: {}"), F.lit("event: matches"), part(0), F.lit(""), part(1), F.lit("event: done"), F.lit("data: []"))
+    text = F.concat_ws("\n", F.lit("event: progress"), F.lit("data: {}"), F.lit("event: matches"), part(0), F.lit("data: no json"), F.lit(""), part(1), F.lit("event: done"), F.lit("data: []"))
     return d.withColumn("lines", lines).select(F.col("doc_id").alias("response_id"), text.alias("body"))
 
 
-@query(
-    "stream_code_events",
-    f"""SELECT response_id, (row_number() OVER (PARTITION BY response_id ORDER BY i % 2, i) - 1)::INTEGER AS pos, repo, 'd/' || response_id || '.txt' AS path, (i + 1)::INTEGER AS line, x AS snippet, lang AS language, i::INTEGER AS stars
-FROM (SELECT doc_id AS response_id, source AS repo, lang, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL) WHERE i % 3 <> 1 QUALIFY pos < {LIMIT}""",
-)
+@query("stream_code_events", EVENTS_SQL)
 def stream_code_events(spark, sf):
     """The first results of event streams that come in pieces of PIECE bytes, in two runs."""
     raw = _event_bodies(spark, sf).withColumn("raw", F.encode("body", "UTF-8")).withColumn("n", F.ceil(F.octet_length("raw") / PIECE))
     cut = raw.select("response_id", "raw", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("seq"))
-    pieces = cut.select("response_id", "seq", F.substring("raw", (F.col("seq") * PIECE + 1).cast("int"), F.lit(PIECE)).alias("piece"), (F.col("seq") == F.col("n") - 1).alias("last"))
-    out, _ = _streamed(spark, [pieces.where("seq % 2 = 1"), pieces.where("seq % 2 = 0")], lambda df: state.code_events(df, LIMIT, "https://sourcegraph.com"))
+    pieces = cut.select("response_id", "seq", "n", F.substring("raw", (F.col("seq") * PIECE + 1).cast("int"), F.lit(PIECE)).alias("piece"), (F.col("seq") == F.col("n") - 1).alias("last"))
+    early = F.col("seq") < F.col("n") / 2
+    parts = [pieces.where(x).select("response_id", "seq", "piece", "last") for x in (early, ~early)]
+    out, _ = _streamed(spark, parts, lambda df: state.code_events(df, LIMIT, "https://sourcegraph.com"))
     return spark.read.parquet(out).select("response_id", "pos", "repo", "path", "line", "snippet", "language", "stars")
 
 

@@ -41,10 +41,13 @@ def crawl_json(url: Column, title: Column, body: Column, status: Column, source:
     return escaped_json(F.to_json(row))
 
 
-def json_array(pages: DataFrame, idx: str, columns: Sequence[str]) -> DataFrame:
-    """``(json)``: all rows without error as one array in input order; failures are left out."""
+def json_array(pages: DataFrame, idx: str, columns: Sequence[str], by: str | None = None) -> DataFrame:
+    """``(json)``: all rows without error as one array in input order; failures are left out. ``by`` gives an array for each of its values, in a column of its name.
+
+    An array is one cell, so for the results of a question or of a batch; see :func:`json_array_lines` for a whole table.
+    """
     rows = F.array_sort(F.collect_list(F.struct(idx, F.struct(*columns).alias("o"))))
-    return pages.where("error is null").agg(escaped_json(F.to_json(F.transform(rows, lambda x: x["o"]))).alias("json"))
+    return pages.where("error is null").groupBy(*([by] if by else [])).agg(escaped_json(F.to_json(F.transform(rows, lambda x: x["o"]))).alias("json"))
 
 
 def json_array_lines(pages: DataFrame, idx: str, columns: Sequence[str]) -> DataFrame:

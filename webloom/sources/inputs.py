@@ -56,11 +56,11 @@ def ordered(results: DataFrame) -> DataFrame:
     return results.orderBy("idx")
 
 
-def merge_config(user: DataFrame, default: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The user's values over the defaults, field by field; both have one row."""
-    u = user.select(*[F.col(k).alias(f"u_{k}") for k in keys], F.lit(1).alias("__one"))
+def merge_config(user: DataFrame, default: DataFrame, keys: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """Users' values over the defaults, field by field; the defaults have one row, ``also`` are columns that tell users apart."""
+    u = user.select(*also, *[F.col(k).alias(f"u_{k}") for k in keys], F.lit(1).alias("__one"))
     d = default.select(*[F.col(k).alias(f"d_{k}") for k in keys], F.lit(1).alias("__one"))
-    return d.join(u, "__one", "left").select(*[F.coalesce(f"u_{k}", f"d_{k}").alias(k) for k in keys])
+    return d.join(u, "__one", "left").select(*also, *[F.coalesce(f"u_{k}", f"d_{k}").alias(k) for k in keys])
 
 
 def load_config(path: str) -> dict:
