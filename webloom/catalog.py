@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from webloom.functions import html as H
 from webloom.functions import text as T
 from webloom.functions import urls as U
-from webloom.operators import cache, crawl, encode, fetch, filters
+from webloom.operators import cache, crawl, encode, fetch, filters, search
 from webloom.operators.cache import PageCache
 from webloom.operators.store import PageStore
 from webloom.plans import pages
@@ -875,6 +875,28 @@ def docs_top_library(spark, sf):
     return docs.search(resolved, answers.select("library", "body")).select("response_id", "part", "title", "snippet")
 
 
+#: Words of a question: the first of every hundredth document.
+ASK = 6
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BM25 = f"floor({search.UNIT} * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * {search.K1 + 1} / (tf + {search.K1}::DOUBLE * (1 - {search.B}::DOUBLE + {search.B}::DOUBLE * size / mean))))::BIGINT"
+
+
+@query(
+    "docs_local_search",
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), t AS (SELECT count(*) AS n, sum(len(w))::DOUBLE / count(*) AS mean FROM w WHERE len(w) > 0),
+p AS (SELECT doc_id, term, count(*)::DOUBLE AS tf, max(size) AS size FROM (SELECT doc_id, unnest(w) AS term, len(w) AS size FROM w) GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+q AS (SELECT DISTINCT doc_id AS query_id, unnest(w[:{ASK}]) AS term FROM w WHERE doc_id % 100 = 0),
+s AS (SELECT query_id, doc_id, sum({_BM25})::BIGINT AS score FROM q JOIN p USING (term) JOIN d USING (term), t GROUP BY 1, 2)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+)
+def docs_local_search(spark, sf):
+    """The first words of every hundredth document as a question to all documents."""
+    d = table(spark, sf, "documents")
+    found = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)
+    asked = d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(found, 1, ASK), " ").alias("text"))
+    return docs.local_search(d.select("doc_id", "text"), asked)
+
+
 # --- output ---------------------------------------------------------------
 
 WORDS_SQL = f"len(regexp_extract_all(text, '{GO_NOT_SPACE}'))"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.operators.search import Index
+
 LIBRARIES = "results ARRAY<STRUCT<id: STRING, title: STRING, description: STRING, totalSnippets: INT, trustScore: DOUBLE, versions: ARRAY<STRING>>>"
 DOCS = (
     "codeSnippets ARRAY<STRUCT<codeTitle: STRING, codeId: STRING, codeList: ARRAY<STRUCT<language: STRING, code: STRING>>>>, "
@@ -45,6 +47,6 @@ def search(resolutions: DataFrame, docs: DataFrame) -> DataFrame:
     return docs_results(top.join(docs, "library").select("response_id", "library", "body"))
 
 
-def local_search(*_args, **_kwargs) -> DataFrame:
-    """The local backend, which isn't there yet anywhere."""
-    raise NotImplementedError("the local documentation index is not implemented")
+def local_search(documents: DataFrame, questions: DataFrame, limit: int = 10) -> DataFrame:
+    """The local backend: ``questions(query_id, text)`` over ``documents(doc_id, text)`` by an index of its own, see ``operators.search``."""
+    return Index.build(documents).search(questions, limit)
