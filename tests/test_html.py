@@ -3,7 +3,8 @@
 import pytest
 
 from webloom.functions import html, markdown
-from webloom.functions.htmltree import parse, select, squeeze
+from webloom.functions.htmltree import parse, squeeze
+from webloom.functions.selectors import compile_selector, select
 
 PAGE = """<!doctype html><html><head><title> A &amp; B </title><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/n">nav</a></li></ul></nav><div class="ad box">buy</div>

@@ -306,6 +306,13 @@ def extract_selector(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.extract_selector(F.col("html"), "article > h1, nav a[href]").alias("markdown"))
 
 
+@query("extract_siblings", f"SELECT page_id, array_to_string(list_slice(links, 2, len(links) - 1), '') || {_NL} || '# ' || h1 AS markdown FROM ({PARTS_SQL})")
+def extract_siblings(spark, sf):
+    """A sibling, a place, a negation and a condition on what is inside."""
+    css = "nav li + li:not(:nth-last-child(1)) > a[href^='/'], article:has(> p) > h1:first-child"
+    return table(spark, sf, "pages").select("page_id", H.extract_selector(F.col("html"), css).alias("markdown"))
+
+
 @query("html_markdown", f"SELECT page_id, {_WHOLE} AS markdown FROM ({PARTS_SQL})")
 def html_markdown(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.html_to_markdown(F.col("html")).alias("markdown"))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import markdown
-from webloom.functions.htmltree import Node, parse, select, squeeze, title_of
+from webloom.functions.htmltree import Node, parse, squeeze, title_of
+from webloom.functions.selectors import select
 from webloom.functions.urls import resolvable
 from webloom.session import ship_package
 

@@ -157,76 +157,3 @@ _Builder.convert_titles = "&" in parse("<title>&lt;</title>").text()
 def title_of(root: Node) -> str:
     """The first title's text, trimmed."""
     return next((n.text().strip() for n in root.walk() if n.tag == "title"), "")
-
-
-_PART = re.compile(r"([#.]?[\w-]+|\*|\[[^\]]*\]|\s*>\s*|\s+)")
-_ATTR = re.compile(r"""\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*["']?([^"'\]]*)["']?)?\s*\]""")
-
-
-def compile_selector(css: str) -> list[list[tuple[str, list]]]:
-    """Alternatives; each a chain of (combinator, tests). Tags, ids, classes, attributes, descendants and children."""
-    out = []
-    for alternative in css.split(","):
-        rest, chain, tests, joint = alternative.strip(), [], [], " "
-        while rest:
-            m = _PART.match(rest)
-            if not m:
-                raise ValueError(f"a selector that isn't known: {css}")
-            t = m[0]
-            rest = rest[m.end() :]
-            if t.strip() in ("", ">"):
-                chain.append((joint, tests))
-                joint, tests = t.strip() or " ", []
-            elif t[0] == "#":
-                tests.append(("id", "=", t[1:]))
-            elif t[0] == ".":
-                tests.append(("class", "~=", t[1:]))
-            elif t[0] == "[":
-                a = _ATTR.fullmatch(t)
-                if not a:
-                    raise ValueError(f"a selector that isn't known: {css}")
-                tests.append((a[1].lower(), a[2] or "", a[3] or ""))
-            elif t != "*":
-                tests.append(("#tag", "=", t.lower()))
-            else:
-                tests.append(("#tag", "", ""))
-        if not tests:
-            raise ValueError(f"a selector that isn't known: {css}")
-        out.append([*chain, (joint, tests)])
-    return out
-
-
-def _passes(n: Node, tests: list) -> bool:
-    for name, how, value in tests:
-        have = n.tag if name == "#tag" else n.attrs.get(name)
-        if have is None or n.tag == "#document":
-            return False
-        if how == "=" and have != value or how == "~=" and value not in have.split():
-            return False
-        if how == "^=" and not have.startswith(value) or how == "$=" and not have.endswith(value) or how == "*=" and value not in have:
-            return False
-        if how == "|=" and not (have == value or have.startswith(f"{value}-")):
-            return False
-    return True
-
-
-def _chained(n: Node, chain: list) -> bool:
-    joint, tests = chain[-1]
-    if not _passes(n, tests):
-        return False
-    if len(chain) == 1:
-        return True
-    above = n.parent
-    while above is not None:
-        if _chained(above, chain[:-1]):
-            return True
-        if joint == ">":
-            return False
-        above = above.parent
-    return False
-
-
-def select(root: Node, css: str) -> list[Node]:
-    """Elements that match, in document order."""
-    alternatives = compile_selector(css)
-    return [n for n in root.walk() if any(_chained(n, c) for c in alternatives)]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from webloom.functions.htmltree import Node, parse, select, squeeze, title_of
+from webloom.functions.htmltree import Node, parse, squeeze, title_of
+from webloom.functions.selectors import select
 
 SKIP = {"script", "style", "head", "template", "noscript", "iframe", "svg", "input", "button", "select"}
 BLOCKS = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody thead tr ul".split())
