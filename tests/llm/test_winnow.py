@@ -1,6 +1,8 @@
 import hashlib
 import re
+import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -51,6 +53,30 @@ def test_search_property(doc, items):
     assert (len(hit), len(names)) == want[1:3]
 
 
+def test_repeated_words_take_linear_time():
+    """40,000 equal words against an item of 20,000, and against a thousand items that repeat the same few words."""
+    items = [("long", b"x " * 20_000), ("short", b"x x x"), *((f"i{i}", b"y z " * (5 + i)) for i in range(1000))]
+    index = winnow.Index.build(items)
+    began = time.process_time()
+    assert index.search([b"x"] * 40_000) == ([(0, 40_000), (0, 40_000)], {0, 1})
+    runs, seqs = index.search([b"y", b"z"] * 20_000)
+    assert runs == [(0, 40_000)] and len(seqs) == 1000
+    assert time.process_time() - began < 1
+
+
+def test_windows_that_share_a_hash(monkeypatch):
+    """With a hash that tells little apart, windows are still told by their words."""
+    real = winnow.gram_hashes
+    monkeypatch.setattr(winnow, "gram_hashes", lambda ids, k: np.where(real(ids, k) == winnow._NONE, winnow._NONE, real(ids, k) % np.uint64(3)))
+    items = [("a", b"a b c d e f g h i j k"), ("b", b"b b b a a a c c c d d"), ("c", b"d e"), ("d", b"e d")]
+    index = winnow.Index.build(items)
+    for text in (b"q a b c d e f g h i j q", b"d e d", b"b b b a a a c c c d d e", b"a b c d e f g h i"):
+        runs, seqs = index.search(text.split())
+        hit = {p for x, y in runs for p in range(x, y)}
+        want = plain(text.decode(), [(n, t.decode()) for n, t in items])
+        assert (len(hit), len(seqs)) == want[1:3]
+
+
 def test_edges(spark, edge_docs, empty_docs):
     bench = spark.createDataFrame([(1, "two THREE four"), (2, None), (3, ""), (None, "seven eight"), (1, "two three four"), (9, "x " * 40)], "item_id long, text string")
     rows = {r.doc_id: r for r in winnow.decontaminate(edge_docs, bench).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,93 +55,126 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
     return at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
 
 
+@dataclass
+class Windows:
+    """The different windows of ``n`` words among some sequences: their hashes in order, a place where each stands, and which sequences have it."""
+
+    n: int
+    keys: np.ndarray
+    at: np.ndarray
+    ptr: np.ndarray
+    owners: np.ndarray
+
+    @classmethod
+    def of(cls, n: int, flat: np.ndarray, at: np.ndarray, owner: np.ndarray) -> Windows:
+        """``at`` are places in ``flat``. Equal windows are told by their words; those that only share a hash stay apart."""
+        h = gram_hashes(flat, n)[at]
+        order = np.lexsort((owner, h))
+        h, at, owner = h[order], at[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | ~_equal(flat, at[1:], flat, at[:-1], n)
+        group = np.cumsum(new) - 1
+        pair = np.ones(len(h), bool)
+        pair[1:] = new[1:] | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        return cls(n, h[first], at[first], np.searchsorted(group[pair], np.arange(len(first) + 1)), owner[pair])
+
+    def found(self, ids: np.ndarray, h: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``starts`` at which one of the windows stands in ``ids`` (hashed as ``h``), and the windows met."""
+        starts = starts[h[starts] != _NONE]
+        lo, hi = np.searchsorted(self.keys, h[starts], "left"), np.searchsorted(self.keys, h[starts], "right")
+        hit, met = np.zeros(len(starts), bool), []
+        for k in range(int((hi - lo).max()) if len(starts) else 0):
+            some = np.flatnonzero(lo + k < hi)
+            some = some[_equal(ids, starts[some], flat, self.at[lo[some] + k], self.n)]
+            hit[some] = True
+            met.append(lo[some] + k)
+        return starts[hit], np.unique(np.concatenate(met)) if met else np.empty(0, np.int64)
+
+    def owners_of(self, windows: np.ndarray) -> np.ndarray:
+        size = self.ptr[windows + 1] - self.ptr[windows]
+        return np.unique(self.owners[np.repeat(self.ptr[windows] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]) if len(windows) else windows
+
+
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, n: int) -> np.ndarray:
+    """For each pair of places whether ``n`` words are the same there."""
+    same = np.ones(len(at), bool)
+    for k in range(n):
+        same &= a[at + k] == b[bt + k]
+    return same
+
+
 @dataclass
 class Index:
     """A block of benchmark items, ready to be searched for in documents."""
 
     vocab: dict[bytes, int] = field(default_factory=dict)
-    seqs: list[np.ndarray] = field(default_factory=list)
     names: list[list[str]] = field(default_factory=list)
-    keys: np.ndarray = None
-    posts: np.ndarray = None
-    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    flat: np.ndarray = None
+    prints: np.ndarray = None
+    full: Windows = None
+    short: list[Windows] = field(default_factory=list)
 
     @classmethod
     def build(cls, items: list[tuple[str, bytes | None]], span: int = SPAN, k: int = K) -> Index:
         """Items with equal words are one sequence with several names; items without words are left out."""
-        self, at = cls(), {}
+        self, at, seqs = cls(), {}, []
         for name, text in items:
             words = words_of(text)
             if words:
                 key = b" ".join(words)
                 if key not in at:
-                    at[key] = len(self.seqs)
-                    self.seqs.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in words], np.int64))
+                    at[key] = len(seqs)
+                    seqs.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in words], np.int64))
                     self.names.append([])
                 self.names[at[key]].append(name)
-        h, post, short = [], [], {}
-        for i, s in enumerate(self.seqs):
-            if len(s) >= span:
+        pad = np.zeros(span, np.int64)
+        self.flat = np.concatenate([*seqs, pad])
+        begin = np.r_[0, np.cumsum([len(s) for s in seqs])].astype(np.int64)
+        prints, places = [np.empty(0, np.uint64)], {}
+        for i, s in enumerate(seqs):
+            n = min(len(s), span)
+            if n == span:
                 g = gram_hashes(s, k)
-                p = winnow(g, span - k + 1)
-                h.append(g[p])
-                post.append(np.stack([np.full(len(p), i), p], axis=1))
-            else:
-                short.setdefault(len(s), ([], []))
-                short[len(s)][0].append(gram_hashes(s, len(s))[0])
-                short[len(s)][1].append(i)
-        keys = np.concatenate(h) if h else np.empty(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.posts = np.concatenate(post)[order] if post else np.empty((0, 2), np.int64)
-        for n, (g, i) in short.items():
-            order = np.argsort(np.array(g, np.uint64), kind="stable")
-            self.short[n] = (np.array(g, np.uint64)[order], np.array(i)[order])
+                prints.append(np.unique(g[winnow(g, span - k + 1)]))
+            count = len(s) - n + 1
+            places.setdefault(n, []).append((begin[i] + np.arange(count), np.full(count, i)))
+        self.prints = np.unique(np.concatenate(prints))
+        tables = {n: Windows.of(n, self.flat, np.concatenate([a for a, _ in x]), np.concatenate([o for _, o in x])) for n, x in sorted(places.items())}
+        self.full = tables.pop(span, None)
+        self.short = list(tables.values())
         return self
 
     def search(self, words: list[bytes], span: int = SPAN, k: int = K) -> tuple[list[tuple[int, int]], set[int]]:
-        """Maximal shared runs of at least ``span`` words (or a whole shorter item) as [start, end), and the sequences met."""
-        get = self.vocab.get
-        ids = np.fromiter((get(x, 0) for x in words), np.int64, len(words))
-        runs: list[tuple[int, int]] = []
-        found: set[int] = set()
-        if len(self.keys) and len(ids) >= span:
-            g = gram_hashes(ids, k)
-            at = winnow(g, span - k + 1)
-            lo, hi = np.searchsorted(self.keys, g[at], "left"), np.searchsorted(self.keys, g[at], "right")
-            done: dict[tuple[int, int], int] = {}
-            for j in np.flatnonzero(hi > lo):
-                p = int(at[j])
-                for i, q in self.posts[lo[j] : hi[j]].tolist():
-                    if done.get((i, p - q), -1) >= p:
-                        continue
-                    s = self.seqs[i]
-                    a, b = self._extend(ids, s, p, q)
-                    done[(i, p - q)] = b
-                    if b - a >= span:
-                        runs.append((a, b))
-                        found.add(i)
-        for n, (keys, seq) in self.short.items():
-            g = gram_hashes(ids, n)
-            lo, hi = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
-            for p in np.flatnonzero((hi > lo) & (g != _NONE)):
-                for i in seq[lo[p] : hi[p]]:
-                    if np.array_equal(ids[p : p + n], self.seqs[i]):
-                        runs.append((int(p), int(p) + n))
-                        found.add(int(i))
+        """Maximal shared runs of at least ``span`` words (or a whole shorter item), merged, as [start, end), and the sequences met.
+
+        A shared fingerprint is extended to the windows that hold it, at most span - k + 1 of them however often it stands in the
+        items; each is looked up among the items' different windows and compared word by word. So a text and items
+        that repeat one word take time by their lengths, not by the product of these.
+        """
+        ids = np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
+        runs, found = [], set()
+        for table in (self.full, *self.short):
+            if table is None or len(ids) < table.n:
+                continue
+            if table is self.full:
+                g = gram_hashes(ids, k)
+                at = winnow(g, span - k + 1)
+                place = np.searchsorted(self.prints, g[at])
+                at = at[(place < len(self.prints)) & (self.prints[np.minimum(place, len(self.prints) - 1)] == g[at])]
+                if not len(at):
+                    continue
+                starts = np.unique((at[:, None] - np.arange(span - k + 1)).ravel())
+                starts = starts[(starts >= 0) & (starts <= len(ids) - span)]
+            else:
+                starts = np.arange(len(ids) - table.n + 1)
+            hit, met = table.found(ids, gram_hashes(ids, table.n), starts, self.flat)
+            if len(hit):
+                apart = np.flatnonzero(np.r_[True, hit[1:] > hit[:-1] + table.n])
+                runs += zip(hit[apart].tolist(), (hit[np.r_[apart[1:] - 1, len(hit) - 1]] + table.n).tolist(), strict=True)
+                found.update(table.owners_of(met).tolist())
         return runs, found
 
-    @staticmethod
-    def _extend(ids: np.ndarray, s: np.ndarray, p: int, q: int) -> tuple[int, int]:
-        """The longest run of equal words through document word ``p`` and item word ``q``; empty if those differ."""
-        n = min(len(ids) - p, len(s) - q)
-        differ = np.flatnonzero(ids[p : p + n] != s[q : q + n])
-        right = int(differ[0]) if len(differ) else n
-        m = min(p, q)
-        differ = np.flatnonzero(ids[p - m : p] != s[q - m : q])
-        left = m - 1 - int(differ[-1]) if len(differ) else m
-        return p - left, p + right
-
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
     """The benchmark's items, one bounded block after the other."""
