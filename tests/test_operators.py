@@ -310,3 +310,11 @@ def test_crawl_fills_the_cache(spark, tmp_path):
     later = pages(spark, site).withColumn("body", F.when(F.col("url").endswith("l1"), F.concat("body", F.lit("<p>more"))).otherwise(F.col("body")))
     assert run(later, 1051, depth=4) == {"l0": "unchanged", "l1": "changed", "l2": "unchanged", "r0": "new", "r1": "new"}
     assert {r.p.url.rsplit("/", 1)[1]: r.t for r in c.entries().collect()} == dict.fromkeys(("l0", "l1", "l2", "r0", "r1"), 1051)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="htps:/?#%@&=ab.é ;~+\t", max_size=30).map(lambda x: "http://" + x) | st.sampled_from(["http://h/a", "https://h", "http://h/", "HTTP://h/a", "http://h/a b", "http://u@h/a", "http://h:8/ä/b;c"]), min_size=20, max_size=40))
+def test_normal_urls_are_left_alone(spark, found):
+    """The short way for normal urls gives what the long way gives."""
+    df = spark.createDataFrame([(u,) for u in found], "u string")
+    assert df.where(~urls.normalize_url(F.col("u")).eqNullSafe(urls._normalized(F.col("u")))).count() == 0

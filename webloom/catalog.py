@@ -551,7 +551,7 @@ def crawl_duplicate_snapshots(spark, sf):
 
 
 #: Each page has, besides its own links, links to FAN others before its article, so that a crawl comes to all.
-FAN = 64
+FAN = 8
 LINKED_SQL = f"""w AS (SELECT '{SITE}/p/' || page_id AS url, html FROM pages),
 e AS (SELECT url AS a, '{SITE}' || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS b FROM w UNION ALL SELECT '{SITE}/p/' || page_id, '{SITE}/p/' || unnest(range({FAN} * page_id + 1, {FAN} * page_id + {FAN + 1})) FROM pages)"""
 #: The pages that change between two crawls.
@@ -571,26 +571,26 @@ def _linked(spark, sf, later: bool = False):
 
 @query(
     "crawl_pages_links",
-    f"""WITH RECURSIVE {LINKED_SQL}, r AS (SELECT '{SITE}/p/0' AS u, 0 AS d UNION SELECT b, d + 1 FROM r JOIN e ON r.u = e.a WHERE d < 3), m AS (SELECT u, min(d)::INTEGER AS depth FROM r GROUP BY 1)
+    f"""WITH RECURSIVE {LINKED_SQL}, r AS (SELECT '{SITE}/p/0' AS u, 0 AS d UNION SELECT b, d + 1 FROM r JOIN e ON r.u = e.a WHERE d < 6), m AS (SELECT u, min(d)::INTEGER AS depth FROM r GROUP BY 1)
 SELECT u AS url, depth, CASE WHEN html IS NOT NULL THEN 'new' END AS status, CASE WHEN depth = 0 THEN 'seed' ELSE 'link' END AS source, CASE WHEN html IS NULL THEN 'no snapshot of ' || u END AS error,
 {TITLE_SQL} AS title FROM m LEFT JOIN w ON m.u = w.url""",
 )
 def crawl_pages_links(spark, sf):
     """The links that pages have, from a page store that is read once."""
     store = PageStore.build(_linked(spark, sf))
-    return crawl.crawl(spark, [f"{SITE}/p/0"], store, depth=3, content=True).select("url", "depth", "status", "source", "error", "title")
+    return crawl.crawl(spark, [f"{SITE}/p/0"], store, depth=6, content=True).select("url", "depth", "status", "source", "error", "title")
 
 
 @query(
     "crawl_second_run",
-    f"""WITH RECURSIVE {LINKED_SQL}, r AS (SELECT '{SITE}/p/0' AS u, 0 AS d UNION SELECT b, d + 1 FROM r JOIN e ON r.u = e.a WHERE d < 3), m AS (SELECT u, min(d)::INTEGER AS depth FROM r GROUP BY 1)
-SELECT u AS url, depth, CASE WHEN html IS NULL THEN NULL WHEN depth > 1 THEN 'new' WHEN regexp_matches(u, '{CHANGES}') THEN 'changed' ELSE 'unchanged' END AS status FROM m LEFT JOIN w ON m.u = w.url""",
+    f"""WITH RECURSIVE {LINKED_SQL}, r AS (SELECT '{SITE}/p/0' AS u, 0 AS d UNION SELECT b, d + 1 FROM r JOIN e ON r.u = e.a WHERE d < 6), m AS (SELECT u, min(d)::INTEGER AS depth FROM r GROUP BY 1)
+SELECT u AS url, depth, CASE WHEN html IS NULL THEN NULL WHEN depth > 2 THEN 'new' WHEN regexp_matches(u, '{CHANGES}') THEN 'changed' ELSE 'unchanged' END AS status FROM m LEFT JOIN w ON m.u = w.url""",
 )
 def crawl_second_run(spark, sf):
-    """A crawl to depth 1 fills the page cache; after its entries' time a second one, to depth 3, asks again: some pages have changed, deeper ones are new."""
+    """A crawl to depth 2 fills the page cache; after its entries' time a second one, to depth 6, asks again: some pages have changed, deeper ones are new."""
     held = PageCache(spark, new_path(spark, "page-cache"), ttl_seconds=3600)
-    crawl.crawl(spark, [f"{SITE}/p/0"], _linked(spark, sf), depth=1, cache=held, now=F.lit(NOW))
-    return crawl.crawl(spark, [f"{SITE}/p/0"], _linked(spark, sf, later=True), depth=3, cache=held, now=F.lit(NOW + 3601)).select("url", "depth", "status")
+    crawl.crawl(spark, [f"{SITE}/p/0"], _linked(spark, sf), depth=2, cache=held, now=F.lit(NOW))
+    return crawl.crawl(spark, [f"{SITE}/p/0"], _linked(spark, sf, later=True), depth=6, cache=held, now=F.lit(NOW + 3601)).select("url", "depth", "status")
 
 
 MAPS = [

@@ -25,8 +25,16 @@ def _unparsable(url: Column) -> Column:
     return url.rlike(r"[\x00-\x1F\x7F]") | outside.rlike(r"%(?![0-9A-Fa-f]{2})") | _part(url, 2).contains(" ") | url.startswith(":")
 
 
+#: Urls that are normal as they are: no query, fragment, escape, blank or trailing slash, and a plain authority.
+NORMAL = r"^https?://[^/?#%@\x00-\x20\x7F]+(?:/[^?#%\x00-\x20\x7F]*[^/?#%\x00-\x20\x7F])?$"
+
+
 def normalize_url(url: Column) -> Column:
-    """Drops the fragment and ``utm_`` parameters, sorts the others by key, strips trailing slashes; unparsable: empty."""
+    """Drops the fragment and ``utm_`` parameters, sorts the others by key, strips trailing slashes; unparsable: empty. Most links are normal, which one pattern tells."""
+    return F.when(url.rlike(NORMAL), url).otherwise(_normalized(url))
+
+
+def _normalized(url: Column) -> Column:
     query = _part(url, 4)
     split = F.transform(
         F.split(query, "&", -1),
