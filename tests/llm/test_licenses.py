@@ -19,15 +19,15 @@ def plain(text):
     met, best = set(), 0.0
     for label, t in licenses.TEMPLATES:
         every = WORD.findall(t.lower())
-        tw, half = set(every), 32
+        tp, half = set(zip(every, every[1:])), 32
         while half < len(every):
             half *= 2
-        stands = len(tw) >= 20 or f" {' '.join(every)} " in f" {' '.join(w)} "
-        for s in range(0, max(len(w), 1), half):
-            both = len(tw & set(w[s : s + 2 * half]))
-            if stands and both >= (len(tw) if len(tw) < 20 else math.ceil(licenses.THRESHOLD * len(tw) - 1e-9)):
+        for s in range(0, max(len(w) - 1, 1), half):
+            part = w[s : s + 2 * half]
+            both = len(tp & set(zip(part, part[1:])))
+            if both >= math.ceil(licenses.THRESHOLD * len(tp) - 1e-9):
                 met.add(label)
-                best = max(best, both / len(tw))
+                best = max(best, both / len(tp))
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | met)), 1.0 if at else best
 
 
@@ -62,11 +62,27 @@ def test_edges(spark, edge_docs, empty_docs):
         assert same(r, plain(texts[r.doc_id])), r
     labels = {r.doc_id: r.labels for r in rows}
     assert labels[30] == labels[31] == "text:mit" and "text:mit" not in labels[32]
-    assert (labels[33], labels[34], labels[35], labels[36]) == ("", "apache", "", "notice:reserved")
+    assert (labels[33], labels[34], labels[35], labels[36]) == ("", "apache,notice:apache-2.0", "", "notice:reserved")
     assert labels[38] == "gpl,text:gpl-notice,text:zlib"
     assert licenses.scan(empty_docs).count() == 0
 
 
+def test_near_texts_and_notices(spark):
+    """Edited licenses and near notices are met with a score under 1; neither a sentence of a license's words nor another license is."""
+    t = dict(licenses.TEMPLATES)
+    plain_sentence = " for research use with data that the author provided; regard all results with care, as loss of special data can appear in it"
+    edited = lambda text, every: " ".join(w for i, w in enumerate(text.split()) if i % every)
+    rows = [(i, f"intro {i} " + edited(t[label], 17) + " outro") for i, label in enumerate(("text:mit", "text:bsd", "text:isc", "text:zlib", "text:unlicense"))]
+    rows += [(10, t["text:mit"] + plain_sentence), (11, t["text:isc"].replace("THE AUTHOR", "THE HOLDER")), (12, "This work is licensed under the GNU General Public License, version 2"), (13, "It is licensed under the Apache Software License, version 2.0, they say")]
+    rows += [(14, "the license was released under the name of a public work, all in general"), (15, edited(t["text:mit"], 3))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in enumerate(("text:mit", "text:bsd", "text:isc", "text:zlib", "text:unlicense")):
+        assert got[i].labels == label and 0.8 <= got[i].score < 1
+    assert got[10].labels == "text:mit" and got[10].score == 1.0 and got[11].labels == "text:isc" and 0.8 < got[11].score < 1
+    assert got[12].labels == "gpl,notice:gpl-3" and got[13].labels == "notice:apache-2.0" and 0.8 <= got[13].score < 1
+    assert got[14].labels == "" and got[15].labels == ""
+
+
 def test_any_template(spark):
     """Templates of any length and number: one of thousands of words, and many short ones."""
     long = " ".join(f"clause{i} of the agreement" for i in range(400))

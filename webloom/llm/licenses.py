@@ -71,37 +71,34 @@ misrepresented as being the original software. This notice may not be removed or
     ("notice:cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("notice:reserved", "All rights reserved"),
 )
-#: A template of fewer different words than this must stand word for word: a few words of a sentence can be met together by chance.
-SHORT = 20
 #: Least half length of a block. A template's half is the power of two that holds all its words; its blocks are two halves long, one half apart, so that every run of one half lies whole in some block.
 HALF = 32
-#: Containment that a template's words must reach in a block.
+#: Containment that a template's pairs of neighbouring words must reach in a block. Pairs, as the words of one license stand in others too, but in other company.
 THRESHOLD = 0.8
+#: Between the words of a pair; no word holds it.
+JOINT = "_"
 #: A word in text whose case is as it was.
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
 class Template:
-    """A template's words in order of first appearance, how many a block must hold, the half length of its blocks, and its whole wording if it is short."""
+    """A template's different pairs of neighbouring words, how many a block must hold, and the half length of its blocks."""
 
     label: str
-    words: tuple[str, ...]
+    pairs: tuple[str, ...]
     need: int
     half: int
-    phrase: str | None
 
 
 def known_templates(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
-    """Templates without words are left out."""
+    """Templates of fewer than two words have no pairs and are left out."""
     out = []
     for label, text in templates:
         every = re.findall(WORD_PATTERN, text.translate(str.maketrans(UPPER, LOWER)))
-        words = tuple(dict.fromkeys(every))
-        if words:
-            short = len(words) < SHORT
-            need = len(words) if short else math.ceil(threshold * len(words) - 1e-9)
-            out.append(Template(label, words, need, max(HALF, 1 << (len(every) - 1).bit_length()), " ".join(every) if short else None))
+        pairs = tuple(dict.fromkeys(map(JOINT.join, zip(every, every[1:], strict=False))))
+        if pairs:
+            out.append(Template(label, pairs, math.ceil(threshold * len(pairs) - 1e-9), max(HALF, 1 << (len(every) - 1).bit_length())))
     return out
 
 
@@ -127,54 +124,56 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), last).otherwise(F.array().cast("array<int>"))
 
 
-def blocks(worded: DataFrame, halves: list[int]) -> DataFrame:
-    """``(row, half, block array<string>)``: distinct words of each window of two halves, one half apart, for each of the lengths."""
+def pairs_col(words: Column) -> Column:
+    """The pairs of neighbouring words, in order."""
+    some = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat(F.get(words, i), F.lit(JOINT), F.get(words, i + 1)))
+    return F.when(F.size(words) > 1, some).otherwise(F.array().cast("array<string>"))
+
+
+def blocks(paired: DataFrame, halves: list[int]) -> DataFrame:
+    """``(row, half, block array<string>)`` of ``paired(row, pairs)``: different pairs of each window of two halves of words, one half apart, for each of the lengths."""
     def starts(half: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(half)), lambda s: F.struct(F.lit(half).alias("half"), s.alias("s")))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size("pairs") - 1, F.lit(0)), F.lit(half)), lambda s: F.struct(F.lit(half).alias("half"), s.alias("s")))
 
-    places = worded.select("row", "words", F.explode(F.concat(*map(starts, halves))).alias("at"))
-    return places.select("row", "at.half", F.array_distinct(F.slice("words", F.col("at.s") + 1, 2 * F.col("at.half"))).alias("block"))
+    places = paired.select("row", "pairs", F.explode(F.concat(*map(starts, halves))).alias("at"))
+    return places.select("row", "at.half", F.array_distinct(F.slice("pairs", F.col("at.s") + 1, 2 * F.col("at.half") - 1)).alias("block"))
 
 
 def similar(blocks: DataFrame, known: list[Template]) -> DataFrame:
-    """``(row, label, phrase, score)``: every block and template of one half length with as many common words as the template needs.
+    """``(row, label, score)``: every block and template of one half length with as many common pairs as the template needs.
 
-    Words are ordered by their frequency over all blocks, rarest first (ties by the word). A template of n words that
+    Pairs are ordered by their frequency over all blocks, rarest first (ties by the pair). A template of n pairs that
     needs o must share one of its n - o + 1 rarest: the prefix index, joined with
-    the blocks' words. A block of fewer than o words is out by length. Met first at template position i
-    and block position j (among the block's words that any template knows, in the same order), a pair can
-    reach 1 + min(n - i - 1, m - j - 1) words: out by position if that is too few. Survivors are
+    the blocks' pairs. A block of fewer than o pairs is out by length. Met first at template position i
+    and block position j (among the block's pairs that any template knows, in the same order), the two can
+    reach 1 + min(n - i - 1, m - j - 1) pairs: out by position if that is too few. Survivors are
     counted exactly. The template side has the size of the given texts and is broadcast.
     """
     spark = blocks.sparkSession
-    vocab = sorted({w for t in known for w in t.words})
-    words = _literal(vocab)
-    counted = blocks.select(F.explode(F.array_intersect("block", words)).alias("word")).groupBy("word").count()
-    ranked = inline_table(spark, [(w,) for w in vocab], "word string").join(counted, "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("n"))
-    rank = {r["word"]: i for i, r in enumerate(ranked.orderBy("n", "word").collect())}
+    vocab = sorted({x for t in known for x in t.pairs})
+    counted = blocks.select(F.explode(F.array_intersect("block", _literal(vocab))).alias("pair")).groupBy("pair").count()
+    ranked = inline_table(spark, [(x,) for x in vocab], "pair string").join(counted, "pair", "left").select("pair", F.coalesce("count", F.lit(0)).alias("n"))
+    rank = {r["pair"]: i for i, r in enumerate(ranked.orderBy("n", "pair").collect())}
     index, full = [], []
     for n, t in enumerate(known):
-        order = sorted(t.words, key=rank.__getitem__)
-        full.append((n, t.label, t.phrase, order, t.need))
-        index += [(w, t.half, n, i) for i, w in enumerate(order[: len(order) - t.need + 1])]
-    prefix = inline_table(spark, index, "word string, half int, t int, i int")
-    whole = inline_table(spark, full, "t int, label string, phrase string, tokens array<string>, need int")
-    ordered, first = _literal(rank), _literal(dict.fromkeys(w for w, *_ in index))
+        order = sorted(t.pairs, key=rank.__getitem__)
+        full.append((n, t.label, order, t.need))
+        index += [(x, t.half, n, i) for i, x in enumerate(order[: len(order) - t.need + 1])]
+    prefix = inline_table(spark, index, "pair string, half int, t int, i int")
+    whole = inline_table(spark, full, "t int, label string, tokens array<string>, need int")
+    ordered, first = _literal(rank), _literal(dict.fromkeys(x for x, *_ in index))
     mine = blocks.where(F.arrays_overlap("block", first)).select("row", "half", F.array_intersect(ordered, F.col("block")).alias("block"))
-    keyed = mine.select("row", "half", "block", F.posexplode("block").alias("j", "word"))
-    found = keyed.join(F.broadcast(prefix), ["word", "half"]).join(F.broadcast(whole), "t")
+    keyed = mine.select("row", "half", "block", F.posexplode("block").alias("j", "pair"))
+    found = keyed.join(F.broadcast(prefix), ["pair", "half"]).join(F.broadcast(whole), "t")
     found = found.where((F.size("block") >= F.col("need")) & (1 + F.least(F.size("tokens") - F.col("i") - 1, F.size("block") - F.col("j") - 1) >= F.col("need")))
     both = F.size(F.array_intersect("block", "tokens"))
-    return found.where(both >= F.col("need")).select("row", "label", "phrase", (both / F.size("tokens")).alias("score"))
+    return found.where(both >= F.col("need")).select("row", "label", (both / F.size("tokens")).alias("score"))
 
 
 def matches(texts: DataFrame, known: list[Template]) -> DataFrame:
-    """``(row, met, best)``: labels and the greatest containment for the rows of ``texts(row, words)`` that meet a template; short ones must also stand word for word."""
-    found = materialize(similar(blocks(texts, sorted({t.half for t in known})), known).groupBy("row", "label", "phrase").agg(F.max("score").alias("score")), "licenses-found")
-    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    whole = found.where("phrase is null").select("row", "label", "score")
-    short = found.where("phrase is not null").join(texts, "row").where(F.contains(spaced(F.array_join("words", " ")), spaced(F.col("phrase")))).select("row", "label", "score")
-    return whole.unionByName(short).groupBy("row").agg(F.collect_set("label").alias("met"), F.max("score").alias("best"))
+    """``(row, met, best)``: labels and the greatest containment for the rows of ``texts(row, words)`` that meet a template."""
+    paired = texts.select("row", pairs_col(F.col("words")).alias("pairs"))
+    return similar(blocks(paired, sorted({t.half for t in known})), known).groupBy("row").agg(F.collect_set("label").alias("met"), F.max("score").alias("best"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -221,13 +220,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 def needles(known: list[Template]) -> list[str]:
     """Words of which a text that holds a phrase or meets a template has one as a substring.
 
-    A template of n words that needs o shares at least one of any n - o + 1 of its words; long
-    words are asked for, and of these the ones that many templates hold.
+    A template of n pairs that needs o shares at least one of any n - o + 1 of its pairs, and so the longer word of that
+    pair; long words are asked for, and of these the ones that many templates hold.
     """
-    held = Counter(w for t in known for w in t.words)
+    held = Counter(w for t in known for w in {w for x in t.pairs for w in x.split(JOINT)})
     out = {p.split()[-1] for p, _ in PHRASES}
     for t in known:
-        out.update(sorted(t.words, key=lambda w: (-min(len(w), 8), -held[w], w))[: len(t.words) - t.need + 1])
+        best = sorted((-min(len(w), 8), -held[w], w) for w in (min(x.split(JOINT), key=lambda w: (-min(len(w), 8), -held[w], w)) for x in t.pairs))
+        out.update(w for *_, w in best[: len(t.pairs) - t.need + 1])
     return sorted(out)
 
 
@@ -248,15 +248,16 @@ def oracle_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
         at.append(found)
         base.append(f"CASE WHEN len({found}) > 0 THEN '{label}' END")
     known = known_templates(templates, threshold)
-    rows = ", ".join(f"('{t.label}', {list(t.words)!r}, {t.need}, {t.half}, {'NULL' if t.phrase is None else repr(t.phrase)})" for t in known)
-    vocab = ", ".join(repr(w) for w in sorted({w for t in known for w in t.words}))
+    rows = ", ".join(f"('{t.label}', {list(t.pairs)!r}, {t.need}, {t.half})" for t in known)
+    vocab = ", ".join(repr(x) for x in sorted({x for t in known for x in t.pairs}))
     halves = ", ".join(f"({h})" for h in sorted({t.half for t in known}))
     return f"""WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {low} AS w FROM documents),
-t AS (SELECT * FROM (VALUES {rows}) v(label, ws, need, half, phrase)),
-s AS (SELECT rn, w, half, unnest(range(0, greatest(len(w), 1), half)) AS s FROM d, (VALUES {halves}) h(half) WHERE len(list_intersect(w, [{vocab}])) > 0),
-b AS (SELECT rn, w, half, list_distinct(list_slice(w, s + 1, s + 2 * half)) AS b FROM s),
-m AS (SELECT rn, label, len(list_intersect(b, ws)) AS o, len(ws) AS n, need, phrase, w FROM b JOIN t ON b.half = t.half),
-g AS (SELECT rn, list_distinct(list(label)) AS met, max(o::DOUBLE / n) AS best FROM m WHERE o >= need AND (phrase IS NULL OR contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ')) GROUP BY 1),
+t AS (SELECT * FROM (VALUES {rows}) v(label, ws, need, half)),
+e AS (SELECT rn, list_transform(range(1, len(w)), lambda i: w[i] || '{JOINT}' || w[i + 1]) AS p FROM d),
+s AS (SELECT rn, p, half, unnest(range(0, greatest(len(p), 1), half)) AS s FROM e, (VALUES {halves}) h(half) WHERE len(list_intersect(p, [{vocab}])) > 0),
+b AS (SELECT rn, half, list_distinct(list_slice(p, s + 1, s + 2 * half - 1)) AS b FROM s),
+m AS (SELECT rn, label, len(list_intersect(b, ws)) AS o, len(ws) AS n, need FROM b JOIN t ON b.half = t.half),
+g AS (SELECT rn, list_distinct(list(label)) AS met, max(o::DOUBLE / n) AS best FROM m WHERE o >= need GROUP BY 1),
 p AS (SELECT d.rn, doc_id, len(w) AS n_words, list_concat(list_concat({at[0]}, {at[1]}), {at[2]}) AS places, list_filter([{', '.join(base)}], lambda x: x IS NOT NULL) AS base FROM d)
 SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
 array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(met, [])))), ',') AS labels,
