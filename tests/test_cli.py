@@ -74,6 +74,7 @@ def test_search_with_content(run, server):
     base, _ = server
     plain = run("search", "words", "--backend", "searxng", "--searxng-url", base)
     assert "Hit" in plain.out and "Dead" in plain.out
+    assert plain.out.startswith("---\nquery: words\nbackend: searxng\nresult_count: 2\n---\n")
     rows = [json.loads(x) for x in run("search", "words", "--backend", "searxng", "--searxng-url", base, "--scrape", "--json", "--trim").out.splitlines()]
     assert [r["title"] for r in rows] == ["Hit", "Dead"] and rows[0]["content"].startswith("A\n") and "content" not in rows[1]
     text = run("search", "words", "--backend", "searxng", "--searxng-url", base, "--scrape").out
@@ -113,3 +114,18 @@ def test_background_crawl(run, server, tmp_path, monkeypatch):
     assert status["status"] == "completed" and (status["id"], status["pages"]) == (job, 3)
     with pytest.raises(ValueError, match="not running"):
         run("crawl", "stop", job)
+
+
+def test_local_docs_and_config(run, tmp_path):
+    for name, text in (("a.md", "# Harbour guide\nboats and boats"), ("b.txt", "Trains.\nNo boats at all, but trains"), ("c.txt", "nothing")):
+        (tmp_path / "docs").mkdir(exist_ok=True)
+        (tmp_path / "docs" / name).write_text(text)
+    out = run("docs", "boats harbour", "--backend", "local", "--path", tmp_path / "docs").out
+    assert out.index("a.md") < out.index("b.txt") and "# Harbour guide" in out and "c.txt" not in out
+    with pytest.raises(SystemExit, match="--path"):
+        run("docs", "x", "--backend", "local")
+    assert run("config", "path").out.strip() == str(tmp_path / "config.json")
+    assert "created" in run("config", "init").err
+    with pytest.raises(SystemExit, match="exists"):
+        run("config", "init")
+    assert json.loads(run("config", "limit", "7").out)["limit"] == 7

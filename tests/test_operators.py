@@ -318,3 +318,32 @@ def test_normal_urls_are_left_alone(spark, found):
     """The short way for normal urls gives what the long way gives."""
     df = spark.createDataFrame([(u,) for u in found], "u string")
     assert df.where(~urls.normalize_url(F.col("u")).eqNullSafe(urls._normalized(F.col("u")))).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_stop_inside_a_level_keeps_what_was_committed(spark, tmp_path, monkeypatch, few):
+    """Twenty pages on one level in steps of six: stopped after the second step, its pages and the cache hold what was written; a second crawl ends with all."""
+    monkeypatch.setattr(crawl, "FEW", few)
+    site = pages(spark, {"/": [f"/{i}" for i in range(20)], **{f"/{i}": ["/", "/deep"] for i in range(20)}, "/deep": []})
+    c = PageCache(spark, str(tmp_path / "cache"))
+    stop, seen = threading.Event(), []
+
+    def step(level, rows):
+        seen.append((level, rows.count()))
+        if sum(n for _, n in seen) > 10:
+            stop.set()
+
+    got = crawl.crawl(spark, ["http://s.test/"], site, depth=2, cache=c, step=6, on_level=step, stop=stop).collect()
+    assert len(got) == sum(n for _, n in seen) and 10 < len(got) < 21 and {r.depth for r in got} == {0, 1}
+    assert sorted(r.p.url for r in c.entries().collect()) == sorted(r.url for r in got)
+    again = crawl.crawl(spark, ["http://s.test/"], site, depth=2, cache=c, step=6, expand_cached=True).collect()
+    assert len(again) == len({r.url for r in again}) == 22 or {r.status for r in again} == {"unchanged"}
+    whole = crawl.crawl(spark, ["http://s.test/"], site, depth=2, step=6).collect()
+    assert sorted((r.url, r.depth) for r in whole) == sorted((r.url, r.depth) for r in crawl.crawl(spark, ["http://s.test/"], site, depth=2).collect()) and len(whole) == 22
+
+
+def test_errors_of_backends(spark):
+    tries = spark.createDataFrame([(1, 1, 401, "x"), (2, 1, 429, "x"), (3, 1, 500, "x"), (4, 1, 200, "ok"), (5, 1, 403, "x")], "request_id int, attempt int, status int, body string")
+    errors = lambda b: [r.error for r in web.settle_attempts(tries, b).orderBy("request_id").collect()]
+    assert errors("brave") == ["brave: invalid API key", "brave: rate limited", "brave returned status 500", None, "brave returned status 403"]
+    assert errors("github")[4] == "github: rate limited" and errors("ddg")[0] == errors(None)[0] == "search returned status 401"

@@ -12,7 +12,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from webloom.functions.text import post_process
+from webloom.functions.text import first_line, post_process
 from webloom.functions.urls import build_query, is_bare_domain, llms_url
 from webloom.operators import crawl, encode, fetch
 from webloom.operators.cache import PageCache
@@ -74,7 +74,7 @@ def _search(spark, a) -> None:
     reader = spark.read.format("search_payload").options(**{k: str(v) for k, v in config.items()}).option("backend", backend).option("limit", a.limit)
     if a.searxng_url:
         reader = reader.option("searxng_url", a.searxng_url)
-    settled = materialize(web.settle_attempts(reader.option("queries", json.dumps([a.query])).load()), "cli-search")
+    settled = materialize(web.settle_attempts(reader.option("queries", json.dumps([a.query])).load(), backend), "cli-search")
     for r in settled.where("error is not null").select("error").collect():
         raise SystemExit(r["error"])
     results = web.web_results(settled.select(F.col("request_id").alias("query_id"), "body"), backend, a.limit)
@@ -87,7 +87,10 @@ def _search(spark, a) -> None:
     else:
         text = encode.search_line(c("url"), c("title"), c("description")) if a.minimal else encode.search_entry(c("title"), c("url"), c("description"))
     shown = encode.escaped_json(F.to_json(F.struct(*[x for x in ("title", "url", "description", "content") if x in results.columns]))) if a.json else text
-    for r in results.orderBy("pos").select(shown.alias("line")).collect():
+    rows = results.orderBy("pos").select(shown.alias("line")).collect()
+    if not (a.json or a.minimal or a.scrape):
+        print(_header(spark, query=a.query, backend=backend, result_count=len(rows)))
+    for r in rows:
         print(r["line"])
 
 
@@ -95,7 +98,9 @@ def _answers(spark, a, backend: str, query: str):
     """Settled answers of a backend as ``(response_id, body)``."""
     options = {k: str(v) for k, v in inputs.load_config(CONFIG).items()} | {"github_token": inputs.resolve_token(inputs.load_config(CONFIG))[0]}
     reader = spark.read.format("search_payload").options(**options).option("backend", backend).option("limit", a.limit)
-    settled = web.settle_attempts(reader.option("queries", json.dumps([query])).load())
+    settled = materialize(web.settle_attempts(reader.option("queries", json.dumps([query])).load(), backend), "cli-answers")
+    for r in settled.where("error is not null").select("error").collect():
+        raise SystemExit(r["error"])
     return settled.where("error is null").select(F.col("request_id").alias("response_id"), "body")
 
 
@@ -104,13 +109,30 @@ def _code(spark, a) -> None:
     results = code.code_results(_answers(spark, a, a.backend, text), a.backend, a.limit)
     c = F.col
     line = encode.code_line(c("url"), c("repo"), c("snippet")) if a.minimal else encode.code_entry(c("repo"), c("path"), c("line"), c("stars"), c("snippet"), c("url"))
-    for r in results.orderBy("pos").select(line.alias("line")).collect():
+    rows = results.orderBy("pos").select(line.alias("line")).collect()
+    if not a.minimal:
+        print(_header(spark, query=a.query, lang=a.lang or None, backend=a.backend, result_count=len(rows)))
+    for r in rows:
         print(r["line"])
 
 
+def _header(spark, **fields) -> str:
+    """What stands before a list of results; fields that are None are left out."""
+    columns = [(k, F.lit(None if v is None else str(v)).cast("string")) for k, v in fields.items()]
+    return spark.range(1).select(encode.header(columns).alias("t")).first()["t"]
+
+
 def _docs(spark, a) -> None:
     if a.backend == "local":
-        docs.local_search()
+        if not a.path:
+            raise SystemExit("the local backend searches the files under --path")
+        files = spark.read.text(a.path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+        files = materialize(files.withColumn("doc_id", F.monotonically_increasing_id()), "cli-files")
+        found = docs.local_search(files, spark.createDataFrame([(0, a.query)], "query_id int, text string"), a.limit).join(files, "doc_id")
+        line = encode.docs_line(F.col("file"), F.lit("local"), F.col("text")) if a.minimal else encode.docs_entry(F.lit("local"), F.lit(""), first_line(F.col("text")), F.col("file"))
+        for r in found.orderBy("rank").select(line.alias("line")).collect():
+            print(r["line"])
+        return
     found = docs.resolve_library(_answers(spark, a, "context7", a.library or a.query))
     if a.resolve:
         for r in found.orderBy("pos").collect():
@@ -167,9 +189,20 @@ def _cache(spark, a) -> None:
 
 
 def _config(_spark, a) -> None:
+    """Shows the settings; ``init`` writes the built-in ones where there are none, ``path`` says where they are, a key and a value set one."""
+    if a.key == "path":
+        print(CONFIG)
+        return
+    if a.key == "init":
+        if os.path.exists(CONFIG):
+            raise SystemExit(f"config already exists: {CONFIG}")
+        inputs.save_config(CONFIG, dict(inputs.DEFAULTS))
+        print(f"created {CONFIG}", file=sys.stderr)
+        return
     config = inputs.load_config(CONFIG)
     if a.key:
-        inputs.save_config(CONFIG, inputs.set_config(config, a.key, a.value))
+        config = inputs.set_config(config, a.key, a.value)
+        inputs.save_config(CONFIG, config)
     print(json.dumps(inputs.discover(config), indent=2))
 
 
@@ -209,6 +242,7 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("query")
     s.add_argument("--backend", choices=inputs.BACKENDS["docs"], default="context7")
     s.add_argument("--library", default="")
+    s.add_argument("--path", default="", help="files that the local backend searches")
     s.add_argument("--tokens", type=int, default=docs.DEFAULT_TOKENS)
     s.add_argument("--limit", type=int, default=5)
     s.add_argument("--resolve", action="store_true")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NO_SPACE = SPACE.replace("[", "[^", 1)
 FENCE = "(?s)```.*?```"
-#: (pattern, replacement), in order. (?d): only \n ends a line.
+#: How markdown is stripped, (pattern, replacement) in order. (?d): only \n ends a line.
 RULES = (
     (r"(?d)\*\*(.+?)\*\*", "$1"),
     (r"(?d)__(.+?)__", "$1"),

@@ -10,7 +10,8 @@ import secrets
 import signal
 import tempfile
 import threading
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,7 @@ def crawl(
     expand_cached: bool = False,
     rendered: DataFrame | None = None,
     content: bool = False,
+    step: int | None = None,
     on_level: Callable[[int, DataFrame], None] | None = None,
     stop: threading.Event | None = None,
 ) -> DataFrame:
@@ -78,8 +80,11 @@ def crawl(
 
     With a ``cache``, a fresh entry gives ``unchanged`` and isn't expanded unless ``expand_cached``; an expired one is fetched, and is
     ``unchanged`` or ``changed`` by its content hash. A :class:`PageCache` gets each level's fetched pages as the level
-    is done (its own ttl holds). ``content`` adds title, markdown and content hash of fetched pages. ``stop`` ends the crawl between levels
-    with what was found; ``on_level`` sees each level as it is done.
+    is done (its own ttl holds). ``content`` adds title, markdown and content hash of fetched pages.
+
+    With ``step``, a level goes in parts of about so many pages, each written, kept in the cache and committed before the next one: for live
+    webs, where pages are dear. ``on_level`` sees each level or part as it is done; ``stop`` ends the crawl before the next one and
+    leaves all that was committed.
     """
     live = callable(web)
     keeps = isinstance(cache, PageCache)
@@ -95,57 +100,78 @@ def crawl(
     log = Bucketed(spark, new_path(spark, "crawl"), store.table.n if store else None, part="depth")
     front = first.select(normalize_url(F.col("url")).alias("url")).where("url <> ''").distinct().where(fits)
     few: list[str] | None = None
+    hashed = cache is None or keeps or "content_hash" in cache.schema["p"].dataType.names
+
+    def visit(front: DataFrame, few: list[str] | None, level: int) -> dict:
+        """Writes what becomes of the urls of ``front`` (those of ``few``, if given) and counts it."""
+        work = front.select("url").withColumn("source", F.lit(source if level == 0 else "link"))
+        if cache is None:
+            work = work.withColumn("entry", F.lit(None).cast("struct<t:bigint,p:struct<content_hash:string>>"))
+        else:
+            work = with_entries(work, cache.entries_for(front) if keeps else cache)
+        work = work.withColumn("cached", fresh(F.col("entry"), now, ttl_seconds))
+        if live:
+            work = materialize(work, "crawl-frontier")
+            known = one_snapshot(materialize(web(work.where("not cached").select("url")), "crawl-fetched").select("url", "status", "body"))
+        else:
+            known = store.rows(few)
+        got = work.join(known if few is not None or live else known.hint("merge"), "url", "left")
+        reason = F.when(F.col("status").isNull(), "no snapshot of ").when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(" for ")))
+        got = got.withColumn("error", F.when(~F.col("cached"), F.concat(reason, F.col("url"))))
+        if live or not store.read:
+            forced = None
+            if rendered is not None and level:
+                hosts = host_stats(log.rows().where("status = 'new' and js_detection is not null")).where("force_render").select("host", F.lit(True).alias("__force"))
+                got = got.withColumn("host", url_host(F.col("url"))).join(hosts, "host", "left").drop("host")
+                forced = F.col("__force")
+            got = got.withColumn("body", F.when(~F.col("cached") & F.col("error").isNull(), capped(F.col("body"))))
+            got = read_pages(got, *wants, rendered=rendered, forced=forced)
+            if forced is not None:
+                got = got.withColumn("js_detection", F.when(F.coalesce(forced, F.lit(False)), F.lit(None)).otherwise(F.col("js_detection")))
+            got = got.select("url", "source", "cached", "entry", "error", *page_columns(F.col("page"), "main" in wants))
+        fetched = ~F.col("cached") & F.col("error").isNull()
+        old = F.col("entry.p.content_hash") if hashed else F.lit(None).cast("string")
+        again = F.when(old == F.col("content_hash"), "unchanged").when(old.isNotNull() & F.col("content_hash").isNotNull(), "changed").otherwise("new")
+        status = F.when(F.col("cached"), "unchanged").when(fetched, F.when(F.col("entry").isNotNull(), again).otherwise("new"))
+        expand = F.lit(level < depth) & F.col("error").isNull() & (F.lit(True) if expand_cached else ~F.col("cached"))
+        kept = [F.when(fetched, F.col(c)).alias(c) if "main" in wants else F.lit(None).cast("string").alias(c) for c in ("content_hash", "title", "markdown")]
+        rows = got.select("url", "source", status.alias("status"), "error", "js_detection", *kept, F.when(expand, F.col("links")).alias("links"), F.lit(level).alias("depth"))
+        return log.append(rows, rows=F.count(F.lit(1)), links=F.sum(F.when(F.col("links").isNotNull(), F.size("links"))))
+
+    def parts(front: DataFrame, few: list[str] | None) -> Iterator[tuple[DataFrame, list[str] | None, Column]]:
+        """The parts of a level and how the rows of each are told; the frontier is written first, as each part reads it."""
+        if step is None:
+            yield front, few, F.lit(True)
+        elif few is not None:
+            for some in batched(few, step):
+                yield spark.createDataFrame([(u,) for u in some], "url string"), list(some), F.col("url").isin(list(some))
+        else:
+            held = materialize(front.select("url"), "crawl-frontier")
+            n = -(-held.count() // step)
+            for k in range(n):
+                mine = F.pmod(F.xxhash64("url"), F.lit(n)) == k
+                yield held.where(mine), None, mine
+
     try:
         for level in range(depth + 1):
-            if stop is not None and stop.is_set():
-                break
-            work = front.withColumn("source", F.lit(source if level == 0 else "link"))
-            if cache is None:
-                work = work.withColumn("entry", F.lit(None).cast("struct<t:bigint,p:struct<content_hash:string>>"))
-            else:
-                work = with_entries(work, cache.entries_for(front) if keeps else cache)
-            work = work.withColumn("cached", fresh(F.col("entry"), now, ttl_seconds))
-            if live:
-                work = materialize(work, "crawl-frontier")
-                known = one_snapshot(materialize(web(work.where("not cached").select("url")), "crawl-fetched").select("url", "status", "body"))
-            else:
-                known = store.rows(few)
-            got = work.join(known if few is not None or live else known.hint("merge"), "url", "left")
-            reason = F.when(F.col("status").isNull(), "no snapshot of ").when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(" for ")))
-            got = got.withColumn("error", F.when(~F.col("cached"), F.concat(reason, F.col("url"))))
-            if live or not store.read:
-                forced = None
-                if rendered is not None and level:
-                    hosts = host_stats(log.rows().where("status = 'new' and js_detection is not null")).where("force_render").select("host", F.lit(True).alias("__force"))
-                    got = got.withColumn("host", url_host(F.col("url"))).join(hosts, "host", "left").drop("host")
-                    forced = F.col("__force")
-                got = got.withColumn("body", F.when(~F.col("cached") & F.col("error").isNull(), capped(F.col("body"))))
-                got = read_pages(got, *wants, rendered=rendered, forced=forced)
-                if forced is not None:
-                    got = got.withColumn("js_detection", F.when(F.coalesce(forced, F.lit(False)), F.lit(None)).otherwise(F.col("js_detection")))
-                got = got.select("url", "source", "cached", "entry", "error", *page_columns(F.col("page"), "main" in wants))
-            fetched = ~F.col("cached") & F.col("error").isNull()
-            old = F.col("entry.p.content_hash") if cache is None or keeps or "content_hash" in cache.schema["p"].dataType.names else F.lit(None).cast("string")
-            again = F.when(old == F.col("content_hash"), "unchanged").when(old.isNotNull() & F.col("content_hash").isNotNull(), "changed").otherwise("new")
-            status = F.when(F.col("cached"), "unchanged").when(fetched, F.when(F.col("entry").isNotNull(), again).otherwise("new"))
-            expand = F.lit(level < depth) & F.col("error").isNull() & (F.lit(True) if expand_cached else ~F.col("cached"))
-            kept = [F.when(fetched, F.col(c)).alias(c) if "main" in wants else F.lit(None).cast("string").alias(c) for c in ("content_hash", "title", "markdown")]
-            rows = got.select("url", "source", status.alias("status"), "error", "js_detection", *kept, F.when(expand, F.col("links")).alias("links"), F.lit(level).alias("depth"))
-            done = log.append(rows, rows=F.count(F.lit(1)), links=F.sum(F.when(F.col("links").isNotNull(), F.size("links"))))
-            if not done["rows"]:
-                break
-            here = log.rows().where(F.col("depth") == level)
-            if keeps:
-                blank = [F.lit("").alias(c) for c in ("etag", "last_modified")]
-                cache.upsert(here.where("markdown is not null").select("url", "title", "markdown", *blank, "content_hash"), now)
-            if on_level is not None:
-                on_level(level, here.select(*RESULT_COLUMNS))
-            if not done["links"]:
+            rows = links = 0
+            for some, listed, mine in parts(front, few):
+                if stop is not None and stop.is_set():
+                    break
+                done = visit(some, listed, level)
+                rows, links = rows + done["rows"], links + done["links"]
+                here = log.rows().where((F.col("depth") == level) & mine) if done["rows"] else None
+                if keeps and here is not None:
+                    blank = [F.lit("").alias(c) for c in ("etag", "last_modified")]
+                    cache.upsert(here.where("markdown is not null").select("url", "title", "markdown", *blank, "content_hash"), now)
+                if on_level is not None and here is not None:
+                    on_level(level, here.select(*RESULT_COLUMNS))
+            if not rows or not links or (stop is not None and stop.is_set()):
                 break
-            front = here.select(F.explode("links").alias("url")).where("url <> ''").where(fits).distinct().repartition(log.n, "url")
+            front = log.rows().where(F.col("depth") == level).select(F.explode("links").alias("url")).where("url <> ''").where(fits).distinct().repartition(log.n, "url")
             front = front.join(log.rows().select("url"), "url", "left_anti")
             few = None
-            if done["links"] <= FEW:
+            if links <= FEW:
                 few = [r["url"] for r in front.collect()]
                 if not few:
                     break
@@ -210,8 +236,12 @@ def summary(results: DataFrame) -> DataFrame:
     return counters(results).withColumn("pages", F.col("pages") - F.col("errors"))
 
 
+#: Pages of a live crawl after which its status is written and what was found is kept.
+STATUS_PAGES = 10
+
+
 class CrawlJobs:
-    """Background crawls with a status file each: starting, running, then completed, failed or stopped."""
+    """Background crawls with a status file each: starting, running, then completed, failed or stopped; live ones go in steps of STATUS_PAGES pages."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -243,6 +273,7 @@ class CrawlJobs:
             self._write(status)
 
         def run() -> None:
+            options.setdefault("step", STATUS_PAGES if callable(web) else None)
             self.spark.sparkContext.setJobGroup(job, f"crawl {seed}", True)
             status["status"] = "running"
             self._write(status)

@@ -86,11 +86,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 _written: dict[str, list[str]] = {}
 
 
-def clear_written(spark: SparkSession) -> int:
-    """Deletes the tables that this application has written so far, for when no result that reads them is needed any more."""
+def written_so_far(spark: SparkSession) -> int:
+    """How many places :func:`new_path` has given to this application."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def clear_written(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+    """Deletes the tables that this application has written so far (or between two counts of :func:`written_so_far`), for when no result that reads them is needed any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    paths = _written.pop(spark.sparkContext.applicationId, [])
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-    return len(paths)
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone = paths[since:until]
+    for i, p in enumerate(gone, since):
+        if p:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        paths[i] = ""
+    return sum(map(bool, gone))

@@ -37,10 +37,11 @@ def web_results(payloads: DataFrame, backend: str, limit: int) -> DataFrame:
     return out.where(F.col("pos") < limit)
 
 
-def settle_attempts(attempts: DataFrame) -> DataFrame:
+def settle_attempts(attempts: DataFrame, backend: str | None = None) -> DataFrame:
     """``attempts(request_id, attempt, status, body)`` -> ``(request_id, attempt, status, body, error)``.
 
-    Up to three tries; only a 202 is tried again; the first other answer counts.
+    Up to three tries; only a 202 is tried again; the first other answer counts. With a ``backend`` that has keys and limits, its
+    errors say so, see :func:`payload_error`.
     """
     tried = attempts.where(F.col("attempt") <= TRIES)
     final = tried.groupBy("request_id").agg(
@@ -49,6 +50,8 @@ def settle_attempts(attempts: DataFrame) -> DataFrame:
     )
     got = final.select("request_id", F.coalesce("f", "last").alias("x")).select("request_id", "x.*")
     error = F.when(F.col("status") != 200, F.concat(F.lit("search returned status "), F.col("status").cast("string")))
+    if backend not in (None, "ddg"):
+        error = payload_error(backend, F.col("status"))
     return got.select("request_id", "attempt", "status", F.when(F.col("status") == 200, F.col("body")).alias("body"), error.alias("error"))
 
 
@@ -63,6 +66,6 @@ def payload_error(backend: str, status: Column) -> Column:
     return (
         F.when(status == 200, F.lit(None))
         .when(status == 401, F.lit(f"{backend}: invalid API key"))
-        .when(status == 429, F.lit(f"{backend}: rate limited"))
+        .when(status.isin(*((403, 429) if backend == "github" else (429,))), F.lit(f"{backend}: rate limited"))
         .otherwise(F.concat(F.lit(f"{backend} returned status "), status.cast("string")))
     )
