@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from webloom.llm import mixing, quality, simhash, tokenbin, winnow
 from webloom.llm.common import materialize
 from webloom.llm.queries import tokenizer_path
-from webloom.session import table
+from webloom.session import clear_written, table, written_so_far
 
 #: Word shares that the mixture aims at, and its size against the stage's input. The budget lies over 1 so that good documents keep a rate of one or more.
 WEIGHTS, BUDGET, FLOOR = {"good": 0.94, "poor": 0.03, "toxic": 0.03}, 1.1, 0.0
@@ -55,8 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is written and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; each result is written and read again as the next one's input. What a stage wrote for itself, and its input, goes once its result is written."""
+    docs, mark = table(spark, sf_dir, "documents"), written_so_far(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear_written(spark, mark, written_so_far(spark) - 1)
     return STAGES[-1][1](spark, docs, sf_dir)

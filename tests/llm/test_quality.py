@@ -88,3 +88,43 @@ def test_context_sums_of_all_texts(spark, edge_docs, empty_docs, monkeypatch):
         for r in rows:
             whole.add(*quality.codes_of((r.text or "")[:20_000].encode(), quality.Codes()))
         assert (small == whole.done()).all()
+
+
+def test_score_by_hand(spark, edge_docs):
+    """A score from given weights, word by word in plain Python: pooled vectors, two layers, temperature."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    k = quality.FEATURES
+    net = quality.Network(vectors, rng.normal(size=k), rng.uniform(0.5, 2, k), rng.normal(size=(k, 5)), rng.normal(size=5), rng.normal(size=5), 0.3, 1.7)
+
+    def shape(t):
+        if not (t[0].isascii() and t[0].isalnum() or ord(t[0]) >= 128):
+            return 7
+        return 3 if t.isdigit() else 5 if len(t) == 1 else 6 if len(t) > 24 else 0 if t.islower() else 2 if t.isupper() else 1 if t.istitle() else 4
+
+    def by_hand(text):
+        alnum = lambda c: c.isascii() and c.isalnum() or ord(c) >= 128
+        words = "".join(c if alnum(c) else " " for c in text or "").split(" ")
+        marks = "".join(" " if alnum(c) or c in "\t\n\v\f\r " else c for c in text or "").split(" ")
+        words, marks = [w for w in words if w], [m for m in marks if m]
+        bucket = lambda t: zlib.crc32(t.encode()) % quality.BUCKETS
+        x = [0.0] * k
+        for part, at in ((words, 0), (marks, quality.DIM)):
+            for t in part:
+                for d in range(quality.DIM):
+                    x[at + d] += float(vectors[bucket(t)][d]) / len(part)
+        for w in words:
+            x[2 * quality.DIM + shape(w)] += 1 / len(words)
+        if words:
+            x[-4] = sum(bucket(a) == bucket(b) for a, b in zip(words, words[1:], strict=False)) / len(words)
+            x[-3] = len(set(map(bucket, words))) / len(words)
+        x[-2] = len(marks) / (len(words) + len(marks)) if words or marks else 0.0
+        x[-1] = np.log1p(len(words)) / 10
+        hidden = [np.tanh(sum((x[i] - net.mean[i]) / net.scale[i] * net.w1[i][j] for i in range(k)) + net.b1[j]) for j in range(5)]
+        z = (sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2) / net.temperature
+        return 1 / (1 + np.exp(-max(-30, min(30, z))))
+
+    docs = edge_docs.where("doc_id is null or doc_id <> 3")
+    got = sorted((str(r.doc_id), r.score) for r in quality.score(docs, net).collect())
+    want = sorted((str(r.doc_id), by_hand(r.text)) for r in docs.collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-5)
