@@ -25,7 +25,7 @@ SPA_MARKERS = (
 #: How a page says that it needs JavaScript.
 NEEDS_JS = ("enable javascript", "requires javascript", "ensure javascript", "javascript is required", "javascript is disabled")
 
-SIGNALS = "visible_bytes int, meaningful int, noscript_js boolean, needs_js boolean, loading boolean, script_bytes int, title string"
+SIGNALS = "visible_bytes int, visible_words int, meaningful int, noscript_js boolean, needs_js boolean, loading boolean, script_bytes int, title string"
 
 
 def _tree(page: str | Node) -> Node:
@@ -53,7 +53,7 @@ def signals_of(page: str | Node) -> dict:
     outside = (body if body is not None else root).text().lower()
     needs = lambda low: any(phrase in low for phrase in NEEDS_JS)
     return {
-        "visible": text, "visible_bytes": len(text.encode()), "meaningful": meaningful, "noscript_js": noscript, "needs_js": needs(outside),
+        "visible": text, "visible_bytes": len(text.encode()), "visible_words": text.count(" ") + 1 if text else 0, "meaningful": meaningful, "noscript_js": noscript, "needs_js": needs(outside),
         "loading": "loading" in text.lower() and needs(text.lower()), "script_bytes": scripts, "title": title_of(root),
     }
 

@@ -13,14 +13,13 @@ from webloom.functions import urls as U
 def host_report(pages: DataFrame) -> DataFrame:
     """``(host, pages, title_words, visible_words)``: one parse a page, one shuffle of four columns a host."""
     page = pages.select(U.normalize_url(F.col("url")).alias("url"), H.html_signals(F.col("html")).alias("s"))
-    rows = page.select(U.url_host(F.col("url")).alias("host"), "url", T.word_count(F.col("s.title")).alias("tw"), T.word_count(F.col("s.visible")).alias("vw"))
+    rows = page.select(U.url_host(F.col("url")).alias("host"), "url", T.word_count(F.col("s.title")).alias("tw"), F.col("s.visible_words").alias("vw"))
     return rows.groupBy("host").agg(F.count("*").alias("pages"), F.sum("tw").alias("title_words"), F.sum("vw").alias("visible_words"))
 
 
 def readable_pages(pages: DataFrame, trim: bool = True, max_chars: int = 0) -> DataFrame:
-    """``(url, title, markdown, content_hash, words)`` of pages that aren't shells: detect, extract, post-process, hash."""
-    seen = pages.withColumn("s", H.html_signals(F.col("html")))
-    kept = seen.where(H.detect_js_shell(F.col("s"), F.col("html")) != "likely_shell")
-    main = kept.select("url", H.extract_main(F.col("url"), F.col("html")).alias("m"))
-    text = T.post_process(F.col("m.markdown"), trim, max_chars)
-    return main.select("url", "m.title", text.alias("markdown"), T.content_hash(text).alias("content_hash"), T.word_count(text).alias("words"))
+    """``(url, title, markdown, content_hash, words)`` of pages that aren't shells: one parse detects and extracts, then post-process and hash."""
+    seen = pages.withColumn("p", H.read_page(F.col("url"), F.col("html"), "signals", "main"))
+    kept = seen.where(H.detect_js_shell(F.col("p"), F.col("html")) != "likely_shell")
+    text = T.post_process(F.col("p.markdown"), trim, max_chars)
+    return kept.select("url", "p.title", text.alias("markdown"), T.content_hash(text).alias("content_hash"), T.word_count(text).alias("words"))
