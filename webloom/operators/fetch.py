@@ -36,13 +36,14 @@ def one_snapshot(web: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     return best.select("url", *[F.col(f"__w.{c}").alias(c) for c in rest])
 
 
-def fetch(frontier: DataFrame, web: DataFrame) -> DataFrame:
+def fetch(frontier: DataFrame, web: DataFrame, every: bool = False) -> DataFrame:
     """``frontier(url, ...)`` with ``body`` and ``error`` from ``web(url, status, body)``.
 
     A status other than 200 and a url that ``web`` doesn't know are error rows, never lost rows; several
-    snapshots of a url are one, see :func:`one_snapshot`.
+    snapshots of a url are one, see :func:`one_snapshot`, or a row each where ``every`` one is asked for.
     """
-    got = frontier.join(one_snapshot(web.select("url", "status", "body"), frontier), "url", "left")
+    known = web.select("url", "status", "body")
+    got = frontier.join(asked_for(known, frontier) if every else one_snapshot(known, frontier), "url", "left")
     error = (
         F.when(F.col("status").isNull(), F.concat(F.lit("no snapshot of "), F.col("url")))
         .when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(" for "), F.col("url")))
