@@ -81,3 +81,16 @@ def test_one_parse_a_page(spark, monkeypatch):
     rows = df.select("i", html.read_page(F.lit("http://h/"), F.col("html"), "links", "main", "signals").alias("p"), html.html_signals(F.col("html")).alias("s")).orderBy("i").collect()
     assert rows[3].p is None and [r.p.links for r in rows[:3]] == [["http://h/n", "http://h/x"], [], []]
     assert all(r.p.markdown == markdown.extract_main(p)[1] and all(r.p[k] == r.s[k] for k in r.s.asDict()) for r, p in zip(rows, pages[:3], strict=False))
+
+
+def test_batches_of_pages_are_bounded_by_bytes(spark):
+    """A worker is given no more than about a megabyte of pages at once, however many rows a partition has."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from webloom.functions import html
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    size = html._udf(lambda pages: pd.Series([len(pages)] * len(pages)), "int")
+    pages = spark.range(0, 1000, 1, 1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 10_000)).alias("html"))
+    assert pages.select(size(F.col("html")).alias("n")).agg(F.max("n")).first()[0] < 200

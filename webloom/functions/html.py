@@ -63,8 +63,14 @@ def signal_rows(pages: Iterable[str | None]) -> pd.DataFrame:
     return pd.DataFrame([signals_of(p or "") for p in pages], columns=[f.split()[0] for f in SIGNALS.split(", ")])
 
 
+#: Bytes of an Arrow batch of pages: what a worker holds is by this and by its longest page, not by the rows of its partition.
+BATCH_BYTES = 1 << 20
+
+
 def _udf(fn, kind: str):
-    ship_package(SparkSession.active())
+    spark = SparkSession.active()
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return F.pandas_udf(fn, kind)
 
 
