@@ -108,3 +108,30 @@ def test_borders_and_limit(cuts, limit):
     assert out == whole and len(out) <= limit
     if len(out) == limit and read < len(raw):
         assert len(state.Events.feed(raw[:read], False, "", limit)[2]) == limit
+
+
+def test_finished_responses_send_one_message():
+    """A state's calls are messages to Spark: two for a new response that ends in its first piece, one for the pieces after it."""
+    from types import SimpleNamespace as Piece
+
+    calls, kept = [], {}
+
+    class Open:
+        def get(self):
+            calls.append("get")
+            return kept.get("open")
+
+        def update(self, value):
+            calls.append("update")
+            kept["open"] = value
+
+    class Early:
+        def __getattr__(self, name):
+            return lambda *_: calls.append(name)
+
+    events = state.Events(1)
+    events.open, events.early = Open(), Early()
+    piece = b'event: matches\ndata: [{"type": "content", "lineMatches": [{"line": "x", "lineNumber": 1}]}]\n'
+    assert [r.snippet for r in events.handleInputRows((7,), iter([Piece(seq=0, piece=piece, last=False)]), None)] == ["x"]
+    assert list(events.handleInputRows((7,), iter([Piece(seq=1, piece=piece, last=True)]), None)) == []
+    assert calls == ["get", "update", "get"]

@@ -196,8 +196,14 @@ class Events(StatefulProcessor):
         self.early = handle.getMapState("early", "seq bigint", "piece binary, last boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        seq, rest, event, found = self.open.get() or (0, b"", "", 0)
-        waiting = False
+        known = self.open.get()
+        seq, rest, event, found = known or (0, b"", "", 0)
+        if found >= self.limit:
+            for _ in rows:
+                pass
+            return
+        # Each call of a state is a message to Spark: whether pieces wait is asked once, and never of a response that is new.
+        waiting = bool(known) and self.early.exists()
         for r in rows:
             if found >= self.limit:
                 continue
@@ -212,12 +218,13 @@ class Events(StatefulProcessor):
                     yield Row(response_id=key[0], pos=found, repo=m["repository"], path=m["path"], line=m["line"], snippet=m["snippet"], language=m["language"], stars=m["stars"])
                     found += 1
                 seq += 1
-                piece = self.early.getValue((seq,)) if (waiting or self.early.exists()) and self.early.containsKey((seq,)) else None
+                piece = self.early.getValue((seq,)) if waiting and self.early.containsKey((seq,)) else None
                 if piece is not None:
                     self.early.removeKey((seq,))
         if found >= self.limit:
             rest = b""
-            self.early.clear()
+            if waiting:
+                self.early.clear()
         self.open.update((seq, bytes(rest), event, found))
 
     @staticmethod
