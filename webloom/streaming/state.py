@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -88,10 +89,17 @@ def host_states(pages: DataFrame) -> DataFrame:
 EXPIRY = "key string, at bigint, kind string"
 
 
+ANSWERS = "keys array<string>, ats array<bigint>, kinds array<string>"
+#: Requests in an element of the list of those that wait, and answers in a row.
+HELD = 1000
+
+
 class Expiry(StatefulProcessor):
-    """Requests of one key in the order of their times, however they come in: each is a hit or a miss that stores the page; what runs out is evicted.
+    """Requests of a group of keys, each key's in the order of their times, however they come in: each is a hit or a miss that stores the page; what runs out is evicted.
 
     A request waits until the watermark has passed it. Times are microseconds, timers and watermarks milliseconds.
+    Each call of a state is a message to Spark, and each element of a list is packed by itself. So a group has one timer, at the earliest moment it
+    has an answer, its states are read and written at most once when that comes, and requests that wait stand by the thousand in an element.
     """
 
     def __init__(self, ttl: int) -> None:
@@ -99,65 +107,88 @@ class Expiry(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint")
-        self.entry = handle.getValueState("entry", "stored bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, keys array<string>, ats array<bigint>")
+        self.entry = handle.getValueState("entry", "keys array<string>, stored array<bigint>")
+
+    @staticmethod
+    def element(some: list[tuple[str, int]]) -> tuple[int, list[str], list[int]]:
+        """Requests that wait, behind the earliest of their times."""
+        keys, ats = map(list, zip(*some, strict=True))
+        return min(ats), keys, ats
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        least, some = None, []
-        for r in rows:
-            least = r.at if least is None else min(least, r.at)
-            some.append((r.at,))
-            if len(some) == 10_000:
-                self.waiting.appendList(some)
-                some = []
-        if some:
-            self.waiting.appendList(some)
+        least = None
+        while some := [(r.key, r.at) for r in islice(rows, HELD)]:
+            new = self.element(some)
+            self.waiting.appendValue(new)
+            least = new[0] if least is None else min(least, new[0])
         if least is not None:
-            self.handle.registerTimer(least // 1000)
+            known = list(self.handle.listTimers())
+            if not known or least // 1000 < min(known):
+                for t in known:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(least // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(x[0] for x in self.waiting.get()) if self.waiting.exists() else []
-        due, later = [x for x in held if x < until], [x for x in held if x >= until]
-        stored = self.entry.get()[0] if self.entry.exists() else None
-        out = []
-        for at in due:
-            if stored is not None and at - stored > self.ttl:
-                out.append((stored + self.ttl, "evict"))
-                stored = None
-            out.append((at, "miss" if stored is None else "hit"))
-            stored = at if stored is None else stored
-        if stored is not None and stored + self.ttl < until:
-            out.append((stored + self.ttl, "evict"))
-            stored = None
-        if stored is None:
+        due, later = {}, []
+        for _, keys, ats in self.waiting.get():
+            for k, at in zip(keys, ats, strict=True):
+                if at < until:
+                    due.setdefault(k, []).append(at)
+                else:
+                    later.append((k, at))
+        before = dict(zip(*(self.entry.get() or ((), ())), strict=True))
+        after, out = {}, []
+        for k in before | due:
+            stored = before.get(k)
+            for at in sorted(due.get(k, ())):
+                if stored is not None and at - stored > self.ttl:
+                    out.append((k, stored + self.ttl, "evict"))
+                    stored = None
+                out.append((k, at, "miss" if stored is None else "hit"))
+                stored = at if stored is None else stored
+            if stored is not None and stored + self.ttl < until:
+                out.append((k, stored + self.ttl, "evict"))
+            elif stored is not None:
+                after[k] = stored
+        if after and after != before:
+            self.entry.update((list(after), list(after.values())))
+        elif before and not after:
             self.entry.clear()
-        else:
-            self.entry.update((stored,))
-            self.handle.registerTimer((stored + self.ttl) // 1000)
-        if len(later) < len(held):
+        if due and later:
+            self.waiting.put([self.element(later[i : i + HELD]) for i in range(0, len(later), HELD)])
+        elif due:
             self.waiting.clear()
-            if later:
-                self.waiting.put([(x,) for x in later])
-        if later:
-            self.handle.registerTimer(later[0] // 1000)
-        for at, kind in out:
-            yield Row(key=key[0], at=at, kind=kind)
+        if after or later:
+            following = [at for _, at in later] + [stored + self.ttl for stored in after.values()]
+            self.handle.registerTimer(min(following) // 1000)
+        for i in range(0, len(out), HELD):
+            keys, ats, kinds = map(list, zip(*out[i : i + HELD], strict=True))
+            yield Row(keys=keys, ats=ats, kinds=kinds)
 
     def close(self) -> None:
         pass
 
 
-def cache_traffic(requests: DataFrame, ttl_seconds: int, time: str = "ts", delay: str = "1 day") -> DataFrame:
+def cache_traffic(requests: DataFrame, ttl_seconds: int, time: str = "ts", delay: str = "1 day", groups: int | None = None) -> DataFrame:
     """``(key, at, kind)``: hit, miss or evict for ``requests(key, <time>)``, as a cache with this time to live has them.
 
     A page is stored at its miss and serves requests up to and with its ttl; it is evicted at that moment, by a timer or by the miss
     that finds it gone. Requests may come late by ``delay``; answers come once the watermark has passed them. Pages that are held are in the
     state ``entry``, requests that wait in ``waiting``. The answers to one key depend on each other, so a key is one task's.
+
+    A state is a key's own, at some milliseconds a key and batch for its messages; with ``groups`` it is that of all keys whose hash falls together, which share
+    these, and what a group holds is read whole: take as many as keep that to some ten thousand requests.
     """
-    rows = requests.select("key", F.col(time).cast("timestamp").alias("ts")).where("key is not null and ts is not null").withWatermark("ts", delay)
-    return keyed(rows.withColumn("at", F.unix_micros("ts")), "key", Expiry(ttl_seconds * 1_000_000), EXPIRY, "EventTime")
+    rows = requests.select(F.col("key").cast("string").alias("key"), F.col(time).cast("timestamp").alias("ts")).where("key is not null and ts is not null").withWatermark("ts", delay)
+    rows = rows.withColumn("at", F.unix_micros("ts"))
+    if groups is None:
+        out = keyed(rows, "key", Expiry(ttl_seconds * 1_000_000), ANSWERS, "EventTime")
+    else:
+        out = keyed(rows.withColumn("share", F.pmod(F.xxhash64("key"), F.lit(groups))), "share", Expiry(ttl_seconds * 1_000_000), ANSWERS, "EventTime")
+    return out.select(F.inline(F.arrays_zip("keys", "ats", "kinds"))).toDF("key", "at", "kind")
 
 
 # --- event streams in pieces ----------------------------------------------------
