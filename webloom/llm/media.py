@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,22 @@ def pixels(media: bytes) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+@lru_cache(maxsize=1024)
+def _bands(rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First row and height of the eight bands of an image."""
+    edge = [i * rows // 8 for i in range(8)]
+    return np.minimum(edge, rows - 1), np.maximum(1, np.diff([*edge, rows]))[:, None]
+
+
 def feature_of(rgb: np.ndarray) -> str:
     """Size, mean of each channel in thousandths, and an 8 x 8 average hash of the brightness."""
-    total = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) * 1000 // (rgb.shape[0] * rgb.shape[1])
-    grey = rgb.sum(axis=2, dtype=np.int64)
-    edge = [i * len(grey) // 8 for i in range(8)]
-    bands = np.add.reduceat(grey, np.minimum(edge, len(grey) - 1), axis=0)
-    heights = np.maximum(1, np.diff([*edge, len(grey)]))
-    cells = bands.reshape(8, 8, -1).sum(axis=2) * 1000 // heights[:, None]
+    n = rgb.shape[0] * rgb.shape[1]
+    total = [int(np.add.reduce(rgb[:, :, c], axis=None, dtype=np.int64)) * 1000 // n for c in range(3)]
+    grey = np.add(rgb[:, :, 0], rgb[:, :, 1], dtype=np.uint32)
+    grey += rgb[:, :, 2]
+    start, heights = _bands(len(grey))
+    bands = np.add.reduceat(grey, start, axis=0)
+    cells = np.add.reduce(bands.reshape(8, 8, -1), axis=2, dtype=np.int64) * 1000 // heights
     bits = (cells.ravel() * 64 > cells.sum()).astype(np.uint8)
     return f"{rgb.shape[1]}x{rgb.shape[0]};mean={total[0]},{total[1]},{total[2]};hash={np.packbits(bits).tobytes().hex()}"
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-from itertools import chain, groupby
 from functools import cache, cached_property, lru_cache
 
 import numpy as np
@@ -50,6 +49,21 @@ def code_words(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+@cache
+def _reversed(n: int) -> np.ndarray:
+    """The numbers of ``n`` bits in reverse."""
+    return REVERSED[: 1 << n] >> (16 - n)
+
+
+#: Least value and extra bits of each prefix of a length or distance, and a mask of those bits.
+BASE = np.array([p if p < 4 else (2 + (p & 1)) << ((p - 2) >> 1) for p in range(40)]) + 1
+EXTRA = np.array([0 if p < 4 else (p - 2) >> 1 for p in range(40)])
+EXTRA_MASK = (1 << EXTRA) - 1
+#: A reference's symbol and length take at most 26 bits, to which this is added.
+REFERENCE = 32
+GREEN_MORE = np.concatenate([np.zeros(256, np.int64), EXTRA[:24] + REFERENCE])
+
+
 class Prefix:
     """A canonical prefix code; its table by the next ``width`` bits gives symbol * 16 + length and is made on first use."""
 
@@ -66,18 +80,41 @@ class Prefix:
                 raise ValueError("a prefix code that isn't complete")
 
     @cached_property
-    def array(self) -> np.ndarray:
+    def order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols in the order of their codes, their lengths, and by the next ``width`` bits which of them it is."""
         if not self.width:
-            return np.array([int(self.used[0]) * 16], np.int64)
-        used = self.used[np.argsort(self.lengths[self.used], kind="stable")]
-        own = self.lengths[used]
-        by_code = np.repeat(used * 16 + own, 1 << (self.width - own))
-        return by_code[REVERSED[: 1 << self.width] >> (16 - self.width)]
+            return np.array(self.used[:1], np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        own = self.lengths[self.used]
+        by_length = own.argsort(kind="stable")
+        used, own = self.used.take(by_length), own.take(by_length)
+        return used, own, np.arange(len(used)).repeat(1 << (self.width - own)).take(_reversed(self.width))
+
+    @cached_property
+    def array(self) -> np.ndarray:
+        used, own, which = self.order
+        return (used * 16 + own).take(which)
+
+    @cached_property
+    def green_steps(self) -> np.ndarray:
+        """By the next bits, those of a literal; for a reference those of its symbol and length and REFERENCE."""
+        used, own, which = self.order
+        return (own + GREEN_MORE.take(used)).take(which)
+
+    @cached_property
+    def far_steps(self) -> np.ndarray:
+        """By the next bits, those of a distance with its extra bits."""
+        used, own, which = self.order
+        return (own + EXTRA.take(used)).take(which)
 
     @cached_property
     def table(self) -> list[int]:
         return self.array.tolist()
 
+    @cached_property
+    def pieces(self) -> dict[int, tuple]:
+        """What :func:`_lengths_of` has found by the next PIECE bits."""
+        return {}
+
     def read(self, bits: Bits) -> int:
         if not self.width:
             return int(self.used[0])
@@ -89,7 +126,7 @@ class Prefix:
         return entry >> 4
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=16)
 def _outer_code(k: int, known: int) -> Prefix:
     """The code of code lengths, by its ``k`` lengths of three bits."""
     outer = np.zeros(19, np.int64)
@@ -97,6 +134,31 @@ def _outer_code(k: int, known: int) -> Prefix:
     return Prefix(outer)
 
 
+#: Bits of a stream of code lengths that are read in one step.
+PIECE = 14
+
+
+def _lengths_of(code: Prefix, held: int) -> tuple[int, list[int], int, int]:
+    """The whole symbols in the PIECE bits held, up to one that repeats what stands before them: bits, code lengths, number of symbols, the last length above 0."""
+    found: list[int] = []
+    at = count = last = 0
+    while True:
+        entry = code.table[held >> at & (1 << code.width) - 1]
+        symbol, end = entry >> 4, at + (entry & 15)
+        k = {17: 3, 18: 7}.get(symbol, 0)
+        if symbol == 16 or end == at or end + k > PIECE:
+            break
+        if symbol < 16:
+            found.append(symbol)
+            last = symbol or last
+        else:
+            found += [0] * ((3 if symbol == 17 else 11) + (held >> end & (1 << k) - 1))
+        at = end + k
+        count += 1
+    code.pieces[held] = at, found, count, last
+    return at, found, count, last
+
+
 def read_prefix(bits: Bits, size: int) -> Prefix:
     """One prefix code over ``size`` symbols: a simple one or one with coded lengths. What is written often is told by its bits and not read again."""
     if size == len(FAR_LENGTHS):
@@ -125,10 +187,16 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     # All of the coded lengths lie in the next 14 bits a symbol.
     held, at = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 2 * size + 8], "little"), bits.at & 7
-    start, table, mask = bits.at - at, code.table, (1 << code.width) - 1
+    start, table, mask, pieces = bits.at - at, code.table, (1 << code.width) - 1, code.pieces
     found: list[int] = []
     before = 8
     while len(found) < size and left:
+        window = held >> at & (1 << PIECE) - 1
+        n, some, count, last = pieces.get(window) or _lengths_of(code, window)
+        if 0 < count <= left and len(found) + len(some) <= size:
+            found += some
+            at, left, before = at + n, left - count, last or before
+            continue
         left -= 1
         entry = table[held >> at & mask]
         at += entry & 15
@@ -266,98 +334,105 @@ def _vector(bits: Bits, codes: list[Prefix], n: int, width: int) -> np.ndarray |
     return np.frombuffer(out, "<u4").copy()
 
 
-#: Least value less one and extra bits of each prefix of a length or distance, and the near distances as an array.
-BASE = np.array([p if p < 4 else (2 + (p & 1)) << ((p - 2) >> 1) for p in range(40)]) + 1
-EXTRA = np.array([0 if p < 4 else (p - 2) >> 1 for p in range(40)])
 NEAR_XY = np.array(NEAR)
 SHIFTS = np.tile(EIGHT, WINDOW + 16)
+#: More bits than any symbol takes.
+SLACK = 64
 
 
 def _one_channel(bits: Bits, codes: list[Prefix], n: int, width: int) -> np.ndarray:
-    """:func:`_vector` where red, blue and alpha take no bits, as in all that :func:`encode_grey` writes: a symbol a sample or reference, a byte a pixel."""
+    """:func:`_vector` where red, blue and alpha take no bits, as in all that :func:`encode_grey` writes: a symbol a sample or reference, a byte a pixel.
+
+    Only successors are worked out for every bit position; values are read for the positions of the chain. Gives planes like :func:`_planes`.
+    """
     green, mask, far_code, far_mask = codes[0].array, (1 << codes[0].width) - 1, codes[4].array, (1 << codes[4].width) - 1
+    step, far_step = codes[0].green_steps, codes[4].far_steps
     out, done = bytearray(n), 0
+    pixels = np.frombuffer(out, np.uint8)
     while done < n:
         base = bits.at >> 3
         part = bits.data[base : base + WINDOW + 16]
         size = len(part)
         last = size * 8
-        word = np.ndarray((size + 8,), "<u4", part + bytes(12), strides=(1,)).astype(np.int64)
-        every = np.repeat(word[:size], 8)
+        word = np.ndarray((size + 8,), "<i8", part + bytes(16), strides=(1,)).astype(np.int64)
+        every = word[:size].repeat(8)
         every >>= SHIFTS[:last]
         every &= mask
-        entry = green.take(every)
-        to = np.full(last + 1, last)
-        np.bitwise_and(entry, 15, out=to[:last])
-        to[:last] += PLACES[:last]
-        ref = np.flatnonzero(entry > 4095)
-        far_of = long_of = ref
-        if len(ref):
-            k = (entry.take(ref) >> 4) - 256
-            at, e = to.take(ref), EXTRA.take(k)
-            long_of = BASE.take(k) + (word.take(at >> 3) >> (at & 7) & ((1 << e) - 1))
-            at += e
-            d = far_code.take(word.take(at >> 3) >> (at & 7) & far_mask)
-            at += d & 15
-            d >>= 4
-            e = EXTRA.take(d)
-            far_of = BASE.take(d) + (word.take(at >> 3) >> (at & 7) & ((1 << e) - 1))
-            to[ref] = at + e
-        stop = last if base + size >= len(bits.data) else WINDOW * 8
-        one = np.minimum(to, last)
+        one = np.empty(last + SLACK, np.int64)
+        one[last:] = last
+        to = one[:last]
+        step.take(every, out=to, mode="clip")
+        ref = (to >= REFERENCE).nonzero()[0]
+        to += PLACES[:last]
+        at = to.take(ref)
+        at -= REFERENCE
+        held = word.take(at >> 3)
+        held >>= at & 7
+        held &= far_mask
+        at += far_step.take(held)
+        to[ref] = at
         two = one.take(one)
-        four, at, hops = memoryview(two.take(two)), bits.at & 7, []
+        four = memoryview(two.take(two))
+        stop, at, hops = last if base + size >= len(bits.data) else WINDOW * 8, bits.at & 7, []
         push = hops.append
-        while at < stop:
+        while at < stop:  # the walk takes four symbols a step; those between are filled in after it
             push(at)
             at = four[at]
         path = np.empty((len(hops), 4), np.int64)
         path[:, 0] = hops
-        one.take(path[:, 0], out=path[:, 1], mode="clip")
-        two.take(path[:, 0], out=path[:, 2], mode="clip")
-        one.take(path[:, 2], out=path[:, 3], mode="clip")
+        path[:, 1] = one.take(path[:, 0])
+        path[:, 2] = two.take(path[:, 0])
+        path[:, 3] = one.take(path[:, 2])
         path = path.ravel()
-        path = path[: int(np.searchsorted(path, stop))]
-        met = entry.take(path)
-        jump = np.flatnonzero(met > 4095)
-        which = np.searchsorted(ref, path[jump])
+        path = path[: int(path.searchsorted(stop))]
+        met = green.take(every.take(path))
+        jump = (met > 4095).nonzero()[0]
+        sign = met[jump]
+        at = path[jump] + (sign & 15)
+        held = word.take(at >> 3) >> (at & 7)
+        k = (sign >> 4) - 256
+        long = BASE.take(k) + (held & EXTRA_MASK.take(k))
         length = np.ones(len(path), np.int64)
-        length[jump] = long_of.take(which)
-        ends = np.cumsum(length)
-        m = int(np.searchsorted(ends, n - done)) + 1
+        length[jump] = long
+        ends = length.cumsum()
+        m = int(ends.searchsorted(n - done)) + 1
         if m <= len(path):
             path, ends, met, length = path[:m], ends[:m], met[:m], length[:m]
-            jump = jump[: int(np.searchsorted(jump, m))]
-            which = which[: len(jump)]
+            jump = jump[: int(jump.searchsorted(m))]
+            held, k, long = held[: len(jump)], k[: len(jump)], long[: len(jump)]
             if ends[-1] != n - done:
                 raise ValueError("a reference outside the image")
         elif stop == last:
             raise ValueError("the stream ends early")
-        p = int(to[path[-1]]) if len(path) else bits.at & 7
+        p = int(one[path[-1]]) if len(path) else bits.at & 7
         if p > last:
             raise ValueError("the stream ends early")
         begin = ends - length
         begin += done
-        pixels = np.frombuffer(out, np.uint8)
-        pixels[begin] = met >> 4  # where a reference starts too: it is copied over below
-        if len(which):
-            far, start = far_of.take(which), begin[jump]
-            near = np.flatnonzero(far <= 120)
+        met >>= 4
+        pixels[begin] = met  # where a reference starts too: it is copied over below
+        if len(jump):
+            held >>= EXTRA.take(k)
+            d = far_code.take(held & far_mask)
+            held >>= d & 15
+            d >>= 4
+            far, start = BASE.take(d) + (held & EXTRA_MASK.take(d)), begin[jump]
+            near = (far <= 120).nonzero()[0]
             far -= 120
             if len(near):
                 x, y = NEAR_XY[far[near] + 119].T
                 far[near] = np.maximum(1, x + y * width)
             if (far > start).any():
                 raise ValueError("a reference outside the image")
-            for a, l, d in zip(start.tolist(), length[jump].tolist(), far.tolist(), strict=True):
+            for a, l, d in zip(start.tolist(), long.tolist(), far.tolist(), strict=True):
                 out[a : a + l] = out[a - d : a - d + l] if d >= l else (out[a - d : a] * (l // d + 1))[:l]
         done += int(ends[-1]) if len(ends) else 0
         bits.at = base * 8 + p
-    argb = np.empty((n, 4), np.uint8)
-    argb[:, 1] = np.frombuffer(out, np.uint8)
+    argb = np.empty((4, n), np.uint8)
+    argb[1] = pixels
     for i, c in ((0, 2), (2, 1), (3, 3)):
-        argb[:, i] = codes[c].used[0]
-    return argb.view("<u4").ravel()
+        argb[i] = codes[c].used[0]
+    return argb.T
 
 
 def _filled(codes: list[Prefix], green: np.ndarray, values: list) -> np.ndarray:
@@ -367,7 +442,7 @@ def _filled(codes: list[Prefix], green: np.ndarray, values: list) -> np.ndarray:
 
 
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image as ARGB numbers in reading order."""
+    """An entropy-coded image as channels blue, green, red, alpha in reading order."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("a colour cache that is too large")
@@ -375,16 +450,17 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     if main and bits.read(1):
         block = bits.read(3) + 2
         gw = -(-width >> block)
-        groups_of = (_image(bits, gw, -(-height >> block), False) >> 8 & 0xFFFF).astype(int).tolist()
+        which = _image(bits, gw, -(-height >> block), False).astype(int)
+        groups_of = (which[:, 1] | which[:, 2] << 8).tolist()
         n_groups = max(groups_of) + 1
     sizes = (256 + 24 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
     groups = [[read_prefix(bits, s) for s in sizes] for _ in range(n_groups)]
     n = width * height
     if not cache_bits and groups_of is None:
         if groups[0][0].width and not any(c.width for c in groups[0][1:4]):
-            return _one_channel(bits, groups[0], n, width)
+            return _planes(_one_channel(bits, groups[0], n, width))
         if (fast := _vector(bits, groups[0], n, width)) is not None:
-            return fast
+            return _planes(fast)
     out = [0] * n
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
     at, g = 0, groups[0]
@@ -415,12 +491,12 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         if cache_bits:
             for p in out[fresh:at]:
                 cache[(HASH_MULTIPLIER * p & 0xFFFFFFFF) >> shift] = p
-    return np.array(out, np.uint32)
+    return _planes(np.array(out, np.uint32))
 
 
 def _planes(argb: np.ndarray) -> np.ndarray:
-    """(n, 4) channels blue, green, red, alpha."""
-    return argb.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
+    """(n, 4) channels blue, green, red, alpha of numbers; what has that shape stays."""
+    return argb if argb.ndim == 2 else argb.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
 
 
 def predict(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarray, top_left: np.ndarray) -> np.ndarray:
@@ -478,7 +554,7 @@ def _crossed(values: np.ndarray, elements: np.ndarray, width: int, height: int,
 
 def _greened(values: np.ndarray, sign: int) -> np.ndarray:
     """Adds (sign 1) or takes away (-1) green from red and blue, in bytes that wrap around."""
-    out = values.copy()
+    out = values.copy("K")
     for c in (0, 2):
         out[:, c] = values[:, c] + values[:, 1] if sign > 0 else values[:, c] - values[:, 1]
     return out
@@ -517,15 +593,15 @@ def decode(data: bytes) -> np.ndarray:
             raise ValueError("a transform twice")
         if kind in (PREDICTOR, CROSS_COLOR):
             block = bits.read(3) + 2
-            steps.append((kind, width, block, _planes(_image(bits, -(-width >> block), -(-height >> block), False))))
+            steps.append((kind, width, block, _image(bits, -(-width >> block), -(-height >> block), False)))
         elif kind == SUBTRACT_GREEN:
             steps.append((kind, width, 0, None))
         else:
             n = bits.read(8) + 1
-            table = np.cumsum(_planes(_image(bits, n, 1, False)).astype(np.uint8), axis=0, dtype=np.uint8)
+            table = np.cumsum(_image(bits, n, 1, False), axis=0, dtype=np.uint8)
             steps.append((kind, width, n, table))
             width = -(-width >> _pack_bits(n))
-    v = _planes(_image(bits, width, height, True))
+    v = _image(bits, width, height, True)
     for kind, w, arg, extra in reversed(steps):
         if kind == PREDICTOR:
             v = _predicted(v, extra[:, 1], w, height, arg, 1)
@@ -541,10 +617,10 @@ def decode(data: bytes) -> np.ndarray:
             table = np.zeros((256, 4), np.uint8)
             table[: len(extra)] = extra
             v = table[index.ravel()]
-    out = np.empty((height, full, 4), np.uint8)
+    out = np.empty((4, height, full), np.uint8)  # a channel lies in one piece
     for i, c in enumerate((2, 1, 0, 3)):
-        out[:, :, i] = v[:, c].reshape(height, full)
-    return out
+        out[i] = v[:, c].reshape(height, full)
+    return out.transpose(1, 2, 0)
 
 
 class Writer:
@@ -632,52 +708,62 @@ FEW = 200
 @cache
 def usual_distances() -> tuple[int, int, Prefix, np.ndarray]:
     """The usual code of distances: the bits that write it and their number, the code, its words."""
-    w = Writer()
-    put_prefix(w, FAR_LENGTHS)
-    return w.held, w.size, Prefix(FAR_LENGTHS), code_words(FAR_LENGTHS)
+    return *prefix_bits(FAR_LENGTHS), Prefix(FAR_LENGTHS), code_words(FAR_LENGTHS)
 
 
-def put_prefix(w: Writer, lengths: np.ndarray) -> None:
-    """Writes a code: simple for one or two small symbols, else by coded lengths with runs of zeros."""
-    used = np.flatnonzero(lengths)
-    if len(used) <= 2 and (len(used) == 0 or used.max() < 256):
-        symbols = [int(s) for s in used] or [0]
-        w.put(1, 1)
-        w.put(len(symbols) - 1, 1)
-        w.put(1, 1)
-        for s in symbols:
-            w.put(s, 8)
-        return
+@lru_cache(maxsize=1 << 14)
+def _lengths_piece(zeros: int, value: int, run: int) -> tuple[int, int, int]:
+    """Code lengths as bits, number of bits and of symbols: so many zeros, then a length ``run`` times."""
     tokens: list[tuple[int, int, int]] = []
-    known = lengths[: int(used[-1]) + 1]
-    for value, same in groupby(known.tolist()):
-        run = len(list(same))
-        if value:
-            tokens.append((value, 0, 0))
-            run -= 1
-        while run >= (3 if value else 11):
-            n = min(run, 6 if value else 138)
-            tokens.append((16, n - 3, 2) if value else (18, n - 11, 7))
-            run -= n
-        if run >= 3:
-            tokens.append((17, run - 3, 3))
-            run = 0
-        tokens += [(value, 0, 0)] * run
-    w.put(0, 1)
-    w.put(15, 4)
-    w.put(sum(OUTER_LENGTHS[s] << 3 * i for i, s in enumerate(CODE_LENGTH_ORDER)), 57)
-    w.put(1, 1)
-    if len(tokens) < 2:
-        tokens.append(tokens[0])
-    size = max(2, (len(tokens) - 2).bit_length())
-    size += size & 1
-    w.put((size - 2) // 2, 3)
-    w.put(len(tokens) - 2, size)
+    for same, left in ((0, zeros), (value, run)):
+        if same:
+            tokens.append((same, 0, 0))
+            left -= 1
+        while left >= (3 if same else 11):
+            n = min(left, 6 if same else 138)
+            tokens.append((16, n - 3, 2) if same else (18, n - 11, 7))
+            left -= n
+        if left >= 3:
+            tokens.append((17, left - 3, 3))
+            left = 0
+        tokens += [(same, 0, 0)] * left
     held = at = 0
     for s, extra, k in tokens:
         held |= OUTER_WORDS[s] << at | extra << (at + OUTER_LENGTHS[s])
         at += OUTER_LENGTHS[s] + k
-    w.put(held, at)
+    return held, at, len(tokens)
+
+
+#: What stands before coded lengths: not simple, 19 lengths of the outer code, a number of symbols that is given.
+OUTER_HEAD = 15 << 1 | sum(OUTER_LENGTHS[s] << 3 * i for i, s in enumerate(CODE_LENGTH_ORDER)) << 5 | 1 << 62
+
+
+def prefix_bits(lengths: np.ndarray) -> tuple[int, int]:
+    """A code as bits and their number: simple for one or two small symbols, else by coded lengths with runs."""
+    used = lengths.nonzero()[0]
+    symbols = used.tolist()
+    if len(symbols) <= 2 and (not symbols or symbols[-1] < 256):
+        first, *other = symbols or [0]
+        return (0b111 | first << 3 | other[0] << 11, 19) if other else (0b101 | first << 3, 11)
+    held = at = count = 0
+    zeros, value, run, following = symbols[0], 0, 0, symbols[0]
+    for s, x in zip([*symbols, -1], [*lengths[used].tolist(), 0], strict=True):
+        if s == following and (x == value or not run):
+            value, run, following = x, run + 1, s + 1
+            continue
+        bits, k, n = _lengths_piece(zeros, value, run)
+        held |= bits << at
+        at += k
+        count += n
+        zeros, value, run, following = s - following, x, 1, s + 1
+    size = max(2, (count - 2).bit_length())
+    size += size & 1
+    return OUTER_HEAD | (size - 2) // 2 << 63 | (count - 2) << 66 | held << (66 + size), 66 + size + at
+
+
+def put_prefix(w: Writer, lengths: np.ndarray) -> None:
+    """Writes a code."""
+    w.put(*prefix_bits(lengths))
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -810,59 +896,78 @@ def encode(rgb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, referen
 MATCH, MATCH_MOST, FAR = 6, 4096, 1_000_000
 
 
-def _references(v: np.ndarray) -> list[tuple[int, int, int]]:
-    """Greedy (start, length, distance) of what repeats: runs of positions whose MATCH bytes last stood the same distance before."""
+def _references(v: np.ndarray) -> np.ndarray:
+    """Greedy rows (start, length, distance) of what repeats: runs of positions whose MATCH bytes last stood the same distance before."""
     n = len(v) - MATCH + 1
     if n < 2:
-        return []
-    padded = np.concatenate([v, np.zeros(8, np.uint8)])
-    key = np.ndarray((n,), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * MATCH) - 1)
-    # Short inputs are sorted by a 16-bit hash, which numpy does by radix; equal hashes of other bytes only cost a match.
-    order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16) if n < 1 << 14 else key, kind="stable")
-    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    back = np.zeros(n, np.int64)
-    back[order[again + 1]] = order[again + 1] - order[again]
-    back[back > FAR] = 0
-    edge = np.concatenate([[0], np.flatnonzero(back[1:] != back[:-1]) + 1, [n]])
-    far = back[edge[:-1]]
-    some = far > 0
-    out, at = [], 0
-    for s, e, d in zip(edge[:-1][some].tolist(), edge[1:][some].tolist(), far[some].tolist(), strict=True):
-        if s < at:
-            s = at
-        if s < e:
+        return np.empty((0, 3), np.int64)
+    # MATCH bytes in the upper 48 bits; behind them, or behind a hash of them, goes the position, so that plain numbers are sorted.
+    key = np.ndarray((n,), "<u8", v.tobytes() + bytes(8), strides=(1,)) << np.uint64(64 - 8 * MATCH)
+    low = max(64 - 8 * MATCH, n.bit_length())
+    order = key
+    if low > 64 - 8 * MATCH:
+        order = key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(low) << np.uint64(low)
+    order = order | np.arange(n, dtype=np.uint64)
+    order.sort()
+    again = (order[1:] ^ order[:-1] < np.uint64(1 << low)).nonzero()[0]
+    order &= np.uint64((1 << low) - 1)
+    order = order.view(np.int64)
+    here, before = order.take(again + 1), order.take(again)
+    back = here - before
+    if low > 64 - 8 * MATCH:
+        back[(key.take(here) != key.take(before)) | (back > FAR)] = 0
+    known = np.zeros(n + 2, np.int64)
+    known[here + 1] = back
+    edge = (known[1:] != known[:-1]).nonzero()[0]
+    far = known.take(edge + 1)
+    some = far.nonzero()[0]
+    start, which, at = [], [], 0
+    for i, s, e in zip(some.tolist(), edge.take(some).tolist(), edge.take(some + 1).tolist(), strict=True):
+        if at < e:
+            start.append(s if s > at else at)
+            which.append(i)
             at = e + MATCH - 1
-            if at - s <= MATCH_MOST:
-                out.append((s, at - s, d))
-            else:
-                out += [(x, min(MATCH_MOST, at - x), d) for x in range(s, at, MATCH_MOST)]
-    return out
+    found = np.empty((len(start), 3), np.int64)
+    if start:
+        which = np.array(which)
+        found[:, 0] = start
+        found[:, 1] = edge.take(which + 1) + (MATCH - 1) - found[:, 0]
+        found[:, 2] = far.take(which)
+        if found[:, 1].max() > MATCH_MOST:
+            found = np.array([(x, min(MATCH_MOST, s + n - x), d) for s, n, d in found.tolist() for x in range(s, s + n, MATCH_MOST)])
+    return found
 
 
 def _prefixes_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix, extra value and extra bits of lengths or distances."""
-    v = value - 1
-    k = np.maximum(np.frexp(v.astype(float))[1] - 2, 0)
-    small = v < 4
-    k[small] = 0
-    return np.where(small, v, 2 * k + 2 + (v >> k & 1)), np.where(small, 0, v & ((1 << k) - 1)), k
-
-
-def _packed(value: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Values of ``size`` bits each (64 at most, some above 0), lowest bit first, as 64-bit words with zeros behind."""
-    keep = size > 0
-    value, size = value[keep].astype(np.uint64), size[keep]
-    ends = np.cumsum(size)
-    start = ends - size
-    shift = (start & 63).astype(np.uint64)
-    at = start >> 6
+    prefix = BASE.searchsorted(value, "right") - 1
+    return prefix, value - BASE.take(prefix), EXTRA.take(prefix)
+
+
+def _packed(held: int, n: int, value: np.ndarray, size: np.ndarray) -> bytes:
+    """The ``n`` bits held, then values of ``size`` bits each (64 at most; 0 for zeros), lowest bit first, filled up to a byte."""
+    whole = n >> 6
+    ends = size.cumsum()
+    ends += n & 63
+    shift = ends - size
+    at = shift >> 6
+    shift &= 63
     out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    out[at[first]] = np.bitwise_or.reduceat(value << shift, first)
-    final = np.append(first[1:], len(at)) - 1
-    over = shift[final] > 0
-    out[at[final][over] + 1] |= value[final][over] >> (np.uint64(64) - shift[final][over])
-    return out
+    out[0] = held >> (whole << 6)
+    edge = (at[1:] != at[:-1]).nonzero()[0]
+    first, final = np.empty((2, len(edge) + 1), np.int64)
+    first[0], final[-1] = 0, len(at) - 1
+    first[1:], final[:-1] = edge + 1, edge
+    value, shift = value.view(np.uint64), shift.view(np.uint64)
+    out[at.take(first)] |= np.bitwise_or.reduceat(value << shift, first)
+    # What the last value of a word has beyond it; a shift by 1 and by the rest is one by 64 bits where the rest is 63.
+    out[at.take(final) + 1] |= value.take(final) >> np.uint64(1) >> np.uint64(63) - shift.take(final)
+    return ((held & (1 << (whole << 6)) - 1).to_bytes(whole * 8, "little") + out.tobytes())[: whole * 8 + (int(ends[-1]) + 7 >> 3)]
+
+
+#: Distances are written as those beyond the near ones; the codes of red, blue and alpha, 0, 0 and 255.
+BEYOND_NEAR = np.array([0, len(NEAR)])
+LONE_CODES = sum((0b101 | s << 3) << 11 * i for i, s in enumerate((0, 0, 255)))
 
 
 def encode_grey(samples: np.ndarray) -> bytes:
@@ -873,42 +978,40 @@ def encode_grey(samples: np.ndarray) -> bytes:
     """
     height, width = samples.shape
     v = samples.ravel()
-    w = Writer()
-    _header(w, width, height)
-    for value, k in ((1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)):  # one transform, no more, no cache, one group
-        w.put(value, k)
     found = _references(v)
-    found = np.fromiter(chain.from_iterable(found), np.int64, 3 * len(found)).reshape(-1, 3)
-    covered = np.zeros(len(v) + 1, np.int64)
-    covered[found[:, 0]] += 1  # no two begin, and no two end, at one place
-    covered[found[:, 0] + found[:, 1]] -= 1
-    alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
-    lp, lx, lk = _prefixes_of(found[:, 1])
-    dp, dx, dk = _prefixes_of(found[:, 2] + 120)
-    counts = np.bincount(v[alone], minlength=280) + np.bincount(lp + 256, minlength=280), np.bincount(dp, minlength=40)
-    main, usual = code_lengths(counts[0], 15), 0 < len(found) < FEW
-    put_prefix(w, main)
-    for symbol in (0, 0, 255):  # red, blue and alpha: simple codes of one symbol
-        w.put(0b101 | symbol << 3, 11)
-    green = code_words(main)
-    if usual:
-        bits, n, _, far = usual_distances()
+    start = found[:, 0]
+    symbol = v.astype(np.int64)
+    if len(found):
+        prefix, extra, more = _prefixes_of(found[:, 1:] + BEYOND_NEAR)
+        symbol[start] = prefix[:, 0] + 256
+        inside = np.zeros(len(v) + 1, np.int8)
+        inside[start + 1] = 1
+        inside[start + found[:, 1]] -= 1  # no two begin, and no two end, at one place
+        symbol = symbol[inside[:-1].cumsum(dtype=np.int8) == 0]
+    main = code_lengths(np.bincount(symbol, minlength=280), 15)
+    if 0 < len(found) < FEW:
+        far_head, far_n, _, far_words = usual_distances()
         far_bits = FAR_LENGTHS
-        w.put(bits, n)
     else:
-        far_bits = code_lengths(counts[1], 15)
-        far = code_words(far_bits)
-        put_prefix(w, far_bits)
-    for lengths, words in ((main, green), (far_bits, far)):
+        far_bits = code_lengths(np.bincount(prefix[:, 1], minlength=40) if len(found) else np.zeros(40, np.int64), 15)
+        far_words = code_words(far_bits)
+        far_head, far_n = prefix_bits(far_bits)
+    # One transform, no more, no cache, one group; codes, those of red, blue and alpha with one symbol.
+    head, n = prefix_bits(main)
+    held = SIGNATURE | (width - 1) << 8 | (height - 1) << 22 | 1 << 40 | SUBTRACT_GREEN << 41 | head << 46 | LONE_CODES << (46 + n) | far_head << (79 + n)
+    n += 79 + far_n
+    words = code_words(main)
+    for lengths, own in ((main, words), (far_bits, far_words)):
         if np.count_nonzero(lengths) < 2:  # a lone symbol takes no bits
-            lengths[:] = words[:] = 0
-    a, b = main[lp + 256], far_bits[dp]
-    value = green[lp + 256] | lx << a | far[dp] << (a + lk) | dx << (a + lk + b)
-    at = np.argsort(np.append(alone, found[:, 0]), kind="stable")
-    value, size = np.append(green[v[alone]], value)[at], np.append(main[v[alone]], a + lk + b + dk)[at]
-    if size.any():
-        w.words(_packed(value, size), int(size.sum()))
-    return _container(w.done())
+            lengths[:] = own[:] = 0
+    value, size = words.take(symbol), main.take(symbol)
+    if len(found):
+        which = (symbol > 255).nonzero()[0]
+        d = prefix[:, 1]
+        own, k = size.take(which), far_bits.take(d)
+        value[which] |= (extra[:, 0] | (far_words.take(d) | extra[:, 1] << k) << more[:, 0]) << own
+        size[which] = own + more[:, 0] + k + more[:, 1]
+    return _container(_packed(held, n, value, size))
 
 
 def files(data: bytes) -> list[bytes]:
